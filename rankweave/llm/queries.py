@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from rankweave.llm.decontaminate import OP10_SQL, op10_decontamination
 from rankweave.llm.packing import op8_best_fit_packing
 from rankweave.llm.token_counts import op4_token_counts
+from rankweave.llm.url_filter import OP1_SQL, op1_url_filter
 
 QUERIES = {
     f.__name__: f
     for f in (
+        op1_url_filter,
         op4_token_counts,
         op8_best_fit_packing,
+        op10_decontamination,
     )
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_decontamination": OP10_SQL}
