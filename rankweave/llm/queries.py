@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rankweave.llm.decontaminate import OP10_SQL, op10_decontamination
 from rankweave.llm.html_text import op7_html_text
+from rankweave.llm.lm_score import op6_lm_score
 from rankweave.llm.packing import op8_best_fit_packing
 from rankweave.llm.quality import op9_quality
 from rankweave.llm.token_counts import op4_token_counts
@@ -14,6 +15,7 @@ QUERIES = {
     for f in (
         op1_url_filter,
         op4_token_counts,
+        op6_lm_score,
         op7_html_text,
         op8_best_fit_packing,
         op9_quality,
