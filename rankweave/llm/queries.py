@@ -9,11 +9,13 @@ from rankweave.llm.packing import op8_best_fit_packing
 from rankweave.llm.quality import op9_quality
 from rankweave.llm.token_counts import op4_token_counts
 from rankweave.llm.url_filter import OP1_SQL, op1_url_filter
+from rankweave.llm.vector_dedup import op3_vector_dedup
 
 QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter,
+        op3_vector_dedup,
         op4_token_counts,
         op6_lm_score,
         op7_html_text,
