@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from rankweave.llm.decontaminate import OP10_SQL, op10_decontamination
 from rankweave.llm.html_text import op7_html_text
+from rankweave.llm.jaccard import op5_jaccard_join
 from rankweave.llm.lm_score import op6_lm_score
 from rankweave.llm.packing import op8_best_fit_packing
 from rankweave.llm.quality import op9_quality
@@ -17,6 +18,7 @@ QUERIES = {
         op1_url_filter,
         op3_vector_dedup,
         op4_token_counts,
+        op5_jaccard_join,
         op6_lm_score,
         op7_html_text,
         op8_best_fit_packing,
