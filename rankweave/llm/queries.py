@@ -8,6 +8,7 @@ from rankweave.llm.jaccard import op5_jaccard_join
 from rankweave.llm.lm_score import op6_lm_score
 from rankweave.llm.packing import op8_best_fit_packing
 from rankweave.llm.quality import op9_quality
+from rankweave.llm.suffix_dedup import op2_suffix_dedup
 from rankweave.llm.token_counts import op4_token_counts
 from rankweave.llm.url_filter import OP1_SQL, op1_url_filter
 from rankweave.llm.vector_dedup import op3_vector_dedup
@@ -16,6 +17,7 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_url_filter,
+        op2_suffix_dedup,
         op3_vector_dedup,
         op4_token_counts,
         op5_jaccard_join,
