@@ -15,7 +15,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import ascii_lower
+from rankweave.llm.shared import ascii_lower, written
 
 #: (verdict, rule): a rule is a host, with its subdomains, and the start of a path.
 RULES = [("block", "net/"), ("allow", "example.net/en/"), ("block", "example.com/de/"), ("allow", "org/fr/")]
@@ -85,7 +85,8 @@ def judge(pages: DataFrame, outcomes: DataFrame, rules=RULES) -> DataFrame:
     """pages (page_id, url) and outcomes (url, good) to page_id, host, path, rule, verdict, and the host's reputation."""
     parts = with_parts(pages.select("page_id", "url"))
     known = with_parts(outcomes.select("url", "good")).select("host", "good")
-    reputed = host_reputation(parts, known)
+    # A table of its own, so that a host with very many pages can be split in the join.
+    reputed = written(host_reputation(parts, known))
     ruled = parts.withColumn("found", rule_column(rules))
     verdict = F.coalesce(F.col("found.verdict"), F.col("reputed"))
     return ruled.join(reputed, "host").select("page_id", "host", "path", F.col("found.rule").alias("rule"), verdict.alias("verdict"), F.round("mean", 9).alias("host_mean"))
