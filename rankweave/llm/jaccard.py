@@ -5,12 +5,14 @@ of a linking pair is at most k. The domain of shingles is cut into groups by has
 that some groups differ in at most one shingle; each group is cut into three parts, and each two of the three give a
 signature: the one difference lies outside one of these pairs, whose signature both sets share.
 
-Shingles that a fixed share of all documents hold are left out of the signatures, which only lowers Hamming distances. So
-a signature's group holds at most that share of the documents. Signatures without any shingle aren't sent, unless a set has
-so many of them that a link might rest on them alone.
+Shingles that many documents hold are left out of the signatures, which only lowers Hamming distances, so that a
+signature's group is small. Signatures without any shingle aren't sent; a set that has so many of them that a link might
+rest on them alone sends signatures of its whole set as well, for others of its kind.
 
-A signature's documents are compared with the first of them, its hub. Jaccard distances obey the triangle inequality, so of
-the other pairs only those remain whose ends are in different components so far and about as far from a common hub.
+Small groups give all their pairs, large ones each document with the first of them, the hub. Each set has a histogram of
+its shingles over fixed cells; the distance of two histograms bounds the Hamming distance from below and spares most
+pairs the exact comparison. Of the pairs in a large group other than with the hub, those remain whose ends are in
+different components so far, unless the triangle inequality, which Jaccard distances obey, rules them out.
 
 Defined results: a null or wordless text has the empty set and links with nothing; equal sets are one class; a null id
 makes its row link with nothing; rows that share an id are one node of the links; an empty table gives an empty result;
@@ -34,9 +36,11 @@ from rankweave.llm.shared import written
 SHINGLE, LEAST = 5, (80, 100)
 #: Ratio of the bounds of consecutive size bands.
 BAND = 1.6
-#: Share of all documents that make a shingle too common for signatures. At most (mean set size) / HOT_SHARE shingles are.
-#: In small tables, HOT_LEAST documents do.
-HOT_SHARE, HOT_LEAST = 0.005, 50
+#: Share of all documents that makes a shingle too common for signatures; in small tables, HOT_LEAST documents do. At most
+#: (mean set size) / HOT_SHARE shingles are common: that bounds the broadcast.
+HOT_SHARE, HOT_LEAST = 0.0005, 20
+#: Documents of a group that gives all its pairs, and cells of a histogram.
+SMALL, CELLS = 16, 256
 #: Rows that a task gathers before it removes repeated ones.
 FLUSH = 2_000_000
 
@@ -83,38 +87,48 @@ def groups_of(table: int, least: tuple[int, int] = LEAST) -> tuple[int, int]:
     return needed + spare, 1 + spare
 
 
-def signatures(s: np.ndarray, size: int, least: tuple[int, int] = LEAST) -> np.ndarray:
-    """Signatures of a set of so many shingles whose uncommon ones are s."""
+def signatures(s: np.ndarray, whole: np.ndarray, least: tuple[int, int] = LEAST) -> np.ndarray:
+    """Signatures of the set `whole`, whose uncommon shingles are s."""
     out = [np.zeros(0, np.uint64)]
-    place, value = mix(s ^ np.uint64(0xA5A5)), mix(s + np.uint64(0x77))
-    for table in tables_of(size, least):
-        n, agreeing = groups_of(table, least)
-        part = (place % np.uint64(3 * n)).astype(np.int64)
-        order = np.argsort(part, kind="stable")
-        sums = np.zeros(3 * n, np.uint64)
-        filled = np.zeros(3 * n, bool)
-        if len(s):
-            part = part[order]
-            first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
-            sums[part[first]] = np.add.reduceat(value[order], first)
-            filled[part[first]] = True
-        sums, filled = sums.reshape(n, 3), filled.reshape(n, 3)
-        other = [1, 2, 0]
-        pairs = mix(sums * np.uint64(3)) + mix(sums[:, other] + np.uint64(5))
-        there = filled | filled[:, other]
-        keys = mix(pairs + mix(np.arange(3 * n, dtype=np.uint64).reshape(n, 3) + np.uint64(table << 32)))
-        if (~there.all(1)).sum() >= agreeing:
-            there[:] = True
+    for table in tables_of(len(whole), least):
+        agreeing = groups_of(table, least)[1]
+        keys, there = keys_of(s, table, 0, least)
         out.append(keys[there])
+        if (~there.all(1)).sum() >= agreeing:
+            keys, there = keys_of(whole, table, 1, least)
+            out.append((keys if (~there.all(1)).sum() >= agreeing else keys[there]).ravel())
     return np.concatenate(out)
 
 
+def keys_of(s: np.ndarray, table: int, kind: int, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The key of each group and pair of its parts, and whether the set has any shingle there."""
+    n = groups_of(table, least)[0]
+    place, value = mix(s ^ np.uint64(0xA5A5)), mix(s + np.uint64(0x77))
+    part = (place % np.uint64(3 * n)).astype(np.int64)
+    sums, filled = np.zeros(3 * n, np.uint64), np.zeros(3 * n, bool)
+    if len(s):
+        order = np.argsort(part, kind="stable")
+        part = part[order]
+        first = np.flatnonzero(np.r_[True, part[1:] != part[:-1]])
+        sums[part[first]] = np.add.reduceat(value[order], first)
+        filled[part[first]] = True
+    sums, filled = sums.reshape(n, 3), filled.reshape(n, 3)
+    other = [1, 2, 0]
+    pairs = mix(sums * np.uint64(3)) + mix(sums[:, other] + np.uint64(5))
+    name = np.arange(3 * n, dtype=np.uint64).reshape(n, 3) + np.uint64((2 * table + kind) << 32)
+    return mix(pairs + mix(name)), filled | filled[:, other]
+
+
+def histogram(s: np.ndarray) -> bytes:
+    return np.minimum(np.bincount((mix(s + np.uint64(5)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
 def set_table(texts: DataFrame) -> DataFrame:
-    """Per row (doc_id, n, s1, s2): the set's size and two hashes. Under common, locally common shingles (s1) with counts (n)."""
+    """Per row (doc_id, n, s1, s2, hist): the set's size, two hashes and histogram. Under common, locally common shingles (s1) with counts (n)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, docs = [], 0
@@ -123,14 +137,14 @@ def set_table(texts: DataFrame) -> DataFrame:
             u, n = np.unique(np.concatenate(held), return_counts=True)
             often = n >= max(2, HOT_SHARE / 2 * docs)
             u, n = u[often], n[often].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), bool)), pa.nulls(len(u), pa.int64()), pa.array(n), signed(u), signed(u)], names)
+            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), bool)), pa.nulls(len(u), pa.int64()), pa.array(n), signed(u), signed(u), pa.nulls(len(u), pa.binary())], names)
 
         for batch in batches:
             sets = list(shingle_sets(as_bytes(batch.column("text"))))
             s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             s2 = np.array([mix(s + np.uint64(9)).sum(dtype=np.uint64) for s in sets], np.uint64)
             size = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column("doc_id"), pa.array(size), signed(s1), signed(s2)], names)
+            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column("doc_id"), pa.array(size), signed(s1), signed(s2), pa.array([histogram(x) for x in sets], pa.binary())], names)
             held += sets
             docs += len(sets)
             if sum(map(len, held)) > FLUSH:
@@ -139,8 +153,8 @@ def set_table(texts: DataFrame) -> DataFrame:
         if held:
             yield common()
 
-    names = ["common", "doc_id", "n", "s1", "s2"]
-    return texts.mapInArrow(run, "common boolean, doc_id long, n long, s1 long, s2 long")
+    names = ["common", "doc_id", "n", "s1", "s2", "hist"]
+    return texts.mapInArrow(run, "common boolean, doc_id long, n long, s1 long, s2 long, hist binary")
 
 
 def signature_table(texts: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
@@ -149,7 +163,7 @@ def signature_table(texts: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
             keys, nodes, total = [], [], 0
             for node, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(as_bytes(batch.column("text"))), strict=True):
                 if len(s):
-                    keys.append(signatures(s[~np.isin(s, hot.value)] if len(hot.value) else s, len(s), least))
+                    keys.append(signatures(s[~np.isin(s, hot.value)] if len(hot.value) else s, s, least))
                     nodes.append(np.full(len(keys[-1]), node, np.int64))
                     total += len(keys[-1])
                 if total > 200_000:
@@ -161,37 +175,87 @@ def signature_table(texts: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
     return texts.mapInArrow(run, "sig long, node long")
 
 
-def stars(sigs: DataFrame, parts: int) -> DataFrame:
-    """(hub, node, shared): each signature's documents with the first of them; streams over sorted rows."""
+def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
+    """(a, b, large): pairs of small groups, and of large ones each document (b) with the first (a). Streams over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        last, hub = None, None
         held: list[np.ndarray] = []
+        kept_sig, kept = None, np.zeros(0, np.int64)  # the last group so far; only its hub once it is large
+        hub_only = False
+
+        def add(a: np.ndarray, b: np.ndarray, large: int) -> None:
+            held.append(np.stack([a, b, np.full(len(a), large)], axis=1))
+
+        def star(nodes: np.ndarray) -> None:
+            add(np.full(len(nodes) - 1, nodes[0]), nodes[1:], 1)
+
+        def close() -> None:
+            if not hub_only and len(kept) > 1:
+                i, j = np.triu_indices(len(kept), 1)
+                add(kept[i], kept[j], 0)
 
         def merged() -> pa.RecordBatch:
-            u, n = np.unique(np.concatenate(held), axis=0, return_counts=True)
-            return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(n.astype(np.int64))], ["hub", "node", "shared"])
+            u = np.unique(np.concatenate(held), axis=0)
+            held.clear()
+            return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(u[:, 2].astype(np.int32))], ["a", "b", "large"])
 
         for batch in batches:
             sig, node = (batch.column(i).to_numpy() for i in range(2))
             if not len(sig):
                 continue
-            first = np.r_[last is None or sig[0] != last, sig[1:] != sig[:-1]]
-            run_of = np.cumsum(first) - 1
-            hubs = node[first]
-            owner = np.where(run_of >= 0, hubs[np.maximum(run_of, 0)] if len(hubs) else hub, hub if hub is not None else 0)
-            last, hub = sig[-1], owner[-1]
-            other = owner != node
-            if other.any():
-                held.append(np.stack([owner[other], node[other]], axis=1))
-                if sum(map(len, held)) > FLUSH // 4:
-                    yield merged()
-                    held = []
+            start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
+            size = np.diff(np.r_[start, len(sig)])
+            # The first run may go on with the group that the batch before left open.
+            first = node[: size[0]]
+            if sig[0] == kept_sig:
+                kept = np.r_[kept, first]
+            else:
+                close()
+                kept_sig, kept, hub_only = sig[0], first, False
+            if hub_only or len(kept) > SMALL:
+                star(kept)
+                kept, hub_only = kept[:1], True
+            if len(start) > 1:
+                close()
+                inner, inner_size = start[1:-1], size[1:-1]
+                for g in np.unique(inner_size[(inner_size > 1) & (inner_size <= SMALL)]):
+                    rows = node[inner[inner_size == g][:, None] + np.arange(g)]
+                    i, j = np.triu_indices(g, 1)
+                    add(rows[:, i].ravel(), rows[:, j].ravel(), 0)
+                for k in np.flatnonzero(inner_size > SMALL):
+                    star(node[inner[k] : inner[k] + inner_size[k]])
+                kept_sig, kept, hub_only = sig[-1], node[start[-1] :], False
+                if len(kept) > SMALL:
+                    star(kept)
+                    kept, hub_only = kept[:1], True
+            if sum(map(len, held)) > FLUSH // 4:
+                yield merged()
+        close()
         if held:
             yield merged()
 
     dealt = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "hub long, node long, shared long").groupBy("hub", "node").agg(F.sum("shared").alias("shared"))
+    return dealt.mapInArrow(run, "a long, b long, large int").groupBy("a", "b").agg(F.max("large").alias("large"))
+
+
+def bounded(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """pairs (a, b, ...) whose sizes allow a link, with the least distance that sizes and histograms allow, and whether it allows a link."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
+            h = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("hist_a", "hist_b")]
+            low = np.maximum(np.abs(h[0] - h[1]).sum(1, dtype=np.int64), np.abs(n[0] - n[1]))
+            total = n[0] + n[1]
+            d = 2 * low / np.maximum(1, total + low)
+            may = (total - low) * least[1] >= (total + low) * least[0]
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "large")), pa.array(d), pa.array(may)], ["a", "b", "large", "low", "may"])
+
+    one, two = (sets.select(F.col("class").alias(c), F.col("n").alias("n_" + c), F.col("hist").alias("hist_" + c)) for c in ("a", "b"))
+    near = (F.col("n_a") * least[1] >= F.col("n_b") * least[0]) & (F.col("n_b") * least[1] >= F.col("n_a") * least[0])
+    sized = pairs.join(one.drop("hist_a"), "a").join(two.drop("hist_b"), "b").where(near)
+    full = sized.select("a", "b", "large").join(one, "a").join(two, "b")
+    return full.mapInArrow(run, "a long, b long, large int, low double, may boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -216,48 +280,32 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = written(set_table(texts))
-    sets = table.where("NOT common").select("doc_id", "n", "s1", "s2")
+    sets = table.where("NOT common").select("doc_id", "n", "s1", "s2", "hist")
     n_docs = sets.count()
     common = table.where("common").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, HOT_SHARE * n_docs))
     hot = spark.sparkContext.broadcast(np.sort(np.array([r.s1 for r in common.select("s1").collect()], np.int64).view(np.uint64)))
 
-    classes = written(sets.where("doc_id IS NOT NULL AND n > 0").groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class"), F.count("*").alias("copies")))
-    of = sets.where("doc_id IS NOT NULL AND n > 0").join(classes, ["s1", "s2", "n"]).select("doc_id", "class", "n").distinct()
-    nodes = texts.where("doc_id IS NOT NULL")
-    found = written(stars(signature_table(nodes, hot, least), parts))
-    hub_of, node_of = (of.select(F.col("doc_id").alias(c), F.col("class").alias(x), F.col("n").alias("n_" + x)) for c, x in (("hub", "a"), ("node", "b")))
-    near = (F.col("n_a") * least[1] >= F.col("n_b") * least[0]) & (F.col("n_b") * least[1] >= F.col("n_a") * least[0])
-    star = found.join(hub_of, "hub").join(node_of, "node").where("a <> b")
-    star = written(star.groupBy("a", "b", "n_a", "n_b").agg(F.sum("shared").alias("shared")).withColumn("near", near))
-
-    # First the likeliest hub of each document, which joins most of what links.
-    best = star.where("near").groupBy("b").agg(F.max_by("a", F.struct("shared", -F.col("a"))).alias("a"))
-    seen = verified(best, texts, least)
-    joined = components(seen.where("link").select("a", "b"))
-
-    def with_component(pairs: DataFrame, column: str, component: str) -> DataFrame:
-        own = joined.select(F.col("node").alias(column), F.col("component").alias(component))
-        return pairs.join(own, column, "left").withColumn(component, F.coalesce(component, column))
-
-    def outsiders(rows: DataFrame) -> DataFrame:
-        return with_component(with_component(rows, "a", "of_a"), "b", "of_b")
-
-    # Then all documents of the hubs that have one in another component.
-    mixed = outsiders(star).where("of_a <> of_b").select("a").distinct()
-    rest = star.join(mixed, "a", "left_semi").join(seen, ["a", "b"], "left_anti")
-    more = verified(rest, texts, least)
-    seen = seen.unionByName(more)
-    if more.where("link").limit(1).count():
-        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(more.where("link").select("a", "b")))
-
-    # Last the pairs around a hub that the triangle inequality leaves open.
-    around = outsiders(star.join(seen.select("a", "b", "d"), ["a", "b"])).select("a", F.col("b").alias("x"), F.col("n_b").alias("n_x"), F.col("of_b").alias("of_x"), "of_a", "d")
-    far = around.where("of_x <> of_a").select("a", F.col("x").alias("y"), F.col("n_x").alias("n_y"), F.col("of_x").alias("of_y"), F.col("d").alias("e"))
+    named = sets.where("doc_id IS NOT NULL AND n > 0")
+    classes = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class"), F.min("hist").alias("hist")))
+    # One document of each class sends signatures.
+    nodes = texts.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
+    candidates = written(bounded(written(grouped_pairs(signature_table(nodes, hot, least), parts)), classes, least))
+    seen = verified(candidates.where("may"), texts, least)
+    joined = written(components(seen.where("link").select("a", "b")))
+
+    # Of a large group only the hub's pairs are known. Another pair needs a look if one end at least is in another component
+    # than the hub, and may still link by the triangle inequality: a hub's link is at most `reach` away from it.
     reach = 1 - least[0] / least[1] + 1e-9
-    open_pairs = far.join(around.drop("of_a"), "a").where("of_x <> of_y").where(F.abs(F.col("d") - F.col("e")) <= reach)
-    open_pairs = open_pairs.where((F.col("n_x") * least[1] >= F.col("n_y") * least[0]) & (F.col("n_y") * least[1] >= F.col("n_x") * least[0]))
-    open_pairs = open_pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    last = verified(open_pairs, texts, least)
+    around = candidates.where("large = 1").join(seen.select("a", "b", "d", "link"), ["a", "b"], "left")
+    around = around.select("a", F.col("b").alias("x"), F.coalesce("d", "low").alias("d"), F.coalesce("link", F.lit(False)).alias("link"))
+    for column in ("a", "x"):
+        own = joined.select(F.col("node").alias(column), F.col("component").alias("of_" + column))
+        around = around.join(own, column, "left").withColumn("of_" + column, F.coalesce("of_" + column, column))
+    around = written(around)
+    far = around.where("of_x <> of_a").select("a", F.col("x").alias("y"), F.col("of_x").alias("of_y"), F.col("d").alias("e"))
+    left_open = far.join(around, "a").where("of_x <> of_y").where(~F.col("link") | (F.col("e") <= 2 * reach))
+    left_open = left_open.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).alias("large")).distinct()
+    last = verified(bounded(left_open, classes, least).where("may"), texts, least)
     if last.where("link").limit(1).count():
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last.where("link").select("a", "b")))
 
