@@ -2,15 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from rankweave.plans import ranking_queries, text_queries
+from rankweave.plans.catalog import ORACLES, QUERIES
 
-from pyspark.sql import DataFrame, SparkSession
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES", "ranking_queries", "text_queries"]
 
-Query = Callable[[SparkSession, str], DataFrame]
-
-QUERIES: dict[str, Query] = {}
-ORACLES: dict[str, str] = {}
-
-
-def FLAGSHIP(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/documents.parquet").groupBy("source").count()
+FLAGSHIP = QUERIES["flagship_rank_shortlist"]
