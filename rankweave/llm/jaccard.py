@@ -40,7 +40,7 @@ BAND = 1.6
 #: (mean set size) / HOT_SHARE shingles are common: that bounds the broadcast.
 HOT_SHARE, HOT_LEAST = 0.0005, 20
 #: Documents of a group that gives all its pairs, and cells of a histogram.
-SMALL, CELLS = 16, 256
+SMALL, CELLS = 64, 256
 #: Rows that a task gathers before it removes repeated ones.
 FLUSH = 2_000_000
 
@@ -176,18 +176,18 @@ def signature_table(texts: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
 
 
 def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
-    """(a, b, large): pairs of small groups, and of large ones each document (b) with the first (a). Streams over sorted rows."""
+    """(a, b, group): pairs of small groups (group 0), and of large ones each document (b) with the first (a). Streams over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
         kept_sig, kept = None, np.zeros(0, np.int64)  # the last group so far; only its hub once it is large
         hub_only = False
 
-        def add(a: np.ndarray, b: np.ndarray, large: int) -> None:
-            held.append(np.stack([a, b, np.full(len(a), large)], axis=1))
+        def add(a: np.ndarray, b: np.ndarray, group: int) -> None:
+            held.append(np.stack([a, b, np.full(len(a), group)], axis=1))
 
-        def star(nodes: np.ndarray) -> None:
-            add(np.full(len(nodes) - 1, nodes[0]), nodes[1:], 1)
+        def star(nodes: np.ndarray, group: int) -> None:
+            add(np.full(len(nodes) - 1, nodes[0]), nodes[1:], int(group) or 1)
 
         def close() -> None:
             if not hub_only and len(kept) > 1:
@@ -197,7 +197,7 @@ def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
         def merged() -> pa.RecordBatch:
             u = np.unique(np.concatenate(held), axis=0)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(u[:, 2].astype(np.int32))], ["a", "b", "large"])
+            return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(u[:, 2])], ["a", "b", "group"])
 
         for batch in batches:
             sig, node = (batch.column(i).to_numpy() for i in range(2))
@@ -213,7 +213,7 @@ def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
                 close()
                 kept_sig, kept, hub_only = sig[0], first, False
             if hub_only or len(kept) > SMALL:
-                star(kept)
+                star(kept, kept_sig)
                 kept, hub_only = kept[:1], True
             if len(start) > 1:
                 close()
@@ -223,10 +223,10 @@ def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
                     i, j = np.triu_indices(g, 1)
                     add(rows[:, i].ravel(), rows[:, j].ravel(), 0)
                 for k in np.flatnonzero(inner_size > SMALL):
-                    star(node[inner[k] : inner[k] + inner_size[k]])
+                    star(node[inner[k] : inner[k] + inner_size[k]], sig[inner[k]])
                 kept_sig, kept, hub_only = sig[-1], node[start[-1] :], False
                 if len(kept) > SMALL:
-                    star(kept)
+                    star(kept, kept_sig)
                     kept, hub_only = kept[:1], True
             if sum(map(len, held)) > FLUSH // 4:
                 yield merged()
@@ -235,7 +235,7 @@ def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
             yield merged()
 
     dealt = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "a long, b long, large int").groupBy("a", "b").agg(F.max("large").alias("large"))
+    return dealt.mapInArrow(run, "a long, b long, group long").distinct()
 
 
 def bounded(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -249,13 +249,13 @@ def bounded(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFr
             total = n[0] + n[1]
             d = 2 * low / np.maximum(1, total + low)
             may = (total - low) * least[1] >= (total + low) * least[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b", "large")), pa.array(d), pa.array(may)], ["a", "b", "large", "low", "may"])
+            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b")), pa.array(d), pa.array(may)], ["a", "b", "low", "may"])
 
     one, two = (sets.select(F.col("class").alias(c), F.col("n").alias("n_" + c), F.col("hist").alias("hist_" + c)) for c in ("a", "b"))
     near = (F.col("n_a") * least[1] >= F.col("n_b") * least[0]) & (F.col("n_b") * least[1] >= F.col("n_a") * least[0])
     sized = pairs.join(one.drop("hist_a"), "a").join(two.drop("hist_b"), "b").where(near)
-    full = sized.select("a", "b", "large").join(one, "a").join(two, "b")
-    return full.mapInArrow(run, "a long, b long, large int, low double, may boolean")
+    full = sized.select("a", "b").join(one, "a").join(two, "b")
+    return full.mapInArrow(run, "a long, b long, low double, may boolean")
 
 
 def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -289,22 +289,25 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     classes = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class"), F.min("hist").alias("hist")))
     # One document of each class sends signatures.
     nodes = texts.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
-    candidates = written(bounded(written(grouped_pairs(signature_table(nodes, hot, least), parts)), classes, least))
+    pairs = written(grouped_pairs(signature_table(nodes, hot, least), parts))
+    candidates = written(bounded(pairs.select("a", "b").distinct(), classes, least))
     seen = verified(candidates.where("may"), texts, least)
     joined = written(components(seen.where("link").select("a", "b")))
 
     # Of a large group only the hub's pairs are known. Another pair needs a look if one end at least is in another component
     # than the hub, and may still link by the triangle inequality: a hub's link is at most `reach` away from it.
     reach = 1 - least[0] / least[1] + 1e-9
-    around = candidates.where("large = 1").join(seen.select("a", "b", "d", "link"), ["a", "b"], "left")
-    around = around.select("a", F.col("b").alias("x"), F.coalesce("d", "low").alias("d"), F.coalesce("link", F.lit(False)).alias("link"))
+    known = candidates.join(seen.select("a", "b", "d", "link"), ["a", "b"], "left")
+    around = pairs.where("group <> 0").join(known, ["a", "b"], "left")
+    # Where sizes alone rule the hub's link out, nothing is known of the distance.
+    around = around.select("group", "a", F.col("b").alias("x"), F.coalesce("d", "low", F.lit(0.0)).alias("d"), F.coalesce("link", F.lit(False)).alias("link"))
     for column in ("a", "x"):
         own = joined.select(F.col("node").alias(column), F.col("component").alias("of_" + column))
         around = around.join(own, column, "left").withColumn("of_" + column, F.coalesce("of_" + column, column))
     around = written(around)
-    far = around.where("of_x <> of_a").select("a", F.col("x").alias("y"), F.col("of_x").alias("of_y"), F.col("d").alias("e"))
-    left_open = far.join(around, "a").where("of_x <> of_y").where(~F.col("link") | (F.col("e") <= 2 * reach))
-    left_open = left_open.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.lit(0).alias("large")).distinct()
+    far = around.where("of_x <> of_a").select("group", F.col("x").alias("y"), F.col("of_x").alias("of_y"), F.col("d").alias("e"))
+    left_open = far.join(around, "group").where("of_x <> of_y").where(~F.col("link") | (F.col("e") <= 2 * reach))
+    left_open = left_open.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
     last = verified(bounded(left_open, classes, least).where("may"), texts, least)
     if last.where("link").limit(1).count():
         joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last.where("link").select("a", "b")))
