@@ -21,7 +21,8 @@ def cosine(a: Column, b: Column) -> Column:
     x, y = a.cast("array<double>"), b.cast("array<double>")
     norms = F.sqrt(total(F.transform(x, lambda v: v * v))) * F.sqrt(total(F.transform(y, lambda v: v * v)))
     c = total(F.zip_with(x, y, lambda p, q: p * q)) / F.nullif(norms, F.lit(0.0))
-    c = F.coalesce(F.when(F.size(x) == F.size(y), F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))), F.lit(0.0))
+    c = F.coalesce(F.when(F.size(x) == F.size(y), c), F.lit(0.0))
+    c = F.greatest(F.lit(-1.0), F.least(F.lit(1.0), c))
     return F.when(c < 0, rounded((c + 1) / 2, 4)).otherwise(rounded(c, 4))
 
 

@@ -28,7 +28,7 @@ def safe_name(name: Column) -> Column:
 
 def decoded(content: Column) -> Column:
     """UTF-8 where valid, else Latin-1."""
-    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, F.lit("ISO-8859-1")))
+    return F.when(F.is_valid_utf8(content.cast("string")), content.cast("string")).otherwise(F.decode(content, "ISO-8859-1"))
 
 
 def read_files(spark: SparkSession, path: str) -> DataFrame:
