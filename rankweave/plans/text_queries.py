@@ -319,3 +319,36 @@ def upload_names(spark, sf_dir):
     name = F.concat(F.lit("a/b\\c:d"), F.col("doc_id") % 3, F.lit(".TXT"))
     made = table(spark, sf_dir, "documents").select(files.safe_name(name).alias("name"), files.supported(name).alias("ok"))
     return made.where("ok").select(F.regexp_extract("name", "([0-9])[.]TXT$", 1).cast("long").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+
+
+@query("""SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE 'caf' || chr(233) || ' ' || doc_id END) AS text FROM documents""")
+def plain_decode(spark, sf_dir):
+    """Bytes in two encodings: UTF-8 stays, what isn't valid UTF-8 is read as Latin-1."""
+    latin = F.concat(F.lit(bytearray("café ".encode("latin-1"))), F.col("doc_id").cast("string").cast("binary"))
+    content = F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(latin)
+    return table(spark, sf_dir, "documents").select("doc_id", F.md5(files.decoded(content).cast("binary")).alias("text"))
+
+
+@query(rf"""WITH {SQL_R}, v AS (
+    SELECT resume_id, split_part(raw_text, chr(10), 1) AS line, regexp_replace(split_part(split_part(raw_text, chr(10), 2), '@', 1), '[0-9]+', '', 'g') AS mail, replace(replace(filename, 'Resume_', ''), '.pdf', '') AS file FROM r
+) SELECT resume_id, CASE WHEN resume_id % 8 = 0 THEN 'Pat Doe' ELSE replace(file, '_', ' ') END AS name, CASE WHEN resume_id % 8 = 0 THEN 'heuristic' ELSE 'email+filename+heuristic' END AS source, CASE WHEN resume_id % 8 = 0 THEN 45 ELSE 100 END AS score FROM v""")
+def name_resolve(spark, sf_dir):
+    """The name on which most sources agree; here every eighth row has a first line that nothing else supports, and no other source."""
+    from rankweave.operators.names import resolved
+
+    r = resumes(spark, sf_dir)
+    alone = F.col("resume_id") % 8 == 0
+    local = F.regexp_replace(F.split_part(T.first_email(F.col("raw_text")), F.lit("@"), F.lit(1)), "[0-9]+", "")
+    email = F.initcap(F.replace(local, F.lit("."), F.lit(" ")))
+    stem = F.replace(F.replace(F.replace("filename", F.lit("Resume_"), F.lit("")), F.lit(".pdf"), F.lit("")), F.lit("_"), F.lit(" "))
+    first = F.when(alone, F.lit("Pat Doe")).otherwise(F.split_part("raw_text", F.lit("\n"), F.lit(1)))
+    found = resolved({"filename": F.when(~alone, stem), "email": F.when(~alone, email), "heuristic": first})
+    return r.select("resume_id", found.alias("n")).select("resume_id", "n.name", "n.source", "n.score")
+
+
+@query("SELECT 4 AS cases, CAST(3 AS BIGINT) AS passed, CAST(1 AS BIGINT) AS failed")
+def eval_golden(spark, sf_dir):
+    """Expected against found values of a few cases, and the totals."""
+    cases = spark.createDataFrame([("a", "Asha Rao", "Asha Rao"), ("b", None, None), ("c", "Li Wei", "Li  Wei"), ("d", "No One", "Some One")], "id string, expected string, got string")
+    ok = F.regexp_replace(F.coalesce("got", F.lit("")), " +", " ") == F.coalesce("expected", F.lit(""))
+    return cases.agg(F.count("*").cast("int").alias("cases"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
