@@ -9,6 +9,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pyarrow as pa
 
 _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
@@ -68,7 +69,7 @@ def chunks(texts: list[bytes], size: int = CHUNK) -> Iterator[tuple[int, list[by
 
 def as_bytes(column) -> list[bytes]:
     """UTF-8 bytes of the values of an Arrow string column; null is empty."""
-    return [b"" if x is None else x.encode() for x in column.to_pylist()]
+    return [x or b"" for x in column.cast(pa.binary()).to_pylist()]
 
 
 def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:

@@ -127,6 +127,13 @@ def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
 
+def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """Smaller batches: a batch of very long texts and their sets would be hard to hold at once."""
+    for batch in batches:
+        for k in range(0, batch.num_rows, rows):
+            yield batch.slice(k, rows)
+
+
 def set_table(texts: DataFrame) -> DataFrame:
     """Per row (doc_id, n, s1, s2, hist): the set's size, two hashes and histogram. Under common, locally common shingles (s1) with counts (n)."""
 
@@ -139,7 +146,7 @@ def set_table(texts: DataFrame) -> DataFrame:
             u, n = u[often], n[often].astype(np.int64)
             return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), bool)), pa.nulls(len(u), pa.int64()), pa.array(n), signed(u), signed(u), pa.nulls(len(u), pa.binary())], names)
 
-        for batch in batches:
+        for batch in slices(batches, 1000):
             sets = list(shingle_sets(as_bytes(batch.column("text"))))
             s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             s2 = np.array([mix(s + np.uint64(9)).sum(dtype=np.uint64) for s in sets], np.uint64)
@@ -159,7 +166,7 @@ def set_table(texts: DataFrame) -> DataFrame:
 
 def signature_table(texts: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 1000):
             keys, nodes, total = [], [], 0
             for node, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(as_bytes(batch.column("text"))), strict=True):
                 if len(s):
@@ -262,7 +269,7 @@ def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> Data
     """pairs (a, b) with the distance of their sets, and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 250):
             x, y = (list(shingle_sets(as_bytes(batch.column(c)))) for c in ("text_a", "text_b"))
             both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
