@@ -15,7 +15,7 @@ _BASE = 0x9E3779B97F4A7C15
 _INVERSE = pow(_BASE, -1, 2**64)
 TABLE = np.random.default_rng(20240229).integers(1, 2**64, 256, dtype=np.uint64)
 #: Bytes of text to treat at once: each takes about 50 bytes of memory.
-CHUNK = 4 << 20
+CHUNK = 1 << 20
 
 _powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
 _SPACE = np.zeros(256, bool)
