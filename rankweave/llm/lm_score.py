@@ -1,12 +1,13 @@
 """Operator 6: language-model scores by deleted interpolation of bigram and unigram estimates.
 
-P(w | v) = l2 * c(v w) / c(v) + l1 * c(w) / N + l0 / (V + 1), the weights l depending on the bucket of c(v) / N; contexts
-below the lowest bucket have l2 = 0. The weights are learned by expectation-maximisation on counts with each
+P(w | v) = l2 * c(v w) / c(v) + l1 * c(w) / N + l0 / (V + 1), the weights l depending on the octave of c(v), from 1 up;
+contexts that training doesn't hold have l2 = 0. The weights are learned by expectation-maximisation on counts with each
 occurrence held out in turn (its own count taken off numerator and denominator).
 
-Counting works on blocks, parts of the input's partitions. A block sends one row per distinct word and bigram, with its own count,
-to the partition of the word. That partition knows all totals, sums the statistics that EM needs into a bounded
-histogram, and replies to the blocks whose own count isn't the total. Replies and documents then meet by block.
+Counting works on blocks, parts of the input's partitions. A block sends its distinct words and bigrams, as hashes in order
+with its own counts, to the parts of the range of hashes. A part adds up what all blocks sent and replies to each with the totals
+alone, in the order in which they came: the block knows its hashes. Documents and replies then meet by block, where c(v), c(w) and c(v w)
+of every token are known; these are written per document, and summed into the bounded histogram that EM needs.
 
 Defined results: a null or empty text is the end token alone; a null key makes its row a training row; repeated rows
 count each time; an empty table gives an empty result; other columns are ignored.
@@ -14,6 +15,7 @@ count each time; an empty table gives an empty result; other columns are ignored
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -25,20 +27,22 @@ from rankweave.llm.hashing import as_bytes, chunks, mix, word_hashes
 from rankweave.llm.shared import written
 
 FOLDS, HELD_OUT = 5, 1
-#: Lowest shares of all tokens of the buckets of contexts. At most 1 / BUCKETS[0] contexts are in any: that bounds the broadcast.
-BUCKETS = [5e-4, 2e-3, 1e-2, 5e-2]
+#: Buckets of contexts: 0 for unseen ones, then one for each octave of c(v).
+BUCKETS = 64
 EM_STEPS = 60
 #: Steps of the histogram of probabilities in an octave.
 PER_OCTAVE = 4
 #: Blocks of an input partition.
 SPLIT = 3
-#: Tokens that a task counts before it sends their counts.
+#: Tokens that a task scores at once.
 FLUSH = 1_000_000
 
-START, END, CHECK = (np.uint64(x) for x in (0x5EED0001, 0x5EED0002, 0x5EED0003))
-COUNTS = "w long, n long"
-REQUESTS = "w long, v long, block int, n int"
-REPLIES = "block int, w long, v long, n long"
+START, END = (np.uint64(x) for x in (0x5EED0001, 0x5EED0002))
+WORDS, PAIRS = 0, 1
+MOVED = "the documents came in other partitions the second time; write them to a table first"
+REQUESTS = "part int, kind int, block int, keys binary, n binary"
+REPLIES = "block int, kind int, part int, check long, n binary, vocabulary long, total long"
+COUNTS = "doc_id long, held_out boolean, n_tokens long, c1 binary, c2 binary, cell long, weight long"
 SCORES = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
 
 
@@ -63,49 +67,27 @@ def pair(w: np.ndarray, v: np.ndarray) -> np.ndarray:
     return mix(w + mix(v))
 
 
-def signed(x: np.ndarray) -> pa.Array:
-    return pa.array(x.view(np.int64))
+def distinct(tok: np.ndarray, sizes: np.ndarray, ctx: np.ndarray):
+    """Distinct words (START among them) and bigrams in order; the places of each token's context and word, and of its bigram."""
+    words, at = np.unique(np.append(tok, START), return_inverse=True)
+    of_word, of_ctx = at[:-1], np.roll(at[:-1], 1)
+    of_ctx[np.cumsum(sizes) - sizes] = at[-1]
+    pairs, of_pair = np.unique(pair(tok, ctx), return_inverse=True)
+    return words, pairs, of_ctx, of_word, of_pair
 
 
-def unsigned(column) -> np.ndarray:
-    return column.to_numpy(zero_copy_only=False).astype(np.int64).view(np.uint64)
+def cuts(keys: np.ndarray, parts: int) -> np.ndarray:
+    """Where each part of the range of hashes begins in hashes in order, and their end."""
+    return np.append(np.searchsorted(keys, np.array([(k << 64) // parts for k in range(parts)], np.uint64)), len(keys))
 
 
-def word_counts(docs: DataFrame) -> DataFrame:
-    """w, n over the training documents; START counts documents."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[np.ndarray] = []
-        for batch in batches:
-            tok, _, sizes = tokens(as_bytes(batch.column("text")))
-            held += [tok, np.full(len(sizes), START, np.uint64)]
-            if sum(map(len, held)) > FLUSH:
-                u, n = np.unique(np.concatenate(held), return_counts=True)
-                held = []
-                yield pa.RecordBatch.from_arrays([signed(u), pa.array(n)], ["w", "n"])
-        if held:
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            yield pa.RecordBatch.from_arrays([signed(u), pa.array(n)], ["w", "n"])
-
-    counted = docs.where(~F.col("held_out")).select("text").mapInArrow(run, COUNTS)
-    return counted.groupBy("w").agg(F.sum("n").alias("n"))
+def packed(n: np.ndarray) -> bytes:
+    """Counts in as few bytes each as the largest needs."""
+    return n.astype(np.min_scalar_type(int(n.max()))).tobytes()
 
 
-class Contexts:
-    """The frequent contexts: hashes in order, counts, buckets from 1."""
-
-    def __init__(self, rows: list[tuple[int, int]], total: int, buckets: list[float]):
-        h = np.array([r[0] for r in rows], np.int64).view(np.uint64)
-        order = np.argsort(h)
-        self.hashes, self.counts = h[order], np.array([r[1] for r in rows], np.float64)[order]
-        self.buckets = np.searchsorted(np.array(buckets) * total, self.counts, side="right")
-
-    def find(self, v: np.ndarray) -> np.ndarray:
-        """The index of each context, -1 for others."""
-        if not len(self.hashes):
-            return np.full(len(v), -1)
-        at = np.minimum(np.searchsorted(self.hashes, v), len(self.hashes) - 1)
-        return np.where(self.hashes[at] == v, at, -1)
+def unpacked(n: bytes, size: int) -> np.ndarray:
+    return np.frombuffer(n, f"u{len(n) // size}").astype(np.int64)
 
 
 def in_blocks(docs: DataFrame) -> DataFrame:
@@ -114,8 +96,8 @@ def in_blocks(docs: DataFrame) -> DataFrame:
     return docs.withColumn("block", own.cast("int"))
 
 
-def requests(docs: DataFrame, contexts) -> DataFrame:
-    """One row per block and distinct word (v = 0), and per block and distinct bigram of a frequent context."""
+def requests(docs: DataFrame, parts: int) -> DataFrame:
+    """One row per block, part of the hashes and kind: the block's distinct words or bigrams and their training counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         texts: dict[int, list[bytes]] = {}
@@ -130,23 +112,24 @@ def requests(docs: DataFrame, contexts) -> DataFrame:
     def of_block(block: int, texts: list[bytes], held_out: np.ndarray) -> Iterator[pa.RecordBatch]:
         tok, ctx, sizes = tokens(texts)
         train = np.repeat(~held_out, sizes)
-        frequent = contexts.value.find(ctx) >= 0
-
-        def rows(w: np.ndarray, v: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(w), 200_000):
-                s = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([signed(w[s]), signed(v[s]), pa.array(np.full(len(w[s]), block, np.int32)), pa.array(n[s].astype(np.int32))], ["w", "v", "block", "n"])
-
-        one = np.ones(1, np.uint64)
-        yield from rows(one * (np.uint64(block) + CHECK), one * CHECK, np.array([len(tok)]))
-        w, at = np.unique(tok, return_inverse=True)
-        yield from rows(w, np.zeros(len(w), np.uint64), np.bincount(at, train, len(w)))
-        tok, ctx, train = tok[frequent], ctx[frequent], train[frequent]
-        _, first, at = np.unique(pair(tok, ctx), return_index=True, return_inverse=True)
-        n = np.bincount(at, train, len(first))
-        order = np.argsort(ctx[first], kind="stable")
-        first, n = first[order], n[order]
-        yield from rows(tok[first], ctx[first], n)
+        words, pairs, _, of_word, of_pair = distinct(tok, sizes, ctx)
+        n_words = np.bincount(of_word, train, len(words)).astype(np.int64)
+        n_words[np.searchsorted(words, START)] = (~held_out).sum()
+        for kind, keys, n in ((WORDS, words, n_words), (PAIRS, pairs, np.bincount(of_pair, train, len(pairs)).astype(np.int64))):
+            at = cuts(keys, parts)
+            full = np.flatnonzero(np.diff(at))
+            for some in np.array_split(full, max(1, len(full) // 1000)):
+                slices = [slice(at[k], at[k + 1]) for k in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some, pa.int32()),
+                        pa.array(np.full(len(some), kind), pa.int32()),
+                        pa.array(np.full(len(some), block), pa.int32()),
+                        pa.array([keys[x].tobytes() for x in slices], pa.binary()),
+                        pa.array([packed(n[x]) for x in slices], pa.binary()),
+                    ],
+                    ["part", "kind", "block", "keys", "n"],
+                )
 
     return in_blocks(docs).select("block", "text", "held_out").mapInArrow(run, REQUESTS)
 
@@ -156,50 +139,81 @@ def level(p: np.ndarray) -> np.ndarray:
     return np.where(p > 0, np.round(PER_OCTAVE * np.log2(np.maximum(p, 1e-300))), -99_999).astype(np.int64)
 
 
-def replies(asked: DataFrame, contexts, total: int, parts: int) -> DataFrame:
-    """Totals for the blocks that don't have them; under block -1 the histogram, under -2 the number of words."""
+def replies(asked: DataFrame, parts: int) -> DataFrame:
+    """The totals of each row of requests, in its order; under block -1 the numbers of distinct words and of tokens."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = pa.Table.from_batches(batches, asked_schema)
-        if not len(table):
-            return
-        w, v = unsigned(table.column("w")), unsigned(table.column("v"))
-        block, n = (table.column(c).to_numpy().astype(np.int64) for c in ("block", "n"))
-        del table
-        _, first, at = np.unique(pair(w, v), return_index=True, return_inverse=True)
-        sums = np.bincount(at, n, len(first)).astype(np.int64)
-        back = (sums[at] != n) | (v == CHECK)
-
-        def rows(b, x, y, c) -> Iterator[pa.RecordBatch]:
-            for k in range(0, len(x), 200_000):
-                s = slice(k, k + 200_000)
-                yield pa.RecordBatch.from_arrays([pa.array(b[s].astype(np.int32)), signed(x[s]), signed(y[s]), pa.array(c[s].astype(np.int64))], ["block", "w", "v", "n"])
-
-        yield from rows(block[back], w[back], v[back], sums[at][back])
-        # Statistics of the distinct words and bigrams, each occurrence held out in turn.
-        w, v = w[first], v[first]
-        real = (sums > 0) & (v != CHECK)
-        w, v, sums = w[real], v[real], sums[real]
-        alone = v == 0
-        words, count = w[alone], sums[alone]
-        order = np.argsort(words)
-        words, count = words[order], count[order]
-        yield from rows(np.array([-2]), np.zeros(1, np.uint64), np.zeros(1, np.uint64), np.array([len(words)]))
-        bw, bv, bn = w[~alone], v[~alone], sums[~alone]
-        of_word = np.searchsorted(words, bw)
-        known = contexts.value
-        ctx = known.find(bv)
-        p1 = level((count - 1) / max(1, total - 1))
-        p2 = level((bn - 1) / np.maximum(1, known.counts[ctx] - 1)) if len(bn) else np.zeros(0, np.int64)
-        rest = count - np.bincount(of_word, bn, len(words)).astype(np.int64)
-        bucket = np.r_[known.buckets[ctx] if len(bn) else np.zeros(0, np.int64), np.zeros(len(words), np.int64)]
-        cell = (bucket << 40) + ((np.r_[p2, np.full(len(words), -99_999)] + 100_000) << 20) + (np.r_[p1[of_word], p1] + 100_000)
-        cells, at = np.unique(cell, return_inverse=True)
-        weight = np.bincount(at, np.r_[bn, rest], len(cells)).astype(np.int64)
-        yield from rows(np.full(len(cells), -1), cells.astype(np.uint64), np.zeros(len(cells), np.uint64), weight)
-
-    asked_schema = pa.schema([("w", pa.int64()), ("v", pa.int64()), ("block", pa.int32()), ("n", pa.int32())])
-    return asked.repartition(parts, "w").mapInArrow(run, REPLIES)
+        found: dict[tuple[int, int], list[tuple[int, np.ndarray, np.ndarray]]] = {}
+        for batch in batches:
+            part, kind, block, keys, n = (batch.column(c).to_pylist() for c in ("part", "kind", "block", "keys", "n"))
+            for p, a, b, k, c in zip(part, kind, block, keys, n, strict=True):
+                found.setdefault((p, a), []).append((b, np.frombuffer(k, np.uint64), np.frombuffer(c, f"u{8 * len(c) // len(k)}")))
+        while found:
+            (part, kind), rows = found.popitem()
+            keys, at = np.unique(np.concatenate([k for _, k, _ in rows]), return_inverse=True)
+            sums = np.bincount(at, np.concatenate([c for _, _, c in rows]), len(keys)).astype(np.int64)
+            totals = np.split(sums[at], np.cumsum([len(k) for _, k, _ in rows])[:-1])
+            out = [(b, kind, part, zlib.crc32(k), packed(t), None, None) for (b, k, _), t in zip(rows, totals, strict=True)]
+            if kind == WORDS:
+                own = sums[keys != START]
+                out.append((-1, kind, part, None, None, int((own > 0).sum()), int(own.sum())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(zip(*out, strict=True), types, strict=True)], names)
+
+    names = [x.split()[0] for x in REPLIES.split(", ")]
+    types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
+    return asked.repartitionById(parts, "part").mapInArrow(run, REPLIES)
+
+
+def bucket_of(context: np.ndarray) -> np.ndarray:
+    """0 for a count of 0, then 1 for 1, 2 for 2 and 3, and so on."""
+    return np.frexp(context.astype(np.float64))[1].astype(np.int64)
+
+
+def histogram(context: np.ndarray, word: np.ndarray, both: np.ndarray, total: int) -> tuple[np.ndarray, np.ndarray]:
+    """Cells (bucket and levels of both probabilities) of training tokens, each held out in turn, and how many each has."""
+    p2 = level((both - 1) / np.maximum(1, context - 1))
+    p1 = level((word - 1) / max(1, total - 1))
+    return np.unique((bucket_of(context) << 40) + ((p2 + 100_000) << 20) + (p1 + 100_000), return_counts=True)
+
+
+def counted(docs: DataFrame, answers: DataFrame, parts: int, total: int) -> DataFrame:
+    """Per document c(START) and c(w) of each token, and c(v w) of each; rows with a cell are parts of the histogram."""
+
+    def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        tok, ctx, sizes = tokens(as_bytes(texts.column("text")))
+        words, pairs, of_ctx, of_word, of_pair = distinct(tok, sizes, ctx)
+        sums = {}
+        rows = list(zip(*(totals.column(c).to_pylist() for c in ("kind", "part", "check", "n")), strict=True))
+        for kind, keys in ((WORDS, words), (PAIRS, pairs)):
+            at, known = cuts(keys, parts), np.full(len(keys), -1)
+            for _, part, check, n in (r for r in rows if r[0] == kind):
+                own = slice(at[part], at[part + 1])
+                if zlib.crc32(keys[own].tobytes()) != check:
+                    raise RuntimeError(MOVED)
+                known[own] = unpacked(n, own.stop - own.start)
+            if len(texts) and known.min(initial=0) < 0:
+                raise RuntimeError(MOVED)
+            sums[kind] = known
+        context, word, both = sums[WORDS][of_ctx], sums[WORDS][of_word], sums[PAIRS][of_pair]
+        off = texts.column("held_out").to_numpy().astype(bool)
+        train = np.repeat(~off, sizes)
+        cells, weight = histogram(context[train], word[train], both[train], total)
+        ends = np.cumsum(sizes)
+        docs, none = [slice(e - n, e) for e, n in zip(ends, sizes, strict=True)], [None] * len(cells)
+        c1 = [packed(np.append(context[x.start], word[x])) for x in docs]
+        columns = [
+            pa.array(texts.column("doc_id").to_pylist() + none, pa.int64()),
+            pa.array(off.tolist() + none, pa.bool_()),
+            pa.array(sizes.tolist() + none, pa.int64()),
+            pa.array(c1 + none, pa.binary()),
+            pa.array([packed(both[x]) for x in docs] + none, pa.binary()),
+            pa.array([None] * len(docs) + cells.tolist(), pa.int64()),
+            pa.array([None] * len(docs) + weight.tolist(), pa.int64()),
+        ]
+        return pa.table(columns, names=[x.split()[0] for x in COUNTS.split(", ")])
+
+    texts = in_blocks(docs).select("block", "text", "held_out", "doc_id")
+    return texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, COUNTS)
 
 
 def learn(histogram: list[tuple[int, int]], vocabulary: int, buckets: int, steps: int = EM_STEPS) -> np.ndarray:
@@ -224,58 +238,40 @@ def learn(histogram: list[tuple[int, int]], vocabulary: int, buckets: int, steps
     return out / out.sum(1, keepdims=True)
 
 
-def score(docs: DataFrame, key: str = "doc_id", text: str = "text", buckets: list[float] = BUCKETS) -> DataFrame:
+def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row per document: key, held_out, n_tokens, n_known, train_tokens, base_score, score (log10 probabilities)."""
     spark = docs.sparkSession
     held_out = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    counts = written(word_counts(docs))
-    start = int(START)
-    total = counts.where(F.col("w") != start).agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    frequent = counts.where(F.col("n") >= max(1, buckets[0] * total)).orderBy(F.desc("n")).limit(int(1 / buckets[0]) + 1)
-    contexts = spark.sparkContext.broadcast(Contexts([(r.w, r.n) for r in frequent.collect()], total, buckets))
-    answers = written(replies(requests(docs, contexts), contexts, total, parts))
-    vocabulary = answers.where("block = -2").agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n")).first().n
-    histogram = answers.where("block = -1").groupBy("w").agg(F.sum("n").alias("n")).collect()
-    weights = learn([(r.w, r.n) for r in histogram], vocabulary, len(buckets) + 1)
-
-    def run(texts: pa.Table, totals: pa.Table) -> pa.Table:
-        tok, ctx, sizes = tokens(as_bytes(texts.column("text")))
-        off = texts.column("held_out").to_numpy().astype(bool)
-        w, v, n = unsigned(totals.column("w")), unsigned(totals.column("v")), totals.column("n").to_numpy()
-        if len(texts) and n[v == CHECK].tolist() != [len(tok)]:
-            raise RuntimeError("the documents came in other partitions the second time; write them to a table first")
-        train = np.repeat(~off, sizes)
+    answers = written(replies(requests(docs, parts), parts))
+    found = answers.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "total"))).first()
+    vocabulary, total = found.vocabulary, found.total
+    counts = written(counted(docs, answers, parts, total))
+    cells = counts.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("weight").alias("n")).collect()
+    weights = learn([(r.cell, r.n) for r in cells], vocabulary, BUCKETS)
 
-        def looked_up(keys: np.ndarray, of: np.ndarray, counted: np.ndarray) -> np.ndarray:
-            u, at = np.unique(keys, return_inverse=True)
-            c = np.bincount(at, counted, len(u))
-            if len(of):
-                order = np.argsort(of)
-                place = np.minimum(np.searchsorted(of[order], u), len(of) - 1)
-                c = np.where(of[order][place] == u, given[order][place], c)
-            return c[at]
-
-        alone, given = v == 0, n[v == 0]
-        c1 = looked_up(tok, w[alone], train)
-        known = contexts.value
-        at = known.find(ctx)
-        bucket = np.where(at >= 0, known.buckets[at] if len(known.buckets) else 0, 0)
-        by = weights[bucket]
-        p = by[:, 1] * c1 / max(1, total) + by[:, 2] / (vocabulary + 1)
-        two = at >= 0
-        both = ~alone & (v != CHECK)
-        given = n[both]
-        p[two] += by[two, 0] * looked_up(pair(tok[two], ctx[two]), pair(w[both], v[both]), train[two]) / known.counts[at[two]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ends = np.cumsum(batch.column("n_tokens").to_numpy())
+            edges = np.unique(np.r_[0, np.searchsorted(ends, np.arange(FLUSH, ends[-1] if len(ends) else 0, FLUSH)), len(ends)])
+            for a, b in zip(edges, edges[1:], strict=False):
+                yield of_some(batch.slice(a, b - a))
+
+    def of_some(some: pa.RecordBatch) -> pa.RecordBatch:
+        sizes = some.column("n_tokens").to_numpy()
+        c1 = [unpacked(x, n + 1) for x, n in zip(some.column("c1").to_pylist(), sizes, strict=True)]
+        context, word = np.concatenate([x[:-1] for x in c1]), np.concatenate([x[1:] for x in c1])
+        both = np.concatenate([unpacked(x, n) for x, n in zip(some.column("c2").to_pylist(), sizes, strict=True)])
+        by = weights[bucket_of(context)]
+        p = by[:, 0] * both / np.maximum(1, context) + by[:, 1] * word / max(1, total) + by[:, 2] / (vocabulary + 1)
+        base = np.log10((word + 0.5) / (total + 0.5 * (vocabulary + 1)))
         first = np.cumsum(sizes) - sizes
-        add = (lambda x: np.add.reduceat(x, first)) if len(sizes) else (lambda x: np.zeros(0))
-        base = np.log10((c1 + 0.5) / (total + 0.5 * (vocabulary + 1)))
-        columns = [texts.column("doc_id"), pa.array(off), pa.array(sizes.astype(np.int64)), pa.array(add((c1 > 0).astype(np.int64)).astype(np.int64)), pa.array(np.full(len(sizes), total, np.int64)), pa.array(add(base)), pa.array(add(np.log10(p)))]
-        return pa.table(columns, names=[x.split()[0] for x in SCORES.split(", ")])
+        add = lambda x: pa.array(np.add.reduceat(x, first))
+        columns = [some.column("doc_id"), some.column("held_out"), some.column("n_tokens"), add((word > 0).astype(np.int64)), pa.array(np.full(len(sizes), total, np.int64)), add(base), add(np.log10(p))]
+        return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
-    texts = in_blocks(docs).select("block", "text", "held_out", "doc_id")
-    return texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, SCORES)
+    return counts.where("cell IS NULL").select("doc_id", "held_out", "n_tokens", "c1", "c2").mapInArrow(run, SCORES)
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:

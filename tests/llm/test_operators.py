@@ -216,6 +216,34 @@ def test_op6_counts_and_base(docs, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_op6_against_brute_force_with_rare_contexts(spark):
+    held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
+    off = [i for i in range(2000) if held(i)][:3]
+    on = [i for i in range(2000) if not held(i)][:8]
+    # "rare" is fewer than 1 in 3,000 tokens and always stands before "pair"; the second held-out text has the same words in another order.
+    rows = [(i, prose(3_000, 900 + i) + " rare pair" * (i != on[0]) + " x lone") for i in on]
+    rows += [(off[0], "rare pair x lone"), (off[1], "pair x lone rare"), (off[2], "unseen pair")]
+    got = {r.doc_id: r.score for r in lm_score.score(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()}
+    runs = {i: [b"<s>", *words(t), b"</s>"] for i, t in rows}
+    one, two, ctx = Counter(), Counter(), Counter()
+    for i in on:
+        one.update(runs[i][1:]), ctx.update(runs[i][:-1]), two.update(zip(runs[i], runs[i][1:], strict=False))
+    total = sum(one.values())
+    at = lambda p: round(lm_score.PER_OCTAVE * np.log2(p)) if p > 0 else -99_999
+    cells = Counter()
+    for (v, w), n in two.items():
+        cells[(ctx[v].bit_length() << 40) + ((at((n - 1) / max(1, ctx[v] - 1)) + 100_000) << 20) + at((one[w] - 1) / (total - 1)) + 100_000] += n
+    weights = lm_score.learn(list(cells.items()), len(one), 64)
+
+    def log_p(v, w):
+        a, b, c = weights[ctx[v].bit_length()]
+        return np.log10(a * two[v, w] / max(1, ctx[v]) + b * one[w] / total + c / (len(one) + 1))
+
+    for i, run in runs.items():
+        assert got[i] == pytest.approx(sum(log_p(v, w) for v, w in zip(run, run[1:], strict=False)), abs=1e-6)
+    assert ctx[b"rare"] < 5e-4 * total and got[off[0]] > got[off[1]] + 1
+
+
 def test_op6_weights_are_a_mixture():
     w = lm_score.learn([((1 << 40) + (99_990 << 20) + 99_980, 5), ((0 << 40) + (1 << 20) + 99_980, 7)], 100, 3)
     assert np.allclose(w.sum(1), 1) and (w >= 0).all() and w[0, 0] == 0
