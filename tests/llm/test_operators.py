@@ -269,6 +269,14 @@ def test_op9_separates_held_out_rows(spark):
     assert quality.train(rows, labels.limit(0)) is None and quality.train(rows.limit(0), labels) is None
 
 
+def test_op9_distinct_words_of_the_whole_text():
+    at = quality.MEASURES.index("distinct")
+    many = " ".join(f"w{i}" for i in range(2000))
+    assert quality.measures(many)[at] == quality.measures(many + " " + many)[at] == 1
+    assert quality.measures(many + " one passage again" * 2000)[at] == pytest.approx((2000 + 3 * 3) / 8000)
+    assert quality.measures("a b a")[at] == pytest.approx(2 / 3)
+
+
 def test_op9_edges(docs, none):
     assert len(quality.measures("")) == len(quality.MEASURES)
     assert docs.select(quality.scores(docs, None)).count() == len(ROWS) and none.select(quality.scores(none, None)).count() == 0
