@@ -35,29 +35,41 @@ def sections(docs: DataFrame, key: str = "resume_id", text: str = "raw_text") ->
 
 
 def column_split(spans: DataFrame, bins: int = 20) -> DataFrame:
-    """Per page (page, x0, x1, width) the valley between two columns, if spans gather on both sides of one."""
-    mid = (F.col("x0") + F.col("x1")) / 2
-    at = F.least(F.lit(bins - 1), F.floor(mid / F.col("width") * bins)).cast("int")
-    counts = spans.withColumn("bin", at).groupBy("page", "bin").agg(F.count("*").alias("n"))
-    pages = counts.groupBy("page").agg(F.sum("n").alias("spans"), F.max(F.when(F.col("bin") < bins / 2, F.col("n"))).alias("left_peak"), F.max(F.when(F.col("bin") >= bins / 2, F.col("n"))).alias("right_peak"))
-    middle = pages.select("page", F.explode(F.sequence(F.lit(6), F.lit(13))).alias("bin")).join(counts, ["page", "bin"], "left").fillna(0, ["n"])
-    valley = middle.groupBy("page").agg(F.min(F.struct("n", "bin")).alias("v"))
-    lower = F.least("left_peak", "right_peak")
-    found = (F.col("spans") >= 8) & (lower >= 3) & (F.col("v.n") <= 0.45 * lower)
-    return pages.join(valley, "page").select("page", "spans", F.coalesce(found, F.lit(False)).alias("two_columns"), F.when(found, F.col("v.bin").cast("long")).alias("valley_bin"))
+    """Per page (page, x0, x1, width) the valley between two columns, if spans gather on both sides of one and of a gap around it."""
+    mid, width = (F.col("x0") + F.col("x1")) / 2, F.col("width")
+    real = (F.col("x1") > F.col("x0")) & (width > 0)
+    at = F.least(F.lit(bins - 1), F.greatest(F.lit(0), F.floor(mid / width * bins)))
+    middle = range(bins // 3, 2 * bins // 3 + 1)
+    split = {k: F.lit((k + 0.5) / bins) * width for k in middle}
+    counts = [F.count_if(real & (at == k)).alias(f"n{k}") for k in range(bins)]
+    left = [F.count_if(real & (mid < x - width * 0.02)).alias(f"left{k}") for k, x in split.items()]
+    right = [F.count_if(real & (mid > x + width * 0.02)).alias(f"right{k}") for k, x in split.items()]
+    pages = spans.groupBy("page").agg(F.count("*").alias("spans"), F.count_if(real).alias("mids"), *counts, *left, *right)
+    valley = F.array_min(F.array(*(F.struct(F.col(f"n{k}").alias("n"), F.lit(k).cast("long").alias("bin"), F.col(f"left{k}").alias("l"), F.col(f"right{k}").alias("r")) for k in middle)))
+    lower = F.least(F.greatest(*(f"n{k}" for k in range(bins // 2))), F.greatest(*(f"n{k}" for k in range(bins // 2, bins))))
+    pages = pages.select("page", "spans", "mids", valley.alias("v"), lower.alias("lower"))
+    found = (F.col("mids") >= 8) & (F.col("lower") >= 3) & (F.col("v.n") <= 0.45 * F.col("lower")) & (F.col("v.l") >= 3) & (F.col("v.r") >= 3)
+    return pages.select("page", "spans", found.alias("two_columns"), F.when(found, F.col("v.bin")).alias("valley_bin"))
 
 
 def clustered_lines(spans: DataFrame, near: float = 3.5, gap: float = 56.0) -> DataFrame:
     """(page, line_no, text): spans (page, y, x0, x1, text) in reading order; a running mean of y decides what shares a line."""
-    ordered = spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.round(F.col("y") / near).alias("row"), F.col("x0").alias("x0"), F.col("y").alias("y"), F.col("x1").alias("x1"), F.col("text").alias("t")))).alias("s"))
-    start = F.array().cast("array<struct<y:double,n:double,x1:double,text:string>>")
+    ordered = spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.bround(F.col("y") / near).alias("row"), F.col("x0").alias("x0"), F.col("y").alias("y"), F.col("x1").alias("x1"), F.col("text").alias("t")))).alias("s"))
+    start = F.array().cast("array<struct<y:double,items:array<struct<x0:double,k:int,x1:double,t:string>>>>")
 
     def add(lines, s):
         last = F.element_at(lines, -1)
         same = (F.size(lines) > 0) & (F.abs(last["y"] - s["y"]) <= near)
-        joint = F.when(s["x0"] - last["x1"] > gap, F.lit("  ")).otherwise(F.lit(" "))
-        longer = F.struct(((last["y"] * last["n"] + s["y"]) / (last["n"] + 1)).alias("y"), (last["n"] + 1).alias("n"), s["x1"].alias("x1"), F.concat(last["text"], joint, s["t"]).alias("text"))
-        fresh = F.struct(s["y"].alias("y"), F.lit(1.0).alias("n"), s["x1"].alias("x1"), s["t"].alias("text"))
+        item = lambda k: F.array(F.struct(s["x0"].alias("x0"), k.alias("k"), s["x1"].alias("x1"), s["t"].alias("t")))
+        longer = F.struct(((last["y"] + s["y"]) / 2).alias("y"), F.concat(last["items"], item(F.size(last["items"]))).alias("items"))
+        fresh = F.struct(s["y"].alias("y"), item(F.lit(0)).alias("items"))
         return F.when(same, F.concat(F.slice(lines, 1, F.size(lines) - 1), F.array(longer))).otherwise(F.concat(lines, F.array(fresh)))
 
-    return ordered.select("page", F.posexplode(F.aggregate("s", start, add)).alias("line_no", "l")).select("page", F.col("line_no").cast("long").alias("line_no"), F.col("l.text").alias("text"))
+    def join(done, s):
+        joint = F.when(done["x1"].isNull(), F.lit("")).when(s["x0"] - done["x1"] > gap, F.lit("  ")).otherwise(F.lit(" "))
+        return F.struct(s["x1"].alias("x1"), F.concat(done["text"], joint, s["t"]).alias("text"))
+
+    lines = ordered.select("page", F.posexplode(F.aggregate("s", start, add)).alias("line_no", "l"))
+    empty = F.struct(F.lit(None).cast("double").alias("x1"), F.lit("").alias("text"))
+    text = F.aggregate(F.array_sort("l.items"), empty, join)["text"]
+    return lines.select("page", F.col("line_no").cast("long").alias("line_no"), text.alias("text"))

@@ -297,13 +297,21 @@ def stream_daily_counts(spark, sf_dir):
 
 
 def _spans(spark, sf_dir):
+    """Each order is a page, so that pages don't grow with the table."""
     li = table(spark, sf_dir, "lineitem")
     side = F.when((F.col("l_orderkey") % 2 == 0) & (F.col("l_linenumber") % 2 == 0), 320.0).otherwise(40.0)
     x0 = side + F.col("l_quantity")
-    return li.where("l_orderkey % 50 < 2").select((F.col("l_orderkey") % 200).alias("page"), (F.col("l_linenumber") * 12.0).alias("y"), x0.alias("x0"), (x0 + 100).alias("x1"), F.lit(600.0).alias("width"), F.concat_ws(" ", "l_partkey", "l_suppkey").alias("text"))
+    return li.select(F.col("l_orderkey").alias("page"), (F.col("l_linenumber") * 12.0).alias("y"), x0.alias("x0"), (x0 + 100).alias("x1"), F.lit(600.0).alias("width"), F.concat_ws(" ", "l_partkey", "l_suppkey").alias("text"))
 
 
-@query()
+@query("""WITH s AS (SELECT l_orderkey AS page, CASE WHEN l_orderkey % 2 = 0 AND l_linenumber % 2 = 0 THEN 320 ELSE 40 END + l_quantity + 50 AS mid FROM lineitem
+), h AS (SELECT page, floor(mid / 30) AS bin, count(*) AS n FROM s GROUP BY ALL
+), p AS (SELECT page, CAST(sum(n) AS BIGINT) AS spans, coalesce(max(n) FILTER (bin < 10), 0) AS l, coalesce(max(n) FILTER (bin >= 10), 0) AS r FROM h GROUP BY page
+), m AS (SELECT p.page, b, coalesce(n, 0) AS n FROM p CROSS JOIN range(6, 14) t(b) LEFT JOIN h ON h.page = p.page AND h.bin = b
+), v AS (SELECT page, arg_min(b, n * 100 + b) AS b, min(n) AS n FROM m GROUP BY page
+), g AS (SELECT page, count(*) FILTER (mid < (b + 0.5) * 30 - 12) AS l, count(*) FILTER (mid > (b + 0.5) * 30 + 12) AS r FROM s JOIN v USING (page) GROUP BY page
+), f AS (SELECT page, spans, b, spans >= 8 AND p.l >= 3 AND p.r >= 3 AND v.n <= 0.45 * least(p.l, p.r) AND g.l >= 3 AND g.r >= 3 AS two_columns FROM p JOIN v USING (page) JOIN g USING (page)
+) SELECT page, spans, two_columns, CASE WHEN two_columns THEN b END AS valley_bin FROM f""")
 def column_split(spark, sf_dir):
     return layout.column_split(_spans(spark, sf_dir))
 

@@ -1,12 +1,14 @@
 """Hand-made cases of the operators."""
 
 import io
+import random
 import zipfile
 
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
 from rankweave.operators import briefs, layout, profile, ranking, rules, scoring, store
+from rankweave.plans import text_queries
 from rankweave.sources import files
 from rankweave.streaming import progress
 
@@ -99,6 +101,55 @@ def test_lines_join_and_gaps_double(spark):
     assert [(r.line_no, r.text) for r in layout.clustered_lines(spans).orderBy("line_no").collect()] == [(0, "a b  c"), (1, "d")]
 
 
+def test_column_split_needs_spans_on_both_sides_of_the_gap(spark):
+    # Mid-x of spans on pages 200 wide; bins are 10 wide, so the valley of each page is bin 6 and the gap 61 to 69.
+    pages = {1: [20.0] * 5 + [170.0] * 5, 2: [20.0] * 10, 4: [20.0] * 4 + [170.0] * 3}
+    spans = spark.createDataFrame([(p, m - 1, m + 1, 200.0) for p, ms in pages.items() for m in ms], "page int, x0 double, x1 double, width double")
+    got = {r.page: (r.spans, r.two_columns, r.valley_bin) for r in layout.column_split(spans).collect()}
+    assert got[1] == (10, True, 6) and got[2] == (10, False, None) and got[4] == (7, False, None)
+    # Peaks in both halves and a valley in bin 6, but nothing left of the gap.
+    pages = {5: [64.0, 65.0] + [72.0] * 6 + [m for k in range(8, 14) for m in [10.0 * k + 2] * 6]}
+    spans = spark.createDataFrame([(p, m - 1, m + 1, 200.0) for p, ms in pages.items() for m in ms], "page int, x0 double, x1 double, width double")
+    assert [(r.two_columns, r.valley_bin) for r in layout.column_split(spans).collect()] == [(False, None)]
+
+
+def lines_by_hand(spans):
+    """Texts of the lines of a page's spans (y, x0, x1, text)."""
+    lines, mean = [], None
+    for y, x0, x1, t in sorted(spans, key=lambda s: (round(s[0] / 3.5), s[1], s[0], s[2], s[3])):
+        if mean is not None and abs(y - mean) <= 3.5:
+            mean = (mean + y) / 2
+        else:
+            mean = y
+            lines.append([])
+        lines[-1].append((x0, x1, t))
+    out = []
+    for line in lines:
+        text, end = "", None
+        for x0, x1, t in sorted(line, key=lambda s: s[0]):
+            text, end = text + ("" if end is None else "  " if x0 - end > 56 else " ") + t, x1
+        out.append(text)
+    return out
+
+
+def test_line_cluster_against_brute_force(spark):
+    sf = "/root/testdata/sf0.001"
+    pages = {}
+    for r in spark.read.parquet(f"{sf}/lineitem.parquet").collect():
+        x0 = (320.0 if r.l_orderkey % 2 == 0 and r.l_linenumber % 2 == 0 else 40.0) + r.l_quantity
+        pages.setdefault(r.l_orderkey, []).append((r.l_linenumber * 12.0, x0, x0 + 100, f"{r.l_partkey} {r.l_suppkey}"))
+    want = sorted((p, n, t) for p, spans in pages.items() for n, t in enumerate(lines_by_hand(spans)))
+    assert sorted((r.page, r.line_no, r.text) for r in text_queries.line_cluster(spark, sf).collect()) == want
+
+
+def test_lines_of_uneven_spans_against_brute_force(spark):
+    rng = random.Random(3)
+    pages = {p: [(rng.randrange(0, 120) / 4, float(10 * x), 10.0 * x + rng.randrange(1, 40), f"t{x}") for x in range(40)] for p in range(30)}
+    spans = spark.createDataFrame([(p, *s) for p, ss in pages.items() for s in ss], "page int, y double, x0 double, x1 double, text string")
+    want = sorted((p, n, t) for p, ss in pages.items() for n, t in enumerate(lines_by_hand(ss)))
+    assert sorted((r.page, r.line_no, r.text) for r in layout.clustered_lines(spans).collect()) == want
+
+
 def test_smoothed_rate(spark):
     steps = spark.createDataFrame([(1, 10.0, 10.0), (1, 20.0, 40.0), (1, 30.0, 50.0)], "job int, t double, done double")
     assert abs(progress.smoothed_rates(steps).first().rate - (0.65 * 3 + 0.35 * 1)) < 1e-9
