@@ -2,9 +2,9 @@
 
 A page is read as a run of text blocks, each with its root-to-leaf tag path. Per path, the text length and the punctuation
 are summed and divided by the number of blocks; both ratios are smoothed along the page with the neighbours' and fused
-into one score, and paths above a share of the page's best are content. The content blocks vote for the container that
-holds most of them, and the page's text is every block of that container but boilerplate, which element names, roles
-and class words give away.
+into one score, and paths above a share of the page's best are content. The page's text is every block of the lowest container
+that holds all content blocks, or of the article or main around it, but boilerplate, which element names, roles and class words
+give away.
 
 Defined results: null or empty html, or a page without any text block outside boilerplate, gives an empty text; broken
 markup is read as far as it goes; repeated rows give repeated results; other columns are ignored.
@@ -23,8 +23,6 @@ from pyspark.sql import functions as F
 
 #: Share of the page's best fused score from which a path is content, and weights of a block and its neighbours.
 THRESHOLD, SMOOTH = 0.2, (0.25, 0.5, 0.25)
-#: Share of the content's text that the container must hold.
-HOLDS = 0.6
 
 # Element names and class words of HTML.
 RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|title"
@@ -130,6 +128,15 @@ def blocks_of(page: str) -> list[tuple[Node, str]]:
     return out
 
 
+def lineage(node: Node | None) -> list[Node]:
+    """The elements from the root down to this one."""
+    out = []
+    while node is not None:
+        out.append(node)
+        node = node.above
+    return out[::-1]
+
+
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     blocks = [(node, text) for node, text in blocks_of(page or "") if not node.off]
     if not blocks:
@@ -150,24 +157,13 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
     for (node, _), a, b in zip(blocks, smooth(lengths), smooth(points), strict=True):
         fused[node.path] += a * b / count[node.path]
     least = threshold * max(fused.values())
-    votes: dict[Node, int] = defaultdict(int)
-    total = 0
-    for node, text in blocks:
-        if fused[node.path] >= least:
-            total += len(text)
-            at: Node | None = node
-            while at is not None:
-                votes[at] += len(text)
-                at = at.above
-    depth = lambda n: n.path.count("/")
-    holders = [n for n, v in votes.items() if v >= HOLDS * total and (n.name in CONTAINERS or n.name == "#")]
-    chosen = max(holders, key=depth)
-    at = chosen
-    while at is not None:
-        if at.name in ("article", "main"):
-            chosen = at
-            break
-        at = at.above
+    common: list[Node] | None = None
+    for node in dict.fromkeys(n for n, _ in blocks if fused[n.path] >= least):
+        around = lineage(node)
+        common = around if common is None else [x for x, y in zip(common, around, strict=False) if x is y]
+    holders = [n for n in common if n.name in CONTAINERS or n.name == "#"]
+    named = [n for n in holders if n.name in ("article", "main")]
+    chosen = (named or holders)[-1]
 
     def within(node: Node | None) -> bool:
         while node is not None:

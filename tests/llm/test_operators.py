@@ -257,6 +257,18 @@ def test_op7_blocks_and_boilerplate(spark):
     assert got[1] == got[2] == got[3] == ("", 0) and got[4] == ("plain & text", 12) and got[5][0] == "\n".join(["a"] * 3000)
 
 
+@pytest.mark.parametrize("share", [0.6, 0.65, 0.7])
+def test_op7_keeps_both_parts_of_split_text(share):
+    sentence = "Some words of a text, which goes on. "
+    a, b = (" ".join([sentence.strip()] * round(100 * x)) for x in (share, 1 - share))
+    bare = f"<body><nav><a>Home</a></nav><div class=content><div>{a}</div><p>Between.</p><div>{b}</div></div><footer>Imprint</footer></body>"
+    assert html_text.main_text(bare) == f"{a}\nBetween.\n{b}"
+    several = f"<body><div>Elsewhere</div><main><article><p>{a}</p></article><article><p>{b}</p></article></main></body>"
+    assert html_text.main_text(several) == f"{a}\n{b}"
+    apart = f"<body><div class=left><section><p>{a}</p></section></div><div class=right><section><p>{b}</p></section></div></body>"
+    assert html_text.main_text(apart) == f"{a}\n{b}"
+
+
 def test_op9_separates_held_out_rows(spark):
     good = [(i, prose(60, i).capitalize() + ".", 1) for i in range(0, 400, 2)]
     bad = [(i, " ".join(w.upper() + "!!" for w in prose(60, i).split()), 0) for i in range(1, 120, 2)]
