@@ -234,9 +234,19 @@ def counted_marks(segments: DataFrame, length: int) -> DataFrame:
     return windows.where("occ = 1").join(often, ["w1", "w2"]).select(*KEY, "start", (F.col("start") + length).alias("end"))
 
 
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, max_variants: int = MAX_VARIANTS, carry: tuple[str, ...] = (), as_text: bool = False) -> DataFrame:
+def whole_words(b: bytes, start: int, end: int) -> int:
+    """How many words of a text lie in a span with both their ends."""
+    inner = b[start:end].decode("utf-8", "ignore")
+    before, after = b[max(0, start - 4) : start].decode("utf-8", "ignore")[-1:], b[end : end + 4].decode("utf-8", "ignore")[:1]
+    cut = bool(before.strip() and inner[:1].strip()) + bool(after.strip() and inner[-1:].strip())
+    return len(inner.split()) - cut
+
+
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, max_variants: int = MAX_VARIANTS, carry: tuple[str, ...] = (), as_text: bool = False, least_words: int = 0) -> DataFrame:
     """One row per document: key, carried columns, n_bytes, spans (array of start, end; removed bytes), kept (binary).
 
+    Spans of fewer than least_words whole words stay.
+
     As text, kept is a string without the characters that a removal cut in two.
     """
     spark = docs.sparkSession
@@ -262,6 +272,8 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                         own[-1]["end"] = max(own[-1]["end"], m["end"])
                     else:
                         own.append({"start": m["start"], "end": m["end"]})
+                if least_words:
+                    own = [m for m in own if whole_words(b, m["start"], m["end"]) >= least_words]
                 sizes.append(len(b))
                 merged.append(own)
                 kept.append(b"".join(b[x:y] for x, y in zip([0, *(m["end"] for m in own)], [*(m["start"] for m in own), len(b)], strict=True)))

@@ -93,6 +93,35 @@ def test_op2_against_brute_force(docs, variants):
     assert Counter((r.doc_id, bytes(r.kept)) for r in got) == want
 
 
+def test_pipeline_repeats_against_brute_force(spark):
+    rng = np.random.default_rng(77)
+    letters = lambda n: " ".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), n))
+    short, accents, fifty = letters(51), " ".join(f"é{x}" for x in letters(60).split()), prose(50, 701)
+    texts = [f"{prose(90, 710 + i)} {x} {prose(70, 730 + i)}" for i, x in enumerate([short, short, accents, accents, fifty, fifty, "one"])] + [short, None, ""]
+    got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA), "").collect()}
+    seen = Counter(b[i : i + 101] for t in texts for b in [(t or "").encode()] for i in range(len(b) - 100))
+    want = {}
+    for k, t in enumerate(texts):
+        b = (t or "").encode()
+        cover = np.zeros(len(b) + 1, bool)
+        for i in range(len(b) - 100):
+            if seen[b[i : i + 101]] > 1:
+                cover[i : i + 101] = True
+        edge = np.flatnonzero(np.diff(cover, prepend=False))
+        spans = []
+        for x, y in zip(edge[::2], edge[1::2], strict=True):
+            starts = {m.start() for m in re.finditer(rb"[^ ]+", b)}
+            ends = {m.end() for m in re.finditer(rb"[^ ]+", b)}
+            if min(sum(x <= i < y for i in starts), sum(x < i <= y for i in ends)) >= 51:
+                spans.append((x, y))
+        for x, y in reversed(spans):
+            b = b[:x] + b[y:]
+        if b or not spans:
+            want[k] = b.decode("utf-8", "ignore")
+    assert got == want
+    assert all(short not in x and accents not in x for x in got.values()) and fifty in got[4] and 7 not in got
+
+
 def test_op2_index_on_random_repeats():
     for trial in range(40):
         base = RNG.integers(97, 99 + trial % 3, 60).astype(np.uint8)
