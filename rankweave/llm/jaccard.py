@@ -1,18 +1,24 @@
 """Operator 5: exact Jaccard join of word-shingle sets by PartEnum signatures.
 
-Sizes fall into tables, bands that overlap so that any two sets which may link share one. In a table the Hamming distance
-of a linking pair is at most k. The domain of shingles is cut into groups by hash, more than (k + 1) / 2 of them, so
-that some groups differ in at most one shingle; each group is cut into three parts, and each two of the three give a
-signature: the one difference lies outside one of these pairs, whose signature both sets share.
+A set that links with another holds few shingles of its own: of n, at most the fraction that the threshold leaves over.
+Shingles of half the domain are counted over all documents, as packed keys per range of the domain; sets with more keys
+of their own than that link with nothing and send no signatures.
+
+Sizes of the others fall into tables, bands that overlap so that any two sets which may link share one. In a table the
+Hamming distance of a linking pair is at most k. The domain of shingles is cut into groups by hash, more than (k + 1) / 2
+of them, so that some groups differ in at most one shingle; each group is cut into three parts, and each two of the three
+give a signature: the one difference lies outside one of these pairs, whose signature both sets share.
 
 Shingles that many documents hold are left out of the signatures, which only lowers Hamming distances, so that a
 signature's group is small. Signatures without any shingle aren't sent; a set that has so many of them that a link might
 rest on them alone sends signatures of its whole set as well, for others of its kind.
 
-Small groups give all their pairs, large ones each document with the first of them, the hub. Each set has a histogram of
-its shingles over fixed cells; the distance of two histograms bounds the Hamming distance from below and spares most
-pairs the exact comparison. Of the pairs in a large group other than with the hub, those remain whose ends are in
-different components so far, unless the triangle inequality, which Jaccard distances obey, rules them out.
+Small groups give all their pairs, large ones each document with the first of them, the hub. Each set has a sketch, the
+parities of its shingles in fixed cells; the distance of two sketches bounds the Hamming distance from below and spares
+most pairs the exact comparison. Each document is compared with its first hub, then with those of its candidates that
+are still in another component. Of the pairs in a large group other than with the hub, those remain whose ends are in
+different components so far and whose sizes are near, unless the triangle inequality, which Jaccard distances obey, rules
+them out. Only the documents that send signatures have their sets written, and tables go after their last use.
 
 Defined results: a null or wordless text has the empty set and links with nothing; equal sets are one class; a null id
 makes its row link with nothing; rows that share an id are one node of the links; an empty table gives an empty result;
@@ -25,12 +31,13 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
 from rankweave.llm.hashing import as_bytes, chunks, mix, word_hashes
-from rankweave.llm.shared import written
+from rankweave.llm.shared import dropped, written
 
 #: Words in a shingle, and the least similarity as a fraction of whole numbers.
 SHINGLE, LEAST = 5, (80, 100)
@@ -39,10 +46,14 @@ BAND = 1.6
 #: Share of all documents that makes a shingle too common for signatures; in small tables, HOT_LEAST documents do. At most
 #: (mean set size) / HOT_SHARE shingles are common: that bounds the broadcast.
 HOT_SHARE, HOT_LEAST = 0.0005, 20
-#: Documents of a group that gives all its pairs, and cells of a histogram.
-SMALL, CELLS = 64, 256
-#: Rows that a task gathers before it removes repeated ones.
-FLUSH = 2_000_000
+#: Documents of a group that gives all its pairs, and bits of a sketch.
+SMALL, CELLS = 64, 1024
+#: Shingles or rows that a task gathers before it sends them on, and documents.
+FLUSH, MOST_DOCS = 2_000_000, 60_000
+#: Bytes of a key whose holders are counted. Two shingles that share a key only spare a set too few.
+KEY = 6
+#: Rows of the bitmap that keeps most other texts out of the shuffle, 64 bits each.
+BITMAP = 1 << 16
 
 
 def shingle_sets(texts: list[bytes], words: int = SHINGLE) -> Iterator[np.ndarray]:
@@ -119,8 +130,9 @@ def keys_of(s: np.ndarray, table: int, kind: int, least: tuple[int, int]) -> tup
     return mix(pairs + mix(name)), filled | filled[:, other]
 
 
-def histogram(s: np.ndarray) -> bytes:
-    return np.minimum(np.bincount((mix(s + np.uint64(5)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS), 255).astype(np.uint8).tobytes()
+def sketch(s: np.ndarray) -> bytes:
+    odd = np.bincount((mix(s + np.uint64(5)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
+    return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
 def signed(x: np.ndarray) -> pa.Array:
@@ -134,88 +146,191 @@ def slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBa
             yield batch.slice(k, rows)
 
 
-def set_table(texts: DataFrame) -> DataFrame:
-    """Per row (doc_id, n, s1, s2, hist): the set's size, two hashes and histogram. Under common, locally common shingles (s1) with counts (n)."""
+TABLE = "kind int, chunk long, slot int, doc_id long, n long, s1 long, s2 long, keys binary, slots binary"
+SETS, COMMON, ASKED = 0, 1, 2
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, docs = [], 0
 
-        def common() -> pa.RecordBatch:
-            u, n = np.unique(np.concatenate(held), return_counts=True)
-            often = n >= max(2, HOT_SHARE / 2 * docs)
-            u, n = u[often], n[often].astype(np.int64)
-            return pa.RecordBatch.from_arrays([pa.array(np.ones(len(u), bool)), pa.nulls(len(u), pa.int64()), pa.array(n), signed(u), signed(u), pa.nulls(len(u), pa.binary())], names)
+def rows_of(kind: int, size: int, **columns) -> pa.RecordBatch:
+    """A batch of TABLE; what isn't given is null."""
+    types = {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}
+    given, names, arrays = columns | {"kind": pa.array(np.full(size, kind, np.int32))}, [], []
+    for name, kind_of in (x.split() for x in TABLE.split(", ")):
+        names.append(name)
+        arrays.append(given.get(name, pa.nulls(size, types[kind_of])))
+    return pa.RecordBatch.from_arrays(arrays, names)
+
+
+def set_table(texts: DataFrame, parts: int) -> DataFrame:
+    """SETS: a document's set size and two hashes of its set, with its place in a chunk. COMMON: locally common shingles (s1) with counts (n).
+
+    ASKED: per chunk and part (slot) of the range of keys, its distinct keys of half the domain, in order, and who holds them;
+    the last slot is for keys that several of the chunk hold.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[np.ndarray] = []
+        chunk, total = TaskContext.get().partitionId() << 24, 0
+
+        def closed() -> Iterator[pa.RecordBatch]:
+            every, size = np.concatenate(held), [len(s) for s in held]
+            u, n = np.unique(every, return_counts=True)
+            often = n >= max(2, HOT_SHARE / 2 * len(held))
+            yield rows_of(COMMON, int(often.sum()), n=pa.array(n[often].astype(np.int64)), s1=signed(u[often]))
+            owner = np.repeat(np.arange(len(held), dtype=np.uint16), size)
+            half = (every & np.uint64(1)) == 0
+            keys, first, times = np.unique(every[half] >> np.uint64(64 - 8 * KEY), return_index=True, return_counts=True)
+            owner = np.where(times == 1, owner[half][first], 0xFFFF).astype("<u2")
+            at = np.append(np.searchsorted(keys, np.array([(k << (8 * KEY)) // parts for k in range(parts)], np.uint64)), len(keys))
+            packed = np.ascontiguousarray(keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :KEY])
+            full = np.flatnonzero(np.diff(at))
+            for some in np.array_split(full, max(1, len(full) // 1000)):
+                if len(some):
+                    yield rows_of(
+                        ASKED,
+                        len(some),
+                        chunk=pa.array(np.full(len(some), chunk)),
+                        slot=pa.array(some, pa.int32()),
+                        keys=pa.array([packed[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()),
+                        slots=pa.array([owner[at[k] : at[k + 1]].tobytes() for k in some], pa.binary()),
+                    )
 
         for batch in slices(batches, 1000):
             sets = list(shingle_sets(as_bytes(batch.column("text"))))
+            if held and (total > FLUSH or len(held) + len(sets) > MOST_DOCS):
+                yield from closed()
+                held, total, chunk = [], 0, chunk + 1
             s1 = np.array([mix(s).sum(dtype=np.uint64) for s in sets], np.uint64)
             s2 = np.array([mix(s + np.uint64(9)).sum(dtype=np.uint64) for s in sets], np.uint64)
             size = np.array([len(s) for s in sets], np.int64)
-            yield pa.RecordBatch.from_arrays([pa.array(np.zeros(len(sets), bool)), batch.column("doc_id"), pa.array(size), signed(s1), signed(s2), pa.array([histogram(x) for x in sets], pa.binary())], names)
+            slot = np.arange(len(held), len(held) + len(sets), dtype=np.int32)
+            yield rows_of(SETS, len(sets), chunk=pa.array(np.full(len(sets), chunk)), slot=pa.array(slot), doc_id=batch.column("doc_id"), n=pa.array(size), s1=signed(s1), s2=signed(s2))
             held += sets
-            docs += len(sets)
-            if sum(map(len, held)) > FLUSH:
-                yield common()
-                held, docs = [], 0
+            total += int(size.sum())
         if held:
-            yield common()
+            yield from closed()
+
+    return texts.mapInArrow(run, TABLE)
+
+
+def own_keys(asked: DataFrame, parts: int) -> DataFrame:
+    """(chunk, slot, own): how many keys no other document holds, for the documents that have such keys."""
+
+    def single(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: dict[int, list[tuple]] = {}
+        for batch in batches:
+            for part, *row in zip(*(batch.column(c).to_pylist() for c in ("slot", "chunk", "keys", "slots")), strict=True):
+                rows.setdefault(part, []).append(row)
+        while rows:
+            _, own = rows.popitem()
+            packed = np.frombuffer(b"".join(k for _, k, _ in own), np.uint8).reshape(-1, KEY)
+            keys = np.zeros((len(packed), 8), np.uint8)
+            keys[:, :KEY] = packed
+            keys, holders = keys.view("<u8").ravel(), np.frombuffer(b"".join(s for _, _, s in own), "<u2")
+            order = np.argsort(keys, kind="stable")
+            k = keys[order]
+            new = np.r_[True, k[1:] != k[:-1]]
+            alone = np.zeros(len(keys), bool)
+            alone[order] = new & np.r_[new[1:], True]
+            alone &= holders != 0xFFFF
+            ends = np.cumsum([len(s) // 2 for _, _, s in own])
+            slots = [holders[a:z][alone[a:z]].tobytes() for a, z in zip(np.r_[0, ends], ends, strict=False)]
+            yield pa.RecordBatch.from_arrays([pa.array([c for c, _, _ in own], pa.int64()), pa.array(slots, pa.binary())], ["chunk", "slots"])
+
+    def counted(table: pa.Table) -> pa.Table:
+        slots = np.frombuffer(b"".join(table.column("slots").to_pylist()), "<u2")
+        n = np.bincount(slots)
+        slot = np.flatnonzero(n)
+        return pa.table([pa.array(np.full(len(slot), table.column("chunk")[0].as_py(), np.int64)), pa.array(slot.astype(np.int32)), pa.array(n[slot].astype(np.int64))], ["chunk", "slot", "own"])
+
+    found = asked.select("slot", "chunk", "keys", "slots").repartitionById(parts, "slot").mapInArrow(single, "chunk long, slots binary")
+    return found.groupBy("chunk").applyInArrow(counted, "chunk long, slot int, own long")
+
+
+def node_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
+    """(node, n, set, sketch) of the texts that nodes (node) name; a set is its sorted hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 1000):
+            sets = list(shingle_sets(as_bytes(batch.column("text"))))
+            size = pa.array(np.array([len(s) for s in sets], np.int32))
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), size, pa.array([s.tobytes() for s in sets], pa.binary()), pa.array([sketch(s) for s in sets], pa.binary())], ["node", "n", "set", "sketch"])
 
-    names = ["common", "doc_id", "n", "s1", "s2", "hist"]
-    return texts.mapInArrow(run, "common boolean, doc_id long, n long, s1 long, s2 long, hist binary")
+    place = lambda c: F.pmod(F.xxhash64(c), F.lit(64 * BITMAP))
+    bit = nodes.select(place("node").alias("at")).select(F.expr("shiftright(at, 6)").alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit"))
+    bitmap = F.broadcast(bit.groupBy("word").agg(F.bit_or("bit").alias("bits")))
+    likely = texts.withColumn("at", place("doc_id")).withColumn("word", F.expr("shiftright(at, 6)")).join(bitmap, "word").where("(shiftrightunsigned(bits, CAST(at & 63 AS INT)) & 1) = 1")
+    return likely.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, n int, set binary, sketch binary")
 
 
-def signature_table(texts: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
+def signature_table(nodes: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def sent(keys: list[np.ndarray], rows: list[int], batch: pa.RecordBatch) -> pa.RecordBatch:
+            of = np.repeat(rows, [len(k) for k in keys])
+            return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), batch.column("node").take(pa.array(of)), batch.column("n").take(pa.array(of))], ["sig", "node", "n"])
+
         for batch in slices(batches, 1000):
-            keys, nodes, total = [], [], 0
-            for node, s in zip(batch.column("doc_id").to_pylist(), shingle_sets(as_bytes(batch.column("text"))), strict=True):
+            keys, rows, total = [], [], 0
+            for i, x in enumerate(batch.column("set").to_pylist()):
+                s = np.frombuffer(x, np.uint64)
                 if len(s):
                     keys.append(signatures(s[~np.isin(s, hot.value)] if len(hot.value) else s, s, least))
-                    nodes.append(np.full(len(keys[-1]), node, np.int64))
+                    rows.append(i)
                     total += len(keys[-1])
                 if total > 200_000:
-                    yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["sig", "node"])
-                    keys, nodes, total = [], [], 0
+                    yield sent(keys, rows, batch)
+                    keys, rows, total = [], [], 0
             if keys:
-                yield pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), pa.array(np.concatenate(nodes))], ["sig", "node"])
+                yield sent(keys, rows, batch)
 
-    return texts.mapInArrow(run, "sig long, node long")
+    return nodes.select("node", "n", "set").mapInArrow(run, "sig long, node long, n int")
 
 
-def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
-    """(a, b, group): pairs of small groups (group 0), and of large ones each document (b) with the first (a). Streams over sorted rows."""
+def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFrame:
+    """(a, b, group, n, near): pairs of small groups whose sizes are near (group 0), and of large ones each document (b, of n shingles) with the first (a).
+
+    Streams over sorted rows.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
-        kept_sig, kept = None, np.zeros(0, np.int64)  # the last group so far; only its hub once it is large
+        kept_sig, kept = None, np.zeros((0, 2), np.int64)  # the last group so far; only its hub once it is large
         hub_only = False
 
-        def add(a: np.ndarray, b: np.ndarray, group: int) -> None:
-            held.append(np.stack([a, b, np.full(len(a), group)], axis=1))
+        def near(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+            return (x * least[1] >= y * least[0]) & (y * least[1] >= x * least[0])
+
+        def add(a: np.ndarray, b: np.ndarray) -> None:
+            good = near(a[:, 1], b[:, 1])
+            a, b = a[good], b[good]
+            held.append(np.stack([a[:, 0], b[:, 0], np.zeros(len(a), np.int64), b[:, 1], np.ones(len(a), np.int64)], axis=1))
 
-        def star(nodes: np.ndarray, group: int) -> None:
-            add(np.full(len(nodes) - 1, nodes[0]), nodes[1:], int(group) or 1)
+        def star(rows: np.ndarray, group: int) -> None:
+            hub, others = rows[0], rows[1:]
+            held.append(np.stack([np.full(len(others), hub[0]), others[:, 0], np.full(len(others), int(group) or 1), others[:, 1], near(hub[1], others[:, 1])], axis=1))
 
         def close() -> None:
             if not hub_only and len(kept) > 1:
                 i, j = np.triu_indices(len(kept), 1)
-                add(kept[i], kept[j], 0)
+                add(kept[i], kept[j])
 
         def merged() -> pa.RecordBatch:
-            u = np.unique(np.concatenate(held), axis=0)
+            u = np.concatenate(held)
             held.clear()
-            return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(u[:, 2])], ["a", "b", "group"])
+            small = u[:, 2] == 0
+            u = np.concatenate([np.unique(u[small], axis=0), u[~small]])
+            return pa.RecordBatch.from_arrays([*(pa.array(u[:, i]) for i in range(3)), pa.array(u[:, 3].astype(np.int32)), pa.array(u[:, 4].astype(bool))], ["a", "b", "group", "n", "near"])
 
         for batch in batches:
-            sig, node = (batch.column(i).to_numpy() for i in range(2))
+            sig, node, n = (batch.column(i).to_numpy() for i in range(3))
             if not len(sig):
                 continue
+            rows = np.stack([node, n.astype(np.int64)], axis=1)
             start = np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]])
             size = np.diff(np.r_[start, len(sig)])
             # The first run may go on with the group that the batch before left open.
-            first = node[: size[0]]
+            first = rows[: size[0]]
             if sig[0] == kept_sig:
-                kept = np.r_[kept, first]
+                kept = np.concatenate([kept, first])
             else:
                 close()
                 kept_sig, kept, hub_only = sig[0], first, False
@@ -226,12 +341,12 @@ def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
                 close()
                 inner, inner_size = start[1:-1], size[1:-1]
                 for g in np.unique(inner_size[(inner_size > 1) & (inner_size <= SMALL)]):
-                    rows = node[inner[inner_size == g][:, None] + np.arange(g)]
+                    these = rows[inner[inner_size == g][:, None] + np.arange(g)]
                     i, j = np.triu_indices(g, 1)
-                    add(rows[:, i].ravel(), rows[:, j].ravel(), 0)
+                    add(these[:, i].reshape(-1, 2), these[:, j].reshape(-1, 2))
                 for k in np.flatnonzero(inner_size > SMALL):
-                    star(node[inner[k] : inner[k] + inner_size[k]], sig[inner[k]])
-                kept_sig, kept, hub_only = sig[-1], node[start[-1] :], False
+                    star(rows[inner[k] : inner[k] + inner_size[k]], sig[inner[k]])
+                kept_sig, kept, hub_only = sig[-1], rows[start[-1] :], False
                 if len(kept) > SMALL:
                     star(kept, kept_sig)
                     kept, hub_only = kept[:1], True
@@ -242,43 +357,96 @@ def grouped_pairs(sigs: DataFrame, parts: int) -> DataFrame:
             yield merged()
 
     dealt = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "a long, b long, group long").distinct()
+    return dealt.mapInArrow(run, "a long, b long, group long, n int, near boolean")
 
 
-def bounded(pairs: DataFrame, sets: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """pairs (a, b, ...) whose sizes allow a link, with the least distance that sizes and histograms allow, and whether it allows a link."""
+def bounded(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
+    """pairs (a, b) of near sizes with the least distance that sizes and sketches allow, and whether it allows a link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
-            h = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint8).reshape(-1, CELLS).astype(np.int16) for c in ("hist_a", "hist_b")]
-            low = np.maximum(np.abs(h[0] - h[1]).sum(1, dtype=np.int64), np.abs(n[0] - n[1]))
+            h = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, CELLS // 64) for c in ("sketch_a", "sketch_b")]
+            low = np.maximum(np.bitwise_count(h[0] ^ h[1]).sum(1, dtype=np.int64), np.abs(n[0] - n[1]))
             total = n[0] + n[1]
             d = 2 * low / np.maximum(1, total + low)
             may = (total - low) * least[1] >= (total + low) * least[0]
             yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b")), pa.array(d), pa.array(may)], ["a", "b", "low", "may"])
 
-    one, two = (sets.select(F.col("class").alias(c), F.col("n").alias("n_" + c), F.col("hist").alias("hist_" + c)) for c in ("a", "b"))
-    near = (F.col("n_a") * least[1] >= F.col("n_b") * least[0]) & (F.col("n_b") * least[1] >= F.col("n_a") * least[0])
-    sized = pairs.join(one.drop("hist_a"), "a").join(two.drop("hist_b"), "b").where(near)
-    full = sized.select("a", "b").join(one, "a").join(two, "b")
-    return full.mapInArrow(run, "a long, b long, low double, may boolean")
+    one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("sketch").alias("sketch_" + c)) for c in ("a", "b"))
+    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, low double, may boolean")
 
 
-def verified(pairs: DataFrame, texts: DataFrame, least: tuple[int, int]) -> DataFrame:
+def verified(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
     """pairs (a, b) with the distance of their sets, and whether they link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 250):
-            x, y = (list(shingle_sets(as_bytes(batch.column(c)))) for c in ("text_a", "text_b"))
+            x, y = ([np.frombuffer(s, np.uint64) for s in batch.column(c).to_pylist()] for c in ("set_a", "set_b"))
             both = np.array([len(np.intersect1d(p, q, assume_unique=True)) for p, q in zip(x, y, strict=True)], np.int64)
             union = np.array([len(p) + len(q) for p, q in zip(x, y, strict=True)], np.int64) - both
             link = (both > 0) & (least[1] * both >= least[0] * union)
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - both / np.maximum(1, union)), pa.array(link)], ["a", "b", "d", "link"])
 
-    one = texts.select(F.col("doc_id").alias("a"), F.col("text").alias("text_a"))
-    two = texts.select(F.col("doc_id").alias("b"), F.col("text").alias("text_b"))
-    return written(pairs.select("a", "b").join(one, "a").join(two, "b").select("a", "b", "text_a", "text_b").mapInArrow(run, "a long, b long, d double, link boolean"))
+    one, two = (nodes.select(F.col("node").alias(c), F.col("set").alias("set_" + c)) for c in ("a", "b"))
+    return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, d double, link boolean"))
+
+
+def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
+    """pairs (a, b, ...) whose ends are in different components of joined (node, component)."""
+    for column in ("a", "b"):
+        own = joined.select(F.col("node").alias(column), F.col("component").alias("of_" + column))
+        pairs = pairs.join(own, column, "left").withColumn("of_" + column, F.coalesce("of_" + column, column))
+    return pairs.where("of_a <> of_b")
+
+
+def links_of(nodes: DataFrame, hot, parts: int, least: tuple[int, int]) -> DataFrame:
+    """(node, component) of the nodes (node, n, set, sketch) that link with any."""
+    pairs = written(grouped_pairs(signature_table(nodes, hot, least), parts, least))
+    candidates = written(bounded(pairs.where("near").select("a", "b").distinct(), nodes, least))
+    may = candidates.where("may").select("a", "b")
+    # Each document with its first hub, then what is still apart.
+    seen = verified(may.groupBy("b").agg(F.min("a").alias("a")), nodes, least)
+    joined = components(seen.where("link").select("a", "b"))
+    more = verified(apart(may, joined).select("a", "b").join(seen.select("a", "b"), ["a", "b"], "left_anti"), nodes, least)
+    both = written(seen.unionByName(more))
+    dropped(seen, more)
+    joined = joined_by(joined, both)
+
+    # Of a large group only the hub's pairs are known. Another pair needs a look if its ends are in different components, one
+    # of them in another than the hub, and may still link by the triangle inequality: a hub's link is at most `reach` away.
+    stars = pairs.where("group <> 0")
+    split = written(apart(stars.select("a", "b").distinct(), joined).select("a", "b"))
+    if split.limit(1).count():
+        groups = stars.join(split, ["a", "b"], "left_semi").select("group").distinct()
+        known = candidates.select("a", "b", "low").join(both, ["a", "b"], "left")
+        around = stars.join(groups, "group", "left_semi").select("group", "a", "b", "n").join(known, ["a", "b"], "left")
+        # Where sizes alone rule the hub's link out, nothing is known of the distance.
+        around = around.select("group", "a", F.col("b").alias("x"), "n", F.coalesce("d", "low", F.lit(0.0)).alias("d"), F.coalesce("link", F.lit(False)).alias("link"))
+        for column in ("a", "x"):
+            own = joined.select(F.col("node").alias(column), F.col("component").alias("of_" + column))
+            around = around.join(own, column, "left").withColumn("of_" + column, F.coalesce("of_" + column, column))
+        # Sizes that may link are in the same band or in adjacent ones.
+        around = written(around.withColumn("band", F.floor(F.ln("n") / F.lit(float(np.log(least[1] / least[0])))).cast("int")))
+        far = around.where("of_x <> of_a").select("group", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("of_x").alias("of_y"), F.col("d").alias("e"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
+        reach = 1 - least[0] / least[1] + 1e-9
+        near = (F.col("n") * least[1] >= F.col("n_y") * least[0]) & (F.col("n_y") * least[1] >= F.col("n") * least[0])
+        left_open = far.join(around, ["group", "band"]).where("of_x <> of_y").where(near).where(~F.col("link") | (F.col("e") <= 2 * reach))
+        left_open = left_open.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+        last = verified(bounded(left_open, nodes, least).where("may"), nodes, least)
+        joined = joined_by(joined, last)
+        dropped(around, last)
+    joined = written(joined)
+    dropped(pairs, candidates, both, split)
+    return joined
+
+
+def joined_by(joined: DataFrame, seen: DataFrame) -> DataFrame:
+    """Components (node, component) after the links among (a, b, link) have been added."""
+    links = seen.where("link").select("a", "b")
+    if not apart(links, joined).limit(1).count():
+        return joined
+    return components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
@@ -286,38 +454,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    table = written(set_table(texts))
-    sets = table.where("NOT common").select("doc_id", "n", "s1", "s2", "hist")
-    n_docs = sets.count()
-    common = table.where("common").groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, HOT_SHARE * n_docs))
-    hot = spark.sparkContext.broadcast(np.sort(np.array([r.s1 for r in common.select("s1").collect()], np.int64).view(np.uint64)))
+    table = written(set_table(texts, parts))
+    own = own_keys(table.where(F.col("kind") == ASKED), parts)
+    sets = table.where(F.col("kind") == SETS).select("chunk", "slot", "doc_id", "n", "s1", "s2").join(own, ["chunk", "slot"], "left")
+    fits = F.coalesce("own", F.lit(0)) * least[1] <= F.col("n") * (least[1] - least[0])
+    sets = written(sets.select("doc_id", "n", "s1", "s2", fits.alias("fits")))
+    common = table.where(F.col("kind") == COMMON).groupBy("s1").agg(F.sum("n").alias("n")).where(F.col("n") >= max(HOT_LEAST, HOT_SHARE * sets.count()))
+    hot = spark.sparkContext.broadcast(np.sort(common.select("s1").toArrow()["s1"].to_numpy().view(np.uint64)))
+    dropped(table)
 
     named = sets.where("doc_id IS NOT NULL AND n > 0")
-    classes = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class"), F.min("hist").alias("hist")))
+    classes = written(named.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("class"), F.max("fits").alias("fits")))
     # One document of each class sends signatures.
-    nodes = texts.join(classes.select(F.col("class").alias("doc_id")), "doc_id", "left_semi")
-    pairs = written(grouped_pairs(signature_table(nodes, hot, least), parts))
-    candidates = written(bounded(pairs.select("a", "b").distinct(), classes, least))
-    seen = verified(candidates.where("may"), texts, least)
-    joined = written(components(seen.where("link").select("a", "b")))
-
-    # Of a large group only the hub's pairs are known. Another pair needs a look if one end at least is in another component
-    # than the hub, and may still link by the triangle inequality: a hub's link is at most `reach` away from it.
-    reach = 1 - least[0] / least[1] + 1e-9
-    known = candidates.join(seen.select("a", "b", "d", "link"), ["a", "b"], "left")
-    around = pairs.where("group <> 0").join(known, ["a", "b"], "left")
-    # Where sizes alone rule the hub's link out, nothing is known of the distance.
-    around = around.select("group", "a", F.col("b").alias("x"), F.coalesce("d", "low", F.lit(0.0)).alias("d"), F.coalesce("link", F.lit(False)).alias("link"))
-    for column in ("a", "x"):
-        own = joined.select(F.col("node").alias(column), F.col("component").alias("of_" + column))
-        around = around.join(own, column, "left").withColumn("of_" + column, F.coalesce("of_" + column, column))
-    around = written(around)
-    far = around.where("of_x <> of_a").select("group", F.col("x").alias("y"), F.col("of_x").alias("of_y"), F.col("d").alias("e"))
-    left_open = far.join(around, "group").where("of_x <> of_y").where(~F.col("link") | (F.col("e") <= 2 * reach))
-    left_open = left_open.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-    last = verified(bounded(left_open, classes, least).where("may"), texts, least)
-    if last.where("link").limit(1).count():
-        joined = components(joined.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(last.where("link").select("a", "b")))
+    nodes = written(node_table(texts, classes.where("fits").select(F.col("class").alias("node")).distinct()))
+    joined = links_of(nodes, hot, parts, least)
+    dropped(nodes)
 
     component = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("s1", "s2", "n", F.coalesce("component", "class").alias("component"), F.lit(True).alias("named"))
     out = sets.withColumn("named", F.expr("doc_id IS NOT NULL")).join(component, ["s1", "s2", "n", "named"], "left")

@@ -13,8 +13,11 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
 def shared_folder(spark) -> str:
-    """The checkpoint folder that the session names; one in the temporary folder only where none is set."""
+    """The checkpoint folder that the session names; one in the temporary folder only where none is set and Spark runs in this process."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    master = spark.sparkContext.master
+    if not found and (master.startswith("local-cluster") or not master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return found or f"{tempfile.gettempdir()}/checkpoints"
 
 
@@ -31,7 +34,16 @@ def written(df: DataFrame) -> DataFrame:
         df.write.parquet(path)
     finally:
         spark.conf.set(CLEANUP, before)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_to = path
+    return out
+
+
+def dropped(*tables: DataFrame) -> None:
+    """Deletes tables that written() made, after their last use: what is still lazy mustn't read them."""
+    for table in tables:
+        jvm, path = table.sparkSession._jvm, table.written_to
+        jvm.org.apache.hadoop.fs.Path(path).getFileSystem(table.sparkSession._jsc.hadoopConfiguration()).delete(jvm.org.apache.hadoop.fs.Path(path), True)
 
 
 def ascii_lower(text):
