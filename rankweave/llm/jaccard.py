@@ -46,8 +46,8 @@ BAND = 1.6
 #: Share of all documents that makes a shingle too common for signatures; in small tables, HOT_LEAST documents do. At most
 #: (mean set size) / HOT_SHARE shingles are common: that bounds the broadcast.
 HOT_SHARE, HOT_LEAST = 0.0005, 20
-#: Documents of a group that gives all its pairs, and bits of a sketch.
-SMALL, CELLS = 64, 1024
+#: Documents of a group that gives all its pairs.
+SMALL = 64
 #: Shingles or rows that a task gathers before it sends them on, and documents.
 FLUSH, MOST_DOCS = 2_000_000, 60_000
 #: Bytes of a key whose holders are counted. Two shingles that share a key only spare a set too few.
@@ -131,10 +131,25 @@ def keys_of(s: np.ndarray, table: int, kind: int, least: tuple[int, int]) -> tup
 
 
 def sketch(s: np.ndarray) -> bytes:
-    odd = np.bincount((mix(s + np.uint64(5)) % np.uint64(CELLS)).astype(np.int64), minlength=CELLS) & 1
+    """Parities in as many cells, a power of two, as the set has shingles, or up to twice as many."""
+    cells = max(64, 1 << len(s).bit_length())
+    odd = np.bincount((mix(s + np.uint64(5)) % np.uint64(cells)).astype(np.int64), minlength=cells) & 1
     return np.packbits(odd.astype(np.uint8)).tobytes()
 
 
+def sketch_distances(x: list[bytes], y: list[bytes]) -> np.ndarray:
+    """In how many cells two sketches differ; the longer one is folded to the size of the other."""
+    out, sizes = np.zeros(len(x), np.int64), np.array([(len(p), len(q)) for p, q in zip(x, y, strict=True)]).reshape(-1, 2)
+    kinds, kind = np.unique(sizes, axis=0, return_inverse=True)
+    for k, sizes_of in enumerate(kinds):
+        at = np.flatnonzero(kind.ravel() == k)
+        p, q = (np.frombuffer(b"".join(z[i] for i in at), np.uint64).reshape(len(at), n // 8) for z, n in zip((x, y), sizes_of, strict=True))
+        while p.shape[1] != q.shape[1]:
+            p, q = (z[:, : z.shape[1] // 2] ^ z[:, z.shape[1] // 2 :] if z.shape[1] > min(p.shape[1], q.shape[1]) else z for z in (p, q))
+        out[at] = np.bitwise_count(p ^ q).sum(1, dtype=np.int64)
+    return out
+
+
 def signed(x: np.ndarray) -> pa.Array:
     return pa.array(np.ascontiguousarray(x).view(np.int64))
 
@@ -366,8 +381,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             n = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
-            h = [np.frombuffer(b"".join(batch.column(c).to_pylist()), np.uint64).reshape(-1, CELLS // 64) for c in ("sketch_a", "sketch_b")]
-            low = np.maximum(np.bitwise_count(h[0] ^ h[1]).sum(1, dtype=np.int64), np.abs(n[0] - n[1]))
+            low = np.maximum(sketch_distances(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))), np.abs(n[0] - n[1]))
             total = n[0] + n[1]
             d = 2 * low / np.maximum(1, total + low)
             may = (total - low) * least[1] >= (total + low) * least[0]
