@@ -14,11 +14,14 @@ signature's group is small. Signatures without any shingle aren't sent; a set th
 rest on them alone sends signatures of its whole set as well, for others of its kind.
 
 Small groups give all their pairs, large ones each document with the first of them, the hub. Each set has a sketch, the
-parities of its shingles in fixed cells; the distance of two sketches bounds the Hamming distance from below and spares
-most pairs the exact comparison. Each document is compared with its first hub, then with those of its candidates that
-are still in another component. Of the pairs in a large group other than with the hub, those remain whose ends are in
-different components so far and whose sizes are near, unless the triangle inequality, which Jaccard distances obey, rules
-them out. Only the documents that send signatures have their sets written, and tables go after their last use.
+parities of its shingles in cells as many as it is large; the distance of two sketches bounds the Hamming distance from
+below and spares most pairs the exact comparison. Each document is compared with its first hub, then with those of its
+candidates that are still in another component.
+
+Where a large group still holds several components, the sketches of its documents meet in blocks of bounded size within
+tasks, which send only pairs of different components that may link: first each document's likeliest partner among a few
+in a part of the groups, which joins nearly all that belongs together, then, exactly, every pair. Only the documents that
+send signatures have their sets written, and tables go after their last use.
 
 Defined results: a null or wordless text has the empty set and links with nothing; equal sets are one class; a null id
 makes its row link with nothing; rows that share an id are one node of the links; an empty table gives an empty result;
@@ -46,8 +49,10 @@ BAND = 1.6
 #: Share of all documents that makes a shingle too common for signatures; in small tables, HOT_LEAST documents do. At most
 #: (mean set size) / HOT_SHARE shingles are common: that bounds the broadcast.
 HOT_SHARE, HOT_LEAST = 0.0005, 20
-#: Documents of a group that gives all its pairs.
-SMALL = 64
+#: Documents of a group that gives all its pairs, and of a block of a large one.
+SMALL, BLOCK = 64, 4096
+#: The first look into large groups takes one group of so many, and as many partners of each document.
+SHARE, PARTNERS = 8, 8
 #: Shingles or rows that a task gathers before it sends them on, and documents.
 FLUSH, MOST_DOCS = 2_000_000, 60_000
 #: Bytes of a key whose holders are counted. Two shingles that share a key only spare a set too few.
@@ -301,10 +306,7 @@ def signature_table(nodes: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
 
 
 def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFrame:
-    """(a, b, group, n, near): pairs of small groups whose sizes are near (group 0), and of large ones each document (b, of n shingles) with the first (a).
-
-    Streams over sorted rows.
-    """
+    """(a, b, star, near): pairs of small groups whose sizes are near, and of large ones (star) each document (b) with the first (a). Streams over sorted rows."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[np.ndarray] = []
@@ -317,11 +319,11 @@ def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFr
         def add(a: np.ndarray, b: np.ndarray) -> None:
             good = near(a[:, 1], b[:, 1])
             a, b = a[good], b[good]
-            held.append(np.stack([a[:, 0], b[:, 0], np.zeros(len(a), np.int64), b[:, 1], np.ones(len(a), np.int64)], axis=1))
+            held.append(np.stack([a[:, 0], b[:, 0], np.ones(len(a), np.int64)], axis=1))
 
-        def star(rows: np.ndarray, group: int) -> None:
+        def star(rows: np.ndarray) -> None:
             hub, others = rows[0], rows[1:]
-            held.append(np.stack([np.full(len(others), hub[0]), others[:, 0], np.full(len(others), int(group) or 1), others[:, 1], near(hub[1], others[:, 1])], axis=1))
+            held.append(np.stack([np.full(len(others), hub[0]), others[:, 0], 2 + near(hub[1], others[:, 1])], axis=1))
 
         def close() -> None:
             if not hub_only and len(kept) > 1:
@@ -329,11 +331,9 @@ def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFr
                 add(kept[i], kept[j])
 
         def merged() -> pa.RecordBatch:
-            u = np.concatenate(held)
-            held.clear()
-            small = u[:, 2] == 0
-            u = np.concatenate([np.unique(u[small], axis=0), u[~small]])
-            return pa.RecordBatch.from_arrays([*(pa.array(u[:, i]) for i in range(3)), pa.array(u[:, 3].astype(np.int32)), pa.array(u[:, 4].astype(bool))], ["a", "b", "group", "n", "near"])
+            u = np.unique(np.concatenate(held), axis=0)
+            held[:] = []
+            return pa.RecordBatch.from_arrays([pa.array(u[:, 0]), pa.array(u[:, 1]), pa.array(u[:, 2] >= 2), pa.array(u[:, 2] % 2 == 1)], ["a", "b", "star", "near"])
 
         for batch in batches:
             sig, node, n = (batch.column(i).to_numpy() for i in range(3))
@@ -350,7 +350,7 @@ def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFr
                 close()
                 kept_sig, kept, hub_only = sig[0], first, False
             if hub_only or len(kept) > SMALL:
-                star(kept, kept_sig)
+                star(kept)
                 kept, hub_only = kept[:1], True
             if len(start) > 1:
                 close()
@@ -360,10 +360,10 @@ def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFr
                     i, j = np.triu_indices(g, 1)
                     add(these[:, i].reshape(-1, 2), these[:, j].reshape(-1, 2))
                 for k in np.flatnonzero(inner_size > SMALL):
-                    star(rows[inner[k] : inner[k] + inner_size[k]], sig[inner[k]])
+                    star(rows[inner[k] : inner[k] + inner_size[k]])
                 kept_sig, kept, hub_only = sig[-1], rows[start[-1] :], False
                 if len(kept) > SMALL:
-                    star(kept, kept_sig)
+                    star(kept)
                     kept, hub_only = kept[:1], True
             if sum(map(len, held)) > FLUSH // 4:
                 yield merged()
@@ -372,23 +372,168 @@ def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFr
             yield merged()
 
     dealt = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "a long, b long, group long, n int, near boolean")
+    return dealt.mapInArrow(run, "a long, b long, star boolean, near boolean")
+
+
+def least_distance(n: np.ndarray, m: np.ndarray, apart: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
+    """The least Hamming distance of sets of n and m shingles whose sketches are so far apart, and whether it allows a link."""
+    low, total = np.maximum(apart, np.abs(n - m)), n + m
+    return low, (total - low) * least[1] >= (total + low) * least[0]
 
 
 def bounded(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
-    """pairs (a, b) of near sizes with the least distance that sizes and sketches allow, and whether it allows a link."""
+    """Those of pairs (a, b) that sizes and sketches allow to link."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            n = [batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b")]
-            low = np.maximum(sketch_distances(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))), np.abs(n[0] - n[1]))
-            total = n[0] + n[1]
-            d = 2 * low / np.maximum(1, total + low)
-            may = (total - low) * least[1] >= (total + low) * least[0]
-            yield pa.RecordBatch.from_arrays([*(batch.column(c) for c in ("a", "b")), pa.array(d), pa.array(may)], ["a", "b", "low", "may"])
+            n, m = (batch.column(c).to_numpy().astype(np.int64) for c in ("n_a", "n_b"))
+            may = least_distance(n, m, sketch_distances(*(batch.column(c).to_pylist() for c in ("sketch_a", "sketch_b"))), least)[1]
+            yield batch.select(["a", "b"]).filter(pa.array(may))
 
     one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("sketch").alias("sketch_" + c)) for c in ("a", "b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, low double, may boolean")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+
+
+def folded(sketches: list[bytes]) -> np.ndarray:
+    """Sketches of any sizes as rows of the smallest one's size."""
+    least, out = min(map(len, sketches)) // 8, []
+    for x in sketches:
+        row = np.frombuffer(x, np.uint64)
+        while len(row) > least:
+            row = row[: len(row) // 2] ^ row[len(row) // 2 :]
+        out.append(row)
+    return np.stack(out)
+
+
+def likely_pairs(x, y, least: tuple[int, int], first_only: bool) -> np.ndarray:
+    """(a, b, low) of the pairs of rows of two blocks that may link and are in different components.
+
+    A block is (node, n, component, sketches). With first_only, both are the same block and each row meets only those that follow it.
+    """
+    out = [np.zeros((0, 3), np.int64)]
+    width = min(x[3].shape[1], y[3].shape[1])
+    sx, sy = (np.bitwise_xor.reduce(z[3].reshape(len(z[3]), -1, width), axis=1) for z in (x, y))
+
+    def add(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+        low, may = least_distance(x[1][i], y[1][j], apart, least)
+        may &= x[2][i] != y[2][j]
+        a, b = x[0][i][may], y[0][j][may]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), low[may]], axis=1))
+
+    if first_only:
+        for k in range(1, min(PARTNERS, len(sx) - 1) + 1):
+            i = np.arange(len(sx) - k)
+            add(i, i + k, np.bitwise_count(sx[:-k] ^ sx[k:]).sum(1, dtype=np.int64))
+        return np.concatenate(out)
+    # Rows of the commonest component needn't meet each other.
+    names, n = np.unique(np.r_[x[2], y[2]], return_counts=True)
+    usual = names[n.argmax()]
+    for far, (p, q, u, v) in ((x[2] != usual, (sx, sy, x, y)), (y[2] != usual, (sy, sx, y, x))):
+        at = np.flatnonzero(far)
+        for k in range(0, len(at), 64):
+            i, j = np.meshgrid(at[k : k + 64], np.arange(len(q)), indexing="ij")
+            i, j = (z.ravel() for z in (i, j))
+            good = u[2][i] != v[2][j]
+            i, j = i[good], j[good]
+            apart = np.bitwise_count(p[i] ^ q[j]).sum(1, dtype=np.int64)
+            add(*((i, j) if u is x else (j, i)), apart)
+        if x is y:
+            break
+    return np.unique(np.concatenate(out), axis=0)
+
+
+LIKELY = "a long, b long, low long, group long, block int, nodes binary, sizes binary, components binary, sketches binary"
+
+
+def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_only: bool) -> DataFrame:
+    """(a, b, low): pairs of different components within large groups of rows (node, n, set, sketch, component) that may link."""
+
+    def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in slices(batches, 200):
+            keys = []
+            for x in batch.column("set").to_pylist():
+                s = np.frombuffer(x, np.uint64)
+                k = signatures(s[~np.isin(s, hot.value)] if len(hot.value) else s, s, least)
+                keys.append(k[k % np.uint64(SHARE) == 0] if first_only else k)
+            of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
+            sig = np.concatenate([np.zeros(0, np.uint64), *keys])
+            yield pa.RecordBatch.from_arrays([signed(sig), *(batch.column(c).take(of) for c in names)], ["sig", *names])
+
+    names = ["node", "n", "component", "sketch"]
+    spread = rows.repartition(parts, "node").select("set", *names).mapInArrow(sent, "sig long, node long, n int, component long, sketch binary")
+
+    def block_of(table: pa.Table):
+        return *(table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "component")), folded(table.column("sketch").to_pylist())
+
+    def row(pairs: np.ndarray, group: int | None = None, block: int | None = None, x=None) -> pa.RecordBatch:
+        n = len(pairs) if x is None else 1
+        if x is None:
+            values = [*(pa.array(pairs[:, i]) for i in range(3)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(4))]
+        else:
+            values = [*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([group], pa.int64()), pa.array([block], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in x)]
+        return pa.RecordBatch.from_arrays(values, [c.split()[0] for c in LIKELY.split(", ")])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        group, held, total, block = None, [], 0, 0
+        found, n_found = [], 0
+
+        def within() -> tuple[np.ndarray, ...]:
+            nonlocal n_found
+            x = block_of(pa.concat_tables(held))
+            if len(np.unique(x[2])) > 1:
+                found.append(likely_pairs(x, x, least, first_only))
+                n_found += len(found[-1])
+            return x
+
+        for batch in batches:
+            sig = batch.column("sig").to_numpy()
+            table, start = pa.Table.from_batches([batch]), np.flatnonzero(np.r_[True, sig[1:] != sig[:-1]]) if len(sig) else []
+            for a, z in zip(start, np.r_[start[1:], len(sig)], strict=False):
+                if group is not None and sig[a] != group:
+                    # The last block of a group that has several must meet the others as well.
+                    if block or total > SMALL:
+                        x = within()
+                        if block and not first_only:
+                            yield row(None, int(group), block, x)
+                    held, total, block = [], 0, 0
+                group = sig[a]
+                while a < z:
+                    some = table.slice(a, min(z - a, BLOCK - total))
+                    held.append(some)
+                    total, a = total + len(some), a + len(some)
+                    if total == BLOCK:
+                        x = within()
+                        if not first_only:
+                            yield row(None, int(group), block, x)
+                        held, total, block = [], 0, block + 1
+                if n_found > FLUSH // 4:
+                    yield row(np.unique(np.concatenate(found), axis=0))
+                    found, n_found = [], 0
+        if total and (block or total > SMALL):
+            x = within()
+            if block and not first_only:
+                yield row(None, int(group), block, x)
+        if n_found:
+            yield row(np.unique(np.concatenate(found), axis=0))
+
+    dealt = spread.repartition(parts, "sig").sortWithinPartitions("sig", F.xxhash64("sig", "node")).mapInArrow(run, LIKELY)
+    if first_only:
+        return dealt.select("a", "b", "low")
+    dealt = written(dealt)
+    blocks = dealt.where("block IS NOT NULL").select("group", "block", "nodes", "sizes", "components", "sketches")
+    one, two = (blocks.select("group", *(F.col(c).alias(c + side) for c in blocks.columns[1:])) for side in ("_a", "_b"))
+
+    def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for i in range(batch.num_rows):
+                sides = []
+                for side in ("_a", "_b"):
+                    x = [np.frombuffer(batch.column(c + side)[i].as_py(), np.uint64 if c == "sketches" else np.int64) for c in ("nodes", "sizes", "components", "sketches")]
+                    sides.append((*x[:3], x[3].reshape(len(x[0]), -1)))
+                yield row(likely_pairs(*sides, least, False)).select(["a", "b", "low"])
+
+    met = one.join(two, "group").where("block_a < block_b").mapInArrow(across, "a long, b long, low long")
+    return dealt.where("a IS NOT NULL").select("a", "b", "low").unionByName(met)
 
 
 def verified(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataFrame:
@@ -417,41 +562,28 @@ def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:
 def links_of(nodes: DataFrame, hot, parts: int, least: tuple[int, int]) -> DataFrame:
     """(node, component) of the nodes (node, n, set, sketch) that link with any."""
     pairs = written(grouped_pairs(signature_table(nodes, hot, least), parts, least))
-    candidates = written(bounded(pairs.where("near").select("a", "b").distinct(), nodes, least))
-    may = candidates.where("may").select("a", "b")
+    may = written(bounded(pairs.where("near").select("a", "b").distinct(), nodes, least))
     # Each document with its first hub, then what is still apart.
     seen = verified(may.groupBy("b").agg(F.min("a").alias("a")), nodes, least)
     joined = components(seen.where("link").select("a", "b"))
     more = verified(apart(may, joined).select("a", "b").join(seen.select("a", "b"), ["a", "b"], "left_anti"), nodes, least)
-    both = written(seen.unionByName(more))
-    dropped(seen, more)
-    joined = joined_by(joined, both)
-
-    # Of a large group only the hub's pairs are known. Another pair needs a look if its ends are in different components, one
-    # of them in another than the hub, and may still link by the triangle inequality: a hub's link is at most `reach` away.
-    stars = pairs.where("group <> 0")
-    split = written(apart(stars.select("a", "b").distinct(), joined).select("a", "b"))
-    if split.limit(1).count():
-        groups = stars.join(split, ["a", "b"], "left_semi").select("group").distinct()
-        known = candidates.select("a", "b", "low").join(both, ["a", "b"], "left")
-        around = stars.join(groups, "group", "left_semi").select("group", "a", "b", "n").join(known, ["a", "b"], "left")
-        # Where sizes alone rule the hub's link out, nothing is known of the distance.
-        around = around.select("group", "a", F.col("b").alias("x"), "n", F.coalesce("d", "low", F.lit(0.0)).alias("d"), F.coalesce("link", F.lit(False)).alias("link"))
-        for column in ("a", "x"):
-            own = joined.select(F.col("node").alias(column), F.col("component").alias("of_" + column))
-            around = around.join(own, column, "left").withColumn("of_" + column, F.coalesce("of_" + column, column))
-        # Sizes that may link are in the same band or in adjacent ones.
-        around = written(around.withColumn("band", F.floor(F.ln("n") / F.lit(float(np.log(least[1] / least[0])))).cast("int")))
-        far = around.where("of_x <> of_a").select("group", F.col("x").alias("y"), F.col("n").alias("n_y"), F.col("of_x").alias("of_y"), F.col("d").alias("e"), F.explode(F.expr("array(band - 1, band, band + 1)")).alias("band"))
-        reach = 1 - least[0] / least[1] + 1e-9
-        near = (F.col("n") * least[1] >= F.col("n_y") * least[0]) & (F.col("n_y") * least[1] >= F.col("n") * least[0])
-        left_open = far.join(around, ["group", "band"]).where("of_x <> of_y").where(near).where(~F.col("link") | (F.col("e") <= 2 * reach))
-        left_open = left_open.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-        last = verified(bounded(left_open, nodes, least).where("may"), nodes, least)
+    joined = joined_by(joined, more)
+    dropped(may, seen, more)
+    # Of a large group only the hub's pairs are known: a group that still holds several components is looked into.
+    for first_only in (True, False):
+        hubs = apart(pairs.where("star").select("a", "b").distinct(), joined).select("a").distinct()
+        there = pairs.where("star").join(hubs, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        own = joined.select("node", "component")
+        rows = written(nodes.join(there, "node", "left_semi").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        found = second_look(rows, hot, parts, least, first_only)
+        if first_only:
+            # Each document's likeliest partner.
+            found = found.select(F.explode(F.expr("array(struct(a AS me, a, b, low), struct(b AS me, a, b, low))")).alias("x")).select("x.*").groupBy("me").agg(F.min_by(F.struct("a", "b"), F.struct("low", "a", "b")).alias("x")).select("x.*")
+        last = verified(found.select("a", "b").distinct(), rows, least)
         joined = joined_by(joined, last)
-        dropped(around, last)
+        dropped(rows, last)
     joined = written(joined)
-    dropped(pairs, candidates, both, split)
+    dropped(pairs)
     return joined
 
 
