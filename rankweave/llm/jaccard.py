@@ -50,9 +50,11 @@ BAND = 1.6
 #: (mean set size) / HOT_SHARE shingles are common: that bounds the broadcast.
 HOT_SHARE, HOT_LEAST = 0.0005, 20
 #: Documents of a group that gives all its pairs, and of a block of a large one.
-SMALL, BLOCK = 64, 4096
+SMALL, BLOCK = 16, 4096
 #: The first look into large groups takes one group of so many, and as many partners of each document.
 SHARE, PARTNERS = 8, 8
+#: Bytes of a sketch that a document sends with each signature at most.
+SENT = 256
 #: Shingles or rows that a task gathers before it sends them on, and documents.
 FLUSH, MOST_DOCS = 2_000_000, 60_000
 #: Bytes of a key whose holders are counted. Two shingles that share a key only spare a set too few.
@@ -449,15 +451,24 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
     """(a, b, low): pairs of different components within large groups of rows (node, n, set, sketch, component) that may link."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in slices(batches, 200):
-            keys = []
-            for x in batch.column("set").to_pylist():
+        def some(rows: list[int], keys: list[np.ndarray], batch: pa.RecordBatch, sketches: pa.Array) -> pa.RecordBatch:
+            of = pa.array(np.repeat(rows, [len(k) for k in keys]))
+            return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), *(batch.column(c).take(of) for c in names[:3]), sketches.take(of)], ["sig", *names])
+
+        for batch in slices(batches, 1000):
+            sketches = pa.array([folded([x, bytes(SENT)])[0].tobytes() if len(x) > SENT else x for x in batch.column("sketch").to_pylist()], pa.binary())
+            keys, rows, total = [], [], 0
+            for i, x in enumerate(batch.column("set").to_pylist()):
                 s = np.frombuffer(x, np.uint64)
                 k = signatures(s[~np.isin(s, hot.value)] if len(hot.value) else s, s, least)
                 keys.append(k[k % np.uint64(SHARE) == 0] if first_only else k)
-            of = pa.array(np.repeat(np.arange(len(keys)), [len(k) for k in keys]))
-            sig = np.concatenate([np.zeros(0, np.uint64), *keys])
-            yield pa.RecordBatch.from_arrays([signed(sig), *(batch.column(c).take(of) for c in names)], ["sig", *names])
+                rows.append(i)
+                total += len(keys[-1])
+                if total > 50_000:
+                    yield some(rows, keys, batch, sketches)
+                    keys, rows, total = [], [], 0
+            if total:
+                yield some(rows, keys, batch, sketches)
 
     names = ["node", "n", "component", "sketch"]
     spread = rows.repartition(parts, "node").select("set", *names).mapInArrow(sent, "sig long, node long, n int, component long, sketch binary")
@@ -570,20 +581,25 @@ def links_of(nodes: DataFrame, hot, parts: int, least: tuple[int, int]) -> DataF
     joined = joined_by(joined, more)
     dropped(may, seen, more)
     # Of a large group only the hub's pairs are known: a group that still holds several components is looked into.
+    stars = written(pairs.where("star").select("a", "b").distinct())
+    dropped(pairs)
     for first_only in (True, False):
-        hubs = apart(pairs.where("star").select("a", "b").distinct(), joined).select("a").distinct()
-        there = pairs.where("star").join(hubs, "a", "left_semi").select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        split = written(apart(stars, joined).select("a", "b", "of_a"))
+        # The components of such hubs, and the documents apart from them, hold all of these groups.
         own = joined.select("node", "component")
-        rows = written(nodes.join(there, "node", "left_semi").join(own, "node", "left").withColumn("component", F.coalesce("component", "node")))
+        placed = nodes.select("node").distinct().join(own, "node", "left").withColumn("component", F.coalesce("component", "node"))
+        there = placed.join(split.select(F.col("of_a").alias("component")).distinct(), "component", "left_semi").select("node").unionByName(split.select(F.col("b").alias("node"))).distinct()
+        rows = written(nodes.join(there, "node", "left_semi").join(placed, "node"))
+        dropped(split)
         found = second_look(rows, hot, parts, least, first_only)
         if first_only:
             # Each document's likeliest partner.
             found = found.select(F.explode(F.expr("array(struct(a AS me, a, b, low), struct(b AS me, a, b, low))")).alias("x")).select("x.*").groupBy("me").agg(F.min_by(F.struct("a", "b"), F.struct("low", "a", "b")).alias("x")).select("x.*")
-        last = verified(found.select("a", "b").distinct(), rows, least)
+        last = verified(bounded(found.select("a", "b").distinct(), rows, least), rows, least)
         joined = joined_by(joined, last)
         dropped(rows, last)
     joined = written(joined)
-    dropped(pairs)
+    dropped(stars)
     return joined
 
 
