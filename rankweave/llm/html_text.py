@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 THRESHOLD, SMOOTH = 0.2, (0.25, 0.5, 0.25)
 
 # Element names and class words of HTML.
-RAW = "script|style|noscript|template|iframe|svg|math|textarea|select|object|canvas|title"
+RAW = set("script style noscript template iframe svg textarea select object canvas title".split())
 BLOCKS = set("address article aside blockquote body caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table tbody td tfoot th thead tr ul".split())
 VOID = set("area base br col embed hr img input link meta param source track wbr".split())
 CLOSED_BY_BLOCK = {"p", "h1", "h2", "h3", "h4", "h5", "h6"}
@@ -41,100 +41,155 @@ WORDS = set(
     " tracking widget widgets".split()
 )
 
-TOKEN = re.compile(rf"<!--.*?(?:-->|\Z)|<(?P<raw>{RAW})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*>.*?(?:</(?P=raw)\s*>|\Z)|<(?P<end>/?)(?P<name>[a-zA-Z][a-zA-Z0-9:-]*)(?P<attrs>(?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>", re.S | re.I)
+#: Paragraphs and headings of an article go only where a class names what is no part of it.
+PROSE = {"p", "h1", "h2", "h3", "h4", "h5", "h6", "pre", "blockquote"}
+NO_PART = set("ad ads adv advert adverts advertisement comment comments consent cookie hidden notice notices sponsored".split())
+NAME = re.compile(r"</?([a-zA-Z][a-zA-Z0-9:-]*)")
+STOP = re.compile("[>\"']")
 ATTRIBUTE = re.compile(r"([a-zA-Z-]+)(?:\s*=\s*(\"[^\"]*\"|'[^']*'|[^\s\"'>]+))?")
 PUNCTUATION = re.compile(r"[.,;:!?。，、；：！？…]")
 
 
 class Node:
-    """An open element: its path, whether it or one around it is boilerplate, and its enclosing elements."""
+    """An open element: a number for its path, its nearest block element, and whether it or one around it is boilerplate."""
 
-    __slots__ = ("name", "path", "off", "above", "inside")
+    __slots__ = ("name", "path", "off", "above", "inside", "block", "depth", "kept")
 
-    def __init__(self, name: str, attrs: str, above: Node | None):
+    def __init__(self, name: str, attrs: str, above: Node | None, paths: dict):
         found = {k.lower(): v.strip("\"'").lower() for k, v in ATTRIBUTE.findall(attrs)} if attrs.strip(" /\n\t") else {}
         kind = found.get("class", "").split()
-        self.name, self.above = name, above
-        self.path = f"{above.path if above else ''}/{name}{'.' + kind[0] if kind else ''}"
+        self.name, self.above, self.kept = name, above, None
+        self.depth = above.depth + 1 if above else 0
+        self.path = paths.setdefault((above.path if above else -1, name, kind[0] if kind else ""), len(paths))
+        self.block = self if above is None or name in BLOCKS else above.block
         self.inside = (name in ("article", "main")) or bool(above and above.inside)
         words = set(re.split(r"[^a-z]+", f"{found.get('class', '')} {found.get('id', '')}")) if found else set()
-        marked = bool(words & WORDS) and name not in ("html", "body", "main", "article") or found.get("role") in ROLES
+        marked = bool(words & (NO_PART if name in PROSE and above.inside else WORDS)) and name not in ("html", "body", "main", "article") or found.get("role") in ROLES
         unseen = "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "")
         named = name in BOILERPLATE or name == "header" and not self.inside
         commented = name == "article" and bool(words & {"comment", "comments", "reply", "related", "teaser", "ad", "ads", "promo", "sponsored"})
         self.off = bool(above and above.off) or marked or unseen or named or commented
 
 
+def tokens(page: str) -> Iterator[tuple[str, str, str]]:
+    """(kind, name, content): "text", "start" with attributes, "end". Comments, declarations and raw elements are left out. Linear in the page.
+
+    A tag ends at the first > outside quotes. Where none follows, this tag and all later ones end at their first >.
+    """
+    at, loose, last = 0, False, page.rfind(">")
+    while True:
+        tag = page.find("<", at)
+        while tag >= 0 and not (page.startswith(("<!", "<?"), tag) or NAME.match(page, tag)):
+            yield "text", "", page[at : tag + 1]
+            at = tag + 1
+            tag = page.find("<", at)
+        if tag < 0 or tag > last and not page.startswith("<!--", tag):
+            yield "text", "", page[at:]
+            return
+        if tag > at:
+            yield "text", "", page[at:tag]
+        if page.startswith("<!--", tag):
+            at = page.find("-->", tag + 4)
+            at = len(page) if at < 0 else at + 3
+            continue
+        if page.startswith(("<!", "<?"), tag):
+            at = page.index(">", tag) + 1
+            continue
+        named = NAME.match(page, tag)
+        end = -1 if loose else tag_end(page, named.end())
+        if end < 0:
+            loose, end = True, page.index(">", named.end())
+        name, at = named[1].lower(), end + 1
+        if page[tag + 1] == "/":
+            yield "end", name, ""
+        elif name in RAW:
+            found = re.compile(rf"</{name}\s*>", re.I).search(page, at)
+            at = found.end() if found else len(page)
+        else:
+            yield "start", name, page[named.end() : end]
+
+
+def tag_end(page: str, at: int) -> int:
+    """Where the tag's > is, outside quotes; -1 if there is none."""
+    while found := STOP.search(page, at):
+        if found[0] == ">":
+            return found.start()
+        at = page.find(found[0], found.end()) + 1
+        if not at:
+            break
+    return -1
+
+
 def blocks_of(page: str) -> list[tuple[Node, str]]:
     """The page's text blocks in order, each with its innermost block element."""
+    paths: dict[tuple[int, str, str], int] = {}
     out: list[tuple[Node, str]] = []
-    open_nodes: list[Node] = [Node("#", "", None)]
+    open_nodes: list[Node] = [Node("#", "", None, paths)]
+    count: dict[str, int] = defaultdict(int)
     held: list[str] = []
 
     def flush() -> None:
         text = " ".join("".join(held).split())
         held.clear()
         if text:
-            at = next(x for x in reversed(open_nodes) if x.name in BLOCKS or x.name == "#")
             inner = open_nodes[-1]
-            out.append((inner if inner.off and not at.off else at, text))
+            out.append((inner if inner.off and not inner.block.off else inner.block, text))
 
     def close(k: int) -> None:
         flush()
+        for node in open_nodes[k:]:
+            count[node.name] -= 1
         del open_nodes[k:]
 
-    last = 0
-    for m in TOKEN.finditer(page):
-        if m.start() > last:
-            held.append(html.unescape(page[last : m.start()]))
-        last = m.end()
-        name = (m["name"] or "").lower()
-        if not name:
-            continue
-        if name == "br":
+    for kind, name, content in tokens(page):
+        if kind == "text":
+            held.append(html.unescape(content))
+        elif name == "br":
             held.append(" ")
         elif name in VOID:
             if name in BLOCKS:
                 flush()
-        elif m["end"]:
-            if name in BLOCKS:
-                for k in range(len(open_nodes) - 1, 0, -1):
-                    if open_nodes[k].name == name:
-                        close(k)
-                        break
-                else:
-                    flush()
+        elif kind == "end":
+            if name in BLOCKS and count[name]:
+                close(next(k for k in range(len(open_nodes) - 1, 0, -1) if open_nodes[k].name == name))
+            elif name in BLOCKS:
+                flush()
             elif open_nodes[-1].name == name:
                 if open_nodes[-1].off and not open_nodes[-1].above.off:
                     flush()
-                open_nodes.pop()
+                count[open_nodes.pop().name] -= 1
         else:
             if name in BLOCKS:
                 ends = SIBLINGS.get(name, CLOSED_BY_BLOCK)
-                for k in range(len(open_nodes) - 1, 0, -1):
+                for k in range(len(open_nodes) - 1, 0, -1) if any(count[x] for x in ends) else ():
                     if open_nodes[k].name in ends:
                         close(k)
                         break
                     if open_nodes[k].name in SCOPES:
                         break
                 flush()
-            node = Node(name, m["attrs"] or "", open_nodes[-1])
+            node = Node(name, content, open_nodes[-1], paths)
             if name not in BLOCKS and node.off and not open_nodes[-1].off:
                 flush()
             open_nodes.append(node)
-    if last < len(page):
-        held.append(html.unescape(page[last:]))
+            count[name] += 1
     flush()
     return out
 
 
-def lineage(node: Node | None) -> list[Node]:
-    """The elements from the root down to this one."""
-    out = []
-    while node is not None:
-        out.append(node)
-        node = node.above
-    return out[::-1]
+def lowest_common(nodes: list[Node]) -> Node:
+    """The deepest element around all of them; each element on the way is visited once."""
+    seen, common = set(), nodes[0]
+    at: Node | None = nodes[0]
+    while at is not None:
+        seen.add(at)
+        at = at.above
+    for node in nodes[1:]:
+        while node not in seen:
+            seen.add(node)
+            node = node.above
+        common = node if node.depth < common.depth else common
+    return common
 
 
 def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
@@ -153,24 +208,29 @@ def main_text(page: str | None, threshold: float = THRESHOLD) -> str:
         padded = [x[0], *x, x[-1]]
         return [sum(w * v for w, v in zip(SMOOTH, padded[i : i + 3], strict=True)) for i in range(len(x))]
 
-    fused: dict[str, float] = defaultdict(float)
+    fused: dict[int, float] = defaultdict(float)
     for (node, _), a, b in zip(blocks, smooth(lengths), smooth(points), strict=True):
         fused[node.path] += a * b / count[node.path]
     least = threshold * max(fused.values())
-    common: list[Node] | None = None
-    for node in dict.fromkeys(n for n, _ in blocks if fused[n.path] >= least):
-        around = lineage(node)
-        common = around if common is None else [x for x, y in zip(common, around, strict=False) if x is y]
-    holders = [n for n in common if n.name in CONTAINERS or n.name == "#"]
-    named = [n for n in holders if n.name in ("article", "main")]
-    chosen = (named or holders)[-1]
-
-    def within(node: Node | None) -> bool:
-        while node is not None:
-            if node is chosen:
-                return True
+    around = lowest_common(list(dict.fromkeys(n for n, _ in blocks if fused[n.path] >= least)))
+    chosen = None
+    while around is not None:
+        if around.name in ("article", "main"):
+            chosen = around
+            break
+        if chosen is None and (around.name in CONTAINERS or around.name == "#"):
+            chosen = around
+        around = around.above
+    chosen.kept = True
+
+    def within(node: Node) -> bool:
+        way = []
+        while node.kept is None and node.above is not None:
+            way.append(node)
             node = node.above
-        return False
+        for x in way:
+            x.kept = bool(node.kept)
+        return bool(node.kept)
 
     return "\n".join(text for node, text in blocks if within(node))
 
