@@ -68,9 +68,11 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 10, max_b
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, length: int = 10) -> DataFrame:
-    """The documents without any hit, with all their columns."""
-    hit = decontaminate(docs, benchmark, length).where(F.col("n_hit") > 0).select("doc_id").distinct()
-    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["doc_id"]), "left_anti")
+    """The documents without any hit, with all their columns. Each row is judged by its own text, whether or not it shares its id, or has none."""
+    # Rows of the same text have the same verdict, so a text's hash may stand for its row.
+    named = docs.select(F.struct("doc_id", F.xxhash64("text").alias("text_hash")).alias("doc_id"), "text")
+    hit = decontaminate(named, benchmark, length).where(F.col("n_hit") > 0).select(F.col("doc_id.doc_id").alias("hit_id"), F.col("doc_id.text_hash").alias("hit_hash")).distinct()
+    return docs.join(hit, docs["doc_id"].eqNullSafe(hit["hit_id"]) & (F.xxhash64(docs["text"]) == hit["hit_hash"]), "left_anti")
 
 
 def op10_decontamination(spark, sf_dir: str) -> DataFrame:
