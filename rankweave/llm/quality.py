@@ -1,12 +1,14 @@
 """Operator 9: document quality by positive-unlabelled learning.
 
 Trusted positives and unlabelled web text, each a bounded sample of the training rows, fit an additive logistic model
-of the text's style; the loss is the non-negative unbiased risk under an estimated share of positives. Each measure of
+of the text's style; the loss is the non-negative unbiased risk under an estimated share of positives. That share comes from
+positives and unlabelled text alone: it is the smallest ratio, over thresholds of a first fit, of the shares of both that lie
+above, measured on rows that the first fit hasn't seen. Each measure of
 the style enters as a one-hot bin between quantiles of the unlabelled sample. The model, a few kilobytes, is applied to every
 whole text in one map-side pass.
 
 Defined results: a null text counts as empty and is scored like any other; rows with a null key belong to neither fold's
-training rows and are not held out; repeated rows are scored alike; without any positive label the score is the prior; an
+training rows and are not held out; repeated rows are scored alike; without any positive label or any text of a training row every score is 0.5; an
 empty table gives an empty result; other columns are ignored.
 """
 
@@ -112,6 +114,21 @@ def predict(model: dict, x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-(w[cells(x, model["edges"])].sum(1) + w[-1])))
 
 
+def class_prior(positive: np.ndarray, unlabelled: np.ndarray, steps: int = STEPS // 2) -> float:
+    """The share of positives among the unlabelled: the threshold is that whose ratio is smallest with a standard error on both sides."""
+    above_p, above_u = [], []
+    for fold in (0, 1):
+        model = fit(positive[fold::2], unlabelled[fold::2], 0.5, steps=steps)
+        above_p.append(predict(model, positive[1 - fold :: 2]))
+        above_u.append(predict(model, unlabelled[1 - fold :: 2]))
+    p, u = (np.sort(np.concatenate(x)) for x in (above_p, above_u))
+    cuts = np.unique(p)
+    share_p, share_u = (1 - np.searchsorted(x, cuts) / len(x) for x in (p, u))
+    error_p, error_u = (np.sqrt((x * (1 - x) + 1 / n) / n) for x, n in ((share_p, len(p)), (share_u, len(u))))
+    best = ((share_u + error_u) / np.maximum(1e-9, share_p - error_p)).argmin()
+    return float(np.clip(share_u[best] / share_p[best], 0.01, 0.99))
+
+
 def fold(key):
     return F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS))
 
@@ -131,17 +148,13 @@ def sampled_measures(docs: DataFrame, ids: DataFrame) -> np.ndarray:
 def train(docs: DataFrame, labels: DataFrame, max_positive: int = MAX_POSITIVE, max_unlabelled: int = MAX_UNLABELLED) -> dict | None:
     """The fitted model, or none without positives or text."""
     trusted = labels.where(fold("doc_id") != HELD_OUT).groupBy("doc_id").agg(F.max("quality").alias("quality")).where("quality IS NOT NULL")
-    seen = trusted.agg(F.avg("quality").alias("rate"), F.count("*").alias("n")).first()
-    if not seen.n or not seen.rate:
-        return None
-    prior = min(0.99, max(0.01, (seen.rate * seen.n + 1) / (seen.n + 2)))
     order = F.xxhash64("doc_id")
     # Labels without a document would use up the bound.
     positives = trusted.where("quality = 1").select("doc_id").join(docs.select("doc_id"), "doc_id", "left_semi").orderBy(order, "doc_id").limit(max_positive)
     unlabelled = docs.where(fold("doc_id") != HELD_OUT).select("doc_id").orderBy(order, "doc_id").limit(max_unlabelled).distinct()
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     p, u = sampled_measures(texts, positives), sampled_measures(texts, unlabelled)
-    return fit(p, u, prior) if len(p) and len(u) else None
+    return fit(p, u, class_prior(p, u) if min(len(p), len(u)) > 1 else 0.5) if len(p) and len(u) else None
 
 
 def scores(docs: DataFrame, model: dict | None, text: str = "text"):
