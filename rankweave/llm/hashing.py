@@ -83,3 +83,9 @@ def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     ends = np.cumsum([len(x) + 1 for x in texts]) if texts else np.zeros(0, np.int64)
     upto = np.searchsorted(start, ends)
     return hashes, np.diff(upto, prepend=0)
+
+
+def word_spans(text: bytes) -> tuple[np.ndarray, np.ndarray]:
+    """Where each of the words that word_hashes() gives begins and ends."""
+    edge = np.flatnonzero(np.diff(_SPACE[np.frombuffer(text, np.uint8)], prepend=True, append=True))
+    return edge[::2], edge[1::2]

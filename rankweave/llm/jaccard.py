@@ -56,7 +56,7 @@ SHARE, PARTNERS = 8, 8
 #: Bytes of a sketch that a document sends with each signature at most.
 SENT = 256
 #: Shingles or rows that a task gathers before it sends them on, and documents.
-FLUSH, MOST_DOCS = 2_000_000, 60_000
+FLUSH, MOST_DOCS = 1_000_000, 60_000
 #: Bytes of a key whose holders are counted. Two shingles that share a key only spare a set too few.
 KEY = 6
 #: Rows of the bitmap that keeps most other texts out of the shuffle, 64 bits each.
@@ -502,7 +502,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
             for a, z in zip(start, np.r_[start[1:], len(sig)], strict=False):
                 if group is not None and sig[a] != group:
                     # The last block of a group that has several must meet the others as well.
-                    if block or total > SMALL:
+                    if total and (block or total > SMALL):
                         x = within()
                         if block and not first_only:
                             yield row(None, int(group), block, x)

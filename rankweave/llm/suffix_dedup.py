@@ -1,12 +1,13 @@
-"""Operator 2: removal of long repeated byte strings by run-length compressed suffix indexes.
+"""Operator 2: removal of long repeated strings by run-length compressed suffix indexes.
 
-Every window of `length` bytes belongs to one anchor, the leftmost smallest hash of its k-grams. Equal windows have equal
+The symbols of a text are its bytes or its words (A-Z lower-cased, apart by white space, as hashes). Every window of `length`
+symbols belongs to one anchor, the leftmost smallest hash of its k-grams. Equal windows have equal
 anchors, so repeats are looked for among the segments (an anchor's consecutive windows) of one anchor hash. Segments
 that occur twice as a whole are repeats. The distinct segments of the other anchors are dealt out by anchor
 hash, and each task indexes its share: the suffix order gives the Burrows-Wheeler transform, of which only the runs are
 kept, with the text positions at both ends of each run. Along the text the matching statistics (the longest match of each suffix
-with its neighbour in suffix order) fall by one a byte except at run ends, so the matches sampled there give all of
-them; those of `length` bytes or more are marked. Anchors with too many distinct segments for one index have their windows
+with its neighbour in suffix order) fall by one a symbol except at run ends, so the matches sampled there give all of
+them; those of `length` symbols or more are marked. Anchors with too many distinct segments for one index have their windows
 counted by hash instead.
 
 Defined results: a null or empty text has 0 bytes; every row is a document of its own, so that repeated rows are repeats
@@ -23,24 +24,38 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.hashing import TABLE, as_bytes, chunks, mix, powers, prefix_sums, substring_hashes
-from rankweave.llm.shared import written
+from rankweave.llm.hashing import TABLE, as_bytes, chunks, mix, powers, substring_hashes, word_hashes, word_spans
+from rankweave.llm.shared import dropped, written
 
 LENGTH, GRAM = 400, 100
+#: Words of the shortest passage of over 50 words, and of its grams.
+PASSAGE, PASSAGE_GRAM = 51, 13
 #: Distinct segments of an anchor hash in one index. A segment is shorter than 2 * LENGTH - GRAM + 1 bytes, so an index has at most about 3.5 million.
 MAX_VARIANTS = 5000
 #: Symbols that one index takes if it can choose.
 INDEX = 1 << 20
 #: Windows of a text that are treated at once.
-BLOCK = 1 << 21
+BLOCK = 1 << 19
 _SECOND = np.random.default_rng(20240301).integers(1, 2**64, 256, dtype=np.uint64)
 
 
-def second_sums(b: np.ndarray) -> np.ndarray:
-    up, _ = powers(len(b) + 1)
-    out = np.zeros(len(b) + 1, np.uint64)
-    np.cumsum(_SECOND[b] * up[: len(b)], dtype=np.uint64, out=out[1:])
-    return out
+def symbols_of(texts: list[bytes], unit: str) -> tuple[np.ndarray, np.ndarray]:
+    """The symbols of all texts, bytes or hashes of words in 32 bits, and how many each text has."""
+    if unit == "words":
+        hashes, sizes = word_hashes(texts)
+        return hashes.astype(np.uint32), sizes
+    return np.frombuffer(b"".join(texts), np.uint8), np.array([len(x) for x in texts])
+
+
+def sums_of(symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Prefix sums for two independent hashes of substrings."""
+    up, _ = powers(len(symbols) + 1)
+    kinds = (TABLE[symbols], _SECOND[symbols]) if symbols.dtype == np.uint8 else (mix(symbols.astype(np.uint64) + k) for k in (TABLE[0], _SECOND[0]))
+    out = []
+    for values in kinds:
+        out.append(np.zeros(len(symbols) + 1, np.uint64))
+        np.cumsum(values * up[: len(symbols)], dtype=np.uint64, out=out[-1][1:])
+    return out[0], out[1]
 
 
 def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
@@ -52,23 +67,22 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
     return np.minimum(behind[: n - w + 1], ahead[w - 1 : n])
 
 
-def anchors_of(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.ndarray, ...]]:
+def anchors_of(texts: list[bytes], length: int, gram: int, unit: str = "bytes") -> Iterator[tuple[np.ndarray, ...]]:
     """(text, anchor hash, two segment hashes, first window, number of windows) of all segments, as arrays."""
     low = np.uint64(2**23 - 1)
     w = length - gram + 1
     for first, part in chunks(texts, BLOCK):
-        b = np.frombuffer(b"".join(part), np.uint8)
-        size = np.array([len(x) for x in part])
+        b, size = symbols_of(part, unit)
         begin = np.cumsum(size) - size
         for at in range(0, max(0, len(b) - length + 1), BLOCK):
             c = b[at : at + BLOCK + length - 1]
-            sums = prefix_sums(c)
+            sums, second = sums_of(c)
             start = np.arange(len(c) - gram + 1)
             h = substring_hashes(sums, start, start + gram)
             least = sliding_min((h & ~low) | start.astype(np.uint64), w)
             s = np.arange(len(least))
             of = np.searchsorted(begin, s + at, side="right") - 1
-            # Empty texts share their start with the next one: the last of them is the one with bytes.
+            # Empty texts share their start with the next one: the last of them is the one with symbols.
             inside = s + at + length <= begin[of] + size[of]
             s, of, pos = s[inside], of[inside], (least[inside] & low).astype(np.int64)
             if not len(s):
@@ -77,13 +91,13 @@ def anchors_of(texts: list[bytes], length: int, gram: int) -> Iterator[tuple[np.
             n = np.diff(np.r_[new, len(s)])
             lo = s[new]
             end = lo + n + length - 1
-            yield first + of[new], h[pos[new]], substring_hashes(sums, lo, end), substring_hashes(second_sums(c), lo, end), lo + at - begin[of[new]], n
+            yield first + of[new], h[pos[new]], substring_hashes(sums, lo, end), substring_hashes(second, lo, end), lo + at - begin[of[new]], n
 
 
 def suffix_ranks(t: np.ndarray, depth: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
     """Ranks of the strings of 1, f, f**2, ... symbols at each place, and the suffixes in order; any two differ within depth."""
     n = len(t)
-    f = 3 if n + 257 < 1 << 21 else 2
+    f = 3 if max(n, int(t.max())) + 1 < 1 << 21 else 2
     bits = 21 if f == 3 else 31
     levels, span, rank = [(1, t.astype(np.int32))], 1, t.astype(np.int64)
     while True:
@@ -113,12 +127,14 @@ def common_prefix(levels: list[tuple[int, np.ndarray]], a: np.ndarray, b: np.nda
     return out
 
 
-def repeated_windows(segments: list[bytes], length: int) -> list[list[tuple[int, int]]]:
-    """Per segment the ranges of windows (first, one past the last) whose bytes also start elsewhere in these segments."""
+def repeated_windows(segments: list[np.ndarray], length: int) -> list[list[tuple[int, int]]]:
+    """Per segment the ranges of windows (first, one past the last) whose symbols also start elsewhere in these segments."""
     size = np.array([len(s) + 1 for s in segments])
     end = np.cumsum(size) - 1
-    # Each segment ends with a symbol of its own, below all bytes: no match crosses it.
-    t = np.frombuffer(b"\0".join([*segments, b""]), np.uint8).astype(np.int64) + len(segments)
+    # Each segment ends with a symbol of its own, below all others: no match crosses it.
+    t, own = np.zeros(int(size.sum()), np.int64), np.ones(int(size.sum()), bool)
+    own[end] = False
+    t[own] = np.unique(np.concatenate(segments), return_inverse=True)[1] + len(segments)
     t[end] = np.arange(len(segments))
     t += 1
     levels, order = suffix_ranks(t, int(size.max()))
@@ -152,26 +168,26 @@ KEY = ["k1", "k2"]
 SEGMENT = ["h", "g1", "g2"]
 
 
-def anchor_table(texts: DataFrame, length: int, gram: int) -> DataFrame:
+def anchor_table(texts: DataFrame, length: int, gram: int, unit: str) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in KEY)
-            for of, h, g1, g2, lo, n in anchors_of(as_bytes(batch.column("text")), length, gram):
+            for of, h, g1, g2, lo, n in anchors_of(as_bytes(batch.column("text")), length, gram, unit):
                 yield pa.RecordBatch.from_arrays([pa.array(k1[of]), pa.array(k2[of]), signed(h), signed(g1), signed(g2), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], [*KEY, *SEGMENT, "lo", "n"])
 
     return texts.mapInArrow(run, "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int")
 
 
-def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
-    """The bytes of the wanted segments (k1, k2, h, g1, g2, lo, n, occ, big)."""
+def cut_segments(texts: DataFrame, wanted: DataFrame, length: int, unit: str) -> DataFrame:
+    """The symbols of the wanted segments (k1, k2, h, g1, g2, lo, n, occ, big)."""
     per_text = wanted.groupBy(KEY).agg(F.collect_list(F.struct(*SEGMENT, "lo", "n", "occ", "big")).alias("wanted"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows = []
             for k1, k2, text, asked in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "wanted")), strict=True):
-                b = (text or "").encode()
-                rows += [{"k1": k1, "k2": k2, **x, "bytes": b[x["lo"] : x["lo"] + x["n"] + length - 1]} for x in asked]
+                b = symbols_of([(text or "").encode()], unit)[0]
+                rows += [{"k1": k1, "k2": k2, **x, "symbols": b[x["lo"] : x["lo"] + x["n"] + length - 1].tobytes()} for x in asked]
                 if len(rows) > 5000:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
@@ -179,22 +195,22 @@ def cut_segments(texts: DataFrame, wanted: DataFrame, length: int) -> DataFrame:
                 yield pa.RecordBatch.from_pylist(rows, schema)
 
     ints, longs = pa.int32(), pa.int64()
-    schema = pa.schema([("k1", longs), ("k2", longs), ("h", longs), ("g1", longs), ("g2", longs), ("lo", ints), ("n", ints), ("occ", longs), ("big", pa.bool_()), ("bytes", pa.binary())])
+    schema = pa.schema([("k1", longs), ("k2", longs), ("h", longs), ("g1", longs), ("g2", longs), ("lo", ints), ("n", ints), ("occ", longs), ("big", pa.bool_()), ("symbols", pa.binary())])
     found = texts.join(per_text, KEY).select(*KEY, "text", "wanted")
-    return found.mapInArrow(run, "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int, occ long, big boolean, bytes binary")
+    return found.mapInArrow(run, "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int, occ long, big boolean, symbols binary")
 
 
 MARKS = "k1 long, k2 long, start int, end int"
 
 
-def indexed_marks(segments: DataFrame, parts: int, length: int, index: int = INDEX) -> DataFrame:
+def indexed_marks(segments: DataFrame, parts: int, length: int, kind: type, index: int = INDEX) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         rows = [b for b in batches if len(b)]
         if not rows:
             return
         held = pd.concat(rows, ignore_index=True)
         held = held.drop_duplicates(SEGMENT).sort_values(SEGMENT, ignore_index=True)
-        size = held["bytes"].map(len).to_numpy() + 1
+        size = held["symbols"].map(len).to_numpy() // np.dtype(kind).itemsize + 1
         new = np.r_[True, held["h"].to_numpy()[1:] != held["h"].to_numpy()[:-1]]
         starts = np.flatnonzero(new)
         bounds, filled = [0], 0
@@ -208,7 +224,7 @@ def indexed_marks(segments: DataFrame, parts: int, length: int, index: int = IND
             part = held.iloc[a:z]
             rows = [
                 (k1, k2, lo + x, lo + y - 1 + length)
-                for k1, k2, lo, occ, found in zip(part["k1"], part["k2"], part["lo"], part["occ"], repeated_windows(part["bytes"].tolist(), length), strict=True)
+                for k1, k2, lo, occ, found in zip(part["k1"], part["k2"], part["lo"], part["occ"], repeated_windows([np.frombuffer(x, kind) for x in part["symbols"]], length), strict=True)
                 if occ == 1
                 for x, y in found
             ]
@@ -218,14 +234,14 @@ def indexed_marks(segments: DataFrame, parts: int, length: int, index: int = IND
     return segments.repartition(parts, "h").mapInPandas(run, MARKS)
 
 
-def counted_marks(segments: DataFrame, length: int) -> DataFrame:
+def counted_marks(segments: DataFrame, length: int, kind: type) -> DataFrame:
     """The same for anchors with too many segments: windows with an equal one, by their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for k1, k2, lo, n, occ, b in zip(*(batch.column(c).to_pylist() for c in (*KEY, "lo", "n", "occ", "bytes")), strict=True):
-                c, s = np.frombuffer(b, np.uint8), np.arange(n)
-                w1, w2 = (substring_hashes(f(c), s, s + length) for f in (prefix_sums, second_sums))
+            for k1, k2, lo, n, occ, b in zip(*(batch.column(c).to_pylist() for c in (*KEY, "lo", "n", "occ", "symbols")), strict=True):
+                s = np.arange(n)
+                w1, w2 = (substring_hashes(x, s, s + length) for x in sums_of(np.frombuffer(b, kind)))
                 full = lambda v, kind: pa.array(np.full(n, v, kind))
                 yield pa.RecordBatch.from_arrays([full(k1, np.int64), full(k2, np.int64), signed(w1), signed(w2), pa.array((lo + s).astype(np.int32)), full(occ, np.int64)], [*KEY, "w1", "w2", "start", "occ"])
 
@@ -234,33 +250,25 @@ def counted_marks(segments: DataFrame, length: int) -> DataFrame:
     return windows.where("occ = 1").join(often, ["w1", "w2"]).select(*KEY, "start", (F.col("start") + length).alias("end"))
 
 
-def whole_words(b: bytes, start: int, end: int) -> int:
-    """How many words of a text lie in a span with both their ends."""
-    inner = b[start:end].decode("utf-8", "ignore")
-    before, after = b[max(0, start - 4) : start].decode("utf-8", "ignore")[-1:], b[end : end + 4].decode("utf-8", "ignore")[:1]
-    cut = bool(before.strip() and inner[:1].strip()) + bool(after.strip() and inner[-1:].strip())
-    return len(inner.split()) - cut
-
-
-def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, max_variants: int = MAX_VARIANTS, carry: tuple[str, ...] = (), as_text: bool = False, least_words: int = 0) -> DataFrame:
+def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", length: int = LENGTH, gram: int = GRAM, max_variants: int = MAX_VARIANTS, carry: tuple[str, ...] = (), as_text: bool = False, unit: str = "bytes") -> DataFrame:
     """One row per document: key, carried columns, n_bytes, spans (array of start, end; removed bytes), kept (binary).
 
-    Spans of fewer than least_words whole words stay.
-
-    As text, kept is a string without the characters that a removal cut in two.
+    The unit of length and gram is bytes or words. As text, kept is a string without the characters that a removal cut in two.
     """
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(key, text).alias("k2"), F.col(key), F.col(text).alias("text"), *carry)
-    anchors = written(anchor_table(texts.select(*KEY, "text"), length, gram))
+    anchors = written(anchor_table(texts.select(*KEY, "text"), length, gram, unit))
     segments = anchors.groupBy(SEGMENT).agg(F.count("*").alias("occ"), F.min(F.struct(*KEY, "lo", "n")).alias("at"))
     segments = written(segments)
     groups = segments.groupBy("h").agg(F.count("*").alias("variants"), F.min("occ").alias("least")).where("variants > 1 AND least = 1")
     wanted = segments.join(groups, "h").select(*SEGMENT, "occ", "at.*", (F.col("variants") > max_variants).alias("big"))
-    cut = written(cut_segments(texts.select(*KEY, "text"), wanted, length))
+    cut = written(cut_segments(texts.select(*KEY, "text"), wanted, length, unit))
+    kind = np.uint32 if unit == "words" else np.uint8
     whole = anchors.join(segments.where("occ > 1").select(SEGMENT), SEGMENT).select(*KEY, F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
-    marks = whole.unionByName(indexed_marks(cut.where("NOT big"), parts, length)).unionByName(counted_marks(cut.where("big"), length))
+    marks = whole.unionByName(indexed_marks(cut.where("NOT big"), parts, length, kind)).unionByName(counted_marks(cut.where("big"), length, kind))
     spans = written(marks.groupBy(KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")))
+    dropped(anchors, segments, cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -272,8 +280,9 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
                         own[-1]["end"] = max(own[-1]["end"], m["end"])
                     else:
                         own.append({"start": m["start"], "end": m["end"]})
-                if least_words:
-                    own = [m for m in own if whole_words(b, m["start"], m["end"]) >= least_words]
+                if unit == "words" and own:
+                    starts, ends = word_spans(b)
+                    own = [{"start": int(starts[m["start"]]), "end": int(ends[m["end"] - 1])} for m in own]
                 sizes.append(len(b))
                 merged.append(own)
                 kept.append(b"".join(b[x:y] for x, y in zip([0, *(m["end"] for m in own)], [*(m["start"] for m in own), len(b)], strict=True)))
@@ -294,6 +303,12 @@ def without_repeats(docs: DataFrame, **options) -> DataFrame:
 
 
 def op2_suffix_dedup(spark, sf_dir: str) -> DataFrame:
-    found = remove_repeats(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    """The contract's columns, and n_passages: runs of over 50 words, of any length in bytes, that also occur elsewhere."""
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet").select("doc_id", "text")
+    found = remove_repeats(docs.withColumn("text_hash", F.xxhash64("text")), carry=("text_hash",))
     removed = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["end"] - s["start"])
-    return found.select("doc_id", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    found = found.select("doc_id", "text_hash", "n_bytes", removed.alias("n_removed"), F.size("spans").cast("long").alias("n_spans"), F.sha2("kept", 256).alias("kept_sha256"))
+    passages = remove_repeats(docs.withColumn("text_hash", F.xxhash64("text")), length=PASSAGE, gram=PASSAGE_GRAM, carry=("text_hash",), unit="words")
+    passages = passages.where(F.size("spans") > 0).groupBy(F.col("doc_id").alias("p_id"), F.col("text_hash").alias("p_hash")).agg(F.max(F.size("spans")).cast("long").alias("n_passages"))
+    both = found.join(passages, F.col("doc_id").eqNullSafe(F.col("p_id")) & (F.col("text_hash") == F.col("p_hash")), "left")
+    return both.select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256", F.coalesce("n_passages", F.lit(0)).alias("n_passages"))

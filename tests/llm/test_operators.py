@@ -2,6 +2,7 @@
 
 import hashlib
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -99,21 +100,17 @@ def test_pipeline_repeats_against_brute_force(spark):
     short, accents, fifty = letters(51), " ".join(f"é{x}" for x in letters(60).split()), prose(50, 701)
     texts = [f"{prose(90, 710 + i)} {x} {prose(70, 730 + i)}" for i, x in enumerate([short, short, accents, accents, fifty, fifty, "one"])] + [short, None, ""]
     got = {r.doc_id: r.text for r in corpus_pipeline.repeats(spark, spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA), "").collect()}
-    seen = Counter(b[i : i + 101] for t in texts for b in [(t or "").encode()] for i in range(len(b) - 100))
+    split = [[(m.start(), m.end(), m[0].lower()) for m in re.finditer(rb"[^ ]+", (t or "").encode())] for t in texts]
+    windows = lambda w: [tuple(x[2] for x in w[i : i + 51]) for i in range(len(w) - 50)]
+    seen = Counter(x for w in split for x in windows(w))
     want = {}
-    for k, t in enumerate(texts):
-        b = (t or "").encode()
-        cover = np.zeros(len(b) + 1, bool)
-        for i in range(len(b) - 100):
-            if seen[b[i : i + 101]] > 1:
-                cover[i : i + 101] = True
+    for k, (t, w) in enumerate(zip(texts, split, strict=True)):
+        b, cover = (t or "").encode(), np.zeros(len(w) + 1, bool)
+        for i, x in enumerate(windows(w)):
+            if seen[x] > 1:
+                cover[i : i + 51] = True
         edge = np.flatnonzero(np.diff(cover, prepend=False))
-        spans = []
-        for x, y in zip(edge[::2], edge[1::2], strict=True):
-            starts = {m.start() for m in re.finditer(rb"[^ ]+", b)}
-            ends = {m.end() for m in re.finditer(rb"[^ ]+", b)}
-            if min(sum(x <= i < y for i in starts), sum(x < i <= y for i in ends)) >= 51:
-                spans.append((x, y))
+        spans = [(w[x][0], w[y - 1][1]) for x, y in zip(edge[::2], edge[1::2], strict=True)]
         for x, y in reversed(spans):
             b = b[:x] + b[y:]
         if b or not spans:
@@ -122,13 +119,27 @@ def test_pipeline_repeats_against_brute_force(spark):
     assert all(short not in x and accents not in x for x in got.values()) and fifty in got[4] and 7 not in got
 
 
+def test_op2_boundary_of_400_bytes_and_passages_below_it(spark, tmp_path):
+    """399 bytes stay, 400 and 401 go; a passage of 51 to 63 average words has fewer than 400 bytes and is only reported."""
+    rng = np.random.default_rng(5)
+    noise = lambda n: "".join(rng.choice(list("abcdefghij"), n))
+    shared = {n: noise(n) for n in (399, 400, 401)}
+    passage = prose(51, 900)
+    assert len(passage.encode()) < 400
+    rows = [(10 * n + i, f"{noise(50)}{i}{x}{i}{noise(60)}", "en", "s", 1) for n, x in shared.items() for i in (1, 2)] + [(k, f"{prose(60, k)} {passage} {prose(60, k + 50)}", "en", "s", 1) for k in (1, 2)]
+    spark.createDataFrame(rows, SCHEMA).write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: r for r in suffix_dedup.op2_suffix_dedup(spark, str(tmp_path)).collect()}
+    assert {got[10 * n + i].n_removed for n in (400, 401) for i in (1, 2)} == {400, 401} and got[3991].n_removed == got[3992].n_removed == 0
+    assert all((got[k].n_removed, got[k].n_passages) == (0, 1) for k in (1, 2)) and got[3991].n_passages == 0
+
+
 def test_op2_index_on_random_repeats():
     for trial in range(40):
         base = RNG.integers(97, 99 + trial % 3, 60).astype(np.uint8)
         found = {bytes(np.where(RNG.random(40) < 0.05, RNG.integers(97, 100, 40), base[o : o + 40]).astype(np.uint8)) for o in RNG.integers(0, 20, 8)}
         segments = sorted(found)
         seen = Counter(s[i : i + 12] for s in segments for i in range(len(s) - 11))
-        for s, ranges in zip(segments, suffix_dedup.repeated_windows(segments, 12), strict=True):
+        for s, ranges in zip(segments, suffix_dedup.repeated_windows([np.frombuffer(x, np.uint8) for x in segments], 12), strict=True):
             assert {i for a, z in ranges for i in range(a, z)} == {i for i in range(len(s) - 11) if seen[s[i : i + 12]] > 1}
 
 
@@ -155,6 +166,27 @@ def test_op3_against_brute_force(spark):
     assert vector_dedup.near_duplicates(frame.limit(0)).count() == 0
 
 
+def test_op3_links_repeated_ids_and_products(spark, monkeypatch):
+    rng = np.random.default_rng(8)
+    base = rng.normal(size=(6, 16))
+    x = np.concatenate([base[k] + rng.normal(size=(60, 16)) * 0.18 for k in range(6)] + [rng.normal(size=(40, 16))])
+    rows = [(int(i), [float(c) for c in v], int(i) % 2) for i, v in enumerate(x)] + [(3, [float(c) for c in x[3]], 1), (None, [1.0] * 16, 0), (900, None, 0), (901, [0.0] * 16, 1)]
+    unit = x / np.linalg.norm(x, axis=1)[:, None]
+    frame = spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")
+    for product, block in ((8, 64), (1 << 40, 2048)):
+        monkeypatch.setattr(vector_dedup, "PRODUCT", product)
+        got = {r.vec_id: (r.n_links, r.component_id) for r in vector_dedup.near_duplicates(frame, block=block).collect()}
+        label = np.arange(len(x)) % 2
+        near = (unit @ unit.T >= 0.93) & (label[:, None] == label) & ~np.eye(len(x), dtype=bool)
+        assert near.sum() > 500
+        component = np.arange(len(x))
+        for _ in range(len(x)):
+            component = np.array([min(component[near[i]].min(initial=component[i]), component[i]) for i in range(len(x))])
+        extra = near[:, 3].astype(int)
+        extra[3] = 1
+        assert all(got[i] == (near[i].sum() + extra[i], component[i]) for i in range(len(x)))
+
+
 def test_op4_and_op8_give_the_library_s_ids(docs, none):
     plain = library(VOCABULARY)
     ids = {r[0]: plain.encode(r[1] or "", add_special_tokens=False).ids for r in ROWS}
@@ -216,6 +248,31 @@ def test_op5_against_brute_force(spark, docs, none):
     assert jaccard.near_duplicates(none).count() == 0
 
 
+@pytest.mark.parametrize("small, block", [(2, 8), (2, 4096), (64, 4096)])
+def test_op5_large_groups_in_blocks(spark, monkeypatch, small, block):
+    """A borderline cluster around one text and another of a common passage, in groups larger than a block."""
+    monkeypatch.setattr(jaccard, "SMALL", small), monkeypatch.setattr(jaccard, "BLOCK", block)
+    rng = np.random.default_rng(12)
+    words, texts = prose(90, 40).split(), []
+    for _ in range(60):
+        own = list(words)
+        for at in rng.choice(len(own), 3, replace=False):
+            own[at] = f"w{rng.integers(1000)}"
+        texts.append(" ".join(own))
+    texts += [f"{prose(40, 41)} {prose(12, 100 + k)}" for k in range(30)] + texts[:3]
+    sets = list(jaccard.shingle_sets([t.encode() for t in texts]))
+    component = list(range(len(texts)))
+    for _ in texts:
+        for i in range(len(texts)):
+            for j in range(i):
+                both = len(np.intersect1d(sets[i], sets[j]))
+                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                    component[i] = component[j] = min(component[i], component[j])
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame).collect()}
+    assert got == dict(enumerate(component)) and 3 < len(set(component)) < 80
+
+
 def test_signatures_of_linking_sets_meet():
     for _ in range(200):
         size = int(RNG.integers(1, 400))
@@ -298,6 +355,29 @@ def test_op7_keeps_both_parts_of_split_text(share):
     assert html_text.main_text(apart) == f"{a}\n{b}"
 
 
+def test_op7_hostile_markup_is_read_in_linear_time():
+    for page in ("<script" * 150_000, "<a \"'" * 170_000, "<div>" * 100_000 + "x", "<b>" * 50_000 + "<h1>x</h1>" * 40_000):
+        start = time.time()
+        html_text.main_text(page)
+        assert time.time() - start < 20
+    kept = html_text.main_text("<article><p>One, two, three words here.</p><p class='related'>Kept, too.</p><math>x</math><p class='ad'>Buy.</p></article>")
+    assert "Kept, too." in kept and "x" in kept and "Buy" not in kept
+
+
+def test_op9_prior_from_positives_and_unlabelled():
+    rng = np.random.default_rng(4)
+    good, bad = (rng.normal(m, 1, (4000, len(quality.MEASURES))) for m in (2, -2))
+    assert abs(quality.class_prior(good[:2000], np.concatenate([good[2000:], bad[:500]])) - 0.8) < 0.05
+
+
+def test_op10_rows_without_an_id_are_judged_by_their_text(spark):
+    item = prose(12, 600)
+    rows = [(None, f"{prose(20, 601)} {item}"), (None, prose(30, 602)), (7, item), (7, prose(30, 603)), (8, None)]
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in rows], SCHEMA)
+    left = decontaminate.clean_documents(frame, spark.createDataFrame([("b", item)], "item_id string, text string"))
+    assert sorted((r.doc_id or 0, r.text or "") for r in left.collect()) == sorted([(0, prose(30, 602)), (7, prose(30, 603)), (8, "")])
+
+
 def test_op9_separates_held_out_rows(spark):
     good = [(i, prose(60, i).capitalize() + ".", 1) for i in range(0, 400, 2)]
     bad = [(i, " ".join(w.upper() + "!!" for w in prose(60, i).split()), 0) for i in range(1, 120, 2)]
