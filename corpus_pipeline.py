@@ -12,10 +12,8 @@ from rankweave.llm.jaccard import one_of_each
 from rankweave.llm.packing import pack
 from rankweave.llm.quality import good_documents
 from rankweave.llm.shared import written
-from rankweave.llm.suffix_dedup import without_repeats
+from rankweave.llm.suffix_dedup import PASSAGE, PASSAGE_GRAM, without_repeats
 
-#: Words of the shortest passage that mustn't repeat.
-WORDS = 51
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
 
 
@@ -30,12 +28,8 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 
 def repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without the passages of over 50 words that occur elsewhere.
-
-    Such a passage has 101 bytes or more, so repeats are looked for from that length, not from op2's 400 bytes; what
-    repeats in 50 words or fewer stays.
-    """
-    return without_repeats(docs, length=2 * WORDS - 1, gram=25, least_words=WORDS).select(COLUMNS)
+    """Documents without the passages of over 50 words that occur elsewhere; words are compared, not op2's 400 bytes."""
+    return without_repeats(docs, length=PASSAGE, gram=PASSAGE_GRAM, unit="words").select(COLUMNS)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
