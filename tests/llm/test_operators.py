@@ -253,21 +253,23 @@ def test_op5_large_groups_in_blocks(spark, monkeypatch, small, block):
     """A borderline cluster around one text and another of a common passage, in groups larger than a block."""
     monkeypatch.setattr(jaccard, "SMALL", small), monkeypatch.setattr(jaccard, "BLOCK", block)
     rng = np.random.default_rng(12)
-    words, texts = prose(90, 40).split(), []
+    words, texts = prose(120, 40).split(), []
     for _ in range(60):
         own = list(words)
-        for at in rng.choice(len(own), 3, replace=False):
+        for at in rng.choice(len(own), rng.integers(1, 4), replace=False):
             own[at] = f"w{rng.integers(1000)}"
         texts.append(" ".join(own))
     texts += [f"{prose(40, 41)} {prose(12, 100 + k)}" for k in range(30)] + texts[:3]
     sets = list(jaccard.shingle_sets([t.encode() for t in texts]))
-    component = list(range(len(texts)))
+    component, links = list(range(len(texts))), []
+    for i in range(len(texts)):
+        for j in range(i):
+            both = len(np.intersect1d(sets[i], sets[j]))
+            if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
+                links.append((i, j))
     for _ in texts:
-        for i in range(len(texts)):
-            for j in range(i):
-                both = len(np.intersect1d(sets[i], sets[j]))
-                if 100 * both >= 80 * (len(sets[i]) + len(sets[j]) - both):
-                    component[i] = component[j] = min(component[i], component[j])
+        for i, j in links:
+            component[i] = component[j] = min(component[i], component[j])
     frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
     got = {r.doc_id: r.component_id for r in jaccard.near_duplicates(frame).collect()}
     assert got == dict(enumerate(component)) and 3 < len(set(component)) < 80
