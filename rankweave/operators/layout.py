@@ -12,26 +12,44 @@ def lines_of(docs: DataFrame, key: str, text: str) -> DataFrame:
     return docs.select(key, F.posexplode(F.split(F.coalesce(F.col(text), F.lit("")), "\n")).alias("line_no", "line"))
 
 
+#: What makes a repeated line a page's header or footer, and a page mark.
+RUNNING = r"page\s*\d+|^\d+$|confidential|curriculum vitae|\bresume\b"
+PAGE_MARK = r"^page\s*\d+(\s*of\s*\d+)?$"
+
+
 def without_headers(docs: DataFrame, key: str = "doc_id", text: str = "text", least_chars: int = 800, repeats: int = 3) -> DataFrame:
-    """Texts over least_chars characters and 20 lines lose lines of 3 to 80 characters that occur `repeats` times or more, and page marks."""
+    """Texts over least_chars characters and 20 lines lose running headers that occur `repeats` times or more, and page marks."""
     lines = lines_of(docs.where(F.length(text) > least_chars), key, text)
-    same = Window.partitionBy(key, F.lower(F.trim("line")))
-    whole = Window.partitionBy(key)
-    marked = lines.withColumn("copies", F.count("*").over(same)).withColumn("n_lines", F.count("*").over(whole))
-    page = F.lower(F.trim("line")).rlike(r"^page [0-9]+( of [0-9]+)?$")
-    header = (F.col("n_lines") >= 20) & F.length(F.trim("line")).between(3, 80) & (F.col("copies") >= repeats)
-    kept = marked.where(~header & ~page).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
+    bare = F.lower(F.trim("line"))
+    marked = lines.withColumn("copies", F.count("*").over(Window.partitionBy(key, bare))).withColumn("n_lines", F.count("*").over(Window.partitionBy(key)))
+    running = F.length(bare).between(3, 80) & (F.col("copies") >= repeats) & bare.rlike(RUNNING)
+    gone = (F.col("n_lines") >= 20) & (running | bare.rlike(PAGE_MARK))
+    kept = marked.where(~gone).groupBy(key).agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("line_no", "line"))), lambda x: x["line"]), "\n").alias("body"))
     long = docs.select(key, text).join(kept, key, "left")
     return long.select(key, F.when(F.length(text) > least_chars, F.coalesce("body", F.lit(""))).otherwise(F.coalesce(text, F.lit(""))).alias("body"))
 
 
-def sections(docs: DataFrame, key: str = "resume_id", text: str = "raw_text") -> DataFrame:
-    """(key, section, body): lines from one header line to the next; before the first header, "header"."""
+def sections(docs: DataFrame, key: str = "resume_id", text: str = "raw_text", head: int = 25) -> DataFrame:
+    """(key, section, body): the text after a heading, on its line or below it, up to the next one; repeated sections are joined.
+
+    "header" is what stands before the first heading; without any heading it is the first lines, and "body" the whole text. "full" is always the whole text.
+    """
     lines = lines_of(docs, key, text).withColumn("opens", header_of(F.col("line")))
     upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    owned = lines.withColumn("section", F.coalesce(F.last("opens", ignorenulls=True).over(upto), F.lit("header")))
-    body = F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("opens").isNull(), F.struct("line_no", "line")))), lambda x: x["line"]), "\n")
-    return owned.groupBy(key, "section").agg(body.alias("body"), F.count("*").alias("n_lines"))
+    owned = lines.withColumn("section", F.coalesce(F.last(F.col("opens.section"), ignorenulls=True).over(upto), F.lit("header")))
+    owned = owned.withColumn("part", F.sum(F.when(F.col("opens").isNotNull(), 1).otherwise(0)).over(upto))
+    said = F.when(F.col("opens").isNull(), F.col("line")).otherwise(F.nullif(F.col("opens.rest"), F.lit("")))
+    joined = lambda rows, name: F.array_join(F.transform(F.array_sort(rows), lambda x: x[name]), "\n")
+    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    parts = owned.groupBy(key, "section", "part").agg(stripped(joined(F.collect_list(F.when(said.isNotNull(), F.struct("line_no", said.alias("line")))), "line")).alias("body"))
+    by_name = parts.groupBy(key, "section").agg(joined(F.collect_list(F.struct("part", "body")), "body").alias("body"), F.max("part").alias("last"))
+    there = by_name.where("section <> 'header'").select(key).distinct()
+    text = F.coalesce(F.col(text), F.lit(""))
+    plain = docs.join(there, key, "left_anti").select(key, F.explode(F.array(F.struct(F.lit("header").alias("section"), F.array_join(F.slice(F.split(text, "\n"), 1, head), "\n").alias("body")), F.struct(F.lit("body").alias("section"), text.alias("body")))).alias("s")).select(key, "s.*")
+    # A text that opens with a heading has an empty header.
+    starts = there.select(key, F.lit("header").alias("section"), F.lit("").alias("body")).join(by_name.where("section = 'header'").select(key), key, "left_anti")
+    found = by_name.join(there, key, "left_semi").select(key, "section", "body")
+    return found.unionByName(starts).unionByName(plain).unionByName(docs.select(key, F.lit("full").alias("section"), text.alias("body")))
 
 
 def column_split(spans: DataFrame, bins: int = 20) -> DataFrame:

@@ -38,3 +38,16 @@ def resolved(names: dict[str, Column]) -> Column:
 
     top = F.array_max(F.transform(there, vote))
     return F.struct(top["name"].alias("name"), top["source"].alias("source"), top["score"].alias("score"))
+
+
+def confidence(source: Column, score: Column) -> Column:
+    """high where sources agree, low for a lone heuristic or a low score, else medium."""
+    return F.when(score.isNull() | (source == "heuristic") | (score < 55), "low").when(source.contains("+"), "high").otherwise("medium")
+
+
+def needs_review(name: Column, source: Column, sure: Column, warning: Column) -> Column:
+    """Whether someone should look at a name before it is used: doubt, a warning, no name, no second source, or a single word that no address backs."""
+    source, name = F.lower(F.coalesce(source, F.lit(""))), F.trim(F.coalesce(name, F.lit("")))
+    weak = source.isin("heuristic", "none", "rejected", "") | ((source == "llm") & ~F.coalesce(F.lower(sure) == "high", F.lit(False)))
+    single = ~name.rlike(r"\s") & ~source.contains("email")
+    return F.coalesce(F.lower(sure) == "low", F.lit(False)) | (F.coalesce(warning, F.lit("")) != "") | (name == "") | weak | single

@@ -78,10 +78,13 @@ def cosine_by_label(spark, sf_dir):
     return found.groupBy("label").agg(F.count("*").alias("n"), F.max("sim").alias("best"), F.min("sim").alias("worst"))
 
 
-@query(f"WITH {SQL_S} SELECT resume_id, final_score FROM s WHERE hard_filter_pass = 1 AND resume_id % 50 <> 0")
+@query(f"""WITH {SQL_S} SELECT resume_id, CASE WHEN hard_filter_pass = 0 THEN 0e0
+    WHEN llm_score IS NULL THEN floor(least(100e0, greatest(0e0, (0.2e0 * ats_score + 0.3e0 * (embedding_similarity * 100e0)) / (0.2e0 + 0.3e0))) * 100e0 + 0.5e0) / 100e0
+    ELSE floor(least(100e0, greatest(0e0, (0.2e0 * ats_score + 0.3e0 * (embedding_similarity * 100e0) + 0.5e0 * (llm_score * 10e0)) / (0.2e0 + 0.3e0 + 0.5e0))) * 100e0 + 0.5e0) / 100e0 END AS final_score FROM s""")
 def blend_scores(spark, sf_dir):
-    s = scores(spark, sf_dir).where("hard_filter_pass = 1 AND resume_id % 50 <> 0")
-    return s.select("resume_id", scoring.blend(F.col("ats_score"), F.col("embedding_similarity"), F.col("llm_score")).alias("final_score"))
+    """All rows: those that a hard filter rejects score 0, those without a model's score are blended of the rest."""
+    blended = scoring.blend(F.col("ats_score"), F.col("embedding_similarity"), F.col("llm_score"))
+    return scores(spark, sf_dir).select("resume_id", F.when(F.col("hard_filter_pass") == 0, 0.0).otherwise(blended).alias("final_score"))
 
 
 @query("""SELECT id, CASE WHEN t > 0 THEN floor(a / t * 1000000 + 0.5) / 1000000 ELSE 0.2 END AS ats, CASE WHEN t > 0 THEN floor(e / t * 1000000 + 0.5) / 1000000 ELSE 0.3 END AS embed,
@@ -267,10 +270,3 @@ def rerun_failed_set(spark, sf_dir):
     s = scores(spark, sf_dir).withColumn("status", F.when(F.col("final_score").isNull(), "failed").otherwise("scored"))
     again, kept = store.rerun_set(s, s)
     return again.unionByName(kept).select("resume_id", "status", "final_score")
-
-
-@query(f"""WITH {SQL_RANKED} SELECT job_id, resume_id, rank, filename FROM k JOIN r USING (resume_id, job_id) WHERE resume_id % 7 = 0 ORDER BY coalesce(rank, 9999), resume_id""")
-def name_review_queue(spark, sf_dir):
-    """Rows whose name comes from a single weak source, shortlisted first."""
-    found = report.results(resumes(spark, sf_dir), scores(spark, sf_dir)).where("resume_id % 7 = 0")
-    return found.orderBy(F.coalesce("rank", F.lit(9999)), "resume_id").select("job_id", "resume_id", "rank", "filename")

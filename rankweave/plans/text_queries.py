@@ -10,9 +10,9 @@ from rankweave.functions import text as T
 from rankweave.operators import briefs as B
 from rankweave.operators import layout, profile, rules
 from rankweave.plans.catalog import query
-from rankweave.plans.ranking_queries import sql_tokens
+from rankweave.plans.ranking_queries import SQL_RANKED, sql_tokens
 from rankweave.sources import files
-from rankweave.sources.views import SQL_B, SQL_R, briefs, resumes, table
+from rankweave.sources.views import SQL_B, SQL_R, briefs, resumes, scores, table
 from rankweave.streaming import progress
 
 AS_OF = 2026
@@ -35,20 +35,33 @@ def clean_text(spark, sf_dir):
 
 @query(r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS i FROM documents WHERE length(text) > 800
 ), m AS (SELECT *, count(*) OVER (PARTITION BY doc_id, lower(trim(line))) AS copies, count(*) OVER (PARTITION BY doc_id) AS n FROM l
-), k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body FROM m WHERE NOT (n >= 20 AND length(trim(line)) BETWEEN 3 AND 80 AND copies >= 3) AND NOT regexp_matches(lower(trim(line)), '^page [0-9]+( of [0-9]+)?$') GROUP BY doc_id)
+), k AS (SELECT doc_id, string_agg(line, chr(10) ORDER BY i) AS body FROM m WHERE NOT (n >= 20 AND (length(trim(line)) BETWEEN 3 AND 80 AND copies >= 3 AND regexp_matches(lower(trim(line)), 'page\s*[0-9]+|^[0-9]+$|confidential|curriculum vitae|\bresume\b') OR regexp_matches(lower(trim(line)), '^page\s*[0-9]+(\s*of\s*[0-9]+)?$'))) GROUP BY doc_id)
 SELECT doc_id, md5(CASE WHEN length(text) > 800 THEN coalesce(body, '') ELSE text END) AS body FROM documents LEFT JOIN k USING (doc_id)""")
 def strip_headers(spark, sf_dir):
     return layout.without_headers(table(spark, sf_dir, "documents")).select("doc_id", F.md5(F.col("body").cast("binary")).alias("body"))
 
 
-@query(rf"""WITH {SQL_R}, l AS (SELECT resume_id, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM r
-), h AS (SELECT *, CASE WHEN regexp_matches(line, '(?i)^experience') THEN 'experience' WHEN regexp_matches(line, '(?i)^education') THEN 'education' WHEN regexp_matches(line, '(?i)^skills') THEN 'skills' END AS opens FROM l
-), o AS (SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY resume_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'header') AS section FROM h)
-SELECT resume_id, section, coalesce(string_agg(line, chr(10) ORDER BY i) FILTER (opens IS NULL), '') AS body, count(*) AS n_lines FROM o GROUP BY ALL""")
+SQL_LINES = "SELECT resume_id, raw_text, unnest(string_split(raw_text, chr(10))) AS line, generate_subscripts(string_split(raw_text, chr(10)), 1) AS i FROM r"
+
+
+@query(rf"""WITH {SQL_R}, l AS ({SQL_LINES}
+), h AS (SELECT *, CASE WHEN regexp_matches(trim(line), '(?i)^experience') THEN 'experience' WHEN regexp_matches(trim(line), '(?i)^education') THEN 'education' WHEN regexp_matches(trim(line), '(?i)^skills') THEN 'skills' END AS opens FROM l
+), o AS (SELECT *, coalesce(last_value(opens IGNORE NULLS) OVER (PARTITION BY resume_id ORDER BY i ROWS UNBOUNDED PRECEDING), 'header') AS section,
+    CASE WHEN opens IS NULL THEN line ELSE nullif(regexp_replace(regexp_replace(trim(line), '(?i)^(experience|education|skills)', ''), '^[ \t:\-–—|]+', ''), '') END AS said FROM h)
+SELECT resume_id, section, regexp_replace(coalesce(string_agg(said, chr(10) ORDER BY i), ''), '^\s+|\s+$', '', 'g') AS body FROM o GROUP BY ALL
+UNION ALL SELECT resume_id, 'full', raw_text FROM r""")
 def section_split(spark, sf_dir):
     return layout.sections(resumes(spark, sf_dir))
 
 
+@query("SELECT count(*) AS texts, count(*) AS bodies, count(*) AS headers FROM documents")
+def sections_without_headings(spark, sf_dir):
+    """Texts without any heading have their first lines as header and all of them as body."""
+    plain = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("resume_id"), F.regexp_replace(F.concat(F.lit("x "), F.coalesce("text", F.lit(""))), "\n", "\nx ").alias("raw_text"))
+    found = layout.sections(plain)
+    return found.agg(F.count_if(F.col("section") == "full").alias("texts"), F.count_if(F.col("section") == "body").alias("bodies"), F.count_if(F.col("section") == "header").alias("headers"))
+
+
 @query("SELECT doc_id, CASE WHEN n < 80 THEN 'low' WHEN n >= 200 THEN 'medium' ELSE 'low' END AS grade FROM (SELECT doc_id, length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) AS n FROM documents)")
 def text_quality(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", T.quality_grade(F.col("text"), F.lit(0)).alias("grade"))
@@ -113,6 +126,28 @@ SQL_YEARS = rf"""{SQL_R}, y AS (SELECT resume_id, CAST(regexp_extract(raw_text,
 ), z AS (SELECT resume_id, floor(least(CAST(b - a AS DOUBLE), {AS_OF} - a, 50) * 10 + 0.5) / 10 AS years FROM y)"""
 
 
+SQL_MONTHS = rf"""{SQL_R}, m AS (SELECT resume_id, CAST(regexp_extract(raw_text, 'Jan ([0-9]+) - Mar ([0-9]+)', 1) AS INTEGER) AS a, CAST(regexp_extract(raw_text, 'Jan ([0-9]+) - Mar ([0-9]+)', 2) AS INTEGER) AS b FROM r)"""
+
+
+@query(f"WITH {SQL_MONTHS} SELECT resume_id, round_even(((b - a) * 12 + 2) / 12e0, 2) AS named, round_even(((b - a) * 12 + 8) / 12e0, 2) AS numbered, round_even((({AS_OF} - a) * 12 + 2) / 12e0, 2) AS still FROM m")
+def years_month(spark, sf_dir):
+    """Ranges of named months, of numbered ones, and one that isn't over."""
+    r, text = resumes(spark, sf_dir), F.col("raw_text")
+    year = lambda k: F.regexp_extract(text, "Jan ([0-9]+) - Mar ([0-9]+)", k)
+    numbered = F.concat(F.lit("03/"), year(1), F.lit(" - 11/"), year(2))
+    still = F.concat(F.lit("March "), year(1), F.lit(" – Present"))
+    return r.select("resume_id", *(T.month_range_years(x, AS_OF, 5).alias(n) for n, x in (("named", text), ("numbered", numbered), ("still", still))))
+
+
+@query(f"WITH {SQL_MONTHS} SELECT resume_id, CASE resume_id % 4 WHEN 0 THEN round_even(((b - a) * 12 + 2) / 12e0, 2) WHEN 1 THEN CASE WHEN a = b THEN 0.5 ELSE CAST(b - a AS DOUBLE) END WHEN 2 THEN round_even((1 + resume_id % 30) / 12e0, 1) ELSE CAST(resume_id % 9 AS DOUBLE) END AS years FROM m")
+def years_duration(spark, sf_dir):
+    """Durations of the four forms: months, years, stated months, stated years."""
+    text, k = F.col("raw_text"), F.col("resume_id")
+    year = lambda i: F.regexp_extract(text, "Jan ([0-9]+) - Mar ([0-9]+)", i)
+    forms = F.when(k % 4 == 0, F.regexp_substr(text, F.lit("Jan [0-9]+ - Mar [0-9]+"))).when(k % 4 == 1, F.concat(year(1), F.lit(" - "), year(2))).when(k % 4 == 2, F.concat((1 + k % 30).cast("string"), F.lit(" months"))).otherwise(F.concat((k % 9).cast("string"), F.lit(" yrs")))
+    return resumes(spark, sf_dir).select("resume_id", T.duration_years(forms, AS_OF, 5).alias("years"))
+
+
 @query(f"WITH {SQL_YEARS} SELECT resume_id, years FROM z")
 def years_ranges(spark, sf_dir):
     return resumes(spark, sf_dir).select("resume_id", T.range_years(F.col("raw_text"), AS_OF).alias("years"))
@@ -153,9 +188,10 @@ def cert_lexicon(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
 
 
-@query("SELECT doc_id, md5(regexp_replace(replace(lower(strip_accents(text)), '&', 'and'), '[^a-z0-9]+', '', 'g')) AS strict, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(trim(text))), '[.\\-_/]+', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS loose FROM documents WHERE NOT contains(text, 'ß')")
+@query("SELECT doc_id, md5(regexp_replace(replace(lower(strip_accents(text)), '&', 'and'), '[^a-z0-9]+', '', 'g')) AS strict, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(trim(text))), '[.\\-_/]+', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS loose FROM (SELECT doc_id, replace(text, 'ß', '') AS text FROM documents)")
 def normalize_both(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents").where(~F.contains("text", F.lit("ß")))
+    """The sharp s has no decomposition: the strict form drops it, and so does the oracle, whose own accent stripping would spell it out; here both forms do."""
+    docs = table(spark, sf_dir, "documents").withColumn("text", F.replace("text", F.lit("ß"), F.lit("")))
     return docs.select("doc_id", F.md5(rules.strict_column(F.col("text")).cast("binary")).alias("strict"), F.md5(rules.loose_column(F.col("text")).cast("binary")).alias("loose"))
 
 
@@ -217,6 +253,14 @@ def filter_all(spark, sf_dir):
     return found.select("resume_id", F.forall("results", lambda r: r["passed"]).alias("passed"), rules.reasons(F.col("results")).alias("reasons"))
 
 
+@query(f"WITH {SQL_YEARS} SELECT resume_id, years >= 3 AS by_alias, years >= 3 AS by_text, FALSE AS unknown, FALSE AS unreadable FROM z")
+def rule_aliases(spark, sf_dir):
+    """Rules by another field name, with a number inside words, on a field that isn't there, and with a number that can't be read."""
+    cases = {"by_alias": ("Total Years Experience", 3), "by_text": ("experience", "3 years"), "unknown": ("shoe size", 3), "unreadable": ("years", "some")}
+    found = [rules.passed({"field": f, "operator": "gte", "value": v}, _fields()).alias(n) for n, (f, v) in cases.items()]
+    return _profiles(spark, sf_dir).select("resume_id", *found)
+
+
 SQL_CHECKS = ", ".join(rf"regexp_matches(t, '{p}') AS {k}" for k, p in B.CHECKS.items())
 
 
@@ -290,7 +334,10 @@ def ema_rate(spark, sf_dir):
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf_dir):
     name = f"daily_{abs(hash(sf_dir)) % 10**8}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and not spark.sparkContext.master.startswith("local["):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    base = base or tempfile.gettempdir()
     import uuid
 
     return progress.daily_counts(spark, f"{sf_dir}/event[s].parquet", name, f"{base}/stream-{uuid.uuid4().hex}")
@@ -342,6 +389,10 @@ def plain_decode(spark, sf_dir):
 ) SELECT resume_id, CASE WHEN resume_id % 8 = 0 THEN 'Pat Doe' ELSE replace(file, '_', ' ') END AS name, CASE WHEN resume_id % 8 = 0 THEN 'heuristic' ELSE 'email+filename+heuristic' END AS source, CASE WHEN resume_id % 8 = 0 THEN 45 ELSE 100 END AS score FROM v""")
 def name_resolve(spark, sf_dir):
     """The name on which most sources agree; here every eighth row has a first line that nothing else supports, and no other source."""
+    return _names(spark, sf_dir).select("resume_id", "n.name", "n.source", "n.score")
+
+
+def _names(spark, sf_dir):
     from rankweave.operators.names import resolved
 
     r = resumes(spark, sf_dir)
@@ -351,7 +402,18 @@ def name_resolve(spark, sf_dir):
     stem = F.replace(F.replace(F.replace("filename", F.lit("Resume_"), F.lit("")), F.lit(".pdf"), F.lit("")), F.lit("_"), F.lit(" "))
     first = F.when(alone, F.lit("Pat Doe")).otherwise(F.split_part("raw_text", F.lit("\n"), F.lit(1)))
     found = resolved({"filename": F.when(~alone, stem), "email": F.when(~alone, email), "heuristic": first})
-    return r.select("resume_id", found.alias("n")).select("resume_id", "n.name", "n.source", "n.score")
+    return r.select("resume_id", "job_id", "filename", found.alias("n"))
+
+
+@query(f"WITH {SQL_RANKED} SELECT k.job_id, resume_id, rank, filename, CASE WHEN resume_id % 8 = 0 THEN 'low' ELSE 'high' END AS confidence FROM k JOIN r USING (resume_id) WHERE resume_id % 8 = 0")
+def name_review_queue(spark, sf_dir):
+    """Rows whose name needs a look, by doubt, missing support or form, shortlisted first."""
+    from rankweave.operators import names, report
+
+    n = _names(spark, sf_dir).select("resume_id", "n.*").withColumn("confidence", names.confidence(F.col("source"), F.col("score")))
+    ask = names.needs_review(F.col("name"), F.col("source"), F.col("confidence"), F.lit(None).cast("string"))
+    found = report.results(resumes(spark, sf_dir), scores(spark, sf_dir)).join(n.where(ask).select("resume_id", "confidence"), "resume_id")
+    return found.orderBy(F.coalesce("rank", F.lit(9999)), "resume_id").select("job_id", "resume_id", "rank", "filename", "confidence")
 
 
 @query("SELECT 4 AS cases, CAST(3 AS BIGINT) AS passed, CAST(1 AS BIGINT) AS failed")
