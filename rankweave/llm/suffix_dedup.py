@@ -33,7 +33,7 @@ PASSAGE, PASSAGE_GRAM = 51, 13
 #: Distinct segments of an anchor hash in one index. A segment is shorter than 2 * LENGTH - GRAM + 1 bytes, so an index has at most about 3.5 million.
 MAX_VARIANTS = 5000
 #: Symbols that one index takes if it can choose.
-INDEX = 1 << 20
+INDEX = 1 << 19
 #: Windows of a text that are treated at once.
 BLOCK = 1 << 19
 _SECOND = np.random.default_rng(20240301).integers(1, 2**64, 256, dtype=np.uint64)
@@ -188,7 +188,7 @@ def cut_segments(texts: DataFrame, wanted: DataFrame, length: int, unit: str) ->
             for k1, k2, text, asked in zip(*(batch.column(c).to_pylist() for c in (*KEY, "text", "wanted")), strict=True):
                 b = symbols_of([(text or "").encode()], unit)[0]
                 rows += [{"k1": k1, "k2": k2, **x, "symbols": b[x["lo"] : x["lo"] + x["n"] + length - 1].tobytes()} for x in asked]
-                if len(rows) > 5000:
+                if len(rows) > 2000:
                     yield pa.RecordBatch.from_pylist(rows, schema)
                     rows = []
             if rows:
