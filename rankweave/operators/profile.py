@@ -81,6 +81,59 @@ def two_pass_years(computed: Column, stated: Column, override: Column, student:
     )
 
 
+# Signs of a student, of stated experience, and of entries that are no jobs.
+STUDENT = ["student", "undergrad", "undergraduate", "graduating", "pursuing", "cgpa", "gpa", "batch of", "expected graduation", "fresher", "final year", "pre-final"]
+EXPERIENCED = ["years of experience", "years experience", "yrs of experience", "professional experience of"]
+NO_TITLE = ["", "-", "n/a", "na", "none", "null", ".", "—", "–"]
+SCHOOLING = ["bachelor", "master", "b.tech", "btech", "m.tech", "university", "institute of", "high school", "class xii", "class 12"]
+
+
+def _any_of(text: Column, words: list[str]) -> Column:
+    out = F.lit(False)
+    for w in words:
+        out = out | F.contains(text, F.lit(w))
+    return out
+
+
+def student(text: Column) -> Column:
+    """Whether a text reads like a student's or a beginner's, without a claim of experience."""
+    low = F.lower(F.coalesce(text, F.lit("")))
+    return _any_of(low, STUDENT) & ~_any_of(low, EXPERIENCED)
+
+
+def real_job(title: Column, company: Column) -> Column:
+    """Whether an entry looks like employment: a title or a company that says something, and no schooling."""
+    t, c = (F.lower(F.trim(F.coalesce(x, F.lit("")))) for x in (title, company))
+    return ~(t.isin(NO_TITLE) & c.isin(NO_TITLE)) & ~_any_of(F.concat_ws(" ", t, c), SCHOOLING)
+
+
+def work_years(jobs: DataFrame, key: str, year: int, month: int) -> DataFrame:
+    """jobs (key, title, company, duration, years) to key, years, method: the sum over real jobs, or their span where they overlap a lot.
+
+    A job's years are those of its duration, else the given ones. Without a real job the years are null.
+    """
+    real = F.coalesce(real_job(F.col("title"), F.col("company")), F.lit(False))
+    own = F.greatest(F.lit(0.0), F.coalesce(T.duration_years(F.col("duration"), year, month), F.col("years"), F.lit(0.0)))
+    start, stop = (F.regexp_extract("duration", T.DATE_RANGE, k) for k in (1, 2))
+    first = start.try_cast("int")
+    last = F.when(stop != "", F.least(F.coalesce(stop.try_cast("int"), F.lit(year)), F.lit(year)))
+    bounded = (first >= 1970) & (first <= year) & (last >= first)
+    each = jobs.select(key, real.alias("real"), own.alias("own"), F.when(bounded, first).alias("first"), F.when(bounded, last).alias("last")).withColumn("counted", F.col("real"))
+    sums = each.groupBy(key).agg(F.count_if("counted").alias("n"), F.sum(F.when(F.col("counted"), F.col("own")).otherwise(0.0)).alias("total"), F.min(F.when(F.col("counted"), F.col("first"))).alias("first"), F.max(F.when(F.col("counted"), F.col("last"))).alias("last"))
+    span = (F.col("last") - F.col("first")).cast("double")
+    one = lambda x: F.bround(F.least(x, F.lit(50.0)), 1)
+    pair = lambda v, m: F.struct(v.cast("double").alias("years"), F.lit(m).alias("method"))
+    found = (
+        F.when(F.col("n") == 0, pair(F.lit(None), "none"))
+        .when((F.col("total") > 0) & (span > 0) & (F.col("total") > span * 1.25), pair(one(span), "work_history_span"))
+        .when((F.col("total") > 0) & (span > 0), pair(one(F.least("total", span)), "work_history_sum"))
+        .when(F.col("total") > 0, pair(one(F.col("total")), "work_history_sum"))
+        .when(span > 0, pair(one(span), "work_history_span"))
+        .otherwise(pair(F.lit(0.0), "no_countable_jobs"))
+    )
+    return sums.select(key, found.alias("f")).select(key, "f.years", "f.method")
+
+
 def merged(rule: DataFrame, model: DataFrame) -> DataFrame:
     """Rule-based and model profiles of the same rows: contacts and notice by rule first, skills and education by model first."""
     m = model.select("resume_id", *(F.col(c).alias("m_" + c) for c in model.columns if c not in ("resume_id", "job_id")))

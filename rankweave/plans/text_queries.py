@@ -261,6 +261,32 @@ def rule_aliases(spark, sf_dir):
     return _profiles(spark, sf_dir).select("resume_id", *found)
 
 
+SQL_STUDENT = " OR ".join(f"contains(t, '{w}')" for w in profile.STUDENT)
+SQL_CLAIM = " OR ".join(f"contains(t, '{w}')" for w in profile.EXPERIENCED)
+
+
+@query(f"SELECT doc_id, ({SQL_STUDENT}) AND NOT ({SQL_CLAIM}) AS student, NOT (t IN ('', '-', 'n/a')) AND NOT contains(t, 'master') AS job FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'final year pupil' WHEN 1 THEN 'fresher, 2 years of experience' WHEN 2 THEN '-' WHEN 3 THEN 'scrum master' ELSE lower(text[1:2000]) || ' batch of ' || doc_id END AS t FROM (SELECT doc_id, regexp_replace(text, '(?i)master|bachelor|b.tech|btech|m.tech|university|institute of|high school|class xii|class 12', '', 'g') AS text FROM documents))")
+def student_and_jobs(spark, sf_dir):
+    """Signs of students in texts, and entries that are jobs, over forms of each kind."""
+    bare = F.regexp_replace("text", "(?i)master|bachelor|b.tech|btech|m.tech|university|institute of|high school|class xii|class 12", "")
+    k = F.col("doc_id") % 5
+    t = F.when(k == 0, "Final year pupil").when(k == 1, "Fresher, 2 years of experience").when(k == 2, "-").when(k == 3, "Scrum Master").otherwise(F.concat(F.substring(bare, 1, 2000), F.lit(" batch of "), F.col("doc_id")))
+    return table(spark, sf_dir, "documents").select("doc_id", profile.student(t).alias("student"), profile.real_job(t, F.lit("n/a")).alias("job"))
+
+
+@query(f"""WITH j AS (SELECT o_custkey AS resume_id, year(o_orderdate) AS a, year(o_orderdate) + o_orderkey % 4 AS b, o_orderkey % 5 = 0 AS schooling FROM orders
+), s AS (SELECT resume_id, count(*) FILTER (NOT schooling) AS n, coalesce(sum(CASE WHEN a = b THEN 0.5e0 ELSE b - a END) FILTER (NOT schooling), 0e0) AS total, CAST(max(b) FILTER (NOT schooling) - min(a) FILTER (NOT schooling) AS DOUBLE) AS span FROM j GROUP BY resume_id)
+SELECT resume_id, CASE WHEN n = 0 THEN NULL WHEN span > 0 AND total > span * 1.25e0 THEN span WHEN span > 0 THEN least(total, span) ELSE total END AS years,
+    CASE WHEN n = 0 THEN 'none' WHEN span > 0 AND total > span * 1.25e0 THEN 'work_history_span' ELSE 'work_history_sum' END AS method FROM s""")
+def years_work_history(spark, sf_dir):
+    """Jobs of all orders' customers, a fifth of them schooling, summed or spanned per customer."""
+    year = F.year("o_orderdate")
+    title = F.when(F.col("o_orderkey") % 5 == 0, "University course").otherwise(F.col("o_orderpriority"))
+    duration = F.concat(year, F.lit(" - "), year + F.col("o_orderkey") % 4)
+    jobs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("resume_id"), title.alias("title"), F.lit("Unit").alias("company"), duration.alias("duration"), F.lit(None).cast("double").alias("years"))
+    return profile.work_years(jobs, "resume_id", AS_OF, 5)
+
+
 SQL_CHECKS = ", ".join(rf"regexp_matches(t, '{p}') AS {k}" for k, p in B.CHECKS.items())
 
 
