@@ -32,9 +32,14 @@ def export_rows(view: DataFrame, profiles: DataFrame) -> DataFrame:
     return view.join(p, "resume_id", "left").select("job_id", "rank", "resume_id", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "filename", F.lit("Unknown")).alias("display_name"), "email", "skills", "education", "final_score")
 
 
-def csv_lines(rows: DataFrame, columns: list[str]) -> DataFrame:
-    """One CSV line per row: every field quoted, quotes doubled, null empty."""
-    quoted = lambda c: F.concat(F.lit('"'), F.replace(F.coalesce(F.col(c).cast("string"), F.lit("")), F.lit('"'), F.lit('""')), F.lit('"'))
+def csv_lines(rows: DataFrame, columns: list[str], always: bool = True) -> DataFrame:
+    """One CSV line per row: every field quoted, or only those that need it; quotes doubled, null empty."""
+
+    def quoted(c: str):
+        plain = F.coalesce(F.col(c).cast("string"), F.lit(""))
+        full = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('""')), F.lit('"'))
+        return full if always else F.when(plain.rlike('[",\\n\\r]'), full).otherwise(plain)
+
     return rows.select("resume_id", F.concat_ws(",", *(quoted(c) for c in columns)).alias("line"))
 
 
