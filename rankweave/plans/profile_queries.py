@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from rankweave.functions import person
 from rankweave.operators import layout, matching, names, ranking, report
 from rankweave.plans.catalog import query
 from rankweave.plans.ranking_queries import SQL_RANKED
@@ -228,3 +229,46 @@ def phase_counts(spark, sf_dir):
     """Outcomes of a phase and the number of processed rows, derived from the rows instead of being counted up."""
     done, ok = F.col("final_score").isNotNull(), F.col("hard_filter_pass") == 1
     return scores(spark, sf_dir).groupBy("job_id").agg(F.count_if(~done).alias("failed"), F.count_if(ok & done).alias("passed"), F.count_if(~ok & done).alias("rejected"), F.count_if(done).alias("processed"))
+
+
+_NAMES = """CASE doc_id % 9 WHEN 0 THEN 'Asha Verma Resume' WHEN 1 THEN concat('ASHA o', chr(39), 'neil-verma') WHEN 2 THEN 'Python SQL' WHEN 3 THEN 'Delhi Noida' WHEN 4 THEN 'asha verma' WHEN 5 THEN 'Meera' WHEN 6 THEN 'CV_Final Ravi Kumar 2020'
+    ELSE concat(split_part(coalesce(text, ''), ' ', 1), ' ', split_part(coalesce(text, ''), ' ', 2), ' ', split_part(coalesce(text, ''), ' ', 3)) END"""
+_SOURCE = "CASE doc_id % 4 WHEN 0 THEN 'email+filename' WHEN 1 THEN 'llm' WHEN 2 THEN 'other' ELSE 'heuristic' END"
+
+
+def _sql_list(words: list[str]) -> str:
+    return "(" + ", ".join(f"'{w}'" for w in words) + ")"
+
+
+_SQL_WORD, _SQL_LONG, _SQL_TOKEN = r"[A-Za-z][A-Za-z\-'']*", r"[A-Za-z][A-Za-z\-'']+", r"[A-Za-z][A-Za-z0-9+.#\-'']*"
+_SQL_LOW = "list_transform(regexp_extract_all({}, '" + _SQL_WORD + "'), lambda x: trim(lower(x), '-'''))"
+_SQL_TECH = f"regexp_replace(lower(x), '[^a-z0-9]', '', 'g') IN {_sql_list(person.TECH_KEYS)}"
+SQL_NAMES = f"""n AS (SELECT doc_id, {_NAMES} AS name, {_SOURCE} AS source FROM documents
+), k AS (SELECT *, trim(name) AS raw, array_to_string(list_filter(regexp_extract_all(name, '{_SQL_WORD}'), lambda x: trim(lower(x), '-''') NOT IN {_sql_list(person.NOISE)}), ' ') AS kept FROM n
+), w AS (SELECT *, CASE WHEN kept = '' THEN raw ELSE kept END AS bare FROM k
+), t AS (SELECT *, regexp_extract_all(bare, '{_SQL_LONG}') AS words, len(list_filter(regexp_extract_all(bare, '{_SQL_TOKEN}'), lambda x: {_SQL_TECH})) AS tech, len(regexp_extract_all(bare, '{_SQL_TOKEN}')) AS n_tokens,
+    {_SQL_LOW.format("bare")} AS low, {_SQL_LOW.format("name")} AS full_low, regexp_extract_all(name, '{_SQL_LONG}') AS full_words FROM w)"""
+
+
+def _sql_prose(low: str) -> str:
+    hits = f"len(list_filter({low}, lambda x: x IN {_sql_list(person.PROSE)}))"
+    verbal = f"len(list_filter({low}, lambda x: (x LIKE '%ing' OR x LIKE '%ed' OR x LIKE '%ly') AND x NOT IN ('king', 'young'))) > 0"
+    return f"(len({low}) = 0 OR ({hits} >= 1 AND len({low}) >= 3) OR {hits} >= 2 OR coalesce({low}[1] IN {_sql_list(person.OPENERS)}, false) OR ({verbal} AND (len({low}) >= 3 OR {hits} > 0)))"
+
+
+_SQL_PLACES = f"len(list_filter(words, lambda x: lower(x) IN {_sql_list(person.PLACES)}))"
+
+
+@query(f"""WITH {SQL_NAMES} SELECT doc_id, length(raw) BETWEEN 3 AND 80 AND NOT regexp_matches(bare, '{person.NO_NAME}') AND NOT ((tech >= 1 AND n_tokens <= 4 AND tech >= greatest(1, n_tokens - 1)) OR tech >= 2 OR (tech >= 1 AND tech * 2 >= n_tokens))
+    AND NOT {_sql_prose("low")} AND len(words) BETWEEN 2 AND 4 AND len(list_filter(words, lambda x: {_SQL_TECH} OR lower(x) IN {_sql_list(person.NOISE)} OR lower(x) IN {_sql_list(person.PROSE)})) = 0
+    AND NOT ({_SQL_PLACES} >= 1 AND {_SQL_PLACES} >= len(words) - 1) AND {_SQL_PLACES} < 2 AND len(list_filter(words, lambda x: regexp_matches(x, '^[A-Z]'))) > 0 AS fits FROM t""")
+def name_plausible(spark, sf_dir):
+    """Which of many texts can be a person's name."""
+    return table(spark, sf_dir, "documents").select("doc_id", person.plausible_person(F.expr(_NAMES)).alias("fits"))
+
+
+@query(f"""WITH {SQL_NAMES} SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 96 WHEN 1 THEN 68 WHEN 2 THEN 40 ELSE 48 END + CASE WHEN len(full_words) = 2 THEN 8 WHEN len(full_words) = 3 THEN 4 WHEN len(full_words) = 1 THEN -12 WHEN len(full_words) >= 4 THEN -10 ELSE 0 END
+    + CASE WHEN len(full_words) > 0 AND len(list_filter(full_words, lambda x: NOT regexp_matches(x, '^[A-Z]'))) = 0 THEN 4 ELSE 0 END - CASE WHEN {_sql_prose("full_low")} THEN 40 ELSE 0 END
+    - CASE WHEN len(list_filter(full_words, lambda x: lower(x) IN {_sql_list(person.NOISE)})) > 0 THEN 30 ELSE 0 END AS quality FROM t""")
+def name_quality(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", person.name_quality(F.expr(_NAMES), F.expr(_SOURCE)).alias("quality"))

@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from rankweave.functions import person
 from rankweave.operators import matching as M
 
 TEXT = """Education
@@ -65,3 +66,16 @@ def test_grade(spark):
 def test_display(spark):
     got = one(spark, a=M.shown_duration(F.lit(59.6)), b=M.shown_duration(F.lit(3600.0)), c=M.shown_duration(F.lit(None).cast("double")), d=M.shown_list(F.array(*map(F.lit, ["a", " ", "b", "c"])), 2), e=M.shown_list(F.lit(None).cast("array<string>")))
     assert tuple(got) == ("1m", "1h", "—", "a, b (+1 more)", "—")
+
+
+def test_names_and_places(spark):
+    fits = lambda name, single=False: one(spark, x=person.plausible_person(F.lit(name).cast("string"), single)).x
+    assert [fits(x) for x in ("Ann Lee", "Amit Singh Resume", "ANN LEE", "Anne-Marie O'Neil", "Ravi Kumar Delhi")] == [True] * 5
+    assert [fits(x) for x in (None, "", "Al", "ann lee", "Meera", "My Resume", "Python SQL", "Delhi Noida", "Working With Teams", "Based in Pune", "Ab Cd Ef Gh Ij Kl")] == [False] * 11
+    assert fits("Meera", True) and not fits("HTMLX", True) and not fits("Pune", True)
+    place = lambda x: one(spark, x=person.plausible_place(F.lit(x).cast("string"))).x
+    assert place("Pune, India") and place("St. John's")
+    assert not any(place(x) for x in (None, "", "x", "JavaScript, HTML", "React-Redux-SQL", "a@b.org", "+91 98765 43210", "y" * 121))
+    assert one(spark, x=person.cased(F.lit("ANN o'neil-lee McKay"))).x == "Ann O'Neil-Lee McKay"
+    assert one(spark, x=person.without_noise(F.lit("Resume_Ann Lee final-2"))).x == "Ann Lee"
+    assert one(spark, x=person.name_quality(F.lit("Ann Lee"), F.lit("email+filename"))).x == 78 + 18 + 8 + 4
