@@ -3,7 +3,10 @@
 Every document is cut into full pieces, which fill a sequence each, and at most one residual piece. Partitions
 pack their residual pieces by best fit, longest first, and close nearly full bins. The underfull bins of a partition
 are the items of the next round, in which an eighth of the partitions do the same, until one partition holds the few
-bins that are left. Each round's input is a written table and is sorted before packing, so that a lost executor's work
+bins that are left. Best fit leaves at most one bin up to half full in a partition, for two of them would have shared
+one; a fuller bin takes part in a merge only with such a one. So of the fuller bins no more go on than a best matching
+with those up to half full needs, found on the counts by load, at most one number for each; the others are closed.
+A round thus gets at most two bins for each partition of the round before, whatever the lengths. Each round's input is a written table and is sorted before packing, so that a lost executor's work
 comes out the same when it is done again.
 
 Defined results: a null or empty text is the end token alone, a sequence item of length 1; repeated rows are packed one
@@ -18,7 +21,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from rankweave.llm.shared import written
@@ -96,6 +99,40 @@ def pack_round(items: DataFrame, parts: int, capacity: int, level: int) -> DataF
     return items.repartition(parts, F.col("part")).mapInPandas(run, "item long, length long, bin long, place long, load long")
 
 
+def mergeable(counts: dict[int, int], capacity: int) -> dict[int, int]:
+    """Of the numbers of bins by load, how many can still be merged: all up to half full, and their partners in a best matching.
+
+    Whoever is longest has the fewest partners to choose from, so it chooses first, the fullest that has room.
+    """
+    half = capacity // 2
+    kept = {load: n for load, n in counts.items() if load <= half}
+    fuller = sorted(load for load in counts if load > half)
+    fitting, at = [], 0
+    for load, n in sorted(kept.items(), reverse=True):
+        while at < len(fuller) and fuller[at] + load <= capacity:
+            fitting.append([fuller[at], counts[fuller[at]]])
+            at += 1
+        while n and fitting:
+            used = min(n, fitting[-1][1])
+            kept[fitting[-1][0]] = kept.get(fitting[-1][0], 0) + used
+            n, fitting[-1][1] = n - used, fitting[-1][1] - used
+            if not fitting[-1][1]:
+                fitting.pop()
+    return kept
+
+
+def go_on(open_bins: DataFrame, capacity: int) -> DataFrame | None:
+    """The bins (bin, length) of the next round, None if no two of them can be merged."""
+    kept = mergeable({r.length: r.n for r in open_bins.groupBy("length").agg(F.count("*").alias("n")).collect()}, capacity)
+    if sum(kept.values()) < 2:
+        return None
+    numbers = open_bins.sparkSession.createDataFrame(sorted(kept.items()), "length long, most long")
+    # The constant lets each task drop what is beyond it before bins of one load meet.
+    order = F.row_number().over(Window.partitionBy("length").orderBy("bin"))
+    first = open_bins.withColumn("place", order).where(F.col("place") <= max(kept.values()))
+    return first.join(F.broadcast(numbers), "length").where(F.col("place") <= F.col("most")).select("bin", "length")
+
+
 def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str = VOCABULARY, parts: int | None = None) -> DataFrame:
     """docs (doc_id, text) to one row per piece: doc_id, piece, start, length, ids_crc32, sequence_id, offset."""
     spark = docs.sparkSession
@@ -114,8 +151,11 @@ def pack(docs: DataFrame, capacity: int = 2048, end_id: int = 0, vocabulary: str
         if parts == 1:
             break
         open_bins = packed.where(F.col("load") < capacity * (1 - SLACK)).groupBy("bin").agg(F.max("load").alias("length"))
+        left = go_on(open_bins, capacity)
+        if left is None:
+            break
         parts, level = -(-parts // FAN_IN), level + 1
-        items = open_bins.select(F.col("bin").alias("item"), "length", F.pmod(F.xxhash64("bin"), F.lit(parts)).alias("part"))
+        items = left.select(F.col("bin").alias("item"), "length", F.pmod(F.xxhash64("bin"), F.lit(parts)).alias("part"))
     alone = rows.where(F.col("length") == capacity).withColumn("sequence_id", F.col("item")).withColumn("offset", F.lit(0).cast("long"))
     shared = rows.where(F.col("length") < capacity).join(placed, "item").withColumnRenamed("bin", "sequence_id").withColumnRenamed("place", "offset")
     columns = ["doc_id", "piece", "start", "length", "ids_crc32", "sequence_id", "offset"]

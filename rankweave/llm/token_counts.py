@@ -16,7 +16,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.llm.tokens import MAX_KEY, VOCABULARY, Words
+from rankweave.llm.tokens import MAX_KEY, VOCABULARY, Words, word_encoder
 
 #: Rows whose words fill the broadcast table, and its entries: at most 16,384 words of 48 characters, under 2 MB.
 #: The table only saves work; no result depends on it.
@@ -31,16 +31,19 @@ def frequent_words(texts: DataFrame, sample_docs: int = SAMPLE_DOCS, table_size:
     return [w for w, _ in sorted(words.items(), key=lambda x: (-x[1], x[0]))[:table_size]]
 
 
+def lengths_of(words: list[str], vocabulary: str) -> dict[str, int]:
+    """word -> number of its tokens after a space."""
+    encode = word_encoder(vocabulary)
+    return {w: len(encode(" " + w)) for w in words}
+
+
 def count_tokens(docs: DataFrame, key: str = "doc_id", text: str = "text", vocabulary: str = VOCABULARY, limit: int = 512, sample_docs: int = SAMPLE_DOCS, table_size: int = TABLE_SIZE) -> DataFrame:
     """One row per document: key, n_bytes, n_tokens, over_limit (n_tokens > limit)."""
     texts = docs.select(F.col(key), F.col(text).alias("text"))
-    known = docs.sparkSession.sparkContext.broadcast(frequent_words(texts.select("text"), sample_docs, table_size))
+    known = docs.sparkSession.sparkContext.broadcast(lengths_of(frequent_words(texts.select("text"), sample_docs, table_size), vocabulary))
 
     def lengths(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        words = Words(vocabulary, len)
-        words.known = dict(zip(known.value, map(len, map(words.encode, (" " + w for w in known.value))), strict=True))
-        words.update(words.known)
-        words.limit += len(words.known)
+        words = Words(vocabulary, len, known.value)
         for batch in batches:
             yield pd.Series([sum(words.values_of(x or "")) for x in batch], dtype="int64")
 

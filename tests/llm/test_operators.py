@@ -1,6 +1,7 @@
 """The ten operators and the pipeline on small fixtures, against brute force where SQL can't express them."""
 
 import hashlib
+import random
 import re
 import time
 import zlib
@@ -42,6 +43,23 @@ ROWS = [
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long"
 
 
+def brute_merges(loads, capacity):
+    """The most disjoint pairs of a bin up to half full and a fuller one that fit together."""
+    small, big = [x for x in loads if x <= capacity // 2], [x for x in loads if x > capacity // 2]
+    partner = {}
+
+    def free(i, seen):
+        for j, y in enumerate(big):
+            if small[i] + y <= capacity and j not in seen:
+                seen.add(j)
+                if j not in partner or free(partner[j], seen):
+                    partner[j] = i
+                    return True
+        return False
+
+    return sum(free(i, set()) for i in range(len(small)))
+
+
 @pytest.fixture(scope="module")
 def docs(spark):
     clash = {c: F.lit(7) for c in ("row", "words", "block", "k1", "sig", "score", "label", "n", "item", "marks", "class")}
@@ -224,6 +242,26 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
+def test_op8_keeps_partners_of_a_best_matching():
+    rng = random.Random(8)
+    for _ in range(300):
+        loads = [rng.randint(1, 20) for _ in range(rng.randint(0, 14))]
+        kept = packing.mergeable(Counter(loads), 20)
+        left = [x for x, n in kept.items() for _ in range(n)]
+        assert all(n <= Counter(loads)[x] for x, n in kept.items())
+        assert brute_merges(left, 20) == brute_merges(loads, 20)
+        assert len(left) <= 2 * sum(x <= 10 for x in loads)
+
+
+def test_op8_bins_that_cannot_merge_end_in_the_first_round(spark, monkeypatch):
+    sizes = []
+    real = packing.pack_round
+    monkeypatch.setattr(packing, "pack_round", lambda items, *rest: sizes.append(items.count()) or real(items, *rest))
+    docs = spark.createDataFrame([(i, " a" * (1100 + i % 700)) for i in range(60)] + [(99, " a" * 300)], "doc_id long, text string")
+    rows = packing.pack(docs, parts=9).collect()
+    assert len({r.sequence_id for r in rows}) == 60 and sizes[0] == 61 and all(n <= 18 for n in sizes[1:])
+
+
 def test_op5_against_brute_force(spark, docs, none):
     base = [prose(int(RNG.integers(3, 120)), 50 + i) for i in range(30)]
     edits = []
