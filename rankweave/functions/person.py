@@ -54,6 +54,17 @@ OPENERS = ["my", "our", "the", "a", "an", "this", "his", "her"]
 #: Trust in a single source of a name.
 TRUST = {"filename": 78, "email": 72, "llm": 68, "heuristic": 48}
 
+#: What a file's name may hold beside a person's, and what takes its place.
+FILE_PARTS = [
+    (r"(?i)\.(pdf|docx?|txt|rtf)$", ""),
+    (r"[\[(].*?[\])]", " "),
+    (r"(?i)^(?:(?:naukri|linkedin|indeed|monster|shine|foundit|resume|cv|biodata|doc|document|file|copy|my|the)[\s_.\-]+){1,3}", ""),
+    (r"(?i)[_\-\s]+\d+\s*[ym](?:ear|r|onth|o)?s?\b.*$", " "),
+    (r"(?i)[_\-\s]+exp(?:erience)?.*$", " "),
+    (r"(?i)[_\-\s]+v\d+\b.*$", " "),
+    (r"\d+", " "),
+]
+
 TECH_KEYS = sorted({re.sub("[^a-z0-9]", "", w.lower()) for w in TECHNOLOGY + SKILLS})
 
 
@@ -61,6 +72,11 @@ def _found(text: Column, pattern: str) -> Column:
     return F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(f"({pattern})"), F.lit(1))
 
 
+def bound(value: Column, use) -> Column:
+    """use(value) with value computed once, however often the expression names it."""
+    return F.transform(F.array(value), use)[0]
+
+
 def name_words(text: Column) -> Column:
     return _found(text, r"[A-Za-z][A-Za-z\-']+")
 
@@ -76,13 +92,16 @@ def is_tech(word: Column) -> Column:
 def tech_blob(text: Column) -> Column:
     """Whether a text is technologies: two of them, or one among at most two words."""
     words = _found(text, r"[A-Za-z][A-Za-z0-9+.#\-']*")
-    hits = _count(words, is_tech)
-    return (hits >= 2) | ((hits == 1) & (F.size(words) <= 2))
+    both = F.struct(F.size(words).alias("n"), _count(words, is_tech).alias("hits"))
+    return bound(both, lambda b: (b["hits"] >= 2) | ((b["hits"] == 1) & (b["n"] <= 2)))
 
 
 def prose(name: Column) -> Column:
     """Whether a would-be name reads like part of a sentence, or holds no word."""
-    words = F.transform(_found(name, r"[A-Za-z][A-Za-z\-']*"), lambda w: F.regexp_replace(F.lower(w), "^[-']+|[-']+$", ""))
+    return bound(F.transform(_found(name, r"[A-Za-z][A-Za-z\-']*"), lambda w: F.regexp_replace(F.lower(w), "^[-']+|[-']+$", "")), _prose_words)
+
+
+def _prose_words(words: Column) -> Column:
     n, hits = F.size(words), _count(words, lambda w: w.isin(PROSE))
     verbal = F.exists(words, lambda w: w.rlike("(?:ing|ed|ly)$") & ~w.isin("king", "young"))
     long = n >= 3
@@ -105,19 +124,63 @@ def cased(name: Column) -> Column:
     return F.array_join(F.transform(F.split(name, " "), word), " ")
 
 
+def titled(name: Column) -> Column:
+    """A capital after every non-letter, small letters elsewhere."""
+    return F.array_join(F.transform(_found(name, "[A-Za-z]+|[^A-Za-z]+"), F.initcap), "")
+
+
+def _parted(word: Column) -> Column:
+    return F.regexp_replace(word, "([a-z])([A-Z])", "$1 $2")
+
+
+def name_of_file(filename: Column) -> Column:
+    """The name that a file's name holds, null if none: portals' prefixes, brackets, years, versions, numbers and noise words go first."""
+    stem = F.regexp_extract(filename, r"([^/\\]*)$", 1)
+    for pattern, by in FILE_PARTS:
+        stem = F.regexp_replace(stem, pattern, by)
+    bare = F.trim(F.regexp_replace(stem, r"[\s_.\-]+", " "))
+    words = bound(bare, lambda b: F.when(F.length(b) >= 3, F.filter(_found(b, "[A-Za-z][A-Za-z']+"), lambda w: ~F.lower(w).isin(NOISE))))
+
+    def alone(word: Column) -> Column:
+        whole = bound(titled(word), lambda w: F.when(~is_tech(w) & ~F.lower(w).isin(PROSE) & plausible_person(w, single=True), w))
+        return F.coalesce(bound(cased(_parted(word)), lambda p: F.when(p.contains(" ") & plausible_person(p), p)), whole)
+
+    def together(words: Column) -> Column:
+        no_junk = lambda name: ~tech_blob(name) & ~prose(name) & ~F.exists(words, lambda w: is_tech(w) | F.lower(w).isin(PROSE))
+        return bound(cased(F.array_join(words, " ")), lambda name: F.when(plausible_person(name) | no_junk(name), name))
+
+    return bound(words, lambda w: F.when((F.size(w) == 1) & (F.length(w[0]) >= 6), alone(w[0])).when(F.size(w).between(2, 4), together(w)))
+
+
+def name_of_mail(email: Column) -> Column:
+    """The name that the part of an address before its @ holds, null if none."""
+    local = F.when(email.contains("@"), F.regexp_replace(F.split_part(email, F.lit("@"), F.lit(1)), r"[0-9._+\-]+", " "))
+    words = F.filter(F.split(F.trim(local), r"\s+"), lambda w: w.rlike(r"^\p{L}{2,}$"))
+
+    def alone(word: Column) -> Column:
+        return F.coalesce(bound(F.initcap(_parted(word)), lambda p: F.when(p.contains(" ") & plausible_person(p), p)), F.initcap(word))
+
+    def together(words: Column) -> Column:
+        return bound(F.array_join(F.transform(F.slice(words, 1, 4), F.initcap), " "), lambda name: F.when(plausible_person(name) | ~tech_blob(name), name))
+
+    return bound(words, lambda w: F.when(F.size(w) >= 2, together(w)).when((F.size(w) == 1) & (F.length(w[0]) >= 5) & ~is_tech(w[0]), alone(w[0])))
+
+
 def plausible_person(name: Column, single: bool = False) -> Column:
     """Whether a text can be a name of two to four words, or one word of five letters or more where single is set."""
     trimmed = F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")
-    bare = F.coalesce(F.nullif(without_noise(trimmed), F.lit("")), trimmed)
-    words = name_words(bare)
+    forms = bound(trimmed, lambda t: F.struct(F.length(t).between(3, 80).alias("sized"), bound(without_noise(t), lambda w: F.when(w == "", t).otherwise(w)).alias("bare")))
+    return bound(forms, lambda f: f["sized"] & ~f["bare"].rlike(NO_NAME) & ~tech_blob(f["bare"]) & ~prose(f["bare"]) & bound(name_words(f["bare"]), lambda words: _person_words(words, single)))
+
+
+def _person_words(words: Column, single: bool) -> Column:
     n = F.size(words)
     bad = F.exists(words, lambda w: is_tech(w) | F.lower(w).isin(NOISE) | F.lower(w).isin(PROSE))
     places = _count(words, lambda w: F.lower(w).isin(PLACES))
     several = n.between(2, 4) & (places <= 1) & (n - places >= 2) & F.exists(words, lambda w: w.rlike("^[A-Z]"))
     first = F.try_element_at(words, F.lit(1))
     alone = (n == 1) & (F.length(first) >= 5) & (places == 0) & ~((first == F.upper(first)) & (F.length(first) <= 5))
-    fits = (several | alone) if single else several
-    return F.length(trimmed).between(3, 80) & ~bare.rlike(NO_NAME) & ~tech_blob(bare) & ~prose(bare) & ~bad & F.coalesce(fits, F.lit(False))
+    return ~bad & F.coalesce((several | alone) if single else several, F.lit(False))
 
 
 def plausible_place(place: Column) -> Column:

@@ -5,9 +5,13 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from rankweave.functions import person
+
 #: Score of a name of two words or more, and of one word, by source; what agreement adds.
 SOURCES = {"filename": (82, 82), "email": (80, 52), "llm": (70, 48), "heuristic": (45, 45)}
 AGREEMENT = 22
+#: Fixed value: score of a name from a job portal's file.
+PORTAL = 92
 
 
 def plausible(name: Column) -> Column:
@@ -40,6 +44,83 @@ def resolved(names: dict[str, Column]) -> Column:
     return F.struct(top["name"].alias("name"), top["source"].alias("source"), top["score"].alias("score"))
 
 
+def decided(filename: Column, email: Column, line: Column, model: Column | None = None) -> Column:
+    """struct(name, source, score, confidence, warning) from a file's name, an address, a first line and a model's answer.
+
+    Sources that agree are one candidate with a bonus. What reads like prose, technologies or a heading goes; of the rest
+    the one fittest to be shown wins, and a line alone gives way to a file's name or an address of about the same fitness.
+    Without any candidate the source is none, and rejected where all were unfit. A warning says low-confidence, none or rejected.
+    """
+    said, first = (person.without_noise(F.trim(F.coalesce(x, F.lit("")))) for x in (F.lit(None).cast("string") if model is None else model, line))
+    portal = F.coalesce(filename, F.lit("")).rlike("(?i)naukri|linkedin|indeed")
+    several = lambda name: F.trim(name).rlike(r"\s")
+
+    def candidate(pos: int, source: str, name: Column, fits, score, sure) -> Column:
+        made = lambda x: F.struct(F.lit(pos).alias("pos"), x.alias("name"), F.lit(source).alias("source"), score(x).alias("score"), sure(x).alias("sure"), key(x).alias("key"))
+        return person.bound(name, lambda x: F.when(fits(x), made(x)))
+
+    def by(test, pair):
+        return lambda x: F.when(test(x), pair[0]).otherwise(pair[1])
+
+    there = F.array_compact(
+        F.array(
+            candidate(0, "filename", person.name_of_file(filename), Column.isNotNull, lambda x: F.when(portal, PORTAL).otherwise(SOURCES["filename"][0]), by(several, ("high", "medium"))),
+            candidate(1, "email", person.name_of_mail(email), lambda x: person.plausible_person(x, single=True), by(several, SOURCES["email"]), by(several, ("medium", "low"))),
+            candidate(2, "llm", said, lambda x: person.plausible_person(x) | person.plausible_person(x, single=True), by(person.plausible_person, SOURCES["llm"]), by(person.plausible_person, ("medium", "low"))),
+            candidate(3, "heuristic", first, person.plausible_person, lambda x: F.lit(SOURCES["heuristic"][0]), lambda x: F.lit("medium")),
+        )
+    )
+    return person.bound(there, lambda found: person.bound(_ordered(found), lambda rows: _winner(found, rows)))
+
+
+def _ordered(there: Column) -> Column:
+    """Candidates of one key merged, without the unfit, the fittest first."""
+
+    def agreed(x: Column) -> Column:
+        same = F.filter(there, lambda y: y["key"] == x["key"])
+        best = lambda y: F.struct(y["score"].alias("score"), F.length(y["name"]), -y["pos"], y["name"].alias("name"), y["sure"].alias("sure"))
+        sources = F.array_join(F.array_sort(F.transform(same, lambda y: y["source"])), "+")
+        top = F.struct(F.array_max(F.transform(same, best)).alias("best"), sources.alias("source"), (F.size(same) > 1).alias("more"))
+        return person.bound(
+            top,
+            lambda t: F.struct(
+                (-x["pos"]).alias("order"),
+                person.bound(person.without_noise(t["best"]["name"]), lambda bare: F.when(bare == "", t["best"]["name"]).otherwise(bare)).alias("name"),
+                t["source"].alias("source"),
+                F.when(t["more"], F.least(F.lit(100), t["best"]["score"] + AGREEMENT)).otherwise(t["best"]["score"]).alias("score"),
+                F.when(t["more"], "high").otherwise(t["best"]["sure"]).alias("sure"),
+            ),
+        )
+
+    def fit(x: Column) -> Column:
+        usable = F.when(x["source"].rlike("filename|email"), person.plausible_person(x["name"], single=True)).otherwise(person.plausible_person(x["name"]))
+        return usable & (x["source"].contains("filename") | ~x["name"].rlike(person.NO_NAME))
+
+    def graded(x: Column) -> Column:
+        row = lambda q: F.struct(
+            q.alias("quality"), (x["score"] + F.floor(q / 5)).cast("int").alias("score"), F.size(F.split(x["name"], r"\s+")).alias("words"), F.length(x["name"]).alias("length"),
+            x["order"].alias("order"), x["name"].alias("name"), x["source"].alias("source"), x["sure"].alias("sure"),
+        )
+        return person.bound(person.name_quality(x["name"], x["source"]), row)
+
+    groups = F.transform(F.filter(there, lambda x: ~F.exists(there, lambda y: (y["key"] == x["key"]) & (y["pos"] < x["pos"]))), agreed)
+    return F.reverse(F.array_sort(F.transform(F.filter(groups, fit), graded)))
+
+
+def _winner(there: Column, rows: Column) -> Column:
+    top = F.try_element_at(rows, F.lit(1))
+    rival = F.try_element_at(F.filter(rows, lambda x: x["source"].rlike("filename|email") & (x["quality"] + 5 >= top["quality"])), F.lit(1))
+    won = F.when(top["source"].contains("heuristic") & ~top["source"].rlike("filename|email"), F.coalesce(rival, top)).otherwise(top)
+    state = F.when(F.size(there) == 0, "none").when(F.size(rows) == 0, "rejected")
+
+    def told(x: Column) -> Column:
+        sure = F.when(x["quality"] >= 50, x["sure"]).otherwise("low")
+        doubt = (x["sure"] == "low") | (x["score"] < 55) | (x["source"].contains("heuristic") & ~x["source"].contains("+"))
+        return F.struct(x["name"].alias("name"), F.coalesce(state, x["source"]).alias("source"), x["score"].alias("score"), sure.alias("confidence"), F.coalesce(state, F.when(doubt, "low-confidence")).alias("warning"))
+
+    return person.bound(won, told)
+
+
 def confidence(source: Column, score: Column) -> Column:
     """high where sources agree, low for a lone heuristic or a low score, else medium."""
     return F.when(score.isNull() | (source == "heuristic") | (score < 55), "low").when(source.contains("+"), "high").otherwise("medium")

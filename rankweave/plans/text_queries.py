@@ -442,9 +442,31 @@ def name_review_queue(spark, sf_dir):
     return found.orderBy(F.coalesce("rank", F.lit(9999)), "resume_id").select("job_id", "resume_id", "rank", "filename", "confidence")
 
 
-@query("SELECT 4 AS cases, CAST(3 AS BIGINT) AS passed, CAST(1 AS BIGINT) AS failed")
+#: The self-contained cases of the golden set: id, file, text, expected name, least confidence, parts that a name mustn't have.
+GOLDEN = [
+    ("filename_doc_suffix", "GARV RANDHAR_Doc-6.pdf", "Software developer with Node.js experience.\nSkills: React, Express.", "Garv Randhar", "medium", []),
+    ("filename_resume_suffix", "Amit_Singh Resume.pdf", "Amitsingh Info\nDeveloper\namit.singh@gmail.com", "Amit Singh", "medium", []),
+    ("filename_resume_parens", "AYAN NASHINE RESUME (1) (1).pdf", "My novelties include hands-on experience with Python and IoT.", "Ayan Nashine", "medium", []),
+    ("prose_rejected", "scan001.pdf", "My novelties include hands-on experience with Python and Machine Learning.", None, None, ["novelties", "hands"]),
+]
+
+
+@query("""SELECT * FROM (VALUES
+    ('filename_doc_suffix', true, 'Garv Randhar', 'high', 'filename', CAST(NULL AS VARCHAR), 0),
+    ('filename_resume_suffix', true, 'Amit Singh', 'high', 'email+filename', 'amit.singh@gmail.com', 0),
+    ('filename_resume_parens', true, 'Ayan Nashine', 'high', 'filename', NULL, 0),
+    ('prose_rejected', true, NULL, 'low', 'none', NULL, 0)
+) AS t(id, ok, got_name, confidence, source, email, failures)""")
 def eval_golden(spark, sf_dir):
-    """Expected against found values of a few cases, and the totals."""
-    cases = spark.createDataFrame([("a", "Asha Rao", "Asha Rao"), ("b", None, None), ("c", "Li Wei", "Li  Wei"), ("d", "No One", "Some One")], "id string, expected string, got string")
-    ok = F.regexp_replace(F.coalesce("got", F.lit("")), " +", " ") == F.coalesce("expected", F.lit(""))
-    return cases.agg(F.count("*").cast("int").alias("cases"), F.count_if(ok).alias("passed"), F.count_if(~ok).alias("failed"))
+    """What name resolution finds in the golden cases, and how many expectations it fails: the name, the least confidence, banned parts."""
+    from rankweave.operators.names import decided
+
+    cases = spark.createDataFrame(GOLDEN, "id string, file string, text string, expected string, least string, banned array<string>")
+    found = cases.withColumn("email", T.first_email(F.col("text"))).withColumn("n", decided(F.col("file"), F.col("email"), F.split_part("text", F.lit("\n"), F.lit(1))))
+    rank = lambda c: F.when(c == "high", 3).when(c == "medium", 2).otherwise(1)
+    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
+    other = plain(F.col("n.name")) != plain(F.col("expected"))
+    unsure = F.col("expected").isNotNull() & F.col("least").isNotNull() & (rank(F.col("n.confidence")) < rank(F.col("least")))
+    held = F.exists("banned", lambda b: F.contains(F.lower(F.coalesce("n.name", F.lit(""))), F.lower(b)))
+    failures = sum(F.when(c, 1).otherwise(0) for c in (other, unsure, held))
+    return found.select("id", (failures == 0).alias("ok"), F.col("n.name").alias("got_name"), "n.confidence", "n.source", "email", failures.alias("failures"))
