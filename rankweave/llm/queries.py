@@ -5,6 +5,7 @@ from __future__ import annotations
 from rankweave.llm.decontaminate import OP10_SQL, op10_decontamination
 from rankweave.llm.html_text import op7_html_text
 from rankweave.llm.jaccard import op5_jaccard_join
+from rankweave.llm.line_dedup import OP13_SQL, op13_line_dedup
 from rankweave.llm.lm_score import op6_lm_score
 from rankweave.llm.packing import op8_best_fit_packing
 from rankweave.llm.quality import op9_quality
@@ -26,6 +27,7 @@ QUERIES = {
         op8_best_fit_packing,
         op9_quality,
         op10_decontamination,
+        op13_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_decontamination": OP10_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_decontamination": OP10_SQL, "op13_line_dedup": OP13_SQL}
