@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankweave.llm.centroids import OP11_SQL, op11_centroids
 from rankweave.llm.decontaminate import OP10_SQL, op10_decontamination
 from rankweave.llm.html_text import op7_html_text
 from rankweave.llm.jaccard import op5_jaccard_join
@@ -27,7 +28,8 @@ QUERIES = {
         op8_best_fit_packing,
         op9_quality,
         op10_decontamination,
+        op11_centroids,
         op13_line_dedup,
     )
 }
-ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_decontamination": OP10_SQL, "op13_line_dedup": OP13_SQL}
+ORACLES: dict[str, str] = {"op1_url_filter": OP1_SQL, "op10_decontamination": OP10_SQL, "op11_centroids": OP11_SQL, "op13_line_dedup": OP13_SQL}
