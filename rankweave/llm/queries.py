@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from rankweave.llm.alignment import op12_alignment
 from rankweave.llm.centroids import OP11_SQL, op11_centroids
 from rankweave.llm.decontaminate import OP10_SQL, op10_decontamination
 from rankweave.llm.html_text import op7_html_text
@@ -29,6 +30,7 @@ QUERIES = {
         op9_quality,
         op10_decontamination,
         op11_centroids,
+        op12_alignment,
         op13_line_dedup,
     )
 }
