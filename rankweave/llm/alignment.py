@@ -18,8 +18,10 @@ from __future__ import annotations
 import hashlib
 import os
 import re
+import zlib
 from collections.abc import Callable, Iterator
 from functools import cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -33,7 +35,7 @@ from rankweave.llm.tokens import VOCABULARY, library, odd, vocabulary_path, word
 
 PIECES = "piece_bpe_32k.model"
 #: Characters of text in a block, of text cut at once, and segments aligned at once.
-BLOCK_CHARS, CHUNK_CHARS, AT_ONCE = 8 << 20, 1 << 20, 20_000
+BLOCK_CHARS, CHUNK_CHARS, AT_ONCE = 32 << 20, 1 << 20, 20_000
 #: Fixed value: how pieces write a space.
 SPACE = "▁"
 
@@ -61,6 +63,9 @@ class Pair:
             self.a_bytes[i] = bytes(letters[x] for x in token) if all(x in letters for x in token) else token.encode()
         names = [self.sp.id_to_piece(i) for i in range(self.sp.get_piece_size())]
         self.b_bytes = [bytes([int(x[3:5], 16)]) if self.sp.is_byte(i) else x.replace(SPACE, " ").encode() for i, x in enumerate(names)]
+        self.a_sizes, self.b_sizes = (np.array([len(x) for x in side]) for side in (self.a_bytes, self.b_bytes))
+        # An id as it stands first in a segment, first in a group, first of the second side, and elsewhere.
+        self.marked = [[f"{mark}{i}" for i in range(max(len(self.a_bytes), len(self.b_bytes)))] for mark in ("", ";", "|", ",")]
         self.lone_space = self.sp.piece_to_id(SPACE)
         inside = [x.decode(errors="replace") for x in self.a_bytes] + [x.replace(SPACE, " ") for i, x in enumerate(names) if not self.sp.is_byte(i)]
         across = {x[i - 1] for x in inside for i in range(1, len(x)) if x[i] == " "}
@@ -98,7 +103,7 @@ def pair(vocabulary: str, pieces: str) -> Pair:
 
 
 def cut_into_blocks(docs: DataFrame, both: Callable[[], Pair], block_chars: int) -> DataFrame:
-    """A row per block: block, ids and sizes (segments) of its documents, codes (the segments' numbers, int32), the distinct segments and how often each occurs."""
+    """A row per block: block, ids and sizes (segments) of its documents, codes (the segments' numbers, int32, deflated), the distinct segments and how often each occurs."""
 
     def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         tokenizers, task, made = both(), TaskContext.get().partitionId(), 0
@@ -117,7 +122,7 @@ def cut_into_blocks(docs: DataFrame, both: Callable[[], Pair], block_chars: int)
         def block() -> pd.DataFrame:
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             counts = np.bincount(flat, minlength=len(numbers))
-            return pd.DataFrame({"block": [f"{task}-{made}"], "ids": [ids], "sizes": [sizes], "codes": [flat.tobytes()], "segments": [list(numbers)], "counts": [counts]})
+            return pd.DataFrame({"block": [(task << 24) + made], "ids": [ids], "sizes": [sizes], "codes": [zlib.compress(flat.tobytes(), 1)], "segments": [list(numbers)], "counts": [counts]})
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -137,50 +142,46 @@ def cut_into_blocks(docs: DataFrame, both: Callable[[], Pair], block_chars: int)
             yield block()
 
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return texts.mapInPandas(blocks, "block string, ids array<string>, sizes array<int>, codes binary, segments array<string>, counts array<long>")
+    return texts.mapInPandas(blocks, "block long, ids array<string>, sizes array<int>, codes binary, segments array<string>, counts array<long>")
 
 
-def align(segments: list[str], tokenizers: Pair) -> dict[str, list]:
+def groups_of(segments: list[str], tokenizers: Pair) -> dict[str, pa.Array]:
     """Of each segment: numbers of tokens and groups, the groups as text, and the last tokens of each group, which are linked."""
-    a, b = tokenizers.encoded(segments)
-    out: dict[str, list] = {k: [] for k in ("n_a", "n_b", "n_groups", "groups", "last_a", "last_b")}
-    for segment, one, two in zip(segments, a, b, strict=True):
-        groups, last_a, last_b = [], [], []
-        i = j = from_a = from_b = 0
-        at_a, at_b = len(tokenizers.a_bytes[one[0]]), len(tokenizers.b_bytes[two[0]])
-        while True:
-            if at_a == at_b:
-                groups.append(f"{','.join(map(str, one[from_a : i + 1]))}|{','.join(map(str, two[from_b : j + 1]))}")
-                last_a.append(one[i])
-                last_b.append(two[j])
-                i, j = i + 1, j + 1
-                if i == len(one) or j == len(two):
-                    break
-                from_a, from_b = i, j
-                at_a, at_b = at_a + len(tokenizers.a_bytes[one[i]]), at_b + len(tokenizers.b_bytes[two[j]])
-            elif at_a < at_b:
-                i += 1
-                at_a += len(tokenizers.a_bytes[one[i]])
-            else:
-                j += 1
-                at_b += len(tokenizers.b_bytes[two[j]])
-        if i < len(one) or j < len(two) or at_a != 1 + len(segment.encode()):
-            raise ValueError(f"the tokens of {segment[:50]!r} don't make up the segment")
-        for k, v in (("n_a", len(one)), ("n_b", len(two)), ("n_groups", len(groups)), ("groups", ";".join(groups)), ("last_a", last_a), ("last_b", last_b)):
-            out[k].append(v)
-    return out
+    sides = [(np.fromiter(chain.from_iterable(x), np.int64), np.fromiter(map(len, x), np.int64, len(x))) for x in tokenizers.encoded(segments)]
+    (a, n_a), (b, n_b) = sides
+    end_a, end_b = np.cumsum(tokenizers.a_sizes[a]), np.cumsum(tokenizers.b_sizes[b])
+    ends = np.cumsum([1 + len(x.encode()) for x in segments])
+    if not (np.array_equal(end_a[np.cumsum(n_a) - 1], ends) and np.array_equal(end_b[np.cumsum(n_b) - 1], ends)):
+        raise ValueError("the tokens of a segment don't make it up")
+    # Segments lie end to end, so each ends in a shared end, and no group spans two.
+    shared, last_a, last_b = np.intersect1d(end_a, end_b, assume_unique=True, return_indices=True)
+    n_groups = np.diff(np.searchsorted(shared, ends, "right"), prepend=0)
+    group = np.concatenate([np.searchsorted(shared, end_a), np.searchsorted(shared, end_b)])
+    side = np.repeat([0, 1], [len(a), len(b)])
+    order = np.lexsort((side, group))
+    ids, side, group = np.concatenate([a, b])[order], side[order], group[order]
+    before = np.where(np.diff(group, prepend=-1) > 0, 1, np.where(np.diff(side, prepend=0) > 0, 2, 3))
+    of_segment = n_a + n_b
+    starts = np.cumsum(of_segment) - of_segment
+    before[starts] = 0
+    written_ids = [tokenizers.marked[k][i] for k, i in zip(before.tolist(), ids.tolist(), strict=True)]
+    texts = ["".join(written_ids[i : i + n]) for i, n in zip(starts.tolist(), of_segment.tolist(), strict=True)]
+    offsets = pa.array(np.concatenate([[0], np.cumsum(n_groups)]), pa.int32())
+    lists = lambda values: pa.ListArray.from_arrays(offsets, pa.array(values, pa.int32()))
+    return {**{k: pa.array(v, pa.int32()) for k, v in (("n_a", n_a), ("n_b", n_b), ("n_groups", n_groups))}, "groups": pa.array(texts, pa.string()), "last_a": lists(a[last_a]), "last_b": lists(b[last_b])}
 
 
 def align_segments(segments: DataFrame, both: Callable[[], Pair]) -> DataFrame:
-    """segment, n (its occurrences) and what align() gives."""
+    """segment, n (its occurrences) and what groups_of() gives."""
 
-    def aligned(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def aligned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for i in range(0, len(batch), AT_ONCE):
-                part = batch.iloc[i : i + AT_ONCE].reset_index(drop=True)
-                yield part.assign(**align(part["segment"].tolist(), both()))
+                part = batch.slice(i, AT_ONCE)
+                found = groups_of(part["segment"].to_pylist(), both())
+                yield pa.RecordBatch.from_arrays([part["segment"], part["n"], *found.values()], ["segment", "n", *found])
 
-    return segments.mapInPandas(aligned, "segment string, n long, n_a int, n_b int, n_groups int, groups string, last_a array<int>, last_b array<int>")
+    return segments.mapInArrow(aligned, "segment string, n long, n_a int, n_b int, n_groups int, groups string, last_a array<int>, last_b array<int>")
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -197,9 +198,11 @@ def align_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
     in_block = blocks.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("code", "x")).select("block", "code", F.col("x.segments").alias("segment"), F.col("x.counts").alias("n"))
     aligned = written(align_segments(in_block.groupBy("segment").agg(F.sum("n").alias("n")), both).withColumn("number", F.monotonically_increasing_id()))
     linked = aligned.select("number", F.explode(F.arrays_zip("last_a", "last_b")).alias("x")).select("number", F.col("x.last_a").alias("a"), F.col("x.last_b").alias("b"))
-    sums = linked.join(link_counts(aligned), ["a", "b"]).groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("links").alias("count_sum"))
-    known = aligned.join(sums, "number").select("segment", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups")
-    dictionary = in_block.select(F.col("block").alias("of_block"), "code", "segment").join(known, "segment").drop("segment")
+    sums = linked.join(link_counts(aligned).hint("shuffle_hash"), ["a", "b"]).groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("links").alias("count_sum"))
+    # Written, so that the shuffles up to here go before the next ones come.
+    known = written(aligned.join(sums.hint("shuffle_hash"), "number").select("segment", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"))
+    dropped(aligned)
+    dictionary = in_block.select(F.col("block").alias("of_block"), "code", "segment").join(known.hint("shuffle_hash"), "segment").drop("segment")
 
     def compose(block: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(words["code"].to_numpy())
@@ -207,7 +210,7 @@ def align_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
         groups = words["groups"].take(pa.array(order)).to_pylist()
         out: dict[str, list] = {k: [] for k in ("doc_id", *per_segment, "groups_sha256")}
         for row in block.to_pylist():
-            codes, end = np.frombuffer(row["codes"], np.int32), 0
+            codes, end = np.frombuffer(zlib.decompress(row["codes"]), np.int32), 0
             for doc_id, size in zip(row["ids"], row["sizes"], strict=True):
                 own, end = codes[end : end + size], end + size
                 out["doc_id"].append(doc_id)
@@ -222,7 +225,7 @@ def align_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
     composed = blocks.select("block", "ids", "sizes", "codes").groupBy("block").cogroup(dictionary.groupBy("of_block")).applyInArrow(compose, "doc_id string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string")
     # Tokens have at least a byte, so that one of each side ends at a group's end: a group is a link.
     out = written(composed.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256"))
-    dropped(blocks, aligned)
+    dropped(blocks, known)
     return out
 
 
