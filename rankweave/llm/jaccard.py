@@ -638,9 +638,21 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:
-    """The documents that are the first of their component, with all their columns; rows without an id stay."""
-    first = near_duplicates(docs, **options).where("doc_id = component_id").select("doc_id").distinct()
-    return docs.join(first, "doc_id", "left_semi").unionByName(docs.where("doc_id IS NULL"))
+    """One document of each component, of the smallest id, with all its columns; rows without any word stay.
+
+    Texts are linked, not ids, so each row is judged by its own text: of rows that share an id only the one whose text comes
+    first can stay, rows without an id come after all others, and of rows equal in id and text one stays.
+    """
+    whole = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("doc"), docs["doc_id"].alias("id"), F.xxhash64(docs["text"]).alias("h"))
+    linked = near_duplicates(docs.select(F.xxhash64("text").alias("h"), "text"), key="h", **options).where("n_shingles > 0")
+    component = linked.select(F.col("doc_id").alias("h"), F.col("component_id").alias("component")).distinct()
+    of_text = whole.groupBy("h").agg(F.min(F.struct(F.col("id").isNull().alias("unnamed"), "id", "h")).alias("row"))
+    first = of_text.join(component, "h").groupBy("component").agg(F.min("row").alias("row")).select(F.col("row.id").alias("first_id"), F.col("row.h").alias("first_h"))
+    # Equal rows meet within their tasks before they are shuffled.
+    once = whole.dropDuplicates(["id", "h"])
+    kept = once.join(first, F.col("id").eqNullSafe(F.col("first_id")) & (F.col("h") == F.col("first_h")), "left_semi")
+    wordless = whole.where(~F.coalesce(F.col("doc.text"), F.lit("")).rlike(r"[^\x20\x09-\x0D]"))
+    return kept.unionByName(wordless).select(*(F.col(f"doc.`{c}`") for c in docs.columns))
 
 
 def op5_jaccard_join(spark, sf_dir: str) -> DataFrame:
