@@ -20,7 +20,7 @@ import os
 import re
 import zlib
 from collections.abc import Callable, Iterator
-from functools import cache
+from functools import cache, reduce
 from itertools import chain
 
 import numpy as np
@@ -36,6 +36,8 @@ from rankweave.llm.tokens import VOCABULARY, library, odd, vocabulary_path, word
 PIECES = "piece_bpe_32k.model"
 #: Characters of text in a block, of text cut at once, and segments aligned at once.
 BLOCK_CHARS, CHUNK_CHARS, AT_ONCE = 32 << 20, 1 << 20, 20_000
+#: Parts in which blocks are composed, and bits of a block's number within its task.
+WAVES, TASK_BITS = 3, 24
 #: Fixed value: how pieces write a space.
 SPACE = "▁"
 
@@ -122,7 +124,7 @@ def cut_into_blocks(docs: DataFrame, both: Callable[[], Pair], block_chars: int)
         def block() -> pd.DataFrame:
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
             counts = np.bincount(flat, minlength=len(numbers))
-            return pd.DataFrame({"block": [(task << 24) + made], "ids": [ids], "sizes": [sizes], "codes": [zlib.compress(flat.tobytes(), 1)], "segments": [list(numbers)], "counts": [counts]})
+            return pd.DataFrame({"block": [(task << TASK_BITS) + made], "ids": [ids], "sizes": [sizes], "codes": [zlib.compress(flat.tobytes(), 1)], "segments": [list(numbers)], "counts": [counts]})
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
@@ -202,8 +204,6 @@ def align_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
     # Written, so that the shuffles up to here go before the next ones come.
     known = written(aligned.join(sums.hint("shuffle_hash"), "number").select("segment", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"))
     dropped(aligned)
-    dictionary = in_block.select(F.col("block").alias("of_block"), "code", "segment").join(known.hint("shuffle_hash"), "segment").drop("segment")
-
     def compose(block: pa.Table, words: pa.Table) -> pa.Table:
         order = np.argsort(words["code"].to_numpy())
         per_segment = {k: words[k].to_numpy()[order].astype(np.int64) for k in ("n_a", "n_b", "n_groups", "n_best", "count_sum")}
@@ -222,9 +222,16 @@ def align_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
                 out["groups_sha256"].append(digest.hexdigest() if size else "")
         return pa.table({k: pa.array(v, pa.int64() if k in per_segment else pa.string()) for k, v in out.items()})
 
-    composed = blocks.select("block", "ids", "sizes", "codes").groupBy("block").cogroup(dictionary.groupBy("of_block")).applyInArrow(compose, "doc_id string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string")
-    # Tokens have at least a byte, so that one of each side ends at a group's end: a group is a link.
-    out = written(composed.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256"))
+    def composed(wave: int) -> DataFrame:
+        mine = F.shiftright("block", TASK_BITS) % WAVES == wave
+        dictionary = in_block.where(mine).select(F.col("block").alias("of_block"), "code", "segment").join(known.hint("shuffle_hash"), "segment").drop("segment")
+        both_sides = blocks.where(mine).select("block", "ids", "sizes", "codes").groupBy("block").cogroup(dictionary.groupBy("of_block"))
+        found = both_sides.applyInArrow(compose, "doc_id string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string")
+        # Tokens have at least a byte, so that one of each side ends at a group's end: a group is a link.
+        return found.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+    # Blocks in waves: the shuffles of one are gone before the next begins.
+    out = reduce(DataFrame.unionByName, [written(composed(wave)) for wave in range(WAVES)])
     dropped(blocks, known)
     return out
 
