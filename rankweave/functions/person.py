@@ -5,10 +5,10 @@ from __future__ import annotations
 import re
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from rankweave.functions.text import EMAIL, PHONE
+from rankweave.functions.text import CITY_STATE, EMAIL, LOCATION, PHONE, PLACE_WORDS, PLACED
 
 # Words of file names, of prose, of places and of technology, skills, and what marks a line as no name.
 NOISE = [
@@ -85,8 +85,13 @@ def _count(words: Column, test) -> Column:
     return F.size(F.filter(words, test))
 
 
+def among(word: Column, words: list[str]) -> Column:
+    """Whether a word is one of these: one literal, however long the list, which keeps plans small."""
+    return F.contains(F.lit("|" + "|".join(words) + "|"), F.concat(F.lit("|"), word, F.lit("|")))
+
+
 def is_tech(word: Column) -> Column:
-    return F.regexp_replace(F.lower(word), "[^a-z0-9]", "").isin(TECH_KEYS)
+    return among(F.regexp_replace(F.lower(word), "[^a-z0-9]", ""), TECH_KEYS)
 
 
 def tech_blob(text: Column) -> Column:
@@ -102,15 +107,15 @@ def prose(name: Column) -> Column:
 
 
 def _prose_words(words: Column) -> Column:
-    n, hits = F.size(words), _count(words, lambda w: w.isin(PROSE))
+    n, hits = F.size(words), _count(words, lambda w: among(w, PROSE))
     verbal = F.exists(words, lambda w: w.rlike("(?:ing|ed|ly)$") & ~w.isin("king", "young"))
     long = n >= 3
-    return (n == 0) | (hits >= 2) | ((hits >= 1) & long) | F.coalesce(F.try_element_at(words, F.lit(1)).isin(OPENERS), F.lit(False)) | (verbal & (long | (hits >= 1)))
+    return (n == 0) | (hits >= 2) | ((hits >= 1) & long) | F.coalesce(among(F.try_element_at(words, F.lit(1)), OPENERS), F.lit(False)) | (verbal & (long | (hits >= 1)))
 
 
 def without_noise(text: Column) -> Column:
     """The words of a name-like text that are none of file names; empty if none is left."""
-    kept = F.filter(_found(text, r"[A-Za-z][A-Za-z\-']*"), lambda w: ~F.regexp_replace(F.lower(w), "^[-']+|[-']+$", "").isin(NOISE))
+    kept = F.filter(_found(text, r"[A-Za-z][A-Za-z\-']*"), lambda w: ~among(F.regexp_replace(F.lower(w), "^[-']+|[-']+$", ""), NOISE))
     return F.array_join(kept, " ")
 
 
@@ -139,14 +144,14 @@ def name_of_file(filename: Column) -> Column:
     for pattern, by in FILE_PARTS:
         stem = F.regexp_replace(stem, pattern, by)
     bare = F.trim(F.regexp_replace(stem, r"[\s_.\-]+", " "))
-    words = bound(bare, lambda b: F.when(F.length(b) >= 3, F.filter(_found(b, "[A-Za-z][A-Za-z']+"), lambda w: ~F.lower(w).isin(NOISE))))
+    words = bound(bare, lambda b: F.when(F.length(b) >= 3, F.filter(_found(b, "[A-Za-z][A-Za-z']+"), lambda w: ~among(F.lower(w), NOISE))))
 
     def alone(word: Column) -> Column:
-        whole = bound(titled(word), lambda w: F.when(~is_tech(w) & ~F.lower(w).isin(PROSE) & plausible_person(w, single=True), w))
+        whole = bound(titled(word), lambda w: F.when(~is_tech(w) & ~among(F.lower(w), PROSE) & plausible_person(w, single=True), w))
         return F.coalesce(bound(cased(_parted(word)), lambda p: F.when(p.contains(" ") & plausible_person(p), p)), whole)
 
     def together(words: Column) -> Column:
-        no_junk = lambda name: ~tech_blob(name) & ~prose(name) & ~F.exists(words, lambda w: is_tech(w) | F.lower(w).isin(PROSE))
+        no_junk = lambda name: ~tech_blob(name) & ~prose(name) & ~F.exists(words, lambda w: is_tech(w) | among(F.lower(w), PROSE))
         return bound(cased(F.array_join(words, " ")), lambda name: F.when(plausible_person(name) | no_junk(name), name))
 
     return bound(words, lambda w: F.when((F.size(w) == 1) & (F.length(w[0]) >= 6), alone(w[0])).when(F.size(w).between(2, 4), together(w)))
@@ -175,14 +180,34 @@ def plausible_person(name: Column, single: bool = False) -> Column:
 
 def _person_words(words: Column, single: bool) -> Column:
     n = F.size(words)
-    bad = F.exists(words, lambda w: is_tech(w) | F.lower(w).isin(NOISE) | F.lower(w).isin(PROSE))
-    places = _count(words, lambda w: F.lower(w).isin(PLACES))
+    bad = F.exists(words, lambda w: is_tech(w) | among(F.lower(w), NOISE) | among(F.lower(w), PROSE))
+    places = _count(words, lambda w: among(F.lower(w), PLACES))
     several = n.between(2, 4) & (places <= 1) & (n - places >= 2) & F.exists(words, lambda w: w.rlike("^[A-Z]"))
     first = F.try_element_at(words, F.lit(1))
     alone = (n == 1) & (F.length(first) >= 5) & (places == 0) & ~((first == F.upper(first)) & (F.length(first) <= 5))
     return ~bad & F.coalesce((several | alone) if single else several, F.lit(False))
 
 
+def only(rows: DataFrame, condition: Column, *columns) -> DataFrame:
+    """These columns of the rows for which the condition holds. Unlike where(), it isn't moved below the projections that make its columns, which would write out their expressions wherever it names them. The outer form keeps a filter from being inferred that is."""
+    return rows.select(F.inline_outer(F.when(condition, F.array(F.struct(F.lit(True).alias("_kept"), *columns))))).where("_kept").drop("_kept")
+
+
+def with_tests(rows: DataFrame, name: str) -> DataFrame:
+    """Adds what is asked about a would-be name, each step a projection of its own, so that nothing is computed twice.
+
+    fits and fits_alone: plausible_person() without and with single words; tech: tech_blob(); wordy: prose().
+    """
+    bare_words = lambda c: F.transform(_found(F.col(c), r"[A-Za-z][A-Za-z\-']*"), lambda w: F.regexp_replace(F.lower(w), "^[-']+|[-']+$", ""))
+    trimmed = F.regexp_replace(F.coalesce(F.col(name), F.lit("")), r"^\s+|\s+$", "")
+    out = rows.withColumns({"_trimmed": trimmed, "_kept": without_noise(F.col(name)), "_all_low": bare_words(name), "tech": tech_blob(F.col(name))})
+    out = out.withColumn("_bare", F.coalesce(F.nullif("_kept", F.lit("")), "_trimmed"))
+    out = out.withColumns({"_words": name_words(F.col("_bare")), "_low": bare_words("_bare"), "_blob": tech_blob(F.col("_bare"))})
+    sized = F.length("_trimmed").between(3, 80) & ~F.col("_bare").rlike(NO_NAME) & ~F.col("_blob")
+    out = out.withColumns({"_sized": sized & ~_prose_words(F.col("_low")), "_several": _person_words(F.col("_words"), False), "_one": _person_words(F.col("_words"), True), "wordy": _prose_words(F.col("_all_low"))})
+    return out.withColumns({"fits": F.col("_sized") & F.col("_several"), "fits_alone": F.col("_sized") & F.col("_one")}).drop("_trimmed", "_kept", "_all_low", "_bare", "_words", "_low", "_blob", "_sized", "_several", "_one")
+
+
 def plausible_place(place: Column) -> Column:
     """Whether a text can be a place: 2 to 120 characters, no technologies, no address of mail, no phone number."""
     raw = F.regexp_replace(F.coalesce(place, F.lit("")), r"^\s+|\s+$", "")
@@ -192,6 +217,21 @@ def plausible_place(place: Column) -> Column:
     return F.length(raw).between(2, 120) & ~tech_blob(raw) & ~raw.rlike(EMAIL) & ~phone & ~all_tech
 
 
+def place_of(header: Column, full: Column) -> Column:
+    """The place after a word for it, in the header or else anywhere; else the first of the header's lines with "City, State" or such a word. Null if none is plausible."""
+    fit = lambda c: bound(c, lambda x: F.when(plausible_place(x), x))
+    ends = lambda c, marks: F.regexp_replace(c, f"^[{marks}]+|[{marks}]+$", "")
+    said = F.when(header.rlike(LOCATION), F.regexp_extract(header, LOCATION, 1)).otherwise(F.regexp_extract(full, LOCATION, 1))
+
+    def of_line(line: Column) -> Column:
+        off = tech_blob(line) | (line.rlike(NO_NAME) & ~line.rlike(PLACE_WORDS))
+        city = F.when(line.rlike(CITY_STATE), F.concat_ws(", ", F.regexp_extract(line, CITY_STATE, 1), F.regexp_extract(line, CITY_STATE, 2)))
+        return F.when(~off, F.coalesce(fit(city), fit(F.when(line.rlike(PLACED), ends(F.regexp_extract(line, PLACED, 1), " .,|-")))))
+
+    by_line = F.array_compact(F.transform(F.slice(F.split(header, "\n"), 1, 12), of_line))
+    return F.coalesce(fit(ends(said, " .,-")), F.try_element_at(by_line, F.lit(1)))
+
+
 def name_quality(name: Column, source: Column) -> Column:
     """How well a name is fit to be shown, by its sources (joined by a plus sign), number of words, casing and signs of prose or file names."""
     words, parts = name_words(name), F.split(source, r"\+")
@@ -199,5 +239,5 @@ def name_quality(name: Column, source: Column) -> Column:
     trust = F.array_max(F.transform(parts, lambda s: reduce(lambda out, kv: F.when(s == kv[0], kv[1]).otherwise(out), TRUST.items(), F.lit(40))))
     length = F.when(n == 2, 8).when(n == 3, 4).when(n == 1, -12).when(n >= 4, -10).otherwise(0)
     bonus = lambda c, v: F.when(c, v).otherwise(0)
-    extra = [bonus(F.size(parts) >= 2, 18), bonus((n > 0) & F.forall(words, lambda w: w.rlike("^[A-Z]")), 4), bonus(prose(name), -40), bonus(F.exists(words, lambda w: F.lower(w).isin(NOISE)), -30)]
+    extra = [bonus(F.size(parts) >= 2, 18), bonus((n > 0) & F.forall(words, lambda w: w.rlike("^[A-Z]")), 4), bonus(prose(name), -40), bonus(F.exists(words, lambda w: among(F.lower(w), NOISE)), -30)]
     return trust + length + sum(extra, F.lit(0))

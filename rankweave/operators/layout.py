@@ -29,27 +29,42 @@ def without_headers(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     return long.select(key, F.when(F.length(text) > least_chars, F.coalesce("body", F.lit(""))).otherwise(F.coalesce(text, F.lit(""))).alias("body"))
 
 
-def sections(docs: DataFrame, key: str = "resume_id", text: str = "raw_text", head: int = 25) -> DataFrame:
-    """(key, section, body): the text after a heading, on its line or below it, up to the next one; repeated sections are joined.
+def with_sections(docs: DataFrame, text: str = "raw_text", head: int = 25) -> DataFrame:
+    """Adds parts: (section, body) of the text after each heading, on its line or below it, up to the next one; repeated sections are joined.
 
-    "header" is what stands before the first heading; without any heading it is the first lines, and "body" the whole text. "full" is always the whole text.
+    "header" is what stands before the first heading; without any heading it is the first lines, and "body" the whole text.
+    "full" is always the whole text. Each document is cut where it is read, without a shuffle.
     """
-    lines = lines_of(docs, key, text).withColumn("opens", header_of(F.col("line")))
-    upto = Window.partitionBy(key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)
-    owned = lines.withColumn("section", F.coalesce(F.last(F.col("opens.section"), ignorenulls=True).over(upto), F.lit("header")))
-    owned = owned.withColumn("part", F.sum(F.when(F.col("opens").isNotNull(), 1).otherwise(0)).over(upto))
-    said = F.when(F.col("opens").isNull(), F.col("line")).otherwise(F.nullif(F.col("opens.rest"), F.lit("")))
-    joined = lambda rows, name: F.array_join(F.transform(F.array_sort(rows), lambda x: x[name]), "\n")
-    stripped = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
-    parts = owned.groupBy(key, "section", "part").agg(stripped(joined(F.collect_list(F.when(said.isNotNull(), F.struct("line_no", said.alias("line")))), "line")).alias("body"))
-    by_name = parts.groupBy(key, "section").agg(joined(F.collect_list(F.struct("part", "body")), "body").alias("body"), F.max("part").alias("last"))
-    there = by_name.where("section <> 'header'").select(key).distinct()
-    text = F.coalesce(F.col(text), F.lit(""))
-    plain = docs.join(there, key, "left_anti").select(key, F.explode(F.array(F.struct(F.lit("header").alias("section"), F.array_join(F.slice(F.split(text, "\n"), 1, head), "\n").alias("body")), F.struct(F.lit("body").alias("section"), text.alias("body")))).alias("s")).select(key, "s.*")
-    # A text that opens with a heading has an empty header.
-    starts = there.select(key, F.lit("header").alias("section"), F.lit("").alias("body")).join(by_name.where("section = 'header'").select(key), key, "left_anti")
-    found = by_name.join(there, key, "left_semi").select(key, "section", "body")
-    return found.unionByName(starts).unionByName(plain).unionByName(docs.select(key, F.lit("full").alias("section"), text.alias("body")))
+    strip = lambda c: F.regexp_replace(c, r"^\s+|\s+$", "")
+    entry = lambda name, body: F.struct(name.alias("section"), body.alias("body"))
+    cut = docs.withColumn("_lines", F.split(F.coalesce(F.col(text), F.lit("")), "\n"))
+    opened = F.transform("_lines", lambda x, i: F.struct(i.alias("at"), header_of(x).alias("h")))
+    cut = cut.withColumn("_marks", F.filter(opened, lambda m: m["h"].isNotNull()))
+
+    def body(mark, j):
+        below = F.coalesce(F.try_element_at("_marks", j + 2)["at"], F.size("_lines")) - mark["at"] - 1
+        rest = F.filter(F.array(mark["h"]["rest"]), lambda x: x != "")
+        return entry(mark["h"]["section"], strip(F.array_join(F.concat(rest, F.slice("_lines", mark["at"] + 2, below)), "\n")))
+
+    cut = cut.withColumn("_bodies", F.transform("_marks", body))
+
+    def joined(name):
+        # What is empty before the first text of a section leaves no line.
+        own = F.transform(F.filter("_bodies", lambda b: b["section"] == name), lambda b: b["body"])
+        first = F.array_position(F.transform(own, lambda b: b != ""), F.lit(True)).cast("int")
+        return entry(name, F.when(first > 0, F.array_join(F.slice(own, first, F.size(own)), "\n")).otherwise(""))
+
+    found = F.transform(F.array_distinct(F.transform("_bodies", lambda b: b["section"])), joined)
+    before = strip(F.array_join(F.slice("_lines", 1, F.try_element_at("_marks", F.lit(1))["at"]), "\n"))
+    whole = F.coalesce(F.col(text), F.lit(""))
+    plain = F.array(entry(F.lit("header"), F.array_join(F.slice("_lines", 1, head), "\n")), entry(F.lit("body"), whole))
+    parts = F.when(F.size("_marks") == 0, plain).otherwise(F.concat(F.array(entry(F.lit("header"), before)), found))
+    return cut.withColumn("parts", F.concat(parts, F.array(entry(F.lit("full"), whole)))).drop("_lines", "_marks", "_bodies")
+
+
+def sections(docs: DataFrame, key: str = "resume_id", text: str = "raw_text", head: int = 25) -> DataFrame:
+    """(key, section, body), a row per part that with_sections() finds."""
+    return with_sections(docs.select(key, text), text, head).select(key, F.explode_outer("parts").alias("p")).select(key, "p.section", "p.body")
 
 
 def column_split(spans: DataFrame, bins: int = 20) -> DataFrame:

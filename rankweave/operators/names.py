@@ -1,129 +1,149 @@
-"""A person's name from several sources, by votes."""
+"""A person's name: guessed from the lines around an address, and decided among several sources by votes.
+
+Candidates are rows. Their tests are columns, computed once per row; agreement and the winner are aggregations.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import person
+from rankweave.functions.text import EMAIL, PHONE
 
-#: Score of a name of two words or more, and of one word, by source; what agreement adds.
+#: Score of a name of two words or more, and of one word, by source; what agreement adds; of a portal's file.
 SOURCES = {"filename": (82, 82), "email": (80, 52), "llm": (70, 48), "heuristic": (45, 45)}
-AGREEMENT = 22
-#: Fixed value: score of a name from a job portal's file.
-PORTAL = 92
-
+AGREEMENT, PORTAL = 22, 92
+# Warnings that users read.
+NO_CANDIDATE = "Could not extract a reliable name — verify from the resume file."
+ALL_UNFIT = "Extracted name candidates looked invalid (skills/headers/prose)."
+DOUBTFUL = ("Name “", "” is low-confidence (source: ", "). Please confirm before using for outreach.")
 
-def plausible(name: Column) -> Column:
-    """3 to 80 characters, two to four words, no digits or signs of an address, a capital somewhere."""
-    n = F.size(F.split(F.trim(name), r"\s+"))
-    return F.length(name).between(3, 80) & n.between(2, 4) & ~name.rlike(r"[0-9@/]") & name.rlike("[A-Z]")
+# Lines around an address, first lines, lines of a block, longest line, least score of a guess; labels, what parts a line, and junk.
+BEFORE, AFTER, FIRST_LINES, BLOCK_LINES, LONGEST, LEAST_SCORE = 5, 1, 8, 12, 55, 20
+LABEL, BARS, JUNK = r"(?i)^(name|candidate|full\s*name)\s*[:\-]\s*", r"[|•·,]", r"[:;/\\@]{2,}|\d{3,}"
 
 
 def key(name: Column) -> Column:
     return F.regexp_replace(F.lower(name), "[^a-z]", "")
 
 
-def resolved(names: dict[str, Column]) -> Column:
-    """struct(name, source, score): the likeliest name of those that sources give; agreeing sources are joined by a plus sign."""
-    given = []
-    for source, name in names.items():
-        many, one = SOURCES[source]
-        score = F.when(F.trim(name).contains(" "), many).otherwise(one)
-        given.append(F.when(plausible(name), F.struct(F.trim(name).alias("name"), F.lit(source).alias("source"), score.alias("score"))))
-    there = F.array_compact(F.array(*given))
+def _strip(c: Column) -> Column:
+    return F.regexp_replace(c, r"^\s+|\s+$", "")
 
-    def vote(x: Column) -> Column:
-        same = F.filter(there, lambda y: key(y["name"]) == key(x["name"]))
-        best = F.array_max(F.transform(same, lambda y: y["score"]))
-        total = F.least(F.lit(100), best + F.when(F.size(same) > 1, AGREEMENT).otherwise(0))
-        sources = F.array_join(F.array_sort(F.transform(same, lambda y: y["source"])), "+")
-        return F.struct(total.alias("score"), F.length(x["name"]).alias("length"), x["name"].alias("name"), sources.alias("source"))
 
-    top = F.array_max(F.transform(there, vote))
-    return F.struct(top["name"].alias("name"), top["source"].alias("source"), top["score"].alias("score"))
+def lines_to_try(text: Column, header: Column, email: Column) -> Column:
+    """The lines that may hold the name, in the order of trying: around the first one with the address, the header, the first ones."""
+    lines = F.split(F.coalesce(text, F.lit("")), "\n")
+    at = F.array_position(F.transform(lines, lambda x: F.contains(F.lower(x), F.lower(email))), F.lit(True)).cast("int")
+    first = F.greatest(F.lit(1), at - BEFORE)
+    around = F.when(at > 0, F.slice(lines, first, at + AFTER - first + 1))
+    none = F.array().cast("array<string>")
+    block = lambda c: F.slice(F.filter(F.transform(F.coalesce(c, none), _strip), lambda x: x != ""), 1, BLOCK_LINES)
+    top = F.when(F.coalesce(text, F.lit("")) != F.coalesce(header, F.lit("")), F.slice(lines, 1, FIRST_LINES))
+    return F.concat(block(around), block(F.split(header, "\n")), block(top))
 
 
-def decided(filename: Column, email: Column, line: Column, model: Column | None = None) -> Column:
-    """struct(name, source, score, confidence, warning) from a file's name, an address, a first line and a model's answer.
+def guessed(people: DataFrame, by: str) -> DataFrame:
+    """people (by, email, lines as lines_to_try() gives them) to by, guess: the most name-like line, else a name from the address, else null.
 
-    Sources that agree are one candidate with a bonus. What reads like prose, technologies or a heading goes; of the rest
-    the one fittest to be shown wins, and a line alone gives way to a file's name or an address of about the same fitness.
-    Without any candidate the source is none, and rejected where all were unfit. A warning says low-confidence, none or rejected.
+    by must be unique. A line scores once, where it is tried first; equal scores go to more words, then to the earlier line.
+    """
+    # The outer form, as for person.only(): a filter on the list would write out all that makes it.
+    lines = people.select(by, F.posexplode_outer("lines").alias("pos", "line")).withColumn("line", _strip(F.regexp_replace("line", LABEL, "")))
+    off = F.col("line").rlike(person.NO_NAME) | person.tech_blob(F.col("line")) | person.prose(F.col("line"))
+    short = person.only(lines.withColumn("_off", F.when(F.length("line") <= LONGEST, off).otherwise(True)), ~F.col("_off"), by, "pos", "line")
+    left = _strip(F.split("line", BARS)[0])
+    phone = F.col("line").rlike(PHONE) & (F.length(F.regexp_replace("line", "[^0-9]", "")) >= 10)
+    parts = short.withColumns({"_left": left, "_bare": person.without_noise(left), "_mail": F.col("line").rlike(EMAIL), "_phone": phone, "_words": person.name_words(F.col("line"))})
+    parts = parts.withColumns({"_bare": F.coalesce(F.nullif("_bare", F.lit("")), "_left"), "_cased": person.cased(F.array_join("_words", " "))})
+    alone = F.size("_words").between(2, 3) & (F.length("line") < 48) & ~F.col("line").rlike(JUNK)
+    name = F.when(F.col("_mail"), F.when(~F.col("_bare").rlike(EMAIL), F.col("_bare"))).when(F.col("_phone"), F.col("_bare")).when(alone, F.col("_cased"))
+    tested = person.with_tests(parts.select(by, "pos", "line", name.alias("name")), "name")
+    tested = person.only(tested, F.col("fits"), by, "pos", "line", "name", "wordy")
+    scored = tested.withColumn("words", person.name_words(F.col("name")))
+    n, line, capitals = F.size("words"), F.col("line"), F.forall("words", lambda w: w.rlike("^[A-Z]"))
+    shouted = (line == F.upper(line)) & (line != F.lower(line)) & n.between(2, 3)
+    points = [
+        F.when(n == 2, 25).when(n == 3, 15).when(n == 1, 0).otherwise(-5),
+        F.when(F.length(line) < 35, 12).when(F.length(line) < 50, 5).otherwise(0),
+        F.when((n > 0) & capitals, 10).otherwise(0),
+        F.when(shouted, 8).otherwise(0),
+        F.when(line.rlike("[|•·]"), 6).otherwise(0),
+        F.when(F.col("wordy"), -50).otherwise(0),
+    ]
+    scored = scored.select(by, "pos", "name", sum(points, F.lit(10)).alias("score"), F.size(F.split("name", r"\s+")).alias("n"))
+    once = scored.groupBy(by, F.lower("name").alias("low")).agg(F.min_by(F.struct("score", "n", "pos", "name"), "pos").alias("x"))
+    best = once.groupBy(by).agg(F.max_by("x", F.struct("x.score", "x.n", -F.col("x.pos"))).alias("x")).where(F.col("x.score") >= LEAST_SCORE).select(F.col(by).alias("of"), F.col("x.name").alias("found"))
+    mailed = person.with_tests(people.select(by, person.name_of_mail(F.col("email")).alias("mailed")), "mailed")
+    return mailed.join(best, mailed[by] == best["of"], "left").select(by, F.coalesce("found", F.when(F.col("fits_alone"), F.col("mailed"))).alias("guess"))
+
+
+def candidates(people: DataFrame, by: str) -> DataFrame:
+    """people (by, filename, email, guess, said: a model's answer) to rows (by, pos, source, name, score, sure), one with nulls where no source gives a name."""
+    several = lambda c: F.trim(F.col(c)).rlike(r"\s")
+    bare = lambda c: person.without_noise(F.trim(F.coalesce(F.col(c), F.lit(""))))
+    named = people.select(by, F.coalesce(F.col("filename"), F.lit("")).rlike("(?i)naukri|linkedin|indeed").alias("portal"), person.name_of_file(F.col("filename")).alias("n0"), person.name_of_mail(F.col("email")).alias("n1"), bare("said").alias("n2"), bare("guess").alias("n3"))
+    given = named.select(by, "portal", F.posexplode_outer(F.array("n0", "n1", "n2", "n3")).alias("pos", "name"))
+    tested = person.with_tests(given, "name").withColumn("source", F.element_at(F.array(*map(F.lit, SOURCES)), F.col("pos") + 1))
+    usable = F.when(F.col("pos") == 0, F.col("name").isNotNull()).when(F.col("pos") == 3, F.col("fits")).otherwise(F.col("name").isNotNull() & F.col("fits_alone"))
+    pick = lambda many, one: F.when(many, one[0]).otherwise(one[1])
+    # An address of one word, and an answer that only passes as a single word, count less.
+    whole = F.when(F.col("pos") == 2, F.col("fits")).otherwise(several("name"))
+    score = F.when((F.col("pos") == 0) & F.col("portal"), PORTAL)
+    sure = F.lit(None).cast("string")
+    for i, (source, points) in enumerate(SOURCES.items()):
+        score = score.when(F.col("pos") == i, pick(whole, points))
+        sure = F.when(F.col("pos") == i, {"filename": pick(whole, ("high", "medium")), "heuristic": F.lit("medium")}.get(source, pick(whole, ("medium", "low")))).otherwise(sure)
+    return tested.select(by, *(F.when(usable, c).alias(n) for n, c in (("pos", F.col("pos")), ("source", F.col("source")), ("name", F.col("name")), ("score", score), ("sure", sure))))
+
+
+def resolved(people: DataFrame, by: str) -> DataFrame:
+    """people as for candidates() to by, name, source, score, confidence, warning. by must be unique.
+
+    Sources that agree are one candidate with a bonus. What reads like prose, technologies or a heading goes; of the rest the
+    one fittest to be shown wins, but one that a line backs gives way to a file's name or an address of about the same fitness.
     """
-    said, first = (person.without_noise(F.trim(F.coalesce(x, F.lit("")))) for x in (F.lit(None).cast("string") if model is None else model, line))
-    portal = F.coalesce(filename, F.lit("")).rlike("(?i)naukri|linkedin|indeed")
-    several = lambda name: F.trim(name).rlike(r"\s")
-
-    def candidate(pos: int, source: str, name: Column, fits, score, sure) -> Column:
-        made = lambda x: F.struct(F.lit(pos).alias("pos"), x.alias("name"), F.lit(source).alias("source"), score(x).alias("score"), sure(x).alias("sure"), key(x).alias("key"))
-        return person.bound(name, lambda x: F.when(fits(x), made(x)))
-
-    def by(test, pair):
-        return lambda x: F.when(test(x), pair[0]).otherwise(pair[1])
-
-    there = F.array_compact(
-        F.array(
-            candidate(0, "filename", person.name_of_file(filename), Column.isNotNull, lambda x: F.when(portal, PORTAL).otherwise(SOURCES["filename"][0]), by(several, ("high", "medium"))),
-            candidate(1, "email", person.name_of_mail(email), lambda x: person.plausible_person(x, single=True), by(several, SOURCES["email"]), by(several, ("medium", "low"))),
-            candidate(2, "llm", said, lambda x: person.plausible_person(x) | person.plausible_person(x, single=True), by(person.plausible_person, SOURCES["llm"]), by(person.plausible_person, ("medium", "low"))),
-            candidate(3, "heuristic", first, person.plausible_person, lambda x: F.lit(SOURCES["heuristic"][0]), lambda x: F.lit("medium")),
-        )
+    rows = candidates(people, by).repartition(F.col(by))
+    votes = rows.groupBy(by, key(F.col("name")).alias("key")).agg(
+        F.count("name").alias("n"),
+        F.min("pos").alias("pos"),
+        F.max_by(F.struct("name", "score", "sure"), F.struct("score", F.length("name"), -F.col("pos"))).alias("best"),
+        F.array_join(F.sort_array(F.collect_set("source")), "+").alias("source"),
+    )
+    shown = F.coalesce(F.nullif(person.without_noise(F.col("best.name")), F.lit("")), F.col("best.name"))
+    more = F.col("n") > 1
+    merged = votes.select(by, "pos", "source", shown.alias("name"), F.when(more, F.least(F.lit(100), F.col("best.score") + AGREEMENT)).otherwise(F.col("best.score")).alias("score"), F.when(more, "high").otherwise(F.col("best.sure")).alias("sure"))
+    tested = person.with_tests(merged, "name")
+    strong = F.col("source").rlike("filename|email")
+    fit = ~F.col("tech") & ~F.col("wordy") & (F.col("source").contains("filename") | ~F.col("name").rlike(person.NO_NAME)) & F.when(strong, F.col("fits_alone")).otherwise(F.col("fits"))
+    graded = tested.withColumn("quality", F.when(F.coalesce(fit, F.lit(False)), person.name_quality(F.col("name"), F.col("source"))))
+    entry = F.struct(
+        "quality",
+        (F.col("score") + F.floor(F.col("quality") / 5)).cast("int").alias("score"),
+        F.size(F.split("name", r"\s+")).alias("words"),
+        F.length("name").alias("length"),
+        (-F.col("pos")).alias("order"),
+        "name",
+        "source",
+        "sure",
+    )
+    found = graded.groupBy(by).agg(F.count("name").alias("n"), F.sort_array(F.collect_list(F.when(F.col("quality").isNotNull(), entry)), asc=False).alias("fit"))
+    top = F.try_element_at("fit", F.lit(1))
+    rival = F.try_element_at(F.filter(F.slice("fit", 2, 4), lambda x: x["source"].rlike("filename|email") & (x["quality"] + 5 >= F.col("top.quality"))), F.lit(1))
+    won = found.withColumn("top", top).withColumn("won", F.when(F.col("top.source").contains("heuristic"), F.coalesce(rival, F.col("top"))).otherwise(F.col("top")))
+    x = lambda c: F.col(f"won.{c}")
+    doubt = (x("sure") == "low") | (x("score") < 55) | (x("source").contains("heuristic") & ~x("source").contains("+"))
+    told = F.concat(F.lit(DOUBTFUL[0]), x("name"), F.lit(DOUBTFUL[1]), x("source"), F.lit(DOUBTFUL[2]))
+    none, unfit = F.col("n") == 0, F.col("won").isNull()
+    return won.select(
+        by,
+        x("name").alias("name"),
+        F.when(none, "none").when(unfit, "rejected").otherwise(x("source")).alias("source"),
+        x("score").alias("score"),
+        F.when(~unfit & (x("quality") >= 50), x("sure")).otherwise("low").alias("confidence"),
+        F.when(none, NO_CANDIDATE).when(unfit, ALL_UNFIT).when(doubt, told).alias("warning"),
     )
-    return person.bound(there, lambda found: person.bound(_ordered(found), lambda rows: _winner(found, rows)))
-
-
-def _ordered(there: Column) -> Column:
-    """Candidates of one key merged, without the unfit, the fittest first."""
-
-    def agreed(x: Column) -> Column:
-        same = F.filter(there, lambda y: y["key"] == x["key"])
-        best = lambda y: F.struct(y["score"].alias("score"), F.length(y["name"]), -y["pos"], y["name"].alias("name"), y["sure"].alias("sure"))
-        sources = F.array_join(F.array_sort(F.transform(same, lambda y: y["source"])), "+")
-        top = F.struct(F.array_max(F.transform(same, best)).alias("best"), sources.alias("source"), (F.size(same) > 1).alias("more"))
-        return person.bound(
-            top,
-            lambda t: F.struct(
-                (-x["pos"]).alias("order"),
-                person.bound(person.without_noise(t["best"]["name"]), lambda bare: F.when(bare == "", t["best"]["name"]).otherwise(bare)).alias("name"),
-                t["source"].alias("source"),
-                F.when(t["more"], F.least(F.lit(100), t["best"]["score"] + AGREEMENT)).otherwise(t["best"]["score"]).alias("score"),
-                F.when(t["more"], "high").otherwise(t["best"]["sure"]).alias("sure"),
-            ),
-        )
-
-    def fit(x: Column) -> Column:
-        usable = F.when(x["source"].rlike("filename|email"), person.plausible_person(x["name"], single=True)).otherwise(person.plausible_person(x["name"]))
-        return usable & (x["source"].contains("filename") | ~x["name"].rlike(person.NO_NAME))
-
-    def graded(x: Column) -> Column:
-        row = lambda q: F.struct(
-            q.alias("quality"), (x["score"] + F.floor(q / 5)).cast("int").alias("score"), F.size(F.split(x["name"], r"\s+")).alias("words"), F.length(x["name"]).alias("length"),
-            x["order"].alias("order"), x["name"].alias("name"), x["source"].alias("source"), x["sure"].alias("sure"),
-        )
-        return person.bound(person.name_quality(x["name"], x["source"]), row)
-
-    groups = F.transform(F.filter(there, lambda x: ~F.exists(there, lambda y: (y["key"] == x["key"]) & (y["pos"] < x["pos"]))), agreed)
-    return F.reverse(F.array_sort(F.transform(F.filter(groups, fit), graded)))
-
-
-def _winner(there: Column, rows: Column) -> Column:
-    top = F.try_element_at(rows, F.lit(1))
-    rival = F.try_element_at(F.filter(rows, lambda x: x["source"].rlike("filename|email") & (x["quality"] + 5 >= top["quality"])), F.lit(1))
-    won = F.when(top["source"].contains("heuristic") & ~top["source"].rlike("filename|email"), F.coalesce(rival, top)).otherwise(top)
-    state = F.when(F.size(there) == 0, "none").when(F.size(rows) == 0, "rejected")
-
-    def told(x: Column) -> Column:
-        sure = F.when(x["quality"] >= 50, x["sure"]).otherwise("low")
-        doubt = (x["sure"] == "low") | (x["score"] < 55) | (x["source"].contains("heuristic") & ~x["source"].contains("+"))
-        return F.struct(x["name"].alias("name"), F.coalesce(state, x["source"]).alias("source"), x["score"].alias("score"), sure.alias("confidence"), F.coalesce(state, F.when(doubt, "low-confidence")).alias("warning"))
-
-    return person.bound(won, told)
-
-
-def confidence(source: Column, score: Column) -> Column:
-    """high where sources agree, low for a lone heuristic or a low score, else medium."""
-    return F.when(score.isNull() | (source == "heuristic") | (score < 55), "low").when(source.contains("+"), "high").otherwise("medium")
 
 
 def needs_review(name: Column, source: Column, sure: Column, warning: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
+from rankweave.functions.person import bound
 
 
 def list_of(c: Column) -> Column:
@@ -19,26 +20,6 @@ def distinct_words(items: Column) -> Column:
     return F.filter(full, lambda x, i: F.array_position(F.transform(full, F.lower), F.lower(x)) == i + 1)
 
 
-def extracted(resumes: DataFrame, as_of: int) -> DataFrame:
-    """resumes (resume_id, job_id, raw_text) to one column per profile field."""
-    text = F.col("raw_text")
-    lines = F.split(text, "\n")
-    skills = F.regexp_extract(text, r"(?m)^Skills: (.*)$", 1)
-    degree = F.filter(lines, lambda x: x.rlike(r"University|College|Institute"))
-    return resumes.select(
-        "resume_id",
-        "job_id",
-        F.element_at(lines, 1).alias("name"),
-        T.norm_email(T.first_email(text)).alias("email"),
-        T.first_phone(text).alias("phone"),
-        T.location(F.regexp_substr(text, F.lit(r"(?i)location[^\n]*"))).alias("location"),
-        T.range_years(text, as_of).alias("years"),
-        T.notice_days(text).alias("notice"),
-        distinct_words(list_of(skills)).alias("skills"),
-        degree.alias("education"),
-    )
-
-
 def issues(p: dict[str, Column]) -> Column:
     """Names of what is wrong or missing in a profile."""
     checks = {
@@ -66,19 +47,40 @@ def sanitised(p: DataFrame) -> DataFrame:
     )
 
 
-def two_pass_years(computed: Column, stated: Column, override: Column, student: Column) -> Column:
-    """struct(years, method): an override, else dated work against stated years, else what there is."""
-    one = lambda x: F.floor(x * 10 + 0.5) / 10
-    pair = lambda v, m: F.struct(v.cast("double").alias("years"), F.lit(m).alias("method"))
-    return (
-        F.when(override.isNotNull(), pair(F.greatest(F.lit(0.0), F.least(F.lit(50.0), override)), "override"))
-        .when(student & computed.isNull(), pair(F.lit(0.0), "student"))
-        .when((stated > 0) & (F.abs(stated - computed) <= 2), pair(one((stated + computed) / 2), "work_history+explicit"))
-        .when((stated > 0) & (stated < computed), pair(stated, "explicit_phrase"))
-        .when(computed.isNotNull(), pair(computed, "work_history"))
-        .when(stated.isNotNull(), pair(stated, "explicit_phrase"))
-        .otherwise(pair(F.lit(0.0), "none"))
+# How years were found, where that is beyond doubt.
+SURE_METHODS = ["work_history_sum", "work_history_span", "explicit_phrase", "recruiter_override", "student_no_jobs", "no_real_jobs"]
+
+
+def two_pass_years(computed: Column, method: Column, jobs: Column, job_years: Column, stated: Column, student: Column, override: Column) -> Column:
+    """struct(years, method, confidence) from what work_years() gives, the number of real jobs and their years, stated years and signs of a student.
+
+    A correction by hand wins. A student without jobs has none. Stated years near the computed ones are averaged with them,
+    lower ones replace them. A student's years beyond 2 are cut to those of the jobs unless these, or what is stated, are more.
+    """
+    n, own = F.coalesce(jobs, F.lit(0)), F.coalesce(job_years, F.lit(0.0))
+    pair = lambda v, m: F.struct(v.cast("double").alias("years"), m.alias("method"))
+    worked = computed.isNotNull() & F.coalesce(method != "none", F.lit(False))
+    found = (
+        F.when(student & (n == 0), pair(F.lit(0.0), F.lit("student_no_jobs")))
+        .when(worked & (stated > 0) & (F.abs(stated - computed) <= 2), pair(F.bround(computed * 0.5 + stated * 0.5, 1), F.concat(method, F.lit("+explicit"))))
+        .when(worked & (stated > 0) & (stated < computed), pair(stated, F.lit("explicit_phrase")))
+        .when(worked, pair(computed, method))
+        .when(stated.isNotNull(), pair(stated, F.lit("explicit_phrase")))
+        .otherwise(pair(F.lit(0.0), F.lit("no_real_jobs")))
     )
+    capped = student & ~F.coalesce(stated > 2, F.lit(False)) & (own <= 1.5)
+    bounds = lambda v: F.greatest(F.lit(0.0), F.least(F.lit(50.0), v))
+
+    def settled(x: Column) -> Column:
+        cut = F.when(capped & (x["years"] > 2), pair(F.least(x["years"], own), F.lit("student_capped"))).otherwise(x)
+        return F.when(override.isNotNull(), pair(bounds(override), F.lit("recruiter_override"))).otherwise(cut)
+
+    def told(x: Column) -> Column:
+        sure = F.when(x["method"].isin(SURE_METHODS) | x["method"].endswith("+explicit"), "high").otherwise("medium")
+        years = F.when(x["method"] == "recruiter_override", x["years"]).otherwise(bounds(F.bround(x["years"], 1)))
+        return F.struct(years.alias("years"), x["method"].alias("method"), sure.alias("confidence"))
+
+    return bound(bound(found, settled), told)
 
 
 # Signs of a student, of stated experience, and of entries that are no jobs.
@@ -108,9 +110,10 @@ def real_job(title: Column, company: Column) -> Column:
 
 
 def work_years(jobs: DataFrame, key: str, year: int, month: int) -> DataFrame:
-    """jobs (key, title, company, duration, years) to key, years, method: the sum over real jobs, or their span where they overlap a lot.
+    """jobs (key, title, company, duration, years) to key, years, method, jobs, job_years: the sum over real jobs, or their span where they overlap a lot.
 
-    A job's years are those of its duration, else the given ones. Without a real job the years are null.
+    A job's years are those of its duration, else the given ones. Without a real job the years are null. jobs and job_years are
+    the number of real jobs and the plain sum of their years.
     """
     real = F.coalesce(real_job(F.col("title"), F.col("company")), F.lit(False))
     own = F.greatest(F.lit(0.0), F.coalesce(T.duration_years(F.col("duration"), year, month), F.col("years"), F.lit(0.0)))
@@ -131,7 +134,14 @@ def work_years(jobs: DataFrame, key: str, year: int, month: int) -> DataFrame:
         .when(span > 0, pair(one(span), "work_history_span"))
         .otherwise(pair(F.lit(0.0), "no_countable_jobs"))
     )
-    return sums.select(key, found.alias("f")).select(key, "f.years", "f.method")
+    return sums.select(key, found.alias("f"), F.col("n").alias("jobs"), F.col("total").alias("job_years")).select(key, "f.years", "f.method", "jobs", "job_years")
+
+
+def job_entries(jobs: DataFrame, year: int, month: int) -> DataFrame:
+    """jobs (title, company, duration, years) with each entry's own years, 0 for what is no job, and counted: whether it is one."""
+    real = F.coalesce(real_job(F.col("title"), F.col("company")), F.lit(False))
+    own = F.greatest(F.lit(0.0), F.coalesce(T.duration_years(F.col("duration"), year, month), F.col("years"), F.lit(0.0)))
+    return jobs.withColumns({"counted": real, "years": F.when(real, own).otherwise(0.0)})
 
 
 def merged(rule: DataFrame, model: DataFrame) -> DataFrame:

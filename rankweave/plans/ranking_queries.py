@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.functions.text import STOP_WORDS, TOKEN
-from rankweave.operators import ranking, report, scoring, store
-from rankweave.operators.profile import extracted
+from rankweave.operators import extraction, ranking, report, scoring, store
 from rankweave.plans.catalog import query
 from rankweave.sources.views import SQL_B, SQL_E, SQL_R, SQL_S, briefs, resumes, scores, table
 
@@ -202,16 +201,19 @@ def ui_kpis(spark, sf_dir):
     return scores(spark, sf_dir).agg(F.count("*").alias("total"), F.count("final_score").alias("scored"), F.count_if(F.col("hard_filter_pass") == 0).alias("rejected"), F.coalesce(F.max("final_score"), F.lit(0.0)).alias("top_score"))
 
 
+#: The part of a line that names the school.
+SQL_SCHOOL = "trim(line[greatest(1, instr(line, 'University') - 20):], ' ,-|')"
 SQL_EXPORT = f"""{SQL_RANKED}, x AS (
     SELECT r.job_id, rank, r.resume_id, split_part(raw_text, chr(10), 1) AS display_name, lower(regexp_extract(raw_text, '[A-Za-z0-9._%+-]+@[A-Za-z0-9.-]+[.][A-Za-z]{{2,}}')) AS email,
-        regexp_extract(raw_text, 'Skills: (.*)$', 1) AS skills, split_part(raw_text, chr(10), 8) AS education, final_score
-    FROM r LEFT JOIN k USING (resume_id)
+        regexp_extract(raw_text, 'Skills: (.*)$', 1) AS skills, {SQL_SCHOOL} AS education, final_score
+    FROM (SELECT *, split_part(raw_text, chr(10), 8) AS line FROM r) r LEFT JOIN k USING (resume_id)
 )"""
 
 
 def _exported(spark, sf_dir):
     r = resumes(spark, sf_dir)
-    return report.export_rows(report.results(r, scores(spark, sf_dir)), extracted(r, 2026))
+    found = extraction.extracted(r, 2026).withColumns({"skills": F.col("listed_skills"), "education": F.transform("education", lambda e: e["institution"])})
+    return report.export_rows(report.results(r, scores(spark, sf_dir)), found)
 
 
 @query(f"WITH {SQL_EXPORT} SELECT * FROM x")

@@ -6,13 +6,14 @@ import tempfile
 
 from pyspark.sql import functions as F
 
+from rankweave.functions import person
 from rankweave.functions import text as T
 from rankweave.operators import briefs as B
-from rankweave.operators import layout, profile, rules
+from rankweave.operators import extraction, layout, profile, rules
 from rankweave.plans.catalog import query
-from rankweave.plans.ranking_queries import SQL_RANKED, sql_tokens
+from rankweave.plans.ranking_queries import SQL_SCHOOL, sql_tokens
 from rankweave.sources import files
-from rankweave.sources.views import SQL_B, SQL_R, briefs, resumes, scores, table
+from rankweave.sources.views import SQL_B, SQL_R, briefs, resumes, table
 from rankweave.streaming import progress
 
 AS_OF = 2026
@@ -102,7 +103,7 @@ def normalize_contact(spark, sf_dir):
 
 @query(rf"WITH {SQL_R} SELECT resume_id, regexp_extract(raw_text, 'Location: ([A-Za-z]+)', 1) AS location FROM r")
 def extract_location(spark, sf_dir):
-    return profile.extracted(resumes(spark, sf_dir), AS_OF).select("resume_id", "location")
+    return extraction.facts(resumes(spark, sf_dir), AS_OF).select("resume_id", "location")
 
 
 @query(rf"WITH {SQL_R} SELECT resume_id, CAST(regexp_extract(raw_text, 'Notice period: ([0-9]+)', 1) AS INTEGER) AS notice FROM r")
@@ -110,9 +111,10 @@ def extract_notice(spark, sf_dir):
     return resumes(spark, sf_dir).select("resume_id", T.notice_days(F.col("raw_text")).alias("notice"))
 
 
-@query(rf"WITH {SQL_R} SELECT resume_id, split_part(raw_text, chr(10), 8) AS education FROM r")
+@query(rf"WITH {SQL_R} SELECT resume_id, degree || ' / ' || institution || ' / ' || year AS education FROM (SELECT resume_id, CASE resume_id % 5 WHEN 0 THEN 'B.Tech' WHEN 1 THEN 'MBA' WHEN 2 THEN 'B.Com' WHEN 3 THEN 'M.S.' ELSE '' END AS degree, {SQL_SCHOOL} AS institution, right(line, 4) AS year FROM (SELECT resume_id, split_part(raw_text, chr(10), 8) AS line FROM r))")
 def extract_education(spark, sf_dir):
-    return profile.extracted(resumes(spark, sf_dir), AS_OF).select("resume_id", F.array_join("education", " / ").alias("education"))
+    line = F.transform("education", lambda e: F.concat_ws(" / ", e["degree"], e["institution"], e["year"]))
+    return extraction.facts(resumes(spark, sf_dir), AS_OF).select("resume_id", F.array_join(line, "; ").alias("education"))
 
 
 @query(rf"""WITH t AS (SELECT conv_id, turn, 'Over ' || (conv_id % 30) || '+ years of experience; experience: ' || (turn % 60) || ' yrs' AS x FROM conversations)
@@ -153,25 +155,6 @@ def years_ranges(spark, sf_dir):
     return resumes(spark, sf_dir).select("resume_id", T.range_years(F.col("raw_text"), AS_OF).alias("years"))
 
 
-@query(rf"""WITH {SQL_YEARS}, q AS (SELECT resume_id, years AS c, CASE WHEN resume_id % 3 = 0 THEN CAST(resume_id % 12 AS DOUBLE) END AS e, CASE WHEN resume_id % 17 = 0 THEN 60e0 END AS o, resume_id % 5 = 0 AS student FROM z)
-SELECT resume_id, CASE WHEN o IS NOT NULL THEN 50 WHEN e > 0 AND abs(e - c) <= 2 THEN floor((e + c) / 2 * 10 + 0.5) / 10 WHEN e > 0 AND e < c THEN e ELSE c END AS years,
-    CASE WHEN o IS NOT NULL THEN 'override' WHEN e > 0 AND abs(e - c) <= 2 THEN 'work_history+explicit' WHEN e > 0 AND e < c THEN 'explicit_phrase' ELSE 'work_history' END AS method FROM q""")
-def years_two_pass(spark, sf_dir):
-    computed = T.range_years(F.col("raw_text"), AS_OF)
-    stated = F.when(F.col("resume_id") % 3 == 0, (F.col("resume_id") % 12).cast("double"))
-    found = profile.two_pass_years(computed, stated, F.when(F.col("resume_id") % 17 == 0, F.lit(60.0)), F.col("resume_id") % 5 == 0)
-    return resumes(spark, sf_dir).select("resume_id", found.alias("y")).select("resume_id", "y.years", "y.method")
-
-
-@query(rf"""WITH {SQL_R} SELECT resume_id, upper(f[1]) || f[2:] || ' ' || upper(l[1]) || l[2:] AS from_email, regexp_replace(regexp_replace(regexp_replace(filename, '\.[A-Za-z]+$', ''), '(?i)(resume|cv)', '', 'g'), '^[_ ]+|[_ ]+$', '', 'g') AS from_file
-FROM (SELECT *, split_part(mail, '.', 1) AS f, regexp_replace(split_part(mail, '.', 2), '[0-9]+$', '') AS l FROM (SELECT *, split_part(split_part(raw_text, chr(10), 2), '@', 1) AS mail FROM r))""")
-def name_from_sources(spark, sf_dir):
-    local = F.split_part(T.first_email(F.col("raw_text")), F.lit("@"), F.lit(1))
-    words = F.filter(F.split(F.regexp_replace(local, "[0-9]+", ""), r"[._+\-]+"), lambda w: w != "")
-    stem = F.regexp_replace(F.regexp_replace("filename", r"\.[A-Za-z]+$", ""), "(?i)(resume|cv)", "")
-    return resumes(spark, sf_dir).select("resume_id", F.array_join(F.transform(words, F.initcap), " ").alias("from_email"), F.regexp_replace(stem, "^[_ ]+|[_ ]+$", "").alias("from_file"))
-
-
 SKILLS = ["Python", "SQL", "Excel", "CRM", "Java", "Spring Boot", "AWS", "React", "TypeScript", "CSS", "SAP"]
 CERTIFICATES = ["AWS Certified", "PMP", "ITIL", "CISSP", "Snowflake", "Databricks"]
 
@@ -200,7 +183,10 @@ def _fields():
 
 
 def _profiles(spark, sf_dir):
-    return profile.extracted(resumes(spark, sf_dir), AS_OF)
+    """What rules read of the résumés, with the skills that their texts list, where a model's would stand."""
+    schools = F.transform("education", lambda e: F.concat_ws(" ", e["degree"], e["institution"], e["year"]))
+    found = extraction.facts(resumes(spark, sf_dir), AS_OF).withColumns({"skills": F.col("listed_skills"), "education": schools, "name": person.name_of_file(F.col("filename"))})
+    return found.select("resume_id", "job_id", "name", "email", "phone", "location", "years", "notice", "skills", "education")
 
 
 def _rule(spark, sf_dir, rule):
@@ -274,17 +260,53 @@ def student_and_jobs(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", profile.student(t).alias("student"), profile.real_job(t, F.lit("n/a")).alias("job"))
 
 
-@query(f"""WITH j AS (SELECT o_custkey AS resume_id, year(o_orderdate) AS a, year(o_orderdate) + o_orderkey % 4 AS b, o_orderkey % 5 = 0 AS schooling FROM orders
-), s AS (SELECT resume_id, count(*) FILTER (NOT schooling) AS n, coalesce(sum(CASE WHEN a = b THEN 0.5e0 ELSE b - a END) FILTER (NOT schooling), 0e0) AS total, CAST(max(b) FILTER (NOT schooling) - min(a) FILTER (NOT schooling) AS DOUBLE) AS span FROM j GROUP BY resume_id)
-SELECT resume_id, CASE WHEN n = 0 THEN NULL WHEN span > 0 AND total > span * 1.25e0 THEN span WHEN span > 0 THEN least(total, span) ELSE total END AS years,
-    CASE WHEN n = 0 THEN 'none' WHEN span > 0 AND total > span * 1.25e0 THEN 'work_history_span' ELSE 'work_history_sum' END AS method FROM s""")
-def years_work_history(spark, sf_dir):
-    """Jobs of all orders' customers, a fifth of them schooling, summed or spanned per customer."""
+SQL_WORKED = """j AS (SELECT o_custkey AS resume_id, year(o_orderdate) AS a, year(o_orderdate) + o_orderkey % 4 AS b, o_orderkey % 5 = 0 AS schooling FROM orders
+), s AS (SELECT resume_id, count(*) FILTER (NOT schooling) AS n, coalesce(sum(CASE WHEN a = b THEN 0.5e0 ELSE b - a END) FILTER (NOT schooling), 0e0) AS total, CAST(max(b) FILTER (NOT schooling) - min(a) FILTER (NOT schooling) AS DOUBLE) AS span FROM j GROUP BY resume_id
+), worked AS (SELECT resume_id, CASE WHEN n = 0 THEN NULL WHEN span > 0 AND total > span * 1.25e0 THEN span WHEN span > 0 THEN least(total, span) ELSE total END AS years,
+    CASE WHEN n = 0 THEN 'none' WHEN span > 0 AND total > span * 1.25e0 THEN 'work_history_span' ELSE 'work_history_sum' END AS method, n AS jobs, total AS job_years FROM s)"""
+
+
+def _jobs(spark, sf_dir):
+    """A job per order of each customer, a fifth of them schooling."""
     year = F.year("o_orderdate")
     title = F.when(F.col("o_orderkey") % 5 == 0, "University course").otherwise(F.col("o_orderpriority"))
     duration = F.concat(year, F.lit(" - "), year + F.col("o_orderkey") % 4)
-    jobs = table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("resume_id"), title.alias("title"), F.lit("Unit").alias("company"), duration.alias("duration"), F.lit(None).cast("double").alias("years"))
-    return profile.work_years(jobs, "resume_id", AS_OF, 5)
+    return table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").alias("resume_id"), title.alias("title"), F.lit("Unit").alias("company"), duration.alias("duration"), F.lit(None).cast("double").alias("years"))
+
+
+@query(f"WITH {SQL_WORKED} SELECT resume_id, years, method, jobs, job_years FROM worked")
+def years_work_history(spark, sf_dir):
+    """Jobs of all orders' customers, summed or spanned per customer."""
+    return profile.work_years(_jobs(spark, sf_dir), "resume_id", AS_OF, 5)
+
+
+@query("SELECT o_orderkey, o_orderkey % 5 <> 0 AS counted, CASE WHEN o_orderkey % 5 = 0 THEN 0e0 WHEN o_orderkey % 4 = 0 THEN 0.5e0 ELSE CAST(o_orderkey % 4 AS DOUBLE) END AS years FROM orders")
+def years_per_job(spark, sf_dir):
+    """Each job's own years, and whether it is one."""
+    return profile.job_entries(_jobs(spark, sf_dir), AS_OF, 5).select("o_orderkey", "counted", "years")
+
+
+#: What a résumé says of its years, by id; half the résumés bring the jobs of their orders.
+SAYS = """CASE resume_id % 9 WHEN 0 THEN 'Fresher, final year' WHEN 1 THEN 'Over 6 years of experience' WHEN 2 THEN 'Student, 1.5 years' WHEN 3 THEN '30 years of experience' WHEN 4 THEN 'Pursuing a degree' WHEN 5 THEN '2 yrs' ELSE '' END"""
+_STATED = "CASE r.resume_id % 9 WHEN 1 THEN 6e0 WHEN 2 THEN 1.5e0 WHEN 3 THEN 30e0 WHEN 5 THEN 2e0 END"
+
+
+@query(f"""WITH {SQL_R}, {SQL_WORKED}, q AS (SELECT r.resume_id, w.years AS c, w.method AS m, coalesce(w.jobs, 0) AS n, coalesce(w.job_years, 0) AS own, {_STATED} AS e, r.resume_id % 9 IN (0, 2, 4) AS student, CASE WHEN r.resume_id % 17 = 0 THEN 60e0 END AS o
+    FROM r LEFT JOIN worked w ON w.resume_id = r.resume_id AND r.resume_id % 2 = 0
+), f AS (SELECT *, CASE WHEN student AND n = 0 THEN 0 WHEN c IS NOT NULL AND e > 0 AND abs(e - c) <= 2 THEN round_even(c * 0.5 + e * 0.5, 1) WHEN c IS NOT NULL AND e > 0 AND e < c THEN e WHEN c IS NOT NULL THEN c WHEN e IS NOT NULL THEN e ELSE 0 END AS v,
+    CASE WHEN student AND n = 0 THEN 'student_no_jobs' WHEN c IS NOT NULL AND e > 0 AND abs(e - c) <= 2 THEN m || '+explicit' WHEN c IS NOT NULL AND e > 0 AND e < c THEN 'explicit_phrase' WHEN c IS NOT NULL THEN m WHEN e IS NOT NULL THEN 'explicit_phrase' ELSE 'no_real_jobs' END AS k FROM q
+), g AS (SELECT *, student AND v > 2 AND NOT coalesce(e > 2, false) AND own <= 1.5 AS capped FROM f)
+SELECT resume_id, CASE WHEN o IS NOT NULL THEN 50 WHEN capped THEN least(v, own) ELSE least(v, 50) END AS years, CASE WHEN o IS NOT NULL THEN 'recruiter_override' WHEN capped THEN 'student_capped' ELSE k END AS method,
+    CASE WHEN o IS NULL AND (capped OR k = 'no_countable_jobs') THEN 'medium' ELSE 'high' END AS confidence FROM g""")
+def years_two_pass(spark, sf_dir):
+    """Years by jobs, by what the text says, by signs of students and by hand, decided together."""
+    says = F.expr(SAYS)
+    r = resumes(spark, sf_dir).select("resume_id", F.concat_ws("\n", "raw_text", says).alias("text"))
+    r = r.select("resume_id", T.stated_years(F.col("text")).alias("stated"), profile.student(F.col("text")).alias("student"))
+    worked = profile.work_years(_jobs(spark, sf_dir).where("resume_id % 2 = 0"), "resume_id", AS_OF, 5)
+    by_hand = F.when(F.col("resume_id") % 17 == 0, F.lit(60.0))
+    found = profile.two_pass_years(F.col("years"), F.col("method"), F.col("jobs"), F.col("job_years"), F.col("stated"), F.col("student"), by_hand)
+    return r.join(worked, "resume_id", "left").select("resume_id", found.alias("y")).select("resume_id", "y.*")
 
 
 SQL_CHECKS = ", ".join(rf"regexp_matches(t, '{p}') AS {k}" for k, p in B.CHECKS.items())
@@ -408,65 +430,3 @@ def plain_decode(spark, sf_dir):
     latin = F.concat(F.lit(bytearray("café ".encode("latin-1"))), F.col("doc_id").cast("string").cast("binary"))
     content = F.when(F.col("doc_id") % 2 == 0, F.col("text").cast("binary")).otherwise(latin)
     return table(spark, sf_dir, "documents").select("doc_id", F.md5(files.decoded(content).cast("binary")).alias("text"))
-
-
-@query(rf"""WITH {SQL_R}, v AS (
-    SELECT resume_id, split_part(raw_text, chr(10), 1) AS line, regexp_replace(split_part(split_part(raw_text, chr(10), 2), '@', 1), '[0-9]+', '', 'g') AS mail, replace(replace(filename, 'Resume_', ''), '.pdf', '') AS file FROM r
-) SELECT resume_id, CASE WHEN resume_id % 8 = 0 THEN 'Pat Doe' ELSE replace(file, '_', ' ') END AS name, CASE WHEN resume_id % 8 = 0 THEN 'heuristic' ELSE 'email+filename+heuristic' END AS source, CASE WHEN resume_id % 8 = 0 THEN 45 ELSE 100 END AS score FROM v""")
-def name_resolve(spark, sf_dir):
-    """The name on which most sources agree; here every eighth row has a first line that nothing else supports, and no other source."""
-    return _names(spark, sf_dir).select("resume_id", "n.name", "n.source", "n.score")
-
-
-def _names(spark, sf_dir):
-    from rankweave.operators.names import resolved
-
-    r = resumes(spark, sf_dir)
-    alone = F.col("resume_id") % 8 == 0
-    local = F.regexp_replace(F.split_part(T.first_email(F.col("raw_text")), F.lit("@"), F.lit(1)), "[0-9]+", "")
-    email = F.initcap(F.replace(local, F.lit("."), F.lit(" ")))
-    stem = F.replace(F.replace(F.replace("filename", F.lit("Resume_"), F.lit("")), F.lit(".pdf"), F.lit("")), F.lit("_"), F.lit(" "))
-    first = F.when(alone, F.lit("Pat Doe")).otherwise(F.split_part("raw_text", F.lit("\n"), F.lit(1)))
-    found = resolved({"filename": F.when(~alone, stem), "email": F.when(~alone, email), "heuristic": first})
-    return r.select("resume_id", "job_id", "filename", found.alias("n"))
-
-
-@query(f"WITH {SQL_RANKED} SELECT k.job_id, resume_id, rank, filename, CASE WHEN resume_id % 8 = 0 THEN 'low' ELSE 'high' END AS confidence FROM k JOIN r USING (resume_id) WHERE resume_id % 8 = 0")
-def name_review_queue(spark, sf_dir):
-    """Rows whose name needs a look, by doubt, missing support or form, shortlisted first."""
-    from rankweave.operators import names, report
-
-    n = _names(spark, sf_dir).select("resume_id", "n.*").withColumn("confidence", names.confidence(F.col("source"), F.col("score")))
-    ask = names.needs_review(F.col("name"), F.col("source"), F.col("confidence"), F.lit(None).cast("string"))
-    found = report.results(resumes(spark, sf_dir), scores(spark, sf_dir)).join(n.where(ask).select("resume_id", "confidence"), "resume_id")
-    return found.orderBy(F.coalesce("rank", F.lit(9999)), "resume_id").select("job_id", "resume_id", "rank", "filename", "confidence")
-
-
-#: The self-contained cases of the golden set: id, file, text, expected name, least confidence, parts that a name mustn't have.
-GOLDEN = [
-    ("filename_doc_suffix", "GARV RANDHAR_Doc-6.pdf", "Software developer with Node.js experience.\nSkills: React, Express.", "Garv Randhar", "medium", []),
-    ("filename_resume_suffix", "Amit_Singh Resume.pdf", "Amitsingh Info\nDeveloper\namit.singh@gmail.com", "Amit Singh", "medium", []),
-    ("filename_resume_parens", "AYAN NASHINE RESUME (1) (1).pdf", "My novelties include hands-on experience with Python and IoT.", "Ayan Nashine", "medium", []),
-    ("prose_rejected", "scan001.pdf", "My novelties include hands-on experience with Python and Machine Learning.", None, None, ["novelties", "hands"]),
-]
-
-
-@query("""SELECT * FROM (VALUES
-    ('filename_doc_suffix', true, 'Garv Randhar', 'high', 'filename', CAST(NULL AS VARCHAR), 0),
-    ('filename_resume_suffix', true, 'Amit Singh', 'high', 'email+filename', 'amit.singh@gmail.com', 0),
-    ('filename_resume_parens', true, 'Ayan Nashine', 'high', 'filename', NULL, 0),
-    ('prose_rejected', true, NULL, 'low', 'none', NULL, 0)
-) AS t(id, ok, got_name, confidence, source, email, failures)""")
-def eval_golden(spark, sf_dir):
-    """What name resolution finds in the golden cases, and how many expectations it fails: the name, the least confidence, banned parts."""
-    from rankweave.operators.names import decided
-
-    cases = spark.createDataFrame(GOLDEN, "id string, file string, text string, expected string, least string, banned array<string>")
-    found = cases.withColumn("email", T.first_email(F.col("text"))).withColumn("n", decided(F.col("file"), F.col("email"), F.split_part("text", F.lit("\n"), F.lit(1))))
-    rank = lambda c: F.when(c == "high", 3).when(c == "medium", 2).otherwise(1)
-    plain = lambda c: F.lower(F.trim(F.regexp_replace(F.coalesce(c, F.lit("")), r"\s+", " ")))
-    other = plain(F.col("n.name")) != plain(F.col("expected"))
-    unsure = F.col("expected").isNotNull() & F.col("least").isNotNull() & (rank(F.col("n.confidence")) < rank(F.col("least")))
-    held = F.exists("banned", lambda b: F.contains(F.lower(F.coalesce("n.name", F.lit(""))), F.lower(b)))
-    failures = sum(F.when(c, 1).otherwise(0) for c in (other, unsure, held))
-    return found.select("id", (failures == 0).alias("ok"), F.col("n.name").alias("got_name"), "n.confidence", "n.source", "email", failures.alias("failures"))
