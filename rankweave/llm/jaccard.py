@@ -444,6 +444,14 @@ def likely_pairs(x, y, least: tuple[int, int], first_only: bool) -> np.ndarray:
     return np.unique(np.concatenate(out), axis=0)
 
 
+def likeliest(pairs: np.ndarray) -> np.ndarray:
+    """Of (a, b, low) those that are the nearest, then the first, of one of their ends."""
+    me, which = np.concatenate([pairs[:, 0], pairs[:, 1]]), np.tile(np.arange(len(pairs)), 2)
+    order = np.lexsort((pairs[which, 1], pairs[which, 0], pairs[which, 2], me))
+    first = np.diff(me[order], prepend=me[order[:1]] - 1) != 0
+    return pairs[np.unique(which[order[first]])]
+
+
 LIKELY = "a long, b long, low long, group long, block int, nodes binary, sizes binary, components binary, sketches binary"
 
 
@@ -488,6 +496,11 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
         group, held, total, block = None, [], 0, 0
         found, n_found = [], 0
 
+        def settled() -> np.ndarray:
+            # A first look asks for each document's likeliest partner only.
+            pairs = np.unique(np.concatenate(found), axis=0)
+            return likeliest(pairs) if first_only else pairs
+
         def within() -> tuple[np.ndarray, ...]:
             nonlocal n_found
             x = block_of(pa.concat_tables(held))
@@ -518,14 +531,17 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
                             yield row(None, int(group), block, x)
                         held, total, block = [], 0, block + 1
                 if n_found > FLUSH // 4:
-                    yield row(np.unique(np.concatenate(found), axis=0))
-                    found, n_found = [], 0
+                    found = [settled()]
+                    n_found = len(found[0])
+                    if not first_only or n_found > FLUSH // 8:
+                        yield row(found[0])
+                        found, n_found = [], 0
         if total and (block or total > SMALL):
             x = within()
             if block and not first_only:
                 yield row(None, int(group), block, x)
         if n_found:
-            yield row(np.unique(np.concatenate(found), axis=0))
+            yield row(settled())
 
     dealt = spread.repartition(parts, "sig").sortWithinPartitions("sig", F.xxhash64("sig", "node")).mapInArrow(run, LIKELY)
     if first_only:
