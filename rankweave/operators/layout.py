@@ -85,9 +85,9 @@ def column_split(spans: DataFrame, bins: int = 20) -> DataFrame:
     return pages.select("page", "spans", found.alias("two_columns"), F.when(found, F.col("v.bin")).alias("valley_bin"))
 
 
-def clustered_lines(spans: DataFrame, near: float = 3.5, gap: float = 56.0) -> DataFrame:
-    """(page, line_no, text): spans (page, y, x0, x1, text) in reading order; a running mean of y decides what shares a line."""
-    ordered = spans.groupBy("page").agg(F.array_sort(F.collect_list(F.struct(F.bround(F.col("y") / near).alias("row"), F.col("x0").alias("x0"), F.col("y").alias("y"), F.col("x1").alias("x1"), F.col("text").alias("t")))).alias("s"))
+def clustered_lines(spans: DataFrame, near: float = 3.5, gap: float = 56.0, by: tuple[str, ...] = ("page",)) -> DataFrame:
+    """(page, line_no, text): spans (page, y, x0, x1, text) in reading order; a running mean of y decides what shares a line. by: what lines are kept apart by."""
+    ordered = spans.groupBy(*by).agg(F.array_sort(F.collect_list(F.struct(F.bround(F.col("y") / near).alias("row"), F.col("x0").alias("x0"), F.col("y").alias("y"), F.col("x1").alias("x1"), F.col("text").alias("t")))).alias("s"))
     start = F.array().cast("array<struct<y:double,items:array<struct<x0:double,k:int,x1:double,t:string>>>>")
 
     def add(lines, s):
@@ -102,7 +102,22 @@ def clustered_lines(spans: DataFrame, near: float = 3.5, gap: float = 56.0) -> D
         joint = F.when(done["x1"].isNull(), F.lit("")).when(s["x0"] - done["x1"] > gap, F.lit("  ")).otherwise(F.lit(" "))
         return F.struct(s["x1"].alias("x1"), F.concat(done["text"], joint, s["t"]).alias("text"))
 
-    lines = ordered.select("page", F.posexplode(F.aggregate("s", start, add)).alias("line_no", "l"))
+    lines = ordered.select(*by, F.posexplode(F.aggregate("s", start, add)).alias("line_no", "l"))
     empty = F.struct(F.lit(None).cast("double").alias("x1"), F.lit("").alias("text"))
     text = F.aggregate(F.array_sort("l.items"), empty, join)["text"]
-    return lines.select("page", F.col("line_no").cast("long").alias("line_no"), text.alias("text"))
+    return lines.select(*by, F.col("line_no").cast("long").alias("line_no"), text.alias("text"))
+
+
+def reading_order(spans: DataFrame, bins: int = 20) -> DataFrame:
+    """(page, two_columns, text): spans (page, width, y, x0, x1, text) as text, a left column in full before the right one.
+
+    Where column_split() finds a valley, a span belongs to the side of its middle; each side has lines of its own.
+    """
+    split = column_split(spans, bins).select(F.col("page").alias("of_page"), "two_columns", "valley_bin")
+    dealt = spans.join(split, spans["page"] == F.col("of_page"))
+    at = (F.col("valley_bin") + 0.5) / bins * F.col("width")
+    side = F.when(F.col("two_columns") & ((F.col("x0") + F.col("x1")) / 2 >= at), 1).otherwise(0)
+    lines = clustered_lines(dealt.withColumn("side", side), by=("page", "two_columns", "side"))
+    in_order = lambda rows: F.transform(F.array_sort(rows), lambda x: x["text"])
+    sides = lines.groupBy("page", "two_columns", "side").agg(F.array_join(in_order(F.collect_list(F.struct("line_no", "text"))), "\n").alias("text"))
+    return sides.groupBy("page", "two_columns").agg(F.array_join(in_order(F.collect_list(F.struct("side", "text"))), "\n\n").alias("text"))

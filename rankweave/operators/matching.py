@@ -287,3 +287,21 @@ def job_lines(jobs: Column) -> Column:
 def rich_row(p: dict[str, Column]) -> dict[str, Column]:
     """The list fields of an export row, cut to what readers need."""
     return {"skills": F.slice(distinct_words(p["skills"]), 1, 30), "work_lines": job_lines(p["jobs"]), "summary": said(F.left(p["summary"], F.lit(500)))}
+
+
+def rule_fields(p: dict[str, Column]) -> dict[str, Column]:
+    """What a hard filter on a field searches: certifications with licences, licences with both and all of education, skills with the summary."""
+    none = F.array().cast("array<string>")
+    listed = lambda c: F.coalesce(p[c], none)
+    school, summary = education_strings(p["education"], p["summary"]), F.array_compact(F.array(said(p["summary"])))
+    one = lambda c: F.array_compact(F.array(said(p[c])))
+    return {
+        "years": p["years"],
+        "notice": p["notice"],
+        "location": one("location"),
+        "certifications": F.concat(listed("certifications"), listed("licenses")),
+        "licenses": F.concat(listed("licenses"), listed("certifications"), school),
+        "skills": F.concat(listed("skills"), summary),
+        "education": school,
+        **{c: one(c) for c in ("name", "email", "phone", "summary") if c in p},
+    }

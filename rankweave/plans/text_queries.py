@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import tempfile
-
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import person
@@ -14,7 +13,7 @@ from rankweave.plans.catalog import query
 from rankweave.plans.ranking_queries import SQL_SCHOOL, sql_tokens
 from rankweave.sources import files
 from rankweave.sources.views import SQL_B, SQL_R, briefs, resumes, table
-from rankweave.streaming import progress
+from rankweave.streaming import batches, progress
 
 AS_OF = 2026
 
@@ -368,27 +367,80 @@ def progress_snapshot(spark, sf_dir):
     return progress.snapshot(p.withColumn("weight", weight))
 
 
-@query()
-def ema_rate(spark, sf_dir):
-    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("job"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
-    steps = e.groupBy("job", (F.col("us") / 3.6e9).cast("long").alias("hour")).agg(F.count("*").alias("n"))
-    from pyspark.sql import Window
+SQL_STEPS = """g AS (SELECT user_id % 5 AS job, CAST(round_even(epoch_us(ts) / 3.6e9 - 0.5, 0) AS BIGINT) AS hour, count(*) AS n FROM events GROUP BY ALL
+), st AS (SELECT job, hour, CAST(sum(n) OVER (PARTITION BY job ORDER BY hour) AS DOUBLE) AS done, row_number() OVER (PARTITION BY job ORDER BY hour) AS i FROM g
+), fold AS (SELECT job, i, hour, done, CAST(NULL AS DOUBLE) AS rate FROM st WHERE i = 1
+    UNION ALL SELECT st.job, st.i, st.hour, st.done, CASE WHEN fold.rate IS NULL THEN (st.done - fold.done) / ((st.hour - fold.hour) * 3600e0) ELSE 0.65e0 * fold.rate + (1 - 0.65e0) * ((st.done - fold.done) / ((st.hour - fold.hour) * 3600e0)) END
+    FROM fold JOIN st ON st.job = fold.job AND st.i = fold.i + 1
+), ends AS (SELECT job, i AS steps, floor(rate * 1e6 + 0.5) / 1e6 AS rate, done FROM fold QUALIFY row_number() OVER (PARTITION BY job ORDER BY i DESC) = 1)"""
+
 
+def _steps(spark, sf_dir):
+    """Work done by the end of each hour, per job."""
+    e = table(spark, sf_dir, "events").select((F.col("user_id") % 5).alias("job"), F.unix_micros(F.col("ts").cast("timestamp")).alias("us"))
+    steps = e.groupBy("job", F.floor(F.col("us") / 3.6e9).alias("hour")).agg(F.count("*").alias("n"))
     upto = Window.partitionBy("job").orderBy("hour").rowsBetween(Window.unboundedPreceding, 0)
-    steps = steps.select("job", (F.col("hour") * 3600.0).alias("t"), F.sum("n").over(upto).cast("double").alias("done"))
-    return progress.smoothed_rates(steps).select("job", "steps", (F.floor(F.col("rate") * 1e6 + 0.5) / 1e6).alias("rate"))
+    return steps.select("job", (F.col("hour") * 3600.0).alias("t"), F.sum("n").over(upto).cast("double").alias("done"))
+
+
+@query(f"WITH RECURSIVE {SQL_STEPS} SELECT job, steps, rate FROM ends")
+def ema_rate(spark, sf_dir):
+    return progress.smoothed_rates(_steps(spark, sf_dir)).select("job", "steps", (F.floor(F.col("rate") * 1e6 + 0.5) / 1e6).alias("rate"))
+
+
+@query(f"WITH RECURSIVE {SQL_STEPS} SELECT job, steps, rate, done FROM ends")
+def stream_rates(spark, sf_dir):
+    """The same by keyed state: the steps come as files, a quarter of the time each, in four batches."""
+    steps, folder = _steps(spark, sf_dir), files.shared_folder(spark, "rates")
+    first, last = steps.agg(F.min("t"), F.max("t")).first()
+    quarter = F.least(F.lit(3), F.floor((F.col("t") - (first or 0)) / (((last or 0) - (first or 0)) / 4 + 1)))
+    for k in range(4):
+        steps.where(quarter == k).coalesce(1).write.mode("append").parquet(f"{folder}/steps")
+    stream = spark.readStream.schema(steps.schema).option("maxFilesPerTrigger", 1).parquet(f"{folder}/steps")
+    progress.stream_to(progress.streamed_rates(stream), f"{folder}/rates", f"{folder}/checkpoint")
+    log = spark.read.option("basePath", f"{folder}/rates").parquet(f"{folder}/rates")
+    last = log.groupBy("job").agg(F.max_by(F.struct("steps", "rate", "done"), "batch").alias("x"))
+    return last.select("job", "x.steps", (F.floor(F.col("x.rate") * 1e6 + 0.5) / 1e6).alias("rate"), "x.done")
+
+
+@query("""WITH p AS (SELECT user_id % 5 AS job, CASE event_type WHEN 'view' THEN 1 WHEN 'click' THEN 2 ELSE 3 END AS place, count(*) FILTER (value > 50) AS done, count(*) AS n FROM events WHERE event_type IN ('view', 'click') GROUP BY ALL
+), q AS (SELECT * EXCLUDE (n), CASE WHEN place = 1 AND job = 0 THEN done ELSE n END AS total FROM p), q1 AS (SELECT *, CASE place WHEN 1 THEN 0.55e0 ELSE 0.45e0 END AS weight, CASE WHEN job = 1 THEN NULL ELSE done / 3600e0 END AS rate, least(1e0, done / total) AS share FROM q WHERE total > 0
+), f AS (SELECT job, sum(weight * share) AS reached, sum(weight) AS whole, min(CASE WHEN share < 1 THEN place END) AS place, sum(CASE WHEN done < total AND rate > 0 THEN (total - done) / rate END) AS remaining FROM q1 GROUP BY job)
+SELECT f.job, CASE WHEN f.place IS NULL THEN 100e0 ELSE floor(reached / whole * 100 * 10 + 0.5) / 10 END AS percent, CASE f.place WHEN 1 THEN 'view' WHEN 2 THEN 'click' END AS phase, q.done AS phase_done, q.total AS phase_total, coalesce(floor(100 * q.done / q.total * 10 + 0.5) / 10, 100) AS phase_percent, floor(remaining * 10 + 0.5) / 10 AS seconds_left
+FROM f LEFT JOIN q ON q.job = f.job AND q.place = f.place""")
+def progress_outlook(spark, sf_dir):
+    """Where each job stands, and how long it will take at the rates of its phases."""
+    e = table(spark, sf_dir, "events").where(F.col("event_type").isin("view", "click"))
+    p = e.groupBy((F.col("user_id") % 5).alias("job"), "event_type").agg(F.count_if(F.col("value") > 50).alias("done"), F.count("*").alias("total"))
+    first = F.col("event_type") == "view"
+    total = F.when(first & (F.col("job") == 0), F.col("done")).otherwise(F.col("total"))
+    p = p.withColumns({"total": total, "place": F.when(first, 1).otherwise(2), "phase": F.col("event_type"), "weight": F.when(first, 0.55).otherwise(0.45), "rate": F.when(F.col("job") != 1, F.col("done") / 3600.0)})
+    return progress.outlook(p)
+
+
+@query("SELECT user_id, count(*) AS n, max(event_id) AS last_event, arg_max(event_type, event_id) AS last_type, arg_max(value, event_id) FILTER (value > 50) AS last_large FROM events GROUP BY user_id")
+def stream_upsert(spark, sf_dir):
+    """A table per user kept by micro-batches of event files: a count that grows, and of the other columns the newest value that isn't null."""
+    events, folder = table(spark, sf_dir, "events").select("event_id", "user_id", "event_type", "value"), files.shared_folder(spark, "upsert")
+    events.repartition(6, "event_id").write.parquet(f"{folder}/events")
+    newest = F.col("last_event")
+
+    def change(batch):
+        large = F.when(F.col("value") > 50, F.struct("event_id", "value"))
+        return batch.groupBy("user_id").agg(F.count("*").alias("n"), F.max("event_id").alias("last_event"), F.max_by("event_type", "event_id").alias("last_type"), F.max(large).alias("large"))
+
+    batches.run(spark, f"{folder}/events", events.schema, change, f"{folder}/log", f"{folder}/checkpoint", files=2)
+    log = spark.read.option("basePath", f"{folder}/log").parquet(f"{folder}/log")
+    # The value of a large event is the newest by the event's own number, not by that of the user's last one.
+    found = batches.current(log.drop("large"), "user_id", newest, sums=("n",))
+    large = log.groupBy("user_id").agg(F.max("large")["value"].alias("last_large"))
+    return found.join(large, "user_id")
 
 
 @query("SELECT strftime(ts, '%Y-%m-%d') AS day, event_type, count(*) AS n FROM events GROUP BY ALL")
 def stream_daily_counts(spark, sf_dir):
-    name = f"daily_{abs(hash(sf_dir)) % 10**8}"
-    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if not base and not spark.sparkContext.master.startswith("local["):
-        raise ValueError("spark.checkpoint.dir must name a shared folder")
-    base = base or tempfile.gettempdir()
-    import uuid
-
-    return progress.daily_counts(spark, f"{sf_dir}/event[s].parquet", name, f"{base}/stream-{uuid.uuid4().hex}")
+    folder = files.shared_folder(spark, "daily")
+    return progress.daily_counts(spark, f"{sf_dir}/event[s].parquet", f"{folder}/counts", f"{folder}/checkpoint")
 
 
 def _spans(spark, sf_dir):
@@ -416,6 +468,20 @@ def line_cluster(spark, sf_dir):
     return layout.clustered_lines(_spans(spark, sf_dir))
 
 
+@query()
+def page_text(spark, sf_dir):
+    """Pages as text, left columns before right ones; eight orders make a page, the spans of every second page stand in two columns."""
+    return layout.reading_order(_pages(spark, sf_dir))
+
+
+def _pages(spark, sf_dir):
+    li = table(spark, sf_dir, "lineitem")
+    page = F.floor(F.col("l_orderkey") / 32)
+    x0 = F.when((page % 2 == 0) & (F.col("l_linenumber") % 2 == 0), 320.0).otherwise(40.0) + F.col("l_quantity")
+    y = (F.col("l_orderkey") % 32 * 7 + F.col("l_linenumber")) * 6.0
+    return li.select(page.alias("page"), y.alias("y"), x0.alias("x0"), (x0 + 100).alias("x1"), F.lit(600.0).alias("width"), F.concat_ws(" ", "l_partkey", "l_suppkey").alias("text"))
+
+
 @query("""SELECT doc_id % 3 AS kind, count(*) AS n FROM documents GROUP BY ALL""")
 def upload_names(spark, sf_dir):
     """File names made safe: their kinds, by what they were made of."""

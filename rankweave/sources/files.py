@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import io
 import re
+import tempfile
+import uuid
 import zipfile
 from collections.abc import Iterator
 from xml.etree import ElementTree
@@ -12,6 +14,11 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rankweave.functions import text as T
+from rankweave.operators.layout import with_sections
+
+#: Sections that count for a text's quality.
+HITS = ("summary", "experience", "education", "skills", "certifications")
 #: Fixed values.
 SUPPORTED = (".pdf", ".docx", ".doc", ".txt", ".rtf")
 WORD = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
@@ -83,3 +90,39 @@ def texts(files: DataFrame) -> DataFrame:
     word = F.pandas_udf(lambda batch: batch.map(word_text), "string")
     kind = F.lower(F.regexp_extract("name", r"(\.[^./]+)$", 1))
     return files.select("path", "name", F.when(kind == ".docx", word(F.col("content"))).when(kind == ".txt", decoded(F.col("content"))).alias("text"))
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A folder of its own below the one that driver and executors share; a temporary one only where none is set and Spark runs in one process."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir")
+    if not base and (spark.sparkContext.master.startswith("local-cluster") or not spark.sparkContext.master.startswith("local")):
+        raise ValueError("spark.checkpoint.dir must name a shared folder")
+    return f"{base or tempfile.gettempdir()}/{name}-{uuid.uuid4().hex}"
+
+
+def documents(listing: DataFrame, stored: DataFrame) -> DataFrame:
+    """One row per document of a folder or the store, with text, sections, quality and where the text is from.
+
+    listing: path, name, modified, length, text of the files that are there. stored: path, modified, length, text of earlier
+    reads. A file that hasn't changed keeps its stored text; a new or changed one gives its own; one that is gone its stored
+    text with medium quality at best; a row without either is empty, of low quality.
+    """
+    new = listing.select(F.col("path").alias("n_path"), "name", F.col("modified").alias("n_modified"), F.col("length").alias("n_length"), F.col("text").alias("n_text"))
+    both = new.join(stored, F.col("n_path") == stored["path"], "full")
+    there, known = F.col("n_path").isNotNull(), F.coalesce(F.col("text"), F.lit("")) != ""
+    same = there & F.col("path").isNotNull() & (F.col("n_modified") == F.col("modified")) & (F.col("n_length") == F.col("length"))
+    method = F.when(F.coalesce(same, F.lit(False)) & known, "cached").when(there, "read").when(known, "cached_text")
+    path = F.coalesce("n_path", "path")
+    chosen = both.select(
+        path.alias("path"),
+        F.coalesce("name", F.regexp_extract(path, r"([^/]*)$", 1)).alias("name"),
+        method.alias("method"),
+        F.coalesce(F.when(method == "read", F.col("n_text")).when(method.isNotNull(), F.col("text")), F.lit("")).alias("text"),
+        F.when(there, F.col("n_modified")).otherwise(F.col("modified")).alias("modified"),
+        F.when(there, F.col("n_length")).otherwise(F.col("length")).alias("length"),
+    )
+    chosen = chosen.withColumn("text", T.clean(F.col("text")))
+    cut = with_sections(chosen, "text").withColumn("section_hits", F.filter(F.transform("parts", lambda p: F.when(p["body"] != "", p["section"])), lambda s: s.isin(*HITS)))
+    graded = cut.withColumn("quality", T.quality_grade(F.col("text"), F.size("section_hits")))
+    held = F.when(F.col("method") == "cached_text", F.when(F.col("quality") == "high", "medium").otherwise(F.col("quality"))).otherwise(F.col("quality"))
+    return graded.withColumns({"quality": held, "text_chars": F.length(F.regexp_replace("text", r"\s", ""))})
