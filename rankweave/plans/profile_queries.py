@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from rankweave.functions import person
-from rankweave.operators import layout, matching, names, ranking, report
+from rankweave.operators import matching, ranking, report
 from rankweave.plans.catalog import query
 from rankweave.plans.ranking_queries import SQL_RANKED
 from rankweave.sources.views import SQL_R, SQL_S, resumes, scores, table
@@ -14,7 +14,7 @@ from rankweave.sources.views import SQL_R, SQL_S, resumes, scores, table
 PROFILES = """
 SELECT resume_id, job_id, filename, raw_text,
     CASE WHEN resume_id % 11 = 0 THEN '' WHEN resume_id % 13 = 0 THEN 'Python SQL 2020' ELSE split_part(raw_text, chr(10), 1) END AS name,
-    CASE WHEN resume_id % 6 = 0 THEN '' WHEN resume_id % 17 = 0 THEN 'X1' ELSE 'Pune' END AS location,
+    CASE WHEN resume_id % 6 = 0 THEN '' WHEN resume_id % 17 = 0 THEN 'HTML, CSS' ELSE 'Pune' END AS location,
     CASE WHEN resume_id % 3 = 0 THEN '' ELSE concat('Works in unit ', resume_id % 25) END AS summary,
     (resume_id % 40) / 2e0 AS years,
     CASE resume_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Python' WHEN 2 THEN 'Python, SQL ,' ELSE 'Sales,CRM,Excel,Python,SQL' END AS skills_text,
@@ -159,7 +159,7 @@ def merge_ranks(spark, sf_dir):
 _GRADED = ["resume_id % 10 <> 1 AS used", "CASE resume_id % 8 WHEN 0 THEN 'a,b,c' WHEN 1 THEN 'a' ELSE '' END AS issues_text"]
 
 
-@query(f"""WITH {SQL_P}, g AS (SELECT *, {', '.join(_GRADED)}, name = '' AS no_name, name <> '' AND name LIKE '%0%' AS bad_name, location = 'X1' AS bad_place, sure_2 = 'low' AS unsure FROM p
+@query(f"""WITH {SQL_P}, g AS (SELECT *, {', '.join(_GRADED)}, name = '' AS no_name, name <> '' AND name LIKE '%0%' AS bad_name, location = 'HTML, CSS' AS bad_place, sure_2 = 'low' AS unsure FROM p
 ), h AS (SELECT *, CASE WHEN NOT used OR quality = 'low' OR issues_text = 'a,b,c' THEN 'low' WHEN (sure_1 = 'high')::INT + (sure_2 = 'high')::INT + 1 >= 3 AND quality = 'high' THEN 'high' ELSE 'medium' END AS base FROM g)
 SELECT resume_id, CASE WHEN no_name OR bad_name OR bad_place THEN 'low' ELSE base END AS overall, (no_name OR bad_name)::INT + bad_place::INT + unsure::INT + len({_sql_items("issues_text")}) AS n_warnings,
     CASE WHEN no_name OR bad_name THEN 'low' ELSE 'high' END AS name_sure, CASE WHEN bad_place THEN 'low' END AS place_sure FROM h""")
@@ -168,16 +168,10 @@ def extraction_grade(spark, sf_dir):
     p = _profiles(spark, sf_dir).selectExpr("*", *_GRADED)
     sure = F.create_map(F.lit("name"), F.lit("high"), F.lit("email"), F.col("sure_1"), F.lit("total_years_experience"), F.col("sure_2"))
     issues = F.filter(F.split("issues_text", ","), lambda x: x != "")
-    g = matching.extraction_grade(sure, F.col("quality"), F.col("used"), issues, F.col("name"), names.plausible(F.col("name")), F.col("location"), ~F.col("location").rlike("[0-9]"))
+    g = matching.extraction_grade(sure, F.col("quality"), F.col("used"), issues, F.col("name"), person.plausible_person(F.col("name")), F.col("location"), person.plausible_place(F.col("location")))
     return p.select("resume_id", g.alias("g")).select("resume_id", "g.overall", F.size("g.warnings").alias("n_warnings"), F.col("g.confidence")["name"].alias("name_sure"), F.col("g.confidence")["location"].alias("place_sure"))
 
 
-@query(f"WITH {SQL_R} SELECT resume_id, 'experience+education+skills' AS hits FROM r")
-def section_hits(spark, sf_dir):
-    found = matching.section_hits(layout.sections(resumes(spark, sf_dir)), "resume_id")
-    return found.select("resume_id", F.array_join("hits", "+").alias("hits"))
-
-
 @query(f"""WITH {SQL_P} SELECT resume_id, CASE WHEN s < 60 THEN s || 's' WHEN s < 3600 THEN (s // 60) || 'm' || CASE WHEN s % 60 > 0 THEN ' ' || (s % 60) || 's' ELSE '' END
     ELSE (s // 3600) || 'h' || CASE WHEN (s // 60) % 60 > 0 THEN ' ' || ((s // 60) % 60) || 'm' ELSE '' END END AS took,
     CASE resume_id % 4 WHEN 0 THEN '—' WHEN 1 THEN 'Python' WHEN 2 THEN 'Python, SQL' ELSE 'Sales, CRM, Excel (+2 more)' END AS skills,

@@ -86,13 +86,18 @@ def blend_scores(spark, sf_dir):
     return scores(spark, sf_dir).select("resume_id", F.when(F.col("hard_filter_pass") == 0, 0.0).otherwise(blended).alias("final_score"))
 
 
-@query("""SELECT id, CASE WHEN t > 0 THEN floor(a / t * 1000000 + 0.5) / 1000000 ELSE 0.2 END AS ats, CASE WHEN t > 0 THEN floor(e / t * 1000000 + 0.5) / 1000000 ELSE 0.3 END AS embed,
+#: Weights as texts, by order: numbers, zeros, words and negative ones.
+_WEIGHTS = {c: f"CASE o_orderkey % {k} WHEN 0 THEN '0' WHEN 1 THEN '{w}' WHEN 2 THEN '-0.5' ELSE concat('', o_orderkey % 11) END" for c, k, w in (("a", 5, "x"), ("e", 7, "1e1"), ("m", 6, ""))}
+
+
+@query(f"""SELECT o_orderkey, CASE WHEN t > 0 THEN floor(a / t * 1000000 + 0.5) / 1000000 ELSE 0.2 END AS ats, CASE WHEN t > 0 THEN floor(e / t * 1000000 + 0.5) / 1000000 ELSE 0.3 END AS embed,
     CASE WHEN t > 0 THEN floor(m / t * 1000000 + 0.5) / 1000000 ELSE 0.5 END AS llm
-FROM (SELECT *, a + e + m AS t FROM (SELECT CAST(id AS BIGINT) AS id, TRY_CAST(a AS DOUBLE) AS a, TRY_CAST(e AS DOUBLE) AS e, TRY_CAST(m AS DOUBLE) AS m FROM (VALUES (1, '1', '1', '2'), (2, '0', '0', '0'), (3, 'x', '1', '1'), (4, '0.2', '0.3', '0.5'), (5, '-1', '0', '0')) AS w(id, a, e, m)))""")
+FROM (SELECT *, a + e + m AS t FROM (SELECT o_orderkey, {", ".join(f"TRY_CAST({w} AS DOUBLE) AS {c}" for c, w in _WEIGHTS.items())} FROM orders))""")
 def weights_normalize(spark, sf_dir):
-    w = spark.createDataFrame([(1, "1", "1", "2"), (2, "0", "0", "0"), (3, "x", "1", "1"), (4, "0.2", "0.3", "0.5"), (5, "-1", "0", "0")], "id long, a string, e string, m string")
+    """Weights of the three scores made to add up to 1; the usual ones where they can't be read or don't add up to anything."""
+    w = table(spark, sf_dir, "orders").select("o_orderkey", *(F.expr(x).alias(c) for c, x in _WEIGHTS.items()))
     ats, embed, llm = scoring.normal_weights(F.col("a"), F.col("e"), F.col("m"))
-    return w.select("id", ats.alias("ats"), embed.alias("embed"), llm.alias("llm"))
+    return w.select("o_orderkey", ats.alias("ats"), embed.alias("embed"), llm.alias("llm"))
 
 
 def _sql_cascade(least: int) -> str:

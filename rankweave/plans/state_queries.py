@@ -156,3 +156,21 @@ def rule_messages(spark, sf_dir):
     fields = M.rule_fields(P._fields() | {"notice": F.col("notice")})
     told = p.select("resume_id", rules.explained(_RULES, fields).alias("r"))
     return told.select("resume_id", *(F.col("r")[i]["reason"].alias(n) for i, n in enumerate(("years", "notice", "location", "unreadable"))), F.size(F.col("r")[2]["actual"]).alias("n_seen"))
+
+
+@query(rf"""WITH {SQL_R} SELECT resume_id, concat_ws('+', CASE WHEN resume_id % 60 <> 0 THEN 'experience' END, CASE WHEN resume_id % 31 <> 0 THEN 'education' END, 'skills') AS hits FROM r""")
+def section_hits(spark, sf_dir):
+    """Sections that hold text, of résumés some of whose sections are empty."""
+    found = M.section_hits(layout.sections(spark.sql(LONG, resumes=resumes(spark, sf_dir))), "resume_id")
+    return found.select("resume_id", F.array_join("hits", "+").alias("hits"))
+
+
+@query(f"""WITH {SQL_PACK} SELECT count(*) AS total, count(*) FILTER (hard_filter_pass = 1) AS scored, count(*) FILTER (shortlisted) AS shortlisted, count(*) FILTER (final_score IS NOT NULL AND hard_filter_pass = 0) AS rejected, count(*) FILTER (final_score IS NULL) AS failed,
+    count(*) FILTER (duplicate) AS duplicates, coalesce(max(final_score), 0) AS top_score FROM x""")
+def ui_figures(spark, sf_dir):
+    """The figures over all jobs that a start page shows."""
+    rows, yes = _pack_rows(spark, sf_dir), lambda c: F.count_if(F.coalesce(c, F.lit(False)))
+    return rows.agg(
+        F.count("*").alias("total"), yes(F.col("hard_filter_pass") == 1).alias("scored"), yes(F.col("shortlisted")).alias("shortlisted"), yes(F.col("status") == "rejected").alias("rejected"), yes(F.col("status") == "failed").alias("failed"),
+        yes(F.col("is_duplicate")).alias("duplicates"), F.coalesce(F.max("final_score"), F.lit(0.0)).alias("top_score"),
+    )

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
@@ -54,17 +56,26 @@ def section_split(spark, sf_dir):
     return layout.sections(resumes(spark, sf_dir))
 
 
-@query("SELECT count(*) AS texts, count(*) AS bodies, count(*) AS headers FROM documents")
+@query("""WITH t AS (SELECT doc_id, 'x ' || replace(coalesce(text, ''), chr(10), chr(10) || 'x ') AS t FROM documents)
+SELECT doc_id, 'full' AS section, md5(t) AS body FROM t UNION ALL SELECT doc_id, 'body', md5(t) FROM t UNION ALL SELECT doc_id, 'header', md5(array_to_string(string_split(t, chr(10))[1:25], chr(10))) FROM t""")
 def sections_without_headings(spark, sf_dir):
     """Texts without any heading have their first lines as header and all of them as body."""
-    plain = table(spark, sf_dir, "documents").select(F.monotonically_increasing_id().alias("resume_id"), F.regexp_replace(F.concat(F.lit("x "), F.coalesce("text", F.lit(""))), "\n", "\nx ").alias("raw_text"))
-    found = layout.sections(plain)
-    return found.agg(F.count_if(F.col("section") == "full").alias("texts"), F.count_if(F.col("section") == "body").alias("bodies"), F.count_if(F.col("section") == "header").alias("headers"))
+    plain = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("x "), F.coalesce("text", F.lit(""))), "\n", "\nx ").alias("raw_text"))
+    return layout.sections(plain, "doc_id").select("doc_id", "section", F.md5(F.col("body").cast("binary")).alias("body"))
+
+
+_GRADED = "CASE doc_id % 3 WHEN 0 THEN text WHEN 1 THEN concat('Summary', chr(10), text, chr(10), 'Skills: many') ELSE concat('Education', chr(10), text) END"
 
 
-@query("SELECT doc_id, CASE WHEN n < 80 THEN 'low' WHEN n >= 200 THEN 'medium' ELSE 'low' END AS grade FROM (SELECT doc_id, length(regexp_replace(text, '[ \\t\\n\\r]', '', 'g')) AS n FROM documents)")
+@query(rf"""WITH t AS (SELECT doc_id, {_GRADED} AS t, doc_id % 3 AS k FROM (SELECT doc_id, 'x ' || replace(coalesce(text, ''), chr(10), chr(10) || 'x ') AS text FROM documents)), n AS (SELECT doc_id, length(regexp_replace(t, '[ 	
+]', '', 'g')) AS n, CASE k WHEN 0 THEN 0 WHEN 1 THEN 2 ELSE 1 END AS s FROM t)
+SELECT doc_id, CASE WHEN n < 80 THEN 'low' WHEN n >= 400 AND s >= 2 THEN 'high' WHEN n >= 200 OR s >= 1 THEN 'medium' ELSE 'low' END AS grade FROM n""")
 def text_quality(spark, sf_dir):
-    return table(spark, sf_dir, "documents").select("doc_id", T.quality_grade(F.col("text"), F.lit(0)).alias("grade"))
+    """Grades by length and by the sections found, of texts with none, one and two headings."""
+    plain = table(spark, sf_dir, "documents").select("doc_id", F.regexp_replace(F.concat(F.lit("x "), F.coalesce("text", F.lit(""))), "\n", "\nx ").alias("text"))
+    cut = layout.with_sections(plain.select("doc_id", F.expr(_GRADED).alias("text")), "text")
+    hits = F.filter("parts", lambda p: p["section"].isin(*files.HITS) & (p["body"] != ""))
+    return cut.select("doc_id", T.quality_grade(F.col("text"), F.size(hits)).alias("grade"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(text, '[ \t\n\r]', '', 'g')) AS n_chars_solid, len(l) AS n_lines, len(list_filter(l[1:40], lambda x: length(x) < 30)) AS short_lines,
@@ -154,20 +165,23 @@ def years_ranges(spark, sf_dir):
     return resumes(spark, sf_dir).select("resume_id", T.range_years(F.col("raw_text"), AS_OF).alias("years"))
 
 
-SKILLS = ["Python", "SQL", "Excel", "CRM", "Java", "Spring Boot", "AWS", "React", "TypeScript", "CSS", "SAP"]
-CERTIFICATES = ["AWS Certified", "PMP", "ITIL", "CISSP", "Snowflake", "Databricks"]
+def _sql_skill(skill: str) -> str:
+    return re.escape(skill).replace("\\ ", " ").replace("'", "''")
 
 
-@query("WITH " + SQL_R + ", k(skill) AS (VALUES " + ", ".join(f"('{s}')" for s in SKILLS) + ") SELECT skill, count(*) AS n FROM r JOIN k ON regexp_matches(' ' || raw_text || ' ', '(?i)[^a-z0-9]' || skill || '[^a-z0-9]') GROUP BY skill")
+@query("WITH " + SQL_R + ", k(skill, form) AS (VALUES " + ", ".join(f"('{s}', '{_sql_skill(s)}')" for s in person.SKILLS) + ") SELECT skill, count(*) AS n FROM r JOIN k ON regexp_matches(' ' || raw_text || ' ', '(?i)[^a-z0-9]' || form || '[^a-z0-9]') GROUP BY skill")
 def skills_lexicon(spark, sf_dir):
-    found = F.array(*(F.when(F.col("raw_text").rlike(rf"(?i)(?<![a-z0-9]){s}(?![a-z0-9])"), F.lit(s)) for s in SKILLS))
-    return resumes(spark, sf_dir).select(F.explode(F.array_compact(found)).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+    """How many résumés name each skill of the list."""
+    return resumes(spark, sf_dir).select(F.explode(T.skills_in(F.col("raw_text"), person.SKILLS)).alias("skill")).groupBy("skill").agg(F.count("*").alias("n"))
+
+
+_CERTIFIED = "concat(coalesce(text, ''), ' ', " + "CASE doc_id % 27 " + " ".join(f"WHEN {i} THEN '{c.upper() if i % 2 else c}'" for i, c in enumerate(T.CERTIFICATES)) + " ELSE '' END)"
 
 
-@query("SELECT doc_id, " + " + ".join(f"CAST(contains(lower(text), '{c.lower()}') AS INTEGER)" for c in CERTIFICATES) + " AS n FROM documents")
+@query(f"WITH t AS (SELECT doc_id, lower({_CERTIFIED}) AS t FROM documents) SELECT doc_id, array_to_string(list_filter([" + ", ".join(f"CASE WHEN contains(t, '{c.lower()}') THEN '{c}' END" for c in sorted(T.CERTIFICATES, key=len, reverse=True)) + "], lambda x: x IS NOT NULL), '; ') AS found FROM t")
 def cert_lexicon(spark, sf_dir):
-    n = sum((F.lower("text").contains(c.lower()).cast("int") for c in CERTIFICATES), F.lit(0))
-    return table(spark, sf_dir, "documents").select("doc_id", n.alias("n"))
+    """The certificates that each text names."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(T.certificates_in(F.expr(_CERTIFIED)), "; ").alias("found"))
 
 
 @query("SELECT doc_id, md5(regexp_replace(replace(lower(strip_accents(text)), '&', 'and'), '[^a-z0-9]+', '', 'g')) AS strict, md5(trim(regexp_replace(regexp_replace(lower(strip_accents(trim(text))), '[.\\-_/]+', ' ', 'g'), '[ \\t\\n\\r]+', ' ', 'g'))) AS loose FROM (SELECT doc_id, replace(text, 'ß', '') AS text FROM documents)")
@@ -250,12 +264,12 @@ SQL_STUDENT = " OR ".join(f"contains(t, '{w}')" for w in profile.STUDENT)
 SQL_CLAIM = " OR ".join(f"contains(t, '{w}')" for w in profile.EXPERIENCED)
 
 
-@query(f"SELECT doc_id, ({SQL_STUDENT}) AND NOT ({SQL_CLAIM}) AS student, NOT (t IN ('', '-', 'n/a')) AND NOT contains(t, 'master') AS job FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'final year pupil' WHEN 1 THEN 'fresher, 2 years of experience' WHEN 2 THEN '-' WHEN 3 THEN 'scrum master' ELSE lower(text[1:2000]) || ' batch of ' || doc_id END AS t FROM (SELECT doc_id, regexp_replace(text, '(?i)master|bachelor|b.tech|btech|m.tech|university|institute of|high school|class xii|class 12', '', 'g') AS text FROM documents))")
+@query(f"SELECT doc_id, ({SQL_STUDENT}) AND NOT ({SQL_CLAIM}) AS student, NOT (t IN ('', '-', 'n/a')) AND NOT contains(t, 'master') AS job FROM (SELECT doc_id, CASE doc_id % 5 WHEN 0 THEN 'final year pupil' WHEN 1 THEN 'fresher, 2 years of experience' WHEN 2 THEN '-' WHEN 3 THEN 'scrum master' ELSE lower(text) || ' batch of ' || doc_id END AS t FROM (SELECT doc_id, regexp_replace(text, '(?i)master|bachelor|b.tech|btech|m.tech|university|institute of|high school|class xii|class 12', '', 'g') AS text FROM documents))")
 def student_and_jobs(spark, sf_dir):
     """Signs of students in texts, and entries that are jobs, over forms of each kind."""
     bare = F.regexp_replace("text", "(?i)master|bachelor|b.tech|btech|m.tech|university|institute of|high school|class xii|class 12", "")
     k = F.col("doc_id") % 5
-    t = F.when(k == 0, "Final year pupil").when(k == 1, "Fresher, 2 years of experience").when(k == 2, "-").when(k == 3, "Scrum Master").otherwise(F.concat(F.substring(bare, 1, 2000), F.lit(" batch of "), F.col("doc_id")))
+    t = F.when(k == 0, "Final year pupil").when(k == 1, "Fresher, 2 years of experience").when(k == 2, "-").when(k == 3, "Scrum Master").otherwise(F.concat(bare, F.lit(" batch of "), F.col("doc_id")))
     return table(spark, sf_dir, "documents").select("doc_id", profile.student(t).alias("student"), profile.real_job(t, F.lit("n/a")).alias("job"))
 
 
@@ -308,18 +322,22 @@ def years_two_pass(spark, sf_dir):
     return r.join(worked, "resume_id", "left").select("resume_id", found.alias("y")).select("resume_id", "y.*")
 
 
+#: Texts as briefs, with a line of what is asked for in two of three.
+ASKED = "concat(coalesce(text, ''), chr(10), CASE doc_id % 3 WHEN 0 THEN '' WHEN 1 THEN '- Senior nurse in Pune, 3+ years of experience' ELSE 'Required: python, sql and excel; degree preferred, remote' END)"
 SQL_CHECKS = ", ".join(rf"regexp_matches(t, '{p}') AS {k}" for k, p in B.CHECKS.items())
 
 
-@query(rf"""WITH {SQL_B}, c AS (SELECT job_id, t, {SQL_CHECKS} FROM (SELECT job_id, hiring_prompt AS t FROM b)), n AS (SELECT *, {" + ".join(f"CAST({k} AS BIGINT)" for k in B.CHECKS)} AS n FROM c)
-SELECT job_id, {", ".join(B.CHECKS)}, CASE WHEN length(trim(t)) >= 80 THEN n * 20 ELSE least(n * 20, 40) END AS score, length(trim(t)) >= 80 AND n >= 3 AS ready FROM n""")
+@query(rf"""WITH c AS (SELECT doc_id, t, {SQL_CHECKS} FROM (SELECT doc_id, {ASKED} AS t FROM documents)), n AS (SELECT *, {" + ".join(f"CAST({k} AS BIGINT)" for k in B.CHECKS)} AS n FROM c)
+SELECT doc_id, {", ".join(B.CHECKS)}, CASE WHEN length(trim(t)) >= 80 THEN n * 20 ELSE least(n * 20, 40) END AS score, length(trim(t)) >= 80 AND n >= 3 AS ready FROM n""")
 def brief_checklist(spark, sf_dir):
-    return briefs(spark).select("job_id", *(c.alias(k) for k, c in B.checklist(F.col("hiring_prompt")).items()))
+    """What briefs lack: the texts of all documents, some with what a brief should hold."""
+    return table(spark, sf_dir, "documents").select("doc_id", *(c.alias(k) for k, c in B.checklist(F.expr(ASKED)).items()))
 
 
 @query()
 def brief_points(spark, sf_dir):
-    return briefs(spark).select("job_id", F.posexplode(B.points(F.col("hiring_prompt"))).alias("place", "point"))
+    """The points that the same texts ask for."""
+    return table(spark, sf_dir, "documents").select("doc_id", F.posexplode(B.points(F.expr(ASKED))).alias("place", "point"))
 
 
 @query()
@@ -482,12 +500,12 @@ def _pages(spark, sf_dir):
     return li.select(page.alias("page"), y.alias("y"), x0.alias("x0"), (x0 + 100).alias("x1"), F.lit(600.0).alias("width"), F.concat_ws(" ", "l_partkey", "l_suppkey").alias("text"))
 
 
-@query("""SELECT doc_id % 3 AS kind, count(*) AS n FROM documents GROUP BY ALL""")
+@query(r"""SELECT doc_id, regexp_replace(regexp_extract('a/b\c:d' || left(coalesce(text, ''), 30) || '.TXT', '([^/\\]*)$', 1), '[^\p{L}\p{N}._\- ()\[\]]', '_', 'g') AS name, doc_id % 4 <> 0 AS ok FROM documents""")
 def upload_names(spark, sf_dir):
-    """File names made safe: their kinds, by what they were made of."""
-    name = F.concat(F.lit("a/b\\c:d"), F.col("doc_id") % 3, F.lit(".TXT"))
-    made = table(spark, sf_dir, "documents").select(files.safe_name(name).alias("name"), files.supported(name).alias("ok"))
-    return made.where("ok").select(F.regexp_extract("name", "([0-9])[.]TXT$", 1).cast("long").alias("kind")).groupBy("kind").agg(F.count("*").alias("n"))
+    """File names made safe, and whether their kind is one that is read."""
+    name = F.concat(F.lit("a/b\\c:d"), F.left(F.coalesce("text", F.lit("")), F.lit(30)), F.lit(".TXT"))
+    kind = F.when(F.col("doc_id") % 4 == 0, F.concat(name, F.lit(".exe"))).otherwise(name)
+    return table(spark, sf_dir, "documents").select("doc_id", files.safe_name(name).alias("name"), files.supported(kind).alias("ok"))
 
 
 @query("""SELECT doc_id, md5(CASE WHEN doc_id % 2 = 0 THEN text ELSE 'caf' || chr(233) || ' ' || doc_id END) AS text FROM documents""")

@@ -29,8 +29,8 @@ def supported(path: Column) -> Column:
 
 
 def safe_name(name: Column) -> Column:
-    """A file name of letters, digits and ._- ()[] only."""
-    return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^A-Za-z0-9._\- ()\[\]]", "_")
+    """A file name of letters and digits of any script and ._- ()[] only."""
+    return F.regexp_replace(F.regexp_extract(name, r"([^/\\]*)$", 1), r"[^\p{L}\p{N}._\- ()\[\]]", "_")
 
 
 def decoded(content: Column) -> Column:
