@@ -407,22 +407,27 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return np.stack(out)
 
 
-def likely_pairs(x, y, least: tuple[int, int], first_only: bool) -> np.ndarray:
+def likely_pairs(x, y, least: tuple[int, int], look: str) -> np.ndarray:
     """(a, b, low) of the pairs of rows of two blocks that may link and are in different components.
 
-    A block is (node, n, component, sketches). With first_only, both are the same block and each row meets only those that follow it.
+    A block is (node, n, component, sketches). In the look "next" both are the same block, and each row meets only those that
+    follow it. In the look "nearest" a row outside of the commonest component gives its nearest partner only.
     """
     out = [np.zeros((0, 3), np.int64)]
     width = min(x[3].shape[1], y[3].shape[1])
     sx, sy = (np.bitwise_xor.reduce(z[3].reshape(len(z[3]), -1, width), axis=1) for z in (x, y))
 
-    def add(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
+    def add(i: np.ndarray, j: np.ndarray, apart: np.ndarray, far_row: np.ndarray | None = None) -> None:
         low, may = least_distance(x[1][i], y[1][j], apart, least)
         may &= x[2][i] != y[2][j]
-        a, b = x[0][i][may], y[0][j][may]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), low[may]], axis=1))
-
-    if first_only:
+        at = np.flatnonzero(may)
+        if look == "nearest":
+            at = at[np.lexsort((low[at], far_row[at]))]
+            at = at[np.diff(far_row[at], prepend=-1) != 0]
+        a, b = x[0][i][at], y[0][j][at]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), low[at]], axis=1))
+
+    if look == "next":
         for k in range(1, min(PARTNERS, len(sx) - 1) + 1):
             i = np.arange(len(sx) - k)
             add(i, i + k, np.bitwise_count(sx[:-k] ^ sx[k:]).sum(1, dtype=np.int64))
@@ -438,7 +443,7 @@ def likely_pairs(x, y, least: tuple[int, int], first_only: bool) -> np.ndarray:
             good = u[2][i] != v[2][j]
             i, j = i[good], j[good]
             apart = np.bitwise_count(p[i] ^ q[j]).sum(1, dtype=np.int64)
-            add(*((i, j) if u is x else (j, i)), apart)
+            add(*((i, j) if u is x else (j, i)), apart, i)
         if x is y:
             break
     return np.unique(np.concatenate(out), axis=0)
@@ -455,8 +460,9 @@ def likeliest(pairs: np.ndarray) -> np.ndarray:
 LIKELY = "a long, b long, low long, group long, block int, nodes binary, sizes binary, components binary, sketches binary"
 
 
-def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_only: bool) -> DataFrame:
-    """(a, b, low): pairs of different components within large groups of rows (node, n, set, sketch, component) that may link."""
+def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], look: str) -> DataFrame:
+    """(a, b, low): pairs of different components within large groups of rows (node, n, set, sketch, component) that may link: those of likely_pairs()."""
+    first_only = look == "next"
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def some(rows: list[int], keys: list[np.ndarray], batch: pa.RecordBatch, sketches: pa.Array) -> pa.RecordBatch:
@@ -505,7 +511,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
             nonlocal n_found
             x = block_of(pa.concat_tables(held))
             if len(np.unique(x[2])) > 1:
-                found.append(likely_pairs(x, x, least, first_only))
+                found.append(likely_pairs(x, x, least, look))
                 n_found += len(found[-1])
             return x
 
@@ -557,7 +563,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
                 for side in ("_a", "_b"):
                     x = [np.frombuffer(batch.column(c + side)[i].as_py(), np.uint64 if c == "sketches" else np.int64) for c in ("nodes", "sizes", "components", "sketches")]
                     sides.append((*x[:3], x[3].reshape(len(x[0]), -1)))
-                yield row(likely_pairs(*sides, least, False)).select(["a", "b", "low"])
+                yield row(likely_pairs(*sides, least, look)).select(["a", "b", "low"])
 
     met = one.join(two, "group").where("block_a < block_b").mapInArrow(across, "a long, b long, low long")
     return dealt.where("a IS NOT NULL").select("a", "b", "low").unionByName(met)
@@ -599,7 +605,8 @@ def links_of(nodes: DataFrame, hot, parts: int, least: tuple[int, int]) -> DataF
     # Of a large group only the hub's pairs are known: a group that still holds several components is looked into.
     stars = written(pairs.where("star").select("a", "b").distinct())
     dropped(pairs)
-    for first_only in (True, False):
+    # Likely partners first: what they join needn't be compared in full.
+    for look in ("next", "nearest", "all"):
         split = written(apart(stars, joined).select("a", "b", "of_a"))
         # The components of such hubs, and the documents apart from them, hold all of these groups.
         own = joined.select("node", "component")
@@ -607,8 +614,8 @@ def links_of(nodes: DataFrame, hot, parts: int, least: tuple[int, int]) -> DataF
         there = placed.join(split.select(F.col("of_a").alias("component")).distinct(), "component", "left_semi").select("node").unionByName(split.select(F.col("b").alias("node"))).distinct()
         rows = written(nodes.join(there, "node", "left_semi").join(placed, "node"))
         dropped(split)
-        found = second_look(rows, hot, parts, least, first_only)
-        if first_only:
+        found = second_look(rows, hot, parts, least, look)
+        if look != "all":
             # Each document's likeliest partner.
             found = found.select(F.explode(F.expr("array(struct(a AS me, a, b, low), struct(b AS me, a, b, low))")).alias("x")).select("x.*").groupBy("me").agg(F.min_by(F.struct("a", "b"), F.struct("low", "a", "b")).alias("x")).select("x.*")
         last = verified(bounded(found.select("a", "b").distinct(), rows, least), rows, least)
