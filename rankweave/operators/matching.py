@@ -305,3 +305,36 @@ def rule_fields(p: dict[str, Column]) -> dict[str, Column]:
         "education": school,
         **{c: one(c) for c in ("name", "email", "phone", "summary") if c in p},
     }
+
+
+def decoded_json(text: Column, schema: str, default: Column | None = None) -> Column:
+    """A stored JSON text as a value; the default, null if none is given, where it is missing or can't be read."""
+    kept = F.from_json(text, schema, {"mode": "PERMISSIVE"})
+    good = F.try_parse_json(text).isNotNull()
+    return F.coalesce(F.when(good, kept), F.lit(None) if default is None else default)
+
+
+def public_part(profile: Column) -> Column:
+    """A profile, a map from field to value, without the fields that begin with an underscore."""
+    return F.map_filter(profile, lambda k, _: ~k.startswith("_"))
+
+
+def quality_signals(text: Column, parts: Column, phone: Column, email: Column) -> Column:
+    """struct of what tells whether a text was read well: characters, sections found, contacts, short lines among the first 40, mean length of the first 50, lines.
+
+    parts: the sections of with_sections(); phone and email: those of the first 2,500 characters, a limit of the feature.
+    """
+    lines = F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), "\n"), strip), lambda x: x != "")
+    n = F.size(lines)
+    short = F.size(F.filter(F.slice(lines, 1, 40), lambda x: F.length(x) < 12))
+    total = F.aggregate(F.slice(lines, 1, 50), F.lit(0), lambda s, x: s + F.length(x))
+    hits = F.filter(F.transform(parts, lambda p: F.when(p["body"] != "", p["section"])), lambda s: ~s.isin("header", "body", "full"))
+    return F.struct(
+        F.length(F.regexp_replace(F.coalesce(text, F.lit("")), r"\s", "")).cast("long").alias("chars"),
+        F.size(hits).cast("long").alias("section_count"),
+        email.isNotNull().alias("has_email"),
+        phone.isNotNull().alias("has_phone"),
+        (short / F.greatest(F.least(n, F.lit(40)), F.lit(1))).alias("short_line_ratio"),
+        (total / F.greatest(F.least(n, F.lit(50)), F.lit(1))).alias("avg_line_len"),
+        n.cast("long").alias("line_count"),
+    )

@@ -122,6 +122,41 @@ def csv_lines(rows: DataFrame, columns: list[str], always: bool = True) -> DataF
     return rows.select("resume_id", F.concat_ws(",", *(quoted(c) for c in columns)).alias("line"))
 
 
+#: Columns of the table of results, by the heading that readers see.
+TABLE = {
+    "Rank": lambda: F.when(F.col("hard_filter_pass") == 1, F.col("rank").cast("string")),
+    "Shortlist": lambda: F.when(F.col("shortlisted"), "Yes").otherwise("No"),
+    "Candidate": lambda: F.coalesce(F.nullif("display_name", F.lit("")), "filename"),
+    "Source file": lambda: F.col("filename"),
+    "Name confidence": lambda: F.col("name_confidence"),
+    "Duplicate": lambda: F.when(F.col("is_duplicate"), "Yes").otherwise("No"),
+    "Status": lambda: F.col("status"),
+    "Final": lambda: F.col("final_score"),
+    "ATS %": lambda: F.col("ats_score"),
+    "Embed": lambda: F.col("embedding_similarity"),
+    "LLM": lambda: F.col("llm_score"),
+    "Why": lambda: F.col("why"),
+    "Matched brief points": lambda: F.array_join("matched", "; "),
+    "Missing brief points": lambda: F.array_join("missing", "; "),
+}
+
+
+def csv_table(rows: DataFrame, shortlist_only: bool = False) -> DataFrame:
+    """(job_id, resume_id, line) of the table of results; its first line is HEADING. rows: those of pack() with scores, why, matched and missing."""
+    shown = rows.where(F.coalesce("shortlisted", F.lit(False))) if shortlist_only else rows
+    cells = shown.select("job_id", "resume_id", *(c().alias(k) for k, c in TABLE.items()))
+    lines = csv_lines(cells, list(TABLE), always=False)
+    return cells.select("job_id", "resume_id").join(lines, "resume_id")
+
+
+HEADING = ",".join(TABLE)
+
+
+def in_order(rows: DataFrame) -> DataFrame:
+    """Results as they are shown: best score first, those without one last, then by id."""
+    return rows.orderBy(F.col("final_score").desc_nulls_last(), "resume_id")
+
+
 def markdown(rows: DataFrame) -> DataFrame:
     """Per job a list of the shortlist (rank, display_name) in rank order."""
     line = F.concat(F.col("rank").cast("string"), F.lit(". "), F.col("display_name"))

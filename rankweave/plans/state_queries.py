@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
+from rankweave.functions import text as T
 from rankweave.operators import layout, prompts, ranking, report, rules, store
 from rankweave.operators import matching as M
 from rankweave.plans import profile_queries as P
@@ -174,3 +176,71 @@ def ui_figures(spark, sf_dir):
         F.count("*").alias("total"), yes(F.col("hard_filter_pass") == 1).alias("scored"), yes(F.col("shortlisted")).alias("shortlisted"), yes(F.col("status") == "rejected").alias("rejected"), yes(F.col("status") == "failed").alias("failed"),
         yes(F.col("is_duplicate")).alias("duplicates"), F.coalesce(F.max("final_score"), F.lit(0.0)).alias("top_score"),
     )
+
+
+def _table_rows(spark, sf_dir):
+    scored = scores(spark, sf_dir).select("resume_id", "ats_score", "embedding_similarity", "llm_score")
+    rows = _pack_rows(spark, sf_dir).drop("ats_score", "embedding_similarity", "llm_score").join(scored, "resume_id", "left")
+    why = F.when(F.col("resume_id") % 3 == 0, 'fits, "well"').when(F.col("resume_id") % 3 == 1, "two\nlines")
+    return rows.withColumns({"why": why, "matched": F.array(F.lit("a"), F.lit("b")), "missing": F.array().cast("array<string>")})
+
+
+_Q = "chr(34)"
+
+
+@query(f"""WITH {SQL_PACK} SELECT job_id, x.resume_id, coalesce(CASE WHEN x.hard_filter_pass = 1 THEN rank || '' END, '') || ',' || CASE WHEN shortlisted THEN 'Yes' ELSE 'No' END || ',' || filename || ',' || filename || ',medium,' || CASE WHEN duplicate THEN 'Yes' ELSE 'No' END || ','
+    || CASE WHEN x.final_score IS NULL THEN 'failed' WHEN x.hard_filter_pass = 0 THEN 'rejected' ELSE 'scored' END || ',' || coalesce(x.final_score || '', '') || ',' || coalesce(s.ats_score || '', '') || ',' || coalesce(s.embedding_similarity || '', '') || ',' || coalesce(s.llm_score || '', '') || ','
+    || CASE x.resume_id % 3 WHEN 0 THEN {_Q} || 'fits, ' || {_Q} || {_Q} || 'well' || {_Q} || {_Q} || {_Q} WHEN 1 THEN {_Q} || 'two' || chr(10) || 'lines' || {_Q} ELSE '' END || ',a; b,' AS line
+FROM x JOIN (SELECT resume_id, filename FROM r) USING (resume_id) LEFT JOIN (SELECT resume_id, ats_score, embedding_similarity, llm_score FROM s) s ON s.resume_id = x.resume_id WHERE shortlisted""")
+def csv_shortlist(spark, sf_dir):
+    """The shortlist as CSV lines of fourteen columns."""
+    return report.csv_table(_table_rows(spark, sf_dir), shortlist_only=True)
+
+
+@query(f"WITH {SQL_RANKED} SELECT r.resume_id, r.job_id, final_score, row_number() OVER (PARTITION BY r.job_id ORDER BY final_score DESC NULLS LAST, r.resume_id) AS place FROM r LEFT JOIN k USING (resume_id) WHERE r.job_id = 2")
+def results_of_job(spark, sf_dir):
+    """One job's results as they are shown: best first, those without a score last, then by id."""
+    shown = report.in_order(report.results(resumes(spark, sf_dir), scores(spark, sf_dir)).where("job_id = 2"))
+    order = Window.partitionBy("job_id").orderBy(F.col("final_score").desc_nulls_last(), "resume_id")
+    return shown.select("resume_id", "job_id", "final_score", F.row_number().over(order).cast("long").alias("place"))
+
+
+@query(f"""WITH {SQL_RANKED}, t AS (SELECT r.resume_id, r.job_id, filename, rank, final_score, len(regexp_extract_all(r.raw_text, 'Excel')) > 0 AS wanted FROM r LEFT JOIN k USING (resume_id)) SELECT resume_id, job_id, filename, rank, final_score FROM t WHERE wanted""")
+def results_by_ids(spark, sf_dir):
+    """The results of a list of ids, here those of all who name a skill."""
+    wanted = resumes(spark, sf_dir).where(F.contains("raw_text", F.lit("Excel"))).select("resume_id")
+    view = report.results(resumes(spark, sf_dir), scores(spark, sf_dir))
+    return view.join(wanted, "resume_id", "left_semi").select("resume_id", "job_id", "filename", "rank", "final_score")
+
+
+_STORED = """CASE doc_id % 4 WHEN 0 THEN concat('{"name": "Ann ', doc_id, '", "years": ', doc_id % 30, '}') WHEN 1 THEN '{"name": ' WHEN 2 THEN NULL ELSE concat('{"years": ', doc_id % 30, '}') END"""
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'Ann ' || doc_id WHEN 3 THEN NULL ELSE 'nobody' END AS name, CASE WHEN doc_id % 4 IN (0, 3) THEN CAST(doc_id % 30 AS DOUBLE) ELSE -1 END AS years FROM documents""")
+def stored_json(spark, sf_dir):
+    """Stored JSON columns as values; what is missing or broken takes the default."""
+    default = F.struct(F.lit("nobody").alias("name"), F.lit(-1.0).alias("years"))
+    value = M.decoded_json(F.expr(_STORED), "name string, years double", default)
+    return table(spark, sf_dir, "documents").select("doc_id", value.alias("v")).select("doc_id", "v.*")
+
+
+@query("SELECT doc_id, concat('source=', source, ',text=', length(coalesce(text, ''))) AS shown FROM documents")
+def public_profile(spark, sf_dir):
+    """What users may see of a profile with inner fields."""
+    fields = {"source": F.col("source"), "text": F.length(F.coalesce("text", F.lit(""))).cast("string"), "_confidence": F.lit("high"), "_sources": F.col("lang")}
+    whole = F.create_map(*(x for k, v in fields.items() for x in (F.lit(k), v)))
+    shown = F.transform(F.sort_array(F.map_entries(M.public_part(whole))), lambda e: F.concat_ws("=", e["key"], e["value"]))
+    return table(spark, sf_dir, "documents").select("doc_id", F.array_join(shown, ",").alias("shown"))
+
+
+@query(rf"""WITH t AS (SELECT doc_id, 'x ' || replace(coalesce(text, ''), chr(10), chr(10) || 'x ') || CASE WHEN doc_id % 2 = 0 THEN chr(10) || 'Skills: a' || chr(10) || '  ' ELSE '' END AS t, doc_id % 2 = 0 AS listed FROM documents
+), l AS (SELECT *, list_filter(list_transform(string_split(t, chr(10)), lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: x <> '') AS ls FROM t)
+SELECT doc_id, length(regexp_replace(t, '\s', '', 'g')) AS chars, CAST(listed AS BIGINT) AS section_count, regexp_matches(t[1:2500], '{T.EMAIL}') AS has_email,
+    len(list_filter(ls[1:40], lambda x: length(x) < 12)) / greatest(least(len(ls), 40), 1) AS short_line_ratio, coalesce(list_sum(list_transform(ls[1:50], lambda x: length(x))), 0) / greatest(least(len(ls), 50), 1) AS avg_line_len, len(ls) AS line_count FROM l""")
+def parse_signals(spark, sf_dir):
+    """What tells whether a text was read well."""
+    marked = F.regexp_replace(F.concat(F.lit("x "), F.coalesce("text", F.lit(""))), "\n", "\nx ")
+    t = table(spark, sf_dir, "documents").select("doc_id", F.concat(marked, F.when(F.col("doc_id") % 2 == 0, "\nSkills: a\n  ").otherwise("")).alias("text"))
+    cut, start = layout.with_sections(t, "text"), F.left("text", F.lit(2500))
+    found = cut.select("doc_id", M.quality_signals(F.col("text"), F.col("parts"), T.first_phone(start), T.first_email(start)).alias("s"))
+    return found.select("doc_id", "s.*").drop("has_phone")
