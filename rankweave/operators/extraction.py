@@ -130,3 +130,33 @@ def merged(rule: DataFrame, model: DataFrame, jobs: DataFrame, year: int, month:
         F.map_concat(others(F.col("sources")), new_sources).alias("sources"),
         F.array_compact(F.concat("r_warnings", F.array("warning"))).alias("warnings"),
     )
+
+
+#: Fields that can be corrected by hand, and their names in the maps of confidence and sources.
+SCALARS = {"name": "name", "email": "email", "phone": "phone", "location": "location", "years": "total_years_experience", "notice": "notice_period_days", "summary": "summary"}
+LISTS = ("skills", "certifications", "licenses")
+
+
+def corrected(profiles: DataFrame, fixes: DataFrame, jobs: DataFrame, year: int, month: int, by: str = "resume_id") -> DataFrame:
+    """Profiles with corrections by hand, the years decided again and all fields made good; overrides holds what was changed.
+
+    profiles: by, the fields of SCALARS and LISTS, confidence and sources. fixes: by and fixes, a map from field to text (lists
+    by commas); blank texts and numbers that can't be read change nothing. jobs: by, title, company, duration, years.
+    A correction of the years wins; without one they come from the jobs, and a summary that reads like a student's counts.
+    """
+    asked = fixes.select(F.col(by).alias("_by"), F.col("fixes").alias("_fix"))
+    worked = profile.work_years(jobs, by, year, month).select(F.col(by).alias("_job"), F.col("years").alias("_w"), F.col("method").alias("_m"), F.col("jobs").alias("_n"), F.col("job_years").alias("_own"))
+    both = profiles.join(asked, profiles[by] == F.col("_by"), "left").join(worked, profiles[by] == F.col("_job"), "left")
+    text = {f: said(strip(F.col("_fix")[f])) for f in SCALARS}
+    number = {"years": text["years"].try_cast("double"), "notice": text["notice"].try_cast("double").cast("int")}
+    bounded = {f: F.when(c.isNotNull(), F.greatest(F.lit(0).cast(t), F.least(F.lit(top).cast(t), c))) for (f, c), t, top in zip(number.items(), ("double", "int"), (50, 365), strict=True)}
+    new = {f: bounded.get(f, text[f]) for f in SCALARS}
+    lists = {f: F.when(F.col("_fix")[f].isNotNull(), profile.distinct_words(profile.list_of(F.col("_fix")[f]))) for f in LISTS}
+    both = both.withColumns({f"_new_{f}": c for f, c in (new | lists).items()})
+    changed = _map(**{SCALARS.get(f, f): F.when(F.col(f"_new_{f}").isNotNull(), F.array_join(F.col(f"_new_{f}"), ", ") if f in LISTS else F.col(f"_new_{f}").cast("string")) for f in (*SCALARS, *LISTS)})
+    both = both.withColumns({f: F.coalesce(f"_new_{f}", f) for f in (*SCALARS, *LISTS)} | {"overrides": changed})
+    y = profile.two_pass_years(F.col("_w"), F.col("_m"), F.col("_n"), F.col("_own"), F.lit(None).cast("double"), profile.student(F.col("summary")), F.col("_new_years"))
+    both = both.withColumn("_y", y)
+    over = lambda old, to, years: F.map_concat(F.map_filter(old, lambda k, _: ~F.map_contains_key("overrides", k) & (k != "total_years_experience")), F.map_filter(F.transform_values("overrides", lambda k, _: F.lit(to)), lambda k, _: k != "total_years_experience"), F.create_map(F.lit("total_years_experience"), years))
+    done = both.withColumns({"years": F.col("_y.years"), "years_method": F.col("_y.method"), "confidence": over(F.col("confidence"), "high", F.col("_y.confidence")), "sources": over(F.col("sources"), "recruiter_override", F.col("_y.method"))})
+    return profile.sanitised(done).drop("_by", "_job", "_fix", "_w", "_m", "_n", "_own", "_y", *(f"_new_{f}" for f in (*SCALARS, *LISTS)))

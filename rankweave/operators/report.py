@@ -111,15 +111,15 @@ def export_rows(view: DataFrame, profiles: DataFrame) -> DataFrame:
     return view.join(p, "resume_id", "left").select("job_id", "rank", "resume_id", F.coalesce(F.nullif(F.trim("name"), F.lit("")), "filename", F.lit("Unknown")).alias("display_name"), "email", "skills", "education", "final_score")
 
 
-def csv_lines(rows: DataFrame, columns: list[str], always: bool = True) -> DataFrame:
-    """One CSV line per row: every field quoted, or only those that need it; quotes doubled, null empty."""
+def csv_lines(rows: DataFrame, columns: list[str], always: bool = True, keep: tuple[str, ...] = ("resume_id",)) -> DataFrame:
+    """One CSV line per row beside the columns to keep: every field quoted, or only those that need it; quotes doubled, null empty."""
 
     def quoted(c: str):
         plain = F.coalesce(F.col(c).cast("string"), F.lit(""))
         full = F.concat(F.lit('"'), F.replace(plain, F.lit('"'), F.lit('""')), F.lit('"'))
         return full if always else F.when(plain.rlike('[",\\n\\r]'), full).otherwise(plain)
 
-    return rows.select("resume_id", F.concat_ws(",", *(quoted(c) for c in columns)).alias("line"))
+    return rows.select(*keep, F.concat_ws(",", *(quoted(f"`{c}`") for c in columns)).alias("line"))
 
 
 #: Columns of the table of results, by the heading that readers see.
@@ -145,8 +145,7 @@ def csv_table(rows: DataFrame, shortlist_only: bool = False) -> DataFrame:
     """(job_id, resume_id, line) of the table of results; its first line is HEADING. rows: those of pack() with scores, why, matched and missing."""
     shown = rows.where(F.coalesce("shortlisted", F.lit(False))) if shortlist_only else rows
     cells = shown.select("job_id", "resume_id", *(c().alias(k) for k, c in TABLE.items()))
-    lines = csv_lines(cells, list(TABLE), always=False)
-    return cells.select("job_id", "resume_id").join(lines, "resume_id")
+    return csv_lines(cells, list(TABLE), always=False, keep=("job_id", "resume_id"))
 
 
 HEADING = ",".join(TABLE)

@@ -6,12 +6,12 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from rankweave.functions import text as T
-from rankweave.operators import layout, prompts, ranking, report, rules, store
+from rankweave.operators import extraction, layout, prompts, ranking, report, rules, store
 from rankweave.operators import matching as M
 from rankweave.plans import profile_queries as P
 from rankweave.plans.catalog import query
 from rankweave.plans.ranking_queries import SQL_PEOPLE, SQL_RANKED, _people
-from rankweave.plans.text_queries import SQL_CLEAN
+from rankweave.plans.text_queries import AS_OF, SQL_CLEAN, SQL_WORKED, _jobs
 from rankweave.sources import files
 from rankweave.sources.views import SQL_R, resumes, scores, table
 
@@ -244,3 +244,16 @@ def parse_signals(spark, sf_dir):
     cut, start = layout.with_sections(t, "text"), F.left("text", F.lit(2500))
     found = cut.select("doc_id", M.quality_signals(F.col("text"), F.col("parts"), T.first_phone(start), T.first_email(start)).alias("s"))
     return found.select("doc_id", "s.*").drop("has_phone")
+
+
+@query(f"""WITH {P.SQL_P}, {SQL_WORKED} SELECT p.resume_id, CASE WHEN p.resume_id % 10 = 0 THEN 50 WHEN w.years IS NULL THEN 0 ELSE least(round_even(w.years, 1), 50) END AS years, CASE WHEN p.resume_id % 10 = 0 THEN 'recruiter_override' WHEN w.years IS NULL THEN 'no_real_jobs' ELSE w.method END AS years_method,
+    CASE WHEN p.resume_id % 10 = 0 THEN 'Go, Rust' ELSE CASE p.resume_id % 4 WHEN 0 THEN '' WHEN 1 THEN 'Python' WHEN 2 THEN 'Python, SQL' ELSE 'Sales, CRM, Excel, Python, SQL' END END AS skills, CASE WHEN p.resume_id % 10 = 0 THEN 2 ELSE 0 END AS n_changed
+FROM p LEFT JOIN worked w USING (resume_id)""")
+def corrections(spark, sf_dir):
+    """Profiles with corrections by hand, and their years decided again from the jobs."""
+    none = F.lit(None).cast("string")
+    maps = F.create_map().cast("map<string,string>")
+    given = P._profiles(spark, sf_dir).withColumns({"email": none, "phone": none, "notice": F.lit(None).cast("int"), "confidence": maps, "sources": maps})
+    fixes = given.where("resume_id % 10 = 0").select("resume_id", F.create_map(F.lit("years"), F.lit("99"), F.lit("skills"), F.lit("Go, Rust, go")).alias("fixes"))
+    out = extraction.corrected(given, fixes, _jobs(spark, sf_dir).drop("o_orderkey"), AS_OF, 5)
+    return out.select("resume_id", "years", "years_method", F.array_join("skills", ", ").alias("skills"), F.size("overrides").alias("n_changed"))

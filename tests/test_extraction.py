@@ -121,3 +121,18 @@ def test_years_decided(spark):
     assert years(9.0, "work_history_span", 2, 9.0, stated=3.0)[:2] == (3.0, "explicit_phrase")
     assert years(stated=4.0)[:2] == (4.0, "explicit_phrase") and years() == (0.0, "no_real_jobs", "high")
     assert years(0.0, "no_countable_jobs", 1) == (0.0, "no_countable_jobs", "medium")
+
+
+def test_corrections_by_hand(spark):
+    schema = "resume_id long, name string, email string, phone string, location string, years double, notice int, summary string, skills array<string>, certifications array<string>, licenses array<string>, confidence map<string,string>, sources map<string,string>"
+    row = lambda i: (i, "Ann", "a@x", "9876543210", "Pune", 9.0, 30, "Fine", ["SQL"], [], None, {"name": "low", "notice_period_days": "high"}, {"name": "llm"})
+    profiles = spark.createDataFrame([row(i) for i in (1, 2, 3)], schema)
+    fixes = spark.createDataFrame([(1, {"name": " Ann Lee ", "years": "99", "notice": "x", "skills": "Go, Rust, go", "email": " "}), (2, {"notice": "400.7", "licenses": ""})], "resume_id long, fixes map<string,string>")
+    jobs = spark.createDataFrame([(2, "Nurse", "X", "2010 - 2014", None), (3, "University course", "X", "2010 - 2014", None)], "resume_id long, title string, company string, duration string, years double")
+    got = {r.resume_id: r for r in extraction.corrected(profiles, fixes, jobs, 2026, 5).collect()}
+    one, two, three = got[1], got[2], got[3]
+    assert (one.name, one.years, one.years_method, one.notice, one.skills, one.email) == ("Ann Lee", 50.0, "recruiter_override", 30, ["Go", "Rust"], "a@x")
+    assert one.overrides == {"name": "Ann Lee", "total_years_experience": "50.0", "skills": "Go, Rust"}
+    assert one.confidence["name"] == one.confidence["skills"] == "high" and one.sources["name"] == "recruiter_override" == one.sources["total_years_experience"]
+    assert (two.years, two.years_method, two.notice, two.licenses) == (4.0, "work_history_sum", 365, []) and two.confidence["name"] == "low"
+    assert (three.years, three.years_method, three.overrides, three.licenses) == (0.0, "no_real_jobs", {}, None)
