@@ -20,8 +20,10 @@ candidates that are still in another component.
 
 Where a large group still holds several components, the sketches of its documents meet in blocks of bounded size within
 tasks, which send only pairs of different components that may link: first each document's likeliest partner among a few
-in a part of the groups, which joins nearly all that belongs together, then, exactly, every pair. Only the documents that
-send signatures have their sets written, and tables go after their last use.
+in a part of the groups, which joins nearly all that belongs together, then, exactly, every pair. Near copies share most of
+their groups, which lie in different tasks: each document carries its smallest signatures, and a group leaves a pair out
+if both carry one that is smaller than the group's own, since that group has the pair as well. Only the documents that send
+signatures have their sets written, and tables go after their last use.
 
 Defined results: a null or wordless text has the empty set and links with nothing; equal sets are one class; a null id
 makes its row link with nothing; rows that share an id are one node of the links; an empty table gives an empty result;
@@ -53,8 +55,10 @@ HOT_SHARE, HOT_LEAST = 0.0005, 20
 SMALL, BLOCK = 16, 4096
 #: The first look into large groups takes one group of so many, and as many partners of each document.
 SHARE, PARTNERS = 8, 8
-#: Bytes of a sketch that a document sends with each signature at most.
-SENT = 256
+#: Bytes of a sketch that a document sends with each signature at most, and how many of its smallest signatures go with it.
+SENT, LEADING = 256, 16
+#: 64-bit words of sketches that are compared at once.
+WORDS = 1 << 19
 #: Shingles or rows that a task gathers before it sends them on, and documents.
 FLUSH, MOST_DOCS = 1_000_000, 60_000
 #: Bytes of a key whose holders are counted. Two shingles that share a key only spare a set too few.
@@ -407,10 +411,28 @@ def folded(sketches: list[bytes]) -> np.ndarray:
     return np.stack(out)
 
 
-def likely_pairs(x, y, least: tuple[int, int], first_only: bool) -> np.ndarray:
+def leading(keys: np.ndarray, most: int) -> bytes:
+    """The smallest of a document's signatures; the largest number, which is smaller than none, fills up what is missing."""
+    out = np.full(most, np.iinfo(np.uint64).max)
+    least = np.sort(keys)[:most]
+    out[: len(least)] = least
+    return out.tobytes()
+
+
+def met_before(x: np.ndarray, y: np.ndarray, group: np.uint64) -> np.ndarray:
+    """Whether rows of leading signatures have one in common that is smaller than the group's."""
+    out = np.zeros(len(x), bool)
+    for k in range(x.shape[1]):
+        at = np.flatnonzero(~out & (x[:, k] < group))
+        out[at] = (x[at, k : k + 1] == y[at]).any(1)
+    return out
+
+
+def likely_pairs(x, y, least: tuple[int, int], first_only: bool, group: np.uint64) -> np.ndarray:
     """(a, b, low) of the pairs of rows of two blocks that may link and are in different components.
 
-    A block is (node, n, component, sketches). With first_only, both are the same block and each row meets only those that follow it.
+    A block is (node, n, component, sketches, leading signatures). With first_only, both are the same block and each row meets
+    only those that follow it; else pairs that a group of a smaller signature surely has are left to that group.
     """
     out = [np.zeros((0, 3), np.int64)]
     width = min(x[3].shape[1], y[3].shape[1])
@@ -419,8 +441,12 @@ def likely_pairs(x, y, least: tuple[int, int], first_only: bool) -> np.ndarray:
     def add(i: np.ndarray, j: np.ndarray, apart: np.ndarray) -> None:
         low, may = least_distance(x[1][i], y[1][j], apart, least)
         may &= x[2][i] != y[2][j]
-        a, b = x[0][i][may], y[0][j][may]
-        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), low[may]], axis=1))
+        i, j, low = i[may], j[may], low[may]
+        if not first_only:
+            new = ~met_before(x[4][i], y[4][j], group)
+            i, j, low = i[new], j[new], low[new]
+        a, b = x[0][i], y[0][j]
+        out.append(np.stack([np.minimum(a, b), np.maximum(a, b), low], axis=1))
 
     if first_only:
         for k in range(1, min(PARTNERS, len(sx) - 1) + 1):
@@ -432,13 +458,12 @@ def likely_pairs(x, y, least: tuple[int, int], first_only: bool) -> np.ndarray:
     usual = names[n.argmax()]
     for far, (p, q, u, v) in ((x[2] != usual, (sx, sy, x, y)), (y[2] != usual, (sy, sx, y, x))):
         at = np.flatnonzero(far)
-        for k in range(0, len(at), 64):
-            i, j = np.meshgrid(at[k : k + 64], np.arange(len(q)), indexing="ij")
-            i, j = (z.ravel() for z in (i, j))
-            good = u[2][i] != v[2][j]
-            i, j = i[good], j[good]
-            apart = np.bitwise_count(p[i] ^ q[j]).sum(1, dtype=np.int64)
-            add(*((i, j) if u is x else (j, i)), apart)
+        step = max(1, WORDS // q.size)
+        for k in range(0, len(at), step):
+            some = at[k : k + step]
+            apart = np.bitwise_count(p[some, None] ^ q).sum(2, dtype=np.int64)
+            i, j = np.nonzero(u[2][some, None] != v[2])
+            add(*((some[i], j) if u is x else (j, some[i])), apart[i, j])
         if x is y:
             break
     return np.unique(np.concatenate(out), axis=0)
@@ -452,42 +477,45 @@ def likeliest(pairs: np.ndarray) -> np.ndarray:
     return pairs[np.unique(which[order[first]])]
 
 
-LIKELY = "a long, b long, low long, group long, block int, nodes binary, sizes binary, components binary, sketches binary"
+LIKELY = "a long, b long, low long, group long, block int, nodes binary, sizes binary, components binary, sketches binary, leads binary"
 
 
 def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_only: bool) -> DataFrame:
     """(a, b, low): pairs of different components within large groups of rows (node, n, set, sketch, component) that may link."""
 
     def sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def some(rows: list[int], keys: list[np.ndarray], batch: pa.RecordBatch, sketches: pa.Array) -> pa.RecordBatch:
-            of = pa.array(np.repeat(rows, [len(k) for k in keys]))
-            return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), *(batch.column(c).take(of) for c in names[:3]), sketches.take(of)], ["sig", *names])
+        def some(rows: list[int], keys: list[np.ndarray], leads: list[bytes], batch: pa.RecordBatch, sketches: pa.Array) -> pa.RecordBatch:
+            times = [len(k) for k in keys]
+            of, lead = pa.array(np.repeat(rows, times)), pa.array(leads, pa.binary()).take(pa.array(np.repeat(np.arange(len(leads)), times)))
+            return pa.RecordBatch.from_arrays([signed(np.concatenate(keys)), *(batch.column(c).take(of) for c in names[:3]), sketches.take(of), lead], ["sig", *names, "lead"])
 
         for batch in slices(batches, 1000):
             sketches = pa.array([folded([x, bytes(SENT)])[0].tobytes() if len(x) > SENT else x for x in batch.column("sketch").to_pylist()], pa.binary())
-            keys, rows, total = [], [], 0
+            keys, leads, rows, total = [], [], [], 0
             for i, x in enumerate(batch.column("set").to_pylist()):
                 s = np.frombuffer(x, np.uint64)
                 k = signatures(s[~np.isin(s, hot.value)] if len(hot.value) else s, s, least)
                 keys.append(k[k % np.uint64(SHARE) == 0] if first_only else k)
+                leads.append(b"" if first_only else leading(k, LEADING))
                 rows.append(i)
                 total += len(keys[-1])
                 if total > 50_000:
-                    yield some(rows, keys, batch, sketches)
-                    keys, rows, total = [], [], 0
+                    yield some(rows, keys, leads, batch, sketches)
+                    keys, leads, rows, total = [], [], [], 0
             if total:
-                yield some(rows, keys, batch, sketches)
+                yield some(rows, keys, leads, batch, sketches)
 
     names = ["node", "n", "component", "sketch"]
-    spread = rows.repartition(parts, "node").select("set", *names).mapInArrow(sent, "sig long, node long, n int, component long, sketch binary")
+    spread = rows.repartition(parts, "node").select("set", *names).mapInArrow(sent, "sig long, node long, n int, component long, sketch binary, lead binary")
 
     def block_of(table: pa.Table):
-        return *(table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "component")), folded(table.column("sketch").to_pylist())
+        leads = np.frombuffer(b"".join(table.column("lead").to_pylist()), np.uint64).reshape(len(table), -1)
+        return *(table.column(c).to_numpy().astype(np.int64) for c in ("node", "n", "component")), folded(table.column("sketch").to_pylist()), leads
 
     def row(pairs: np.ndarray, group: int | None = None, block: int | None = None, x=None) -> pa.RecordBatch:
         n = len(pairs) if x is None else 1
         if x is None:
-            values = [*(pa.array(pairs[:, i]) for i in range(3)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(4))]
+            values = [*(pa.array(pairs[:, i]) for i in range(3)), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), *(pa.nulls(n, pa.binary()) for _ in range(5))]
         else:
             values = [*(pa.nulls(1, pa.int64()) for _ in range(3)), pa.array([group], pa.int64()), pa.array([block], pa.int32()), *(pa.array([y.tobytes()], pa.binary()) for y in x)]
         return pa.RecordBatch.from_arrays(values, [c.split()[0] for c in LIKELY.split(", ")])
@@ -505,7 +533,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
             nonlocal n_found
             x = block_of(pa.concat_tables(held))
             if len(np.unique(x[2])) > 1:
-                found.append(likely_pairs(x, x, least, first_only))
+                found.append(likely_pairs(x, x, least, first_only, group.view(np.uint64)))
                 n_found += len(found[-1])
             return x
 
@@ -547,7 +575,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
     if first_only:
         return dealt.select("a", "b", "low")
     dealt = written(dealt)
-    blocks = dealt.where("block IS NOT NULL").select("group", "block", "nodes", "sizes", "components", "sketches")
+    blocks = dealt.where("block IS NOT NULL").select("group", "block", "nodes", "sizes", "components", "sketches", "leads")
     one, two = (blocks.select("group", *(F.col(c).alias(c + side) for c in blocks.columns[1:])) for side in ("_a", "_b"))
 
     def across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -555,9 +583,10 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
             for i in range(batch.num_rows):
                 sides = []
                 for side in ("_a", "_b"):
-                    x = [np.frombuffer(batch.column(c + side)[i].as_py(), np.uint64 if c == "sketches" else np.int64) for c in ("nodes", "sizes", "components", "sketches")]
-                    sides.append((*x[:3], x[3].reshape(len(x[0]), -1)))
-                yield row(likely_pairs(*sides, least, False)).select(["a", "b", "low"])
+                    x = [np.frombuffer(batch.column(c + side)[i].as_py(), np.uint64 if c in ("sketches", "leads") else np.int64) for c in ("nodes", "sizes", "components", "sketches", "leads")]
+                    sides.append((*x[:3], *(z.reshape(len(x[0]), -1) for z in x[3:])))
+                group = np.int64(batch.column("group")[i].as_py()).view(np.uint64)
+                yield row(likely_pairs(*sides, least, False, group)).select(["a", "b", "low"])
 
     met = one.join(two, "group").where("block_a < block_b").mapInArrow(across, "a long, b long, low long")
     return dealt.where("a IS NOT NULL").select("a", "b", "low").unionByName(met)

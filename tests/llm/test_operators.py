@@ -313,6 +313,30 @@ def test_op5_large_groups_in_blocks(spark, monkeypatch, small, block):
     assert got == dict(enumerate(component)) and 3 < len(set(component)) < 80
 
 
+def test_op5_pairs_of_many_groups_are_left_to_one(spark, monkeypatch):
+    """Texts that are close to each other, but not linked, share many large groups, which several tasks hold."""
+    monkeypatch.setattr(jaccard, "SMALL", 4), monkeypatch.setattr(jaccard, "BLOCK", 16)
+    rng = np.random.default_rng(15)
+    words, texts = [f"w{k}" for k in rng.integers(0, 10**6, 1000)], []
+    for _ in range(40):
+        own = list(words)
+        for at in rng.choice(len(own), 14, replace=False):
+            own[at] = f"w{rng.integers(10**6)}"
+        texts.append(" ".join(own))
+    real, looks = jaccard.second_look, []
+
+    def counted(*given):
+        found = jaccard.written(real(*given))
+        looks.append((given[-1], found.count(), found.select("a", "b").distinct().count()))
+        return found
+
+    monkeypatch.setattr(jaccard, "second_look", counted)
+    frame = spark.createDataFrame([(k, t, "en", "s", 1) for k, t in enumerate(texts)], SCHEMA)
+    assert len({r.component_id for r in jaccard.near_duplicates(frame).collect()}) > 30
+    (_, given, pairs), = [x for x in looks if not x[0]]
+    assert pairs > 500 and given < 20 * pairs
+
+
 def test_signatures_of_linking_sets_meet():
     for _ in range(200):
         size = int(RNG.integers(1, 400))
