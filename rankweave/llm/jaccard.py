@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
 from rankweave.llm.hashing import as_bytes, chunks, mix, word_hashes
-from rankweave.llm.shared import dropped, written
+from rankweave.llm.shared import dropped, small_batches, written
 
 #: Words in a shingle, and the least similarity as a fraction of whole numbers.
 SHINGLE, LEAST = 5, (80, 100)
@@ -61,6 +61,8 @@ SENT, LEADING = 256, 16
 WORDS = 1 << 19
 #: Shingles or rows that a task gathers before it sends them on, and documents.
 FLUSH, MOST_DOCS = 1_000_000, 60_000
+#: Bytes of a batch of rows with texts, sets or sketches, two of which an executor's tasks hold in and outside Python.
+BATCH = 8 << 20
 #: Bytes of a key whose holders are counted. Two shingles that share a key only spare a set too few.
 KEY = 6
 #: Rows of the bitmap that keeps most other texts out of the shuffle, 64 bits each.
@@ -499,7 +501,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
                 leads.append(b"" if first_only else leading(k, LEADING))
                 rows.append(i)
                 total += len(keys[-1])
-                if total > 50_000:
+                if total > 25_000:
                     yield some(rows, keys, leads, batch, sketches)
                     keys, leads, rows, total = [], [], [], 0
             if total:
@@ -658,9 +660,17 @@ def joined_by(joined: DataFrame, seen: DataFrame) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", least: tuple[int, int] = LEAST) -> DataFrame:
     """One row per document: key, n_shingles, component_id (smallest key reachable by links)."""
-    spark = docs.sparkSession
+    with small_batches(docs.sparkSession, BATCH):
+        sets, classes, joined = linked(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text")), least)
+    component = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("s1", "s2", "n", F.coalesce("component", "class").alias("component"), F.lit(True).alias("named"))
+    out = sets.withColumn("named", F.expr("doc_id IS NOT NULL")).join(component, ["s1", "s2", "n", "named"], "left")
+    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+
+
+def linked(texts: DataFrame, least: tuple[int, int]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Written tables: (doc_id, n, s1, s2) of each text, (s1, s2, n, class) of each set, and (node, component) of the classes that link with any."""
+    spark = texts.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    texts = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"))
     table = written(set_table(texts, parts))
     own = own_keys(table.where(F.col("kind") == ASKED), parts)
     sets = table.where(F.col("kind") == SETS).select("chunk", "slot", "doc_id", "n", "s1", "s2").join(own, ["chunk", "slot"], "left")
@@ -676,10 +686,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", le
     nodes = written(node_table(texts, classes.where("fits").select(F.col("class").alias("node")).distinct()))
     joined = links_of(nodes, hot, parts, least)
     dropped(nodes)
-
-    component = classes.join(joined.withColumnRenamed("node", "class"), "class", "left").select("s1", "s2", "n", F.coalesce("component", "class").alias("component"), F.lit(True).alias("named"))
-    out = sets.withColumn("named", F.expr("doc_id IS NOT NULL")).join(component, ["s1", "s2", "n", "named"], "left")
-    return out.select("doc_id", F.col("n").alias("n_shingles"), F.coalesce("component", "doc_id").alias("component_id"))
+    return sets, classes, joined
 
 
 def one_of_each(docs: DataFrame, **options) -> DataFrame:

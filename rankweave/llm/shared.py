@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -39,6 +41,21 @@ def written(df: DataFrame) -> DataFrame:
     return out
 
 
+#: Bytes of rows that Spark gathers outside its heap before it hands them to a Python worker, which holds them as well.
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+@contextmanager
+def small_batches(spark, size: int) -> Iterator[None]:
+    """What runs inside gets its rows in batches of so many bytes at most, or of one row."""
+    before = spark.conf.get(BATCH_BYTES)
+    spark.conf.set(BATCH_BYTES, str(size))
+    try:
+        yield
+    finally:
+        spark.conf.set(BATCH_BYTES, before)
+
+
 def dropped(*tables: DataFrame) -> None:
     """Deletes tables that written() made, after their last use: what is still lazy mustn't read them."""
     for table in tables:

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 import corpus_pipeline
 from rankweave.llm import decontaminate, hashing, html_text, jaccard, lm_score, packing, quality, suffix_dedup, token_counts, url_filter, vector_dedup
 from rankweave.llm.components import components
+from rankweave.llm.shared import BATCH_BYTES
 from rankweave.llm.tokens import VOCABULARY, library
 
 RNG = np.random.default_rng(5)
@@ -337,6 +338,14 @@ def test_op5_pairs_of_many_groups_are_left_to_one(spark, monkeypatch):
     assert pairs > 500 and given < 20 * pairs
 
 
+def test_op5_hands_out_small_batches(spark, monkeypatch, none):
+    """Each table is made with a bound on the batches for Python, which ends with the operator."""
+    real, seen, before = jaccard.written, [], spark.conf.get(BATCH_BYTES)
+    monkeypatch.setattr(jaccard, "written", lambda df: seen.append(spark.conf.get(BATCH_BYTES)) or real(df))
+    assert jaccard.near_duplicates(none).count() == 0
+    assert seen and set(seen) == {str(jaccard.BATCH)} and spark.conf.get(BATCH_BYTES) == before
+
+
 def test_signatures_of_linking_sets_meet():
     for _ in range(200):
         size = int(RNG.integers(1, 400))
