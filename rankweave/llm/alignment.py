@@ -21,21 +21,22 @@ import re
 import zlib
 from collections.abc import Callable, Iterator
 from functools import cache, reduce
-from itertools import chain
+from itertools import chain, islice
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import dropped, written
+from rankweave.llm.shared import dropped, give_back, small_batches, tidy, written
 from rankweave.llm.tokens import VOCABULARY, library, odd, vocabulary_path, word_encoder
 
 PIECES = "piece_bpe_32k.model"
 #: Characters of text in a block, of text cut at once, and segments aligned at once.
 BLOCK_CHARS, CHUNK_CHARS, AT_ONCE = 32 << 20, 1 << 20, 20_000
+#: Bytes of a batch of rows for Python, two of which an executor's tasks hold in and outside Python.
+BATCH = 8 << 20
 #: Parts in which blocks are composed, and bits of a block's number within its task.
 WAVES, TASK_BITS = 3, 24
 #: Fixed value: how pieces write a space.
@@ -104,10 +105,16 @@ def pair(vocabulary: str, pieces: str) -> Pair:
     return Pair(vocabulary, pieces)
 
 
+BLOCKS = "block long, ids array<string>, sizes array<int>, codes binary, code int, segment string, n long"
+
+
 def cut_into_blocks(docs: DataFrame, both: Callable[[], Pair], block_chars: int) -> DataFrame:
-    """A row per block: block, ids and sizes (segments) of its documents, codes (the segments' numbers, int32, deflated), the distinct segments and how often each occurs."""
+    """Rows of two kinds. Without a code: a block, ids and sizes (segments) of its documents, codes (the segments' numbers, int32, deflated).
 
-    def blocks(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    With a code: one of the block's distinct segments and how often (n) it occurs there; no row grows with the block's vocabulary.
+    """
+
+    def blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizers, task, made = both(), TaskContext.get().partitionId(), 0
         ids: list = []
         sizes: list[int] = []
@@ -120,16 +127,27 @@ def cut_into_blocks(docs: DataFrame, both: Callable[[], Pair], block_chars: int)
                 return out
 
         numbers = Numbers()
+        schema = pa.schema([("block", pa.int64()), ("ids", pa.list_(pa.string())), ("sizes", pa.list_(pa.int32())), ("codes", pa.binary()), ("code", pa.int32()), ("segment", pa.string()), ("n", pa.int64())])
+
+        def rows(size: int, **columns) -> pa.RecordBatch:
+            given = columns | {"block": np.full(size, (task << TASK_BITS) + made)}
+            return pa.RecordBatch.from_arrays([pa.array(given[x.name], x.type) if x.name in given else pa.nulls(size, x.type) for x in schema], schema=schema)
 
-        def block() -> pd.DataFrame:
+        def block() -> Iterator[pa.RecordBatch]:
             flat = np.concatenate(codes) if codes else np.zeros(0, np.int32)
+            codes.clear()
             counts = np.bincount(flat, minlength=len(numbers))
-            return pd.DataFrame({"block": [(task << TASK_BITS) + made], "ids": [ids], "sizes": [sizes], "codes": [zlib.compress(flat.tobytes(), 1)], "segments": [list(numbers)], "counts": [counts]})
+            yield rows(1, ids=[ids], sizes=[sizes], codes=[zlib.compress(flat, 1)])
+            del flat
+            segments = iter(numbers)
+            for i in range(0, len(numbers), AT_ONCE):
+                some = list(islice(segments, AT_ONCE))
+                yield rows(len(some), code=np.arange(i, i + len(some), dtype=np.int32), segment=some, n=counts[i : i + len(some)])
 
         for batch in batches:
             for doc_id, text in zip(batch["doc_id"], batch["text"], strict=True):
-                ids.append(doc_id)
-                size = 0
+                ids.append(doc_id.as_py())
+                size, text = 0, text.as_py()
                 if text and tokenizers.unchanged(text):
                     for part in tokenizers.segments(text):
                         codes.append(np.fromiter(map(numbers.__getitem__, part), np.int32, len(part)))
@@ -137,14 +155,14 @@ def cut_into_blocks(docs: DataFrame, both: Callable[[], Pair], block_chars: int)
                     chars += len(text)
                 sizes.append(size)
                 if chars >= block_chars or len(ids) >= block_chars:
-                    yield block()
+                    yield from block()
                     made += 1
                     ids, sizes, codes, chars, numbers = [], [], [], 0, Numbers()
         if ids:
-            yield block()
+            yield from block()
 
     texts = docs.select(F.col("doc_id").cast("string").alias("doc_id"), "text")
-    return texts.mapInPandas(blocks, "block long, ids array<string>, sizes array<int>, codes binary, segments array<string>, counts array<long>")
+    return texts.mapInArrow(tidy(blocks), BLOCKS)
 
 
 def groups_of(segments: list[str], tokenizers: Pair) -> dict[str, pa.Array]:
@@ -183,7 +201,7 @@ def align_segments(segments: DataFrame, both: Callable[[], Pair]) -> DataFrame:
                 found = groups_of(part["segment"].to_pylist(), both())
                 yield pa.RecordBatch.from_arrays([part["segment"], part["n"], *found.values()], ["segment", "n", *found])
 
-    return segments.mapInArrow(aligned, "segment string, n long, n_a int, n_b int, n_groups int, groups string, last_a array<int>, last_b array<int>")
+    return segments.mapInArrow(tidy(aligned), "segment string, n long, n_a int, n_b int, n_groups int, groups string, last_a array<int>, last_b array<int>")
 
 
 def link_counts(aligned: DataFrame) -> DataFrame:
@@ -196,43 +214,50 @@ def align_documents(docs: DataFrame, vocabulary: str = VOCABULARY, pieces: str =
     """doc_id, n_a, n_b, n_groups, n_links, n_best, count_sum, groups_sha256 of each document, as a written table."""
     id_type = docs.schema["doc_id"].dataType.simpleString()
     both = lambda: pair(vocabulary, pieces)
-    blocks = written(cut_into_blocks(docs, both, block_chars))
-    in_block = blocks.select("block", F.posexplode(F.arrays_zip("segments", "counts")).alias("code", "x")).select("block", "code", F.col("x.segments").alias("segment"), F.col("x.counts").alias("n"))
-    aligned = written(align_segments(in_block.groupBy("segment").agg(F.sum("n").alias("n")), both).withColumn("number", F.monotonically_increasing_id()))
-    linked = aligned.select("number", F.explode(F.arrays_zip("last_a", "last_b")).alias("x")).select("number", F.col("x.last_a").alias("a"), F.col("x.last_b").alias("b"))
-    sums = linked.join(link_counts(aligned).hint("shuffle_hash"), ["a", "b"]).groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("links").alias("count_sum"))
-    # Written, so that the shuffles up to here go before the next ones come.
-    known = written(aligned.join(sums.hint("shuffle_hash"), "number").select("segment", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"))
-    dropped(aligned)
-    def compose(block: pa.Table, words: pa.Table) -> pa.Table:
-        order = np.argsort(words["code"].to_numpy())
-        per_segment = {k: words[k].to_numpy()[order].astype(np.int64) for k in ("n_a", "n_b", "n_groups", "n_best", "count_sum")}
-        groups = words["groups"].take(pa.array(order)).to_pylist()
-        out: dict[str, list] = {k: [] for k in ("doc_id", *per_segment, "groups_sha256")}
-        for row in block.to_pylist():
-            codes, end = np.frombuffer(zlib.decompress(row["codes"]), np.int32), 0
-            for doc_id, size in zip(row["ids"], row["sizes"], strict=True):
-                own, end = codes[end : end + size], end + size
-                out["doc_id"].append(doc_id)
-                for k, v in per_segment.items():
-                    out[k].append(int(v[own].sum()))
-                digest = hashlib.sha256()
-                for i in range(0, size, AT_ONCE):
-                    digest.update(((";" if i else "") + ";".join(map(groups.__getitem__, own[i : i + AT_ONCE].tolist()))).encode())
-                out["groups_sha256"].append(digest.hexdigest() if size else "")
-        return pa.table({k: pa.array(v, pa.int64() if k in per_segment else pa.string()) for k, v in out.items()})
-
-    def composed(wave: int) -> DataFrame:
-        mine = F.shiftright("block", TASK_BITS) % WAVES == wave
-        dictionary = in_block.where(mine).select(F.col("block").alias("of_block"), "code", "segment").join(known.hint("shuffle_hash"), "segment").drop("segment")
-        both_sides = blocks.where(mine).select("block", "ids", "sizes", "codes").groupBy("block").cogroup(dictionary.groupBy("of_block"))
-        found = both_sides.applyInArrow(compose, "doc_id string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string")
-        # Tokens have at least a byte, so that one of each side ends at a group's end: a group is a link.
-        return found.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
-
-    # Blocks in waves: the shuffles of one are gone before the next begins.
-    out = reduce(DataFrame.unionByName, [written(composed(wave)) for wave in range(WAVES)])
-    dropped(blocks, known)
+    with small_batches(docs.sparkSession, BATCH):
+        blocks = written(cut_into_blocks(docs, both, block_chars))
+        in_block = blocks.where("code IS NOT NULL").select("block", "code", "segment", "n")
+        aligned = written(align_segments(in_block.groupBy("segment").agg(F.sum("n").alias("n")), both).withColumn("number", F.monotonically_increasing_id()))
+        linked = aligned.select("number", F.explode(F.arrays_zip("last_a", "last_b")).alias("x")).select("number", F.col("x.last_a").alias("a"), F.col("x.last_b").alias("b"))
+        sums = linked.join(link_counts(aligned).hint("shuffle_hash"), ["a", "b"]).groupBy("number").agg(F.sum("best").alias("n_best"), F.sum("links").alias("count_sum"))
+        # Written, so that the shuffles up to here go before the next ones come.
+        known = written(aligned.join(sums.hint("shuffle_hash"), "number").select("segment", "n_a", "n_b", "n_groups", "n_best", "count_sum", "groups"))
+        dropped(aligned)
+
+        def compose(block: pa.Table, words: pa.Table) -> pa.Table:
+            order = np.argsort(words["code"].to_numpy())
+            per_segment = {k: words[k].to_numpy()[order].astype(np.int64) for k in ("n_a", "n_b", "n_groups", "n_best", "count_sum")}
+            groups = words["groups"].take(pa.array(order)).to_pylist()
+            out: dict[str, list] = {k: [] for k in ("doc_id", *per_segment, "groups_sha256")}
+            for row in block.to_pylist():
+                codes, end = np.frombuffer(zlib.decompress(row["codes"]), np.int32), 0
+                for doc_id, size in zip(row["ids"], row["sizes"], strict=True):
+                    own, end = codes[end : end + size], end + size
+                    out["doc_id"].append(doc_id)
+                    for k, v in per_segment.items():
+                        out[k].append(int(v[own].sum()))
+                    digest = hashlib.sha256()
+                    for i in range(0, size, AT_ONCE):
+                        digest.update(((";" if i else "") + ";".join(map(groups.__getitem__, own[i : i + AT_ONCE].tolist()))).encode())
+                    out["groups_sha256"].append(digest.hexdigest() if size else "")
+            return pa.table({k: pa.array(v, pa.string() if k in ("doc_id", "groups_sha256") else pa.int64()) for k, v in out.items()})
+
+        def compose_alone(block: pa.Table, words: pa.Table) -> pa.Table:
+            out = compose(block, words)
+            give_back()
+            return out
+
+        def composed(wave: int) -> DataFrame:
+            mine = F.shiftright("block", TASK_BITS) % WAVES == wave
+            dictionary = in_block.where(mine).select(F.col("block").alias("of_block"), "code", "segment").join(known.hint("shuffle_hash"), "segment").drop("segment")
+            both_sides = blocks.where("code IS NULL").where(mine).select("block", "ids", "sizes", "codes").groupBy("block").cogroup(dictionary.groupBy("of_block"))
+            found = both_sides.applyInArrow(compose_alone, "doc_id string, n_a long, n_b long, n_groups long, n_best long, count_sum long, groups_sha256 string")
+            # Tokens have at least a byte, so that one of each side ends at a group's end: a group is a link.
+            return found.select(F.col("doc_id").cast(id_type).alias("doc_id"), "n_a", "n_b", "n_groups", F.col("n_groups").alias("n_links"), "n_best", "count_sum", "groups_sha256")
+
+        # Blocks in waves: the shuffles of one are gone before the next begins.
+        out = reduce(DataFrame.unionByName, [written(composed(wave)) for wave in range(WAVES)])
+        dropped(blocks, known)
     return out
 
 

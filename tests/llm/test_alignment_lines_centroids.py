@@ -8,7 +8,8 @@ from collections import Counter, defaultdict
 import pytest
 from pyspark.sql import functions as F
 
-from rankweave.llm import alignment, centroids, line_dedup
+from rankweave.llm import alignment, centroids, line_dedup, shared
+from rankweave.llm.shared import BATCH_BYTES
 
 DOCS = "doc_id long, text string"
 SF = "/root/testdata/sf0.001"
@@ -183,6 +184,37 @@ def test_op12_odd_texts_against_brute_force(spark, tokenizers):
     assert alignment.align_documents(df.limit(0)).count() == 0
 
 
+def test_op12_rows_stay_small_beside_a_large_vocabulary(spark, monkeypatch):
+    """A block's segments are a row each, not one row that grows with them, and what goes to Python is bounded."""
+    words = [f"w{i}" for i in range(30_000)]
+    df = spark.createDataFrame([(1, " ".join(words)), (2, "w7 w7 w8"), (3, None)], DOCS).coalesce(1)
+    rows = alignment.cut_into_blocks(df, lambda: alignment.pair(alignment.VOCABULARY, alignment.PIECES), alignment.BLOCK_CHARS).collect()
+    assert [(r.ids, r.sizes) for r in rows if r.code is None] == [(["1", "2", "3"], [30_000, 3, 0])]
+    assert [(r.code, r.segment, r.n) for r in rows if r.code is not None] == [(i, x, 3 if i == 7 else 2 if i == 8 else 1) for i, x in enumerate(words)]
+    real, seen, before = alignment.written, [], spark.conf.get(BATCH_BYTES)
+    monkeypatch.setattr(alignment, "written", lambda df: seen.append(spark.conf.get(BATCH_BYTES)) or real(df))
+    assert alignment.align_documents(df).count() == 3
+    assert seen and set(seen) == {str(alignment.BATCH)} and spark.conf.get(BATCH_BYTES) == before
+
+
+def test_workers_give_memory_back_at_the_end(monkeypatch):
+    """Once, after the last batch, when what the function held is free."""
+    done, kept = [], []
+    monkeypatch.setattr(shared, "give_back", lambda: done.append(len(kept)))
+
+    def run(batches):
+        for x in batches:
+            kept.append(x)
+            yield x
+        kept.clear()
+
+    for i, x in enumerate(shared.tidy(run)(iter(range(3)))):
+        assert x == i and not done
+    assert done == [0]
+    monkeypatch.undo()
+    shared.give_back()
+
+
 def test_op12_cuts_hold_for_every_character(tokenizers):
     a_side, b_side = tokenizers
     both = alignment.pair(alignment.VOCABULARY, alignment.PIECES)
