@@ -42,7 +42,7 @@ from pyspark.sql import functions as F
 
 from rankweave.llm.components import components
 from rankweave.llm.hashing import as_bytes, chunks, mix, word_hashes
-from rankweave.llm.shared import dropped, small_batches, written
+from rankweave.llm.shared import dropped, small_batches, tidy, written
 
 #: Words in a shingle, and the least similarity as a fraction of whole numbers.
 SHINGLE, LEAST = 5, (80, 100)
@@ -237,7 +237,7 @@ def set_table(texts: DataFrame, parts: int) -> DataFrame:
         if held:
             yield from closed()
 
-    return texts.mapInArrow(run, TABLE)
+    return texts.mapInArrow(tidy(run), TABLE)
 
 
 def own_keys(asked: DataFrame, parts: int) -> DataFrame:
@@ -270,12 +270,15 @@ def own_keys(asked: DataFrame, parts: int) -> DataFrame:
         slot = np.flatnonzero(n)
         return pa.table([pa.array(np.full(len(slot), table.column("chunk")[0].as_py(), np.int64)), pa.array(slot.astype(np.int32)), pa.array(n[slot].astype(np.int64))], ["chunk", "slot", "own"])
 
-    found = asked.select("slot", "chunk", "keys", "slots").repartitionById(parts, "slot").mapInArrow(single, "chunk long, slots binary")
+    found = asked.select("slot", "chunk", "keys", "slots").repartitionById(parts, "slot").mapInArrow(tidy(single), "chunk long, slots binary")
     return found.groupBy("chunk").applyInArrow(counted, "chunk long, slot int, own long")
 
 
 def node_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(node, n, set, sketch) of the texts that nodes (node) name; a set is its sorted hashes."""
+    """(node, n, set, sketch) of the distinct texts that nodes (node) name; a set is its sorted hashes.
+
+    A copy's row would meet all those of its partner's copies in each join of pairs.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, 1000):
@@ -287,7 +290,9 @@ def node_table(texts: DataFrame, nodes: DataFrame) -> DataFrame:
     bit = nodes.select(place("node").alias("at")).select(F.expr("shiftright(at, 6)").alias("word"), F.expr("shiftleft(1L, CAST(at & 63 AS INT))").alias("bit"))
     bitmap = F.broadcast(bit.groupBy("word").agg(F.bit_or("bit").alias("bits")))
     likely = texts.withColumn("at", place("doc_id")).withColumn("word", F.expr("shiftright(at, 6)")).join(bitmap, "word").where("(shiftrightunsigned(bits, CAST(at & 63 AS INT)) & 1) = 1")
-    return likely.select("doc_id", "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi").mapInArrow(run, "node long, n int, set binary, sketch binary")
+    # Nodes are distinct; a semi-join would be pushed below the bitmap, so that all texts were shuffled.
+    found = likely.select("doc_id", "text").dropDuplicates().join(nodes.select(F.col("node").alias("doc_id")), "doc_id")
+    return found.mapInArrow(tidy(run), "node long, n int, set binary, sketch binary")
 
 
 def signature_table(nodes: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
@@ -310,7 +315,7 @@ def signature_table(nodes: DataFrame, hot, least: tuple[int, int]) -> DataFrame:
             if keys:
                 yield sent(keys, rows, batch)
 
-    return nodes.select("node", "n", "set").mapInArrow(run, "sig long, node long, n int")
+    return nodes.select("node", "n", "set").mapInArrow(tidy(run), "sig long, node long, n int")
 
 
 def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFrame:
@@ -380,7 +385,7 @@ def grouped_pairs(sigs: DataFrame, parts: int, least: tuple[int, int]) -> DataFr
             yield merged()
 
     dealt = sigs.repartition(parts, "sig").sortWithinPartitions("sig", "node")
-    return dealt.mapInArrow(run, "a long, b long, star boolean, near boolean")
+    return dealt.mapInArrow(tidy(run), "a long, b long, star boolean, near boolean")
 
 
 def least_distance(n: np.ndarray, m: np.ndarray, apart: np.ndarray, least: tuple[int, int]) -> tuple[np.ndarray, np.ndarray]:
@@ -399,7 +404,7 @@ def bounded(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> DataF
             yield batch.select(["a", "b"]).filter(pa.array(may))
 
     one, two = (nodes.select(F.col("node").alias(c), F.col("n").alias("n_" + c), F.col("sketch").alias("sketch_" + c)) for c in ("a", "b"))
-    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long")
+    return pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(tidy(run), "a long, b long")
 
 
 def folded(sketches: list[bytes]) -> np.ndarray:
@@ -508,7 +513,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
                 yield some(rows, keys, leads, batch, sketches)
 
     names = ["node", "n", "component", "sketch"]
-    spread = rows.repartition(parts, "node").select("set", *names).mapInArrow(sent, "sig long, node long, n int, component long, sketch binary, lead binary")
+    spread = rows.repartition(parts, "node").select("set", *names).mapInArrow(tidy(sent), "sig long, node long, n int, component long, sketch binary, lead binary")
 
     def block_of(table: pa.Table):
         leads = np.frombuffer(b"".join(table.column("lead").to_pylist()), np.uint64).reshape(len(table), -1)
@@ -573,7 +578,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
         if n_found:
             yield row(settled())
 
-    dealt = spread.repartition(parts, "sig").sortWithinPartitions("sig", F.xxhash64("sig", "node")).mapInArrow(run, LIKELY)
+    dealt = spread.repartition(parts, "sig").sortWithinPartitions("sig", F.xxhash64("sig", "node")).mapInArrow(tidy(run), LIKELY)
     if first_only:
         return dealt.select("a", "b", "low")
     dealt = written(dealt)
@@ -590,7 +595,7 @@ def second_look(rows: DataFrame, hot, parts: int, least: tuple[int, int], first_
                 group = np.int64(batch.column("group")[i].as_py()).view(np.uint64)
                 yield row(likely_pairs(*sides, least, False, group)).select(["a", "b", "low"])
 
-    met = one.join(two, "group").where("block_a < block_b").mapInArrow(across, "a long, b long, low long")
+    met = one.join(two, "group").where("block_a < block_b").mapInArrow(tidy(across), "a long, b long, low long")
     return dealt.where("a IS NOT NULL").select("a", "b", "low").unionByName(met)
 
 
@@ -606,7 +611,7 @@ def verified(pairs: DataFrame, nodes: DataFrame, least: tuple[int, int]) -> Data
             yield pa.RecordBatch.from_arrays([batch.column("a"), batch.column("b"), pa.array(1 - both / np.maximum(1, union)), pa.array(link)], ["a", "b", "d", "link"])
 
     one, two = (nodes.select(F.col("node").alias(c), F.col("set").alias("set_" + c)) for c in ("a", "b"))
-    return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(run, "a long, b long, d double, link boolean"))
+    return written(pairs.select("a", "b").join(one, "a").join(two, "b").mapInArrow(tidy(run), "a long, b long, d double, link boolean"))
 
 
 def apart(pairs: DataFrame, joined: DataFrame) -> DataFrame:

@@ -24,7 +24,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rankweave.llm.shared import written
+from rankweave.llm.shared import tidy, written
 from rankweave.llm.tokens import VOCABULARY, Words
 
 #: A bin is nearly full, and closed, when at most this share of it is free.
@@ -57,7 +57,7 @@ def pieces(docs: DataFrame, capacity: int, end_id: int, vocabulary: str) -> Data
             out = pd.DataFrame(rows, columns=["item", "doc_id", "piece", "start", "length", "ids_crc32"])
             yield out.astype({"doc_id": "Int64"})
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(run, PIECES)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).mapInPandas(tidy(run), PIECES)
 
 
 def best_fit(lengths: list[int], capacity: int) -> tuple[list[int], list[int], list[int]]:
@@ -96,7 +96,7 @@ def pack_round(items: DataFrame, parts: int, capacity: int, level: int) -> DataF
         rows["load"] = np.array(loads, "int64")[np.array(bins, "int64")] if bins else np.array([], "int64")
         yield rows
 
-    return items.repartition(parts, F.col("part")).mapInPandas(run, "item long, length long, bin long, place long, load long")
+    return items.repartition(parts, F.col("part")).mapInPandas(tidy(run), "item long, length long, bin long, place long, load long")
 
 
 def mergeable(counts: dict[int, int], capacity: int) -> dict[int, int]:

@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.hashing import TABLE, as_bytes, chunks, mix, powers, substring_hashes, word_hashes, word_spans
-from rankweave.llm.shared import dropped, written
+from rankweave.llm.shared import dropped, tidy, written
 
 LENGTH, GRAM = 400, 100
 #: Words of the shortest passage of over 50 words, and of its grams.
@@ -175,7 +175,7 @@ def anchor_table(texts: DataFrame, length: int, gram: int, unit: str) -> DataFra
             for of, h, g1, g2, lo, n in anchors_of(as_bytes(batch.column("text")), length, gram, unit):
                 yield pa.RecordBatch.from_arrays([pa.array(k1[of]), pa.array(k2[of]), signed(h), signed(g1), signed(g2), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], [*KEY, *SEGMENT, "lo", "n"])
 
-    return texts.mapInArrow(run, "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int")
+    return texts.mapInArrow(tidy(run), "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int")
 
 
 def cut_segments(texts: DataFrame, wanted: DataFrame, length: int, unit: str) -> DataFrame:
@@ -197,7 +197,7 @@ def cut_segments(texts: DataFrame, wanted: DataFrame, length: int, unit: str) ->
     ints, longs = pa.int32(), pa.int64()
     schema = pa.schema([("k1", longs), ("k2", longs), ("h", longs), ("g1", longs), ("g2", longs), ("lo", ints), ("n", ints), ("occ", longs), ("big", pa.bool_()), ("symbols", pa.binary())])
     found = texts.join(per_text, KEY).select(*KEY, "text", "wanted")
-    return found.mapInArrow(run, "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int, occ long, big boolean, symbols binary")
+    return found.mapInArrow(tidy(run), "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int, occ long, big boolean, symbols binary")
 
 
 MARKS = "k1 long, k2 long, start int, end int"
@@ -231,7 +231,7 @@ def indexed_marks(segments: DataFrame, parts: int, length: int, kind: type, inde
             if rows:
                 yield pd.DataFrame(rows, columns=["k1", "k2", "start", "end"])
 
-    return segments.repartition(parts, "h").mapInPandas(run, MARKS)
+    return segments.repartition(parts, "h").mapInPandas(tidy(run), MARKS)
 
 
 def counted_marks(segments: DataFrame, length: int, kind: type) -> DataFrame:
@@ -245,7 +245,7 @@ def counted_marks(segments: DataFrame, length: int, kind: type) -> DataFrame:
                 full = lambda v, kind: pa.array(np.full(n, v, kind))
                 yield pa.RecordBatch.from_arrays([full(k1, np.int64), full(k2, np.int64), signed(w1), signed(w2), pa.array((lo + s).astype(np.int32)), full(occ, np.int64)], [*KEY, "w1", "w2", "start", "occ"])
 
-    windows = segments.mapInArrow(run, "k1 long, k2 long, w1 long, w2 long, start int, occ long")
+    windows = segments.mapInArrow(tidy(run), "k1 long, k2 long, w1 long, w2 long, start int, occ long")
     often = windows.groupBy("w1", "w2").agg(F.sum("occ").alias("all")).where("all > 1")
     return windows.where("occ = 1").join(often, ["w1", "w2"]).select(*KEY, "start", (F.col("start") + length).alias("end"))
 
@@ -292,7 +292,7 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
 
     kinds = dict(docs.dtypes)
     schema = ", ".join(f"`{c}` {kinds[c]}" for c in (key, *carry)) + f", n_bytes long, spans array<struct<start:int,end:int>>, kept {'string' if as_text else 'binary'}"
-    return texts.join(spans, KEY, "left").select(key, *carry, "text", "marks").mapInArrow(run, schema)
+    return texts.join(spans, KEY, "left").select(key, *carry, "text", "marks").mapInArrow(tidy(run), schema)
 
 
 def without_repeats(docs: DataFrame, **options) -> DataFrame:

@@ -57,3 +57,20 @@ def test_one_row_of_each_component_stays(spark):
         own = [m for m in members if m in kept]
         assert len(own) == 1 and own[0][0] == min(members)[0]
     assert jaccard.one_of_each(docs.limit(0)).count() == 0
+
+
+def test_copies_of_a_text_are_one_node(spark, monkeypatch):
+    """Rows of nodes don't grow with copies, whose pairs would grow with the square; other texts stay out by the bitmap before any shuffle."""
+    rng = random.Random(9)
+    words = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(300)]
+    t = [rng.choice(words) for _ in range(160)]
+    near = [" ".join(t[:k] + ["edit"] + t[k + 1 :]) for k in (20, 40, 60)]
+    rows = [(i, x) for i, x in enumerate([*near * 50, *(" ".join(rng.choice(words) + str(i) for _ in range(40)) for i in range(30))])]
+    docs = spark.createDataFrame([(k, x, "en", "s", 1) for k, x in rows], "doc_id long, text string, lang string, source string, n_chars long").repartition(3)
+    real, seen = jaccard.links_of, []
+    monkeypatch.setattr(jaccard, "links_of", lambda nodes, *rest: seen.append((nodes.count(), nodes.select("node").distinct().count())) or real(nodes, *rest))
+    got = corpus_pipeline.near_duplicates(spark, docs, "").collect()
+    assert sorted(r.doc_id for r in got) == [0, *range(150, 180)]
+    assert seen[0][0] == seen[0][1] >= 3
+    plan = jaccard.node_table(docs.select("doc_id", "text"), spark.createDataFrame([(3,), (4,)], "node long"))._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftSemi" not in plan
