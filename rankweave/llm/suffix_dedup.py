@@ -3,7 +3,8 @@
 The symbols of a text are its bytes or its words (A-Z lower-cased, apart by white space, as hashes). Every window of `length`
 symbols belongs to one anchor, the leftmost smallest hash of its k-grams. Equal windows have equal
 anchors, so repeats are looked for among the segments (an anchor's consecutive windows) of one anchor hash. Segments
-that occur twice as a whole are repeats. The distinct segments of the other anchors are dealt out by anchor
+that occur twice as a whole are repeats; equal segments one right after the other, as periodic text has them, are one row
+with their number. The distinct segments of the other anchors are dealt out by anchor
 hash, and each task indexes its share: the suffix order gives the Burrows-Wheeler transform, of which only the runs are
 kept, with the text positions at both ends of each run. Along the text the matching statistics (the longest match of each suffix
 with its neighbour in suffix order) fall by one a symbol except at run ends, so the matches sampled there give all of
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.hashing import TABLE, as_bytes, chunks, mix, powers, substring_hashes, word_hashes, word_spans
-from rankweave.llm.shared import dropped, tidy, written
+from rankweave.llm.shared import dropped, small_batches, tidy, written
 
 LENGTH, GRAM = 400, 100
 #: Words of the shortest passage of over 50 words, and of its grams.
@@ -36,6 +37,8 @@ MAX_VARIANTS = 5000
 INDEX = 1 << 19
 #: Windows of a text that are treated at once.
 BLOCK = 1 << 19
+#: Bytes of rows that a Python worker gets at once.
+BATCH = 8 << 20
 _SECOND = np.random.default_rng(20240301).integers(1, 2**64, 256, dtype=np.uint64)
 
 
@@ -68,7 +71,7 @@ def sliding_min(x: np.ndarray, w: int) -> np.ndarray:
 
 
 def anchors_of(texts: list[bytes], length: int, gram: int, unit: str = "bytes") -> Iterator[tuple[np.ndarray, ...]]:
-    """(text, anchor hash, two segment hashes, first window, number of windows) of all segments, as arrays."""
+    """(text, anchor hash, two segment hashes, first window, number of windows, times) of all segments, as arrays; equal ones in a row are given once."""
     low = np.uint64(2**23 - 1)
     w = length - gram + 1
     for first, part in chunks(texts, BLOCK):
@@ -91,7 +94,13 @@ def anchors_of(texts: list[bytes], length: int, gram: int, unit: str = "bytes")
             n = np.diff(np.r_[new, len(s)])
             lo = s[new]
             end = lo + n + length - 1
-            yield first + of[new], h[pos[new]], substring_hashes(sums, lo, end), substring_hashes(second, lo, end), lo + at - begin[of[new]], n
+            rows = first + of[new], h[pos[new]], substring_hashes(sums, lo, end), substring_hashes(second, lo, end), lo + at - begin[of[new]], n
+            text, *key, start, _ = rows
+            again = (text[1:] == text[:-1]) & (start[1:] == start[:-1] + n[:-1])
+            for x in key:
+                again &= x[1:] == x[:-1]
+            head = np.flatnonzero(np.r_[True, ~again])
+            yield *(x[head] for x in rows), np.diff(np.r_[head, len(n)])
 
 
 def suffix_ranks(t: np.ndarray, depth: int) -> tuple[list[tuple[int, np.ndarray]], np.ndarray]:
@@ -172,10 +181,10 @@ def anchor_table(texts: DataFrame, length: int, gram: int, unit: str) -> DataFra
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             k1, k2 = (batch.column(c).to_numpy() for c in KEY)
-            for of, h, g1, g2, lo, n in anchors_of(as_bytes(batch.column("text")), length, gram, unit):
-                yield pa.RecordBatch.from_arrays([pa.array(k1[of]), pa.array(k2[of]), signed(h), signed(g1), signed(g2), pa.array(lo.astype(np.int32)), pa.array(n.astype(np.int32))], [*KEY, *SEGMENT, "lo", "n"])
+            for of, h, g1, g2, lo, n, times in anchors_of(as_bytes(batch.column("text")), length, gram, unit):
+                yield pa.RecordBatch.from_arrays([pa.array(k1[of]), pa.array(k2[of]), signed(h), signed(g1), signed(g2), *(pa.array(x.astype(np.int32)) for x in (lo, n, times))], [*KEY, *SEGMENT, "lo", "n", "times"])
 
-    return texts.mapInArrow(tidy(run), "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int")
+    return texts.mapInArrow(tidy(run), "k1 long, k2 long, h long, g1 long, g2 long, lo int, n int, times int")
 
 
 def cut_segments(texts: DataFrame, wanted: DataFrame, length: int, unit: str) -> DataFrame:
@@ -258,17 +267,18 @@ def remove_repeats(docs: DataFrame, key: str = "doc_id", text: str = "text", len
     spark = docs.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
     texts = docs.select(F.coalesce(F.col(key).cast("long"), F.lit(-1)).alias("k1"), F.xxhash64(key, text).alias("k2"), F.col(key), F.col(text).alias("text"), *carry)
-    anchors = written(anchor_table(texts.select(*KEY, "text"), length, gram, unit))
-    segments = anchors.groupBy(SEGMENT).agg(F.count("*").alias("occ"), F.min(F.struct(*KEY, "lo", "n")).alias("at"))
-    segments = written(segments)
-    groups = segments.groupBy("h").agg(F.count("*").alias("variants"), F.min("occ").alias("least")).where("variants > 1 AND least = 1")
-    wanted = segments.join(groups, "h").select(*SEGMENT, "occ", "at.*", (F.col("variants") > max_variants).alias("big"))
-    cut = written(cut_segments(texts.select(*KEY, "text"), wanted, length, unit))
-    kind = np.uint32 if unit == "words" else np.uint8
-    whole = anchors.join(segments.where("occ > 1").select(SEGMENT), SEGMENT).select(*KEY, F.col("lo").alias("start"), (F.col("lo") + F.col("n") + length - 1).alias("end"))
-    marks = whole.unionByName(indexed_marks(cut.where("NOT big"), parts, length, kind)).unionByName(counted_marks(cut.where("big"), length, kind))
-    spans = written(marks.groupBy(KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")))
-    dropped(anchors, segments, cut)
+    with small_batches(spark, BATCH):
+        anchors = written(anchor_table(texts.select(*KEY, "text"), length, gram, unit))
+        segments = anchors.groupBy(SEGMENT).agg(F.sum("times").alias("occ"), F.min(F.struct(*KEY, "lo", "n")).alias("at"))
+        segments = written(segments)
+        groups = segments.groupBy("h").agg(F.count("*").alias("variants"), F.min("occ").alias("least")).where("variants > 1 AND least = 1")
+        wanted = segments.join(groups, "h").select(*SEGMENT, "occ", "at.*", (F.col("variants") > max_variants).alias("big"))
+        cut = written(cut_segments(texts.select(*KEY, "text"), wanted, length, unit))
+        kind = np.uint32 if unit == "words" else np.uint8
+        whole = anchors.join(segments.where("occ > 1").select(SEGMENT), SEGMENT).select(*KEY, F.col("lo").alias("start"), (F.col("lo") + F.col("times") * F.col("n") + length - 1).alias("end"))
+        marks = whole.unionByName(indexed_marks(cut.where("NOT big"), parts, length, kind)).unionByName(counted_marks(cut.where("big"), length, kind))
+        spans = written(marks.groupBy(KEY).agg(F.sort_array(F.collect_set(F.struct("start", "end"))).alias("marks")))
+        dropped(anchors, segments, cut)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:

@@ -162,6 +162,34 @@ def test_op2_index_on_random_repeats():
             assert {i for a, z in ranges for i in range(a, z)} == {i for i in range(len(s) - 11) if seen[s[i : i + 12]] > 1}
 
 
+def test_op2_periodic_text_is_a_row_per_run(spark, monkeypatch):
+    """Equal segments one after the other are one row, so the marks of periodic texts don't grow with the texts' lengths."""
+    length, gram = suffix_dedup.PASSAGE, suffix_dedup.PASSAGE_GRAM
+    turns = lambda n, words: " ".join(words[i % len(words)] for i in range(n))
+    texts = [f"{prose(60, 801)} {turns(2000, ['ab', 'cd'])} {prose(60, 802)}", turns(3001, ["ab", "cd"]), turns(50, ["ab", "cd"]), turns(51, ["no", "on"]), turns(52, ["so", "os"]), turns(53, ["to", "ot"]), turns(700, VOCAB[:30]), turns(700, VOCAB[30:90]), turns(90, VOCAB[100:150])]
+    tables, real = [], suffix_dedup.anchor_table
+
+    def kept_in_mind(*of):
+        tables.append(suffix_dedup.written(real(*of)))
+        return tables[-1]
+
+    monkeypatch.setattr(suffix_dedup, "anchor_table", kept_in_mind)
+    frame = spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(texts)], SCHEMA)
+    got = {r.doc_id: [tuple(s) for s in r.spans] for r in suffix_dedup.remove_repeats(frame, length=length, gram=gram, unit="words").collect()}
+    split = [[(m.start(), m.end(), m[0]) for m in re.finditer("[^ ]+", t)] for t in texts]
+    seen = Counter(tuple(x[2] for x in w[i : i + length]) for w in split for i in range(len(w) - length + 1))
+    for k, w in enumerate(split):
+        cover = np.zeros(len(w) + 1, bool)
+        for i in range(len(w) - length + 1):
+            if seen[tuple(x[2] for x in w[i : i + length])] > 1:
+                cover[i : i + length] = True
+        edge = np.flatnonzero(np.diff(cover, prepend=False))
+        assert got[k] == [(w[x][0], w[y - 1][1]) for x, y in zip(edge[::2], edge[1::2], strict=True)], k
+    rows = tables[0].groupBy("k1").agg(F.count("*").alias("rows"), F.sum(F.col("times") * F.col("n")).alias("windows")).collect()
+    assert {r.k1: r.windows for r in rows} == {k: len(w) - length + 1 for k, w in enumerate(split) if len(w) >= length}
+    assert {r.k1: r.rows for r in rows}[1] <= 3 and sum(r.rows for r in rows if r.k1 in (0, 1, 6)) < 40
+
+
 def test_op2_empty(none):
     assert suffix_dedup.remove_repeats(none).count() == 0
 
