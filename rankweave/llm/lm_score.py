@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from rankweave.llm.hashing import as_bytes, chunks, mix, word_hashes
-from rankweave.llm.shared import written
+from rankweave.llm.shared import give_back, small_batches, tidy, written
 
 FOLDS, HELD_OUT = 5, 1
 #: Buckets of contexts: 0 for unseen ones, then one for each octave of c(v).
@@ -35,7 +35,9 @@ PER_OCTAVE = 4
 #: Blocks of an input partition.
 SPLIT = 3
 #: Tokens that a task scores at once.
-FLUSH = 1_000_000
+FLUSH = 1 << 18
+#: Bytes of rows that a Python worker gets at once, and of hashes that it sends at once.
+BATCH, SENT = 8 << 20, 2 << 20
 
 START, END = (np.uint64(x) for x in (0x5EED0001, 0x5EED0002))
 WORDS, PAIRS = 0, 1
@@ -108,6 +110,7 @@ def requests(docs: DataFrame, parts: int) -> DataFrame:
                 held.setdefault(block, []).append(off)
         for block in sorted(texts):
             yield from of_block(block, texts.pop(block), np.array(held[block], bool))
+            give_back()
 
     def of_block(block: int, texts: list[bytes], held_out: np.ndarray) -> Iterator[pa.RecordBatch]:
         tok, ctx, sizes = tokens(texts)
@@ -118,7 +121,7 @@ def requests(docs: DataFrame, parts: int) -> DataFrame:
         for kind, keys, n in ((WORDS, words, n_words), (PAIRS, pairs, np.bincount(of_pair, train, len(pairs)).astype(np.int64))):
             at = cuts(keys, parts)
             full = np.flatnonzero(np.diff(at))
-            for some in np.array_split(full, max(1, len(full) // 1000)):
+            for some in np.array_split(full, max(1, len(full) // 1000, min(len(full), keys.nbytes // SENT))):
                 slices = [slice(at[k], at[k + 1]) for k in some]
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -131,7 +134,7 @@ def requests(docs: DataFrame, parts: int) -> DataFrame:
                     ["part", "kind", "block", "keys", "n"],
                 )
 
-    return in_blocks(docs).select("block", "text", "held_out").mapInArrow(run, REQUESTS)
+    return in_blocks(docs).select("block", "text", "held_out").mapInArrow(tidy(run), REQUESTS)
 
 
 def level(p: np.ndarray) -> np.ndarray:
@@ -161,7 +164,7 @@ def replies(asked: DataFrame, parts: int) -> DataFrame:
 
     names = [x.split()[0] for x in REPLIES.split(", ")]
     types = [pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.binary(), pa.int64(), pa.int64()]
-    return asked.repartitionById(parts, "part").mapInArrow(run, REPLIES)
+    return asked.repartitionById(parts, "part").mapInArrow(tidy(run), REPLIES)
 
 
 def bucket_of(context: np.ndarray) -> np.ndarray:
@@ -212,8 +215,13 @@ def counted(docs: DataFrame, answers: DataFrame, parts: int, total: int) -> Data
         ]
         return pa.table(columns, names=[x.split()[0] for x in COUNTS.split(", ")])
 
+    def whole(texts: pa.Table, totals: pa.Table) -> pa.Table:
+        out = run(texts, totals)
+        give_back()
+        return out
+
     texts = in_blocks(docs).select("block", "text", "held_out", "doc_id")
-    return texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(run, COUNTS)
+    return texts.groupBy("block").cogroup(answers.where("block >= 0").groupBy("block")).applyInArrow(whole, COUNTS)
 
 
 def learn(histogram: list[tuple[int, int]], vocabulary: int, buckets: int, steps: int = EM_STEPS) -> np.ndarray:
@@ -244,10 +252,12 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
     held_out = F.coalesce(F.pmod(F.crc32(F.col(key).cast("string").cast("binary")), F.lit(FOLDS)) == HELD_OUT, F.lit(False))
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).alias("text"), held_out.alias("held_out"))
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    answers = written(replies(requests(docs, parts), parts))
+    with small_batches(spark, BATCH):
+        answers = written(replies(requests(docs, parts), parts))
     found = answers.where("block = -1").agg(*(F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("vocabulary", "total"))).first()
     vocabulary, total = found.vocabulary, found.total
-    counts = written(counted(docs, answers, parts, total))
+    with small_batches(spark, BATCH):
+        counts = written(counted(docs, answers, parts, total))
     cells = counts.where("cell IS NOT NULL").groupBy("cell").agg(F.sum("weight").alias("n")).collect()
     weights = learn([(r.cell, r.n) for r in cells], vocabulary, BUCKETS)
 
@@ -271,7 +281,7 @@ def score(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame
         columns = [some.column("doc_id"), some.column("held_out"), some.column("n_tokens"), add((word > 0).astype(np.int64)), pa.array(np.full(len(sizes), total, np.int64)), add(base), add(np.log10(p))]
         return pa.RecordBatch.from_arrays(columns, [x.split()[0] for x in SCORES.split(", ")])
 
-    return counts.where("cell IS NULL").select("doc_id", "held_out", "n_tokens", "c1", "c2").mapInArrow(run, SCORES)
+    return counts.where("cell IS NULL").select("doc_id", "held_out", "n_tokens", "c1", "c2").mapInArrow(tidy(run), SCORES)
 
 
 def op6_lm_score(spark, sf_dir: str) -> DataFrame:

@@ -403,6 +403,17 @@ def test_op6_counts_and_base(docs, none):
     assert lm_score.score(none).count() == 0
 
 
+def test_op6_hands_out_small_batches(spark, monkeypatch, docs, none):
+    """Tables are made with a bound on the batches for Python, and what a task sends or scores at once doesn't change a score."""
+    real, seen, before = lm_score.written, [], spark.conf.get(BATCH_BYTES)
+    monkeypatch.setattr(lm_score, "written", lambda df: seen.append(spark.conf.get(BATCH_BYTES)) or real(df))
+    whole = sorted(map(str, lm_score.score(docs).collect()))
+    monkeypatch.setattr(lm_score, "BATCH", 4096)
+    monkeypatch.setattr(lm_score, "SENT", 512)
+    assert sorted(map(str, lm_score.score(docs).collect())) == whole and lm_score.score(none).count() == 0
+    assert seen == [str(8 << 20)] * 2 + ["4096"] * 4 and spark.conf.get(BATCH_BYTES) == before
+
+
 def test_op6_against_brute_force_with_rare_contexts(spark):
     held = lambda i: zlib.crc32(str(i).encode()) % 5 == 1
     off = [i for i in range(2000) if held(i)][:3]
