@@ -59,15 +59,31 @@ def duplicates(people: DataFrame) -> DataFrame:
 def prior_appearances(people: DataFrame, most: int = 8, scan_limit: int | None = None) -> DataFrame:
     """Pairs of rows of different jobs with the same e-mail or phone, at most `most` per row, newest job first.
 
-    The OR of two equalities is two equi-joins whose results are merged per pair.
+    Of a key's rows only the newest `most` of each job, and of these the newest 2 * `most`, can come first for anyone: at most
+    `most` of them are of one's own job. Rows meet these lists, not each other, so a key that many rows share makes no more pairs.
     """
-    pool = people.orderBy(F.desc("resume_id")).limit(scan_limit) if scan_limit else people
-    other = pool.select(F.col("resume_id").alias("other_id"), F.col("job_id").alias("other_job"), "email", "phone")
+    keys = F.array_compact(F.array(F.concat(F.lit("e"), "email"), F.concat(F.lit("p"), "phone")))
 
-    def same(key: str) -> DataFrame:
-        left = people.where(F.col(key).isNotNull()).select("resume_id", "job_id", key)
-        return left.join(other.select("other_id", "other_job", key), key).where("job_id <> other_job").select("resume_id", "job_id", "other_id", "other_job", F.lit(key).alias("reason"))
+    def keyed(rows: DataFrame) -> DataFrame:
+        """resume_id, job_id, keys: what a row, or rows of one id and job, can be found by."""
+        once = rows.where("job_id IS NOT NULL").select("resume_id", "job_id", "email", "phone").distinct()
+        found = once.groupBy("resume_id", "job_id").agg(F.array_distinct(F.flatten(F.collect_list(keys))).alias("keys"))
+        return found.select("*", F.explode("keys").alias("key"))
 
-    pairs = same("email").unionByName(same("phone")).groupBy("resume_id", "job_id", "other_id", "other_job").agg(F.array_join(F.sort_array(F.collect_set("reason")), "+").alias("reasons"))
-    newest = Window.partitionBy("resume_id").orderBy(F.desc("other_job"), F.desc("other_id"))
-    return pairs.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most).withColumn("place", F.col("place").cast("long"))
+    pool = people.orderBy(F.desc("resume_id")).limit(scan_limit) if scan_limit else people
+    others = keyed(pool).select("key", F.col("job_id").alias("other_job"), F.col("resume_id").alias("other_id"), F.col("keys").alias("other_keys"))
+    of_job = Window.partitionBy("key", "other_job").orderBy(F.desc("other_id"))
+    newest = Window.partitionBy("key").orderBy(F.desc("other_job"), F.desc("other_id"))
+    first = others.withColumn("n", F.row_number().over(of_job)).where(F.col("n") <= most).withColumn("n", F.row_number().over(newest)).where(F.col("n") <= 2 * most)
+    lists = first.groupBy("key").agg(F.sort_array(F.collect_list(F.struct("other_job", "other_id", "other_keys")), asc=False).alias("others"))
+
+    def hit(x: Column) -> Column:
+        by = lambda kind: F.exists("keys", lambda k: k.startswith(kind) & F.array_contains(x["other_keys"], k))
+        return F.struct(x["other_job"].alias("other_job"), x["other_id"].alias("other_id"), F.col("job_id").alias("job_id"), by("e").alias("email"), by("p").alias("phone"))
+
+    elsewhere = F.slice(F.filter("others", lambda x: x["other_job"] != F.col("job_id")), 1, most)
+    hits = keyed(people).join(lists, "key").select("resume_id", F.transform(elsewhere, hit).alias("hits")).where(F.size("hits") > 0)
+    best = hits.groupBy("resume_id").agg(F.slice(F.sort_array(F.array_distinct(F.flatten(F.collect_list("hits"))), asc=False), 1, most).alias("hits"))
+    pairs = best.select("resume_id", F.posexplode("hits").alias("place", "x"))
+    reasons = F.concat_ws("+", F.when(F.col("x.email"), "email"), F.when(F.col("x.phone"), "phone"))
+    return pairs.select("resume_id", "x.job_id", "x.other_id", "x.other_job", reasons.alias("reasons"), (F.col("place") + 1).cast("long").alias("place"))

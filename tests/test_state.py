@@ -147,6 +147,40 @@ def test_duplicates_and_appearances_by_hand(spark):
     assert [p for p in pairs if p[0] == 6] == [(6, 1, "phone", 3), (6, 3, "phone", 2), (6, 4, "phone", 1)] and not [p for p in pairs if p[0] == 5]
 
 
+def rows_of_joins(spark, df):
+    """Rows of the result, and how many rows its joins made."""
+    rows = df.collect()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    seen = spark._jsparkSession.sharedState().statusStore()
+    of = seen.executionsList(seen.executionsCount() - 1, 1).apply(0).executionId()
+    values, nodes, made = seen.executionMetrics(of), seen.planGraph(of).allNodes(), 0
+    for node in (nodes.apply(i) for i in range(nodes.size()) if "Join" in nodes.apply(i).name()):
+        metrics = (node.metrics().apply(i) for i in range(node.metrics().size()))
+        made += sum(int(values.apply(m.accumulatorId()).replace(",", "")) for m in metrics if m.name() == "number of output rows" and values.contains(m.accumulatorId()))
+    return rows, made
+
+
+def test_appearances_of_a_key_that_many_share(spark):
+    people = [(i, i % 4, f"m{i % 3}@x", "1" if i % 2 else None) for i in range(1200)] + [(1200, 9, None, "2"), (1200, 9, None, "2"), (1201, 9, "m1@x", "1"), (1201, 8, "m2@x", None), (1202, None, "m1@x", "1")]
+    frame = spark.createDataFrame(people, "resume_id long, job_id long, email string, phone string").withColumn("final_score", F.lit(1.0))
+    rows, made = rows_of_joins(spark, ranking.prior_appearances(frame))
+    got, want = {}, {}
+    for r in rows:
+        got.setdefault(r.resume_id, []).append((r.place, r.job_id, r.other_job, r.other_id, r.reasons))
+    for k in {p[0] for p in people}:
+        pairs = {}
+        for mine in (p for p in people if p[0] == k and p[1] is not None):
+            for o in (o for o in people if o[1] is not None and o[1] != mine[1]):
+                why = {n for n, at in (("email", 2), ("phone", 3)) if mine[at] and mine[at] == o[at]}
+                if why:
+                    pairs.setdefault((o[1], o[0], mine[1]), set()).update(why)
+        found = [(i + 1, mine, job, other, "+".join(sorted(why))) for i, ((job, other, mine), why) in enumerate(sorted(pairs.items(), reverse=True)[:8])]
+        if found:
+            want[k] = found
+    assert {k: sorted(v) for k, v in got.items()} == want
+    assert made <= 3 * len(people)  # a row for each key of each person; all pairs would be 250,000 per e-mail
+
+
 def test_cascade_by_hand(spark):
     scores = spark.createDataFrame([(1, i, float(i)) for i in range(5)] + [(2, 10 + i, 1.0) for i in range(3)], "job_id long, resume_id long, ats_score double")
     got = sorted((r.job_id, r.resume_id) for r in ranking.cascade(scores, 2, 3.5).collect())
