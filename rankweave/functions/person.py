@@ -50,6 +50,18 @@ NO_NAME = (
     r"engineer|developer|student|intern|bachelor|master|b\.?tech|database|mongodb|nosql|mysql|postgres|redis|sql|html|css|javascript|typescript|python|java|react|node|express|docker|"
     r"kubernetes|aws|azure|gcp|fullstack|full\s*stack|backend|frontend|novelties|include|hands[\s\-]?on|proficient|responsible|interested|passionate|motivated|dedicated|results?\s*driven)\b"
 )
+
+
+def _by_first(pattern: str) -> str:
+    """NO_NAME with its alternatives gathered by their first letter: fits the same texts, with fewer trials at each word."""
+    groups: dict[str, list[str]] = {}
+    for x in pattern.removeprefix(r"(?i)\b(").removesuffix(r")\b").split("|"):
+        x = x.removeprefix(r"\b")
+        groups.setdefault(x[0], []).append(x[1:])
+    return r"(?i)\b(?:" + "|".join(f"{k}(?:{'|'.join(v)})" for k, v in groups.items()) + r")\b"
+
+
+_NO_NAME = _by_first(NO_NAME)
 OPENERS = ["my", "our", "the", "a", "an", "this", "his", "her"]
 #: Trust in a single source of a name.
 TRUST = {"filename": 78, "email": 72, "llm": 68, "heuristic": 48}
@@ -85,9 +97,16 @@ def _count(words: Column, test) -> Column:
     return F.size(F.filter(words, test))
 
 
+def by_length(words: list[str]) -> list[str]:
+    """Words as one text for each length from 0 up, each word between bars; an empty one at the end for longer ones."""
+    return ["".join(f"|{w}" for w in words if len(w) == n) + "|" for n in range(max(map(len, words)) + 1)] + [""]
+
+
 def among(word: Column, words: list[str]) -> Column:
-    """Whether a word is one of these: one literal, however long the list, which keeps plans small."""
-    return F.contains(F.lit("|" + "|".join(words) + "|"), F.concat(F.lit("|"), word, F.lit("|")))
+    """Whether a word is one of these. It is looked for among those of its length only; the list is one literal, which keeps plans small."""
+    lists = by_length(words)
+    some = F.split(F.lit("\n".join(lists)), "\n", -1)
+    return bound(word, lambda w: F.contains(F.get(some, F.least(F.length(w), F.lit(len(lists) - 1))), F.concat(F.lit("|"), w, F.lit("|"))))
 
 
 def is_tech(word: Column) -> Column:
@@ -97,7 +116,7 @@ def is_tech(word: Column) -> Column:
 def tech_blob(text: Column) -> Column:
     """Whether a text is technologies: two of them, or one among at most two words."""
     words = _found(text, r"[A-Za-z][A-Za-z0-9+.#\-']*")
-    both = F.struct(F.size(words).alias("n"), _count(words, is_tech).alias("hits"))
+    both = bound(words, lambda w: F.struct(F.size(w).alias("n"), _count(w, is_tech).alias("hits")))
     return bound(both, lambda b: (b["hits"] >= 2) | ((b["hits"] == 1) & (b["n"] <= 2)))
 
 
@@ -107,10 +126,10 @@ def prose(name: Column) -> Column:
 
 
 def _prose_words(words: Column) -> Column:
-    n, hits = F.size(words), _count(words, lambda w: among(w, PROSE))
+    n = F.size(words)
     verbal = F.exists(words, lambda w: w.rlike("(?:ing|ed|ly)$") & ~w.isin("king", "young"))
-    long = n >= 3
-    return (n == 0) | (hits >= 2) | ((hits >= 1) & long) | F.coalesce(among(F.try_element_at(words, F.lit(1)), OPENERS), F.lit(False)) | (verbal & (long | (hits >= 1)))
+    long, opened = n >= 3, F.coalesce(among(F.try_element_at(words, F.lit(1)), OPENERS), F.lit(False))
+    return bound(_count(words, lambda w: among(w, PROSE)), lambda hits: (n == 0) | (hits >= 2) | ((hits >= 1) & long) | opened | ((long | (hits >= 1)) & verbal))
 
 
 def without_noise(text: Column) -> Column:
@@ -175,7 +194,7 @@ def plausible_person(name: Column, single: bool = False) -> Column:
     """Whether a text can be a name of two to four words, or one word of five letters or more where single is set."""
     trimmed = F.regexp_replace(F.coalesce(name, F.lit("")), r"^\s+|\s+$", "")
     forms = bound(trimmed, lambda t: F.struct(F.length(t).between(3, 80).alias("sized"), bound(without_noise(t), lambda w: F.when(w == "", t).otherwise(w)).alias("bare")))
-    return bound(forms, lambda f: f["sized"] & ~f["bare"].rlike(NO_NAME) & ~tech_blob(f["bare"]) & ~prose(f["bare"]) & bound(name_words(f["bare"]), lambda words: _person_words(words, single)))
+    return bound(forms, lambda f: f["sized"] & ~f["bare"].rlike(_NO_NAME) & ~tech_blob(f["bare"]) & ~prose(f["bare"]) & bound(name_words(f["bare"]), lambda words: _person_words(words, single)))
 
 
 def _person_words(words: Column, single: bool) -> Column:
@@ -193,40 +212,60 @@ def only(rows: DataFrame, condition: Column, *columns) -> DataFrame:
     return rows.select(F.inline_outer(F.when(condition, F.array(F.struct(F.lit(True).alias("_kept"), *columns))))).where("_kept").drop("_kept")
 
 
-def with_tests(rows: DataFrame, name: str) -> DataFrame:
-    """Adds what is asked about a would-be name, each step a projection of its own, so that nothing is computed twice.
+def no_name(text: Column) -> Column:
+    """Whether a text holds what marks a line as no name."""
+    return text.rlike(_NO_NAME)
 
-    fits and fits_alone: plausible_person() without and with single words; tech: tech_blob(); wordy: prose(). Written as SQL,
-    which makes a plan of many such tests a good deal faster than column objects do.
+
+def tested(rows: DataFrame, column: str, *keep: str) -> DataFrame:
+    """What is asked about would-be names. column: a list of struct(name, keep); each entry gets fits, fits_alone, tech and wordy.
+
+    fits and fits_alone: plausible_person() without and with single words; tech: tech_blob(); wordy: prose(). Each step is a
+    projection of its own, so that nothing is computed twice, and written as SQL, which is a good deal faster to plan than column
+    objects. What is asked of a name's words is asked again of those without noise only where there is noise.
     """
-    found = lambda c, pattern: f"""regexp_extract_all(coalesce({c}, ''), r"({pattern})", 1)"""
+    found = lambda c, pattern: f"""regexp_extract_all({c}, r"({pattern})", 1)"""
     word, long, token = r"[A-Za-z][A-Za-z\-']*", r"[A-Za-z][A-Za-z\-']+", r"[A-Za-z][A-Za-z0-9+.#\-']*"
-    low = """regexp_replace(lower(w), r"^[-']+|[-']+$", '')"""
-    within = lambda w, words: f"contains('|{'|'.join(words)}|', concat('|', {w}, '|'))"
-    is_tech_word = within("regexp_replace(lower(w), '[^a-z0-9]', '')", TECH_KEYS)
-    blob = lambda c: f"(size(filter({c}, w -> {is_tech_word})) >= 2 OR (size({c}) <= 2 AND exists({c}, w -> {is_tech_word})))"
-    hits = lambda c: f"size(filter({c}, w -> {within('w', PROSE)}))"
+    low = lambda c: f"""transform({c}, w -> regexp_replace(lower(w), r"^[-']+|[-']+$", ''))"""
+    plain = lambda c: f"transform({c}, w -> regexp_replace(lower(w), '[^a-z0-9]', ''))"
+
+    def within(w: str, words: list[str]) -> str:
+        lists = by_length(words)
+        return f"contains(get(split('{';'.join(lists)}', ';', -1), least(length({w}), {len(lists) - 1})), concat('|', {w}, '|'))"
+
+    hits = lambda c, words: f"size(filter({c}, w -> {within('w', words)}))"
     verbal = lambda c: f"exists({c}, w -> w RLIKE '(?:ing|ed|ly)$' AND w NOT IN ('king', 'young'))"
     opens = lambda c: f"coalesce({within(f'try_element_at({c}, 1)', OPENERS)}, false)"
-    wordy = lambda c, n: f"(size({c}) = 0 OR {n} >= 2 OR ({n} >= 1 AND size({c}) >= 3) OR {opens(c)} OR ({verbal(c)} AND (size({c}) >= 3 OR {n} >= 1)))"
-    first = "try_element_at(_words, 1)"
+    wordy = lambda c, n: f"(size({c}) = 0 OR {n} >= 2 OR ({n} >= 1 AND size({c}) >= 3) OR {opens(c)} OR ((size({c}) >= 3 OR {n} >= 1) AND {verbal(c)}))"
+    again = lambda c, otherwise: f"if(x.same, {c}, {otherwise})"
+    first = "try_element_at(x.words, 1)"
     steps = [
-        {"_trimmed": rf"""regexp_replace(coalesce({name}, ''), r"^\s+|\s+$", '')""", "_all": found(name, word), "_all_tokens": found(name, token)},
-        {"_kept": f"array_join(filter(_all, w -> NOT {within(low, NOISE)}), ' ')", "_all_low": f"transform(_all, w -> {low})", "tech": blob("_all_tokens")},
-        {"_bare": "coalesce(nullif(_kept, ''), _trimmed)", "_all_hits": hits("_all_low")},
-        {"_words": found("_bare", long), "_low": f"transform({found('_bare', word)}, w -> {low})", "_tokens": found("_bare", token), "wordy": wordy("_all_low", "_all_hits")},
-        {"_hits": hits("_low"), "_blob": blob("_tokens"), "_bad": f"exists(_words, w -> {is_tech_word} OR {within('lower(w)', NOISE)} OR {within('lower(w)', PROSE)})", "_n": "size(_words)", "_places": f"size(filter(_words, w -> {within('lower(w)', PLACES)}))"},
+        {"text": "coalesce(x.name, '')"},
+        {"trimmed": r"""regexp_replace(x.text, r"^\s+|\s+$", '')""", "every": found("x.text", word), "tokens": found("x.text", token)},
+        {"lows": low("x.every"), "n_tech": hits(plain("x.tokens"), TECH_KEYS)},
+        {"kept": f"array_join(filter(x.every, (w, i) -> NOT {within('get(x.lows, i)', NOISE)}), ' ')", "n_prose": hits("x.lows", PROSE), "tech": "x.n_tech >= 2 OR (size(x.tokens) <= 2 AND x.n_tech >= 1)"},
+        {"bare": "coalesce(nullif(x.kept, ''), x.trimmed)", "wordy": wordy("x.lows", "x.n_prose")},
+        {"same": "x.bare = x.text", "words": found("x.bare", long)},
+        {"lows": again("x.lows", low(found("x.bare", word))), "tokens": again("x.tokens", found("x.bare", token)), "places": hits("transform(x.words, w -> lower(w))", PLACES), "n": "size(x.words)"},
+        {"n_tech": again("x.n_tech", hits(plain("x.tokens"), TECH_KEYS)), "n_prose": again("x.n_prose", hits("x.lows", PROSE))},
+        {
+            "several": "x.n BETWEEN 2 AND 4 AND x.places <= 1 AND x.n - x.places >= 2 AND exists(x.words, w -> w RLIKE '^[A-Z]')",
+            "one": f"coalesce(x.n = 1 AND length({first}) >= 5 AND x.places = 0 AND NOT ({first} = upper({first}) AND length({first}) <= 5), false)",
+            "blob": "x.n_tech >= 2 OR (size(x.tokens) <= 2 AND x.n_tech >= 1)",
+        },
         {
-            "_usable": f"""length(_trimmed) BETWEEN 3 AND 80 AND NOT _bare RLIKE r"{NO_NAME}" AND NOT _blob AND NOT {wordy("_low", "_hits")} AND NOT _bad""",
-            "_several": "_n BETWEEN 2 AND 4 AND _places <= 1 AND _n - _places >= 2 AND exists(_words, w -> w RLIKE '^[A-Z]')",
-            "_one": f"_n = 1 AND length({first}) >= 5 AND _places = 0 AND NOT ({first} = upper({first}) AND length({first}) <= 5)",
+            "usable": f"""(x.several OR x.one) AND length(x.trimmed) BETWEEN 3 AND 80 AND NOT x.blob AND NOT {again("x.wordy", wordy("x.lows", "x.n_prose"))}
+                AND NOT exists(transform(x.words, w -> lower(w)), w -> {within("w", NOISE)} OR {within("w", PROSE)}) AND NOT exists({plain("x.words")}, w -> {within("w", TECH_KEYS)}) AND NOT x.bare RLIKE r'{_NO_NAME}'""",
         },
-        {"fits": "_usable AND _several", "fits_alone": "_usable AND (_several OR coalesce(_one, false))"},
+        {"fits": "x.usable AND x.several", "fits_alone": "x.usable"},
     ]
-    out = rows
+    out, fields = rows, ["name", *keep]
     for step in steps:
-        out = out.withColumns({c: F.expr(x) for c, x in step.items()})
-    return out.drop(*(c for step in steps for c in step if c.startswith("_")))
+        fields = [*dict.fromkeys([*fields, *step])]
+        made = ", ".join(f"'{c}', {step.get(c, f'x.{c}')}" for c in fields)
+        out = out.withColumn(column, F.expr(f"transform({column}, x -> named_struct({made}))"))
+    last = ["name", *keep, "fits", "fits_alone", "tech", "wordy"]
+    return out.withColumn(column, F.expr(f"transform({column}, x -> named_struct({', '.join(f"'{c}', x.{c}" for c in last)}))"))
 
 
 def plausible_place(place: Column) -> Column:
@@ -245,7 +284,7 @@ def place_of(header: Column, full: Column) -> Column:
     said = F.when(header.rlike(LOCATION), F.regexp_extract(header, LOCATION, 1)).otherwise(F.regexp_extract(full, LOCATION, 1))
 
     def of_line(line: Column) -> Column:
-        off = tech_blob(line) | (line.rlike(NO_NAME) & ~line.rlike(PLACE_WORDS))
+        off = tech_blob(line) | (line.rlike(_NO_NAME) & ~line.rlike(PLACE_WORDS))
         city = F.when(line.rlike(CITY_STATE), F.concat_ws(", ", F.regexp_extract(line, CITY_STATE, 1), F.regexp_extract(line, CITY_STATE, 2)))
         return F.when(~off, F.coalesce(fit(city), fit(F.when(line.rlike(PLACED), ends(F.regexp_extract(line, PLACED, 1), " .,|-")))))
 

@@ -53,15 +53,9 @@ def facts(resumes: DataFrame, as_of: int) -> DataFrame:
 
 
 def extracted(resumes: DataFrame, as_of: int, by: str = "resume_id") -> DataFrame:
-    """facts() with name, confidence and sources (maps by field) and warnings. resumes: by, filename, raw_text and whatever else; by must be unique.
-
-    The names are worked out beside the facts, from the few lines that may hold them, and joined by id.
-    """
-    known = facts(resumes, as_of)
-    people = known.select(by, "filename", "email", "lines")
-    named = people.drop("lines").join(names.guessed(people, by), by, "left").withColumn("said", F.lit(None).cast("string"))
-    decided = names.resolved(named, by).select(F.col(by).alias("_by"), "name", "source", F.col("confidence").alias("sure"), "warning")
-    both = known.drop("lines").join(decided, known[by] == F.col("_by"), "left")
+    """facts() with name, confidence and sources (maps by field) and warnings. resumes: by, filename, raw_text and whatever else. No shuffle."""
+    people = names.with_guess(facts(resumes, as_of)).withColumn("said", F.lit(None).cast("string"))
+    both = names.with_name(people).withColumnRenamed("confidence", "sure").drop("lines", "mailed", "guess", "said", "score")
     given = lambda c, v: F.when(F.col(c).isNotNull(), v)
     schools = F.size("education") > 0
     sure = _map(
@@ -83,7 +77,7 @@ def extracted(resumes: DataFrame, as_of: int, by: str = "resume_id") -> DataFram
         notice_period_days=given("notice", "regex"),
     )
     warnings = F.array_compact(F.array(F.col("warning"), F.when(F.col("name").isNull(), NO_NAME_YET)))
-    return both.withColumns({"confidence": sure, "sources": sources, "warnings": warnings}).drop("_by", "source", "sure", "warning")
+    return both.withColumns({"confidence": sure, "sources": sources, "warnings": warnings}).drop("source", "sure", "warning")
 
 
 def scorable(found: DataFrame, quality: Column) -> DataFrame:
@@ -105,14 +99,12 @@ def merged(rule: DataFrame, model: DataFrame, jobs: DataFrame, year: int, month:
     Contacts are the rule's where it is sure, lists and summary the model's; of the places the model's, if plausible, comes
     first; the name is decided among all sources anew, and the years by the two passes over the jobs.
     """
-    parts = merged_by_rank(rule, model, by)
-    extra = model.select(by, F.col("name").alias("m_name"), F.col("location").alias("m_place"), F.col("summary").alias("m_summary"))
-    from_rule = rule.select(by, "filename", F.col("name").alias("guess"), F.col("location").alias("r_place"), "stated_years", "student", "section_hits", F.col("confidence").alias("r_sure"), F.col("warnings").alias("r_warnings"))
-    both = parts.join(from_rule, by).join(extra, by, "left")
-    people = both.select(by, "filename", "email", "guess", F.col("m_name").alias("said"))
-    decided = names.resolved(people, by).select(by, "name", "source", F.col("confidence").alias("sure"), "warning")
+    from_rule = {"filename": "filename", "name": "guess", "location": "r_place", "stated_years": "stated_years", "student": "student", "section_hits": "section_hits", "confidence": "r_sure", "warnings": "r_warnings"}
+    from_model = {"name": "said", "location": "m_place", "summary": "m_summary"}
+    # Each row is read once: what the name and the years need comes along with the merge.
+    both = merged_by_rank(rule, model, by, *(F.col(f"r.{c}").alias(n) for c, n in from_rule.items()), *(F.col(f"m.{c}").alias(n) for c, n in from_model.items()))
     worked = profile.work_years(jobs, by, year, month).withColumnsRenamed({"years": "w_years", "method": "w_method"})
-    out = both.drop("filename").join(decided, by).join(worked, by, "left")
+    out = names.with_name(both).withColumnRenamed("confidence", "sure").join(worked, by, "left")
     stated = F.when(F.col("r_sure")["total_years_experience"] == "high", F.col("stated_years"))
     student = F.coalesce(F.col("student"), F.lit(False)) | profile.student(F.col("m_summary"))
     y = profile.two_pass_years(F.col("w_years"), F.col("w_method"), F.col("jobs"), F.col("job_years"), stated, student, F.lit(None).cast("double"))

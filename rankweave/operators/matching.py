@@ -9,6 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from rankweave.functions.person import bound
 from rankweave.operators.profile import distinct_words
 
 # Degrees in the order in which a line is tried, and words of an institution.
@@ -160,8 +161,8 @@ def education_lines(text: Column) -> Column:
 
     found = F.transform(F.filter(lines, lambda x: (degree(x) != "") | x.rlike(INSTITUTION)), entry)
     key = lambda e: F.struct(e["degree"], e["year"], e["institution"])
-    first = F.filter(found, lambda e, i: F.array_position(F.transform(found, key), key(e)) == i + 1)
-    return F.slice(first, 1, 8)
+    first = lambda found: F.filter(found, lambda e, i: F.array_position(F.transform(found, key), key(e)) == i + 1)
+    return F.slice(bound(found, first), 1, 8)
 
 
 def json_object(answer: Column) -> Column:
@@ -173,11 +174,12 @@ def json_object(answer: Column) -> Column:
     return F.coalesce(objects(body), objects(F.regexp_substr(body, F.lit(r"\{[\s\S]*\}"))))
 
 
-def merged_by_rank(rule: DataFrame, model: DataFrame, key: str) -> DataFrame:
+def merged_by_rank(rule: DataFrame, model: DataFrame, key: str, *more: Column) -> DataFrame:
     """One row per rule profile: contacts by rule where that is at least medium sure, notice and links by rule, lists by the model.
 
     rule: key, email, phone, notice, linkedin, github, education, confidence and sources (maps by field).
     model: key, email, phone, notice, linkedin, github, education, skills, licenses, certifications.
+    more: what else is to be given, of r (rule) and m (model).
     """
     both = rule.alias("r").join(model.alias("m"), key, "left")
     r, m = (lambda c: F.col(f"r.{c}")), (lambda c: F.col(f"m.{c}"))
@@ -194,6 +196,7 @@ def merged_by_rank(rule: DataFrame, model: DataFrame, key: str) -> DataFrame:
         F.when(F.coalesce(F.size(m("education")), F.lit(0)) > 0, m("education")).otherwise(r("education")).alias("education"),
         *(c.alias(k) for k, c in lists.items()),
         F.map_concat(F.coalesce(old, F.create_map().cast("map<string,string>")), F.map_filter(new, lambda _, v: v.isNotNull())).alias("sources"),
+        *more,
     )
 
 

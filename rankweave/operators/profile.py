@@ -17,7 +17,8 @@ def list_of(c: Column) -> Column:
 def distinct_words(items: Column) -> Column:
     """Without empty entries and case-insensitive repeats; the first spelling stays."""
     full = F.filter(F.transform(items, lambda x: F.trim(x)), lambda x: F.coalesce(x != "", F.lit(False)))
-    return F.filter(full, lambda x, i: F.array_position(F.transform(full, F.lower), F.lower(x)) == i + 1)
+    once = lambda full, low: F.filter(full, lambda x, i: F.array_position(low, F.lower(x)) == i + 1)
+    return bound(full, lambda full: bound(F.transform(full, F.lower), lambda low: once(full, low)))
 
 
 def issues(p: dict[str, Column]) -> Column:

@@ -37,7 +37,8 @@ _DOUBT = f"'{names.DOUBTFUL[0]}{NO_PERSON}{names.DOUBTFUL[1]}heuristic{names.DOU
 
 
 def _people(spark, sf_dir):
-    return spark.sql(PEOPLE, resumes=resumes(spark, sf_dir))
+    # Few bytes and much work: as many tasks as there are partitions, whatever their size.
+    return spark.sql(PEOPLE, resumes=resumes(spark, sf_dir)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "resume_id")
 
 
 def _found(spark, sf_dir):
@@ -68,8 +69,7 @@ def name_resolve(spark, sf_dir):
 
 def _resolved(spark, sf_dir):
     known = extraction.facts(_people(spark, sf_dir), AS_OF).select("resume_id", "filename", "email", "lines")
-    people = known.drop("lines").join(names.guessed(known, "resume_id"), "resume_id").withColumn("said", F.lit(None).cast("string"))
-    return names.resolved(people, "resume_id")
+    return names.resolved(names.with_guess(known).withColumn("said", F.lit(None).cast("string")), "resume_id")
 
 
 @query(f"WITH {SQL_RANKED} SELECT k.job_id, resume_id, rank, filename, 'medium' AS confidence, {_DOUBT} AS warning FROM k JOIN r USING (resume_id) WHERE resume_id % 8 = 6")
@@ -77,7 +77,9 @@ def name_review_queue(spark, sf_dir):
     """Rows whose name needs a look, by doubt, missing support or form, shortlisted first."""
     n = _resolved(spark, sf_dir)
     ask = names.needs_review(F.col("name"), F.col("source"), F.col("confidence"), F.col("warning"))
-    found = report.results(resumes(spark, sf_dir), scores(spark, sf_dir)).join(n.where(ask).select("resume_id", "confidence", "warning"), "resume_id")
+    # Dealt out before the join: a sort reads its input twice, which would work out the names twice.
+    asked = person.only(n, ask, "resume_id", "confidence", "warning").repartition("resume_id")
+    found = report.results(resumes(spark, sf_dir), scores(spark, sf_dir)).join(asked, "resume_id")
     return found.orderBy(F.coalesce("rank", F.lit(9999)), "resume_id").select("job_id", "resume_id", "rank", "filename", "confidence", "warning")
 
 

@@ -136,3 +136,27 @@ def test_corrections_by_hand(spark):
     assert one.confidence["name"] == one.confidence["skills"] == "high" and one.sources["name"] == "recruiter_override" == one.sources["total_years_experience"]
     assert (two.years, two.years_method, two.notice, two.licenses) == (4.0, "work_history_sum", 365, []) and two.confidence["name"] == "low"
     assert (three.years, three.years_method, three.overrides, three.licenses) == (0.0, "no_real_jobs", {}, None)
+
+
+def test_profiles_are_read_once_each(spark):
+    """No row is read, joined or shuffled again for its name; a merge joins the model's answer and the jobs alone."""
+    frame = spark.createDataFrame([(1, "Resume_Asha_Sharma.pdf", "Asha Sharma\nasha.sharma@example.com\nAsha Sharma\nExperience\nNurse 2010 - 2012")], "resume_id long, filename string, raw_text string")
+    found = extraction.extracted(frame, 2026)
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert "Join" not in plan and "Aggregate" not in plan and "Generate" not in plan
+    lists = "array<string>"
+    model = frame.select("resume_id", F.lit("Robin Hale").alias("name"), *(F.lit(None).cast("string").alias(c) for c in ("email", "phone", "location", "linkedin", "github", "summary")), F.lit(60).alias("notice"), F.array().cast("array<struct<degree:string,field:string,institution:string,year:string>>").alias("education"), *(F.array().cast(lists).alias(c) for c in ("skills", "licenses", "certifications")))
+    jobs = spark.createDataFrame([(1, "Nurse", "Unit", "2010 - 2012", None)], "resume_id long, title string, company string, duration string, years double")
+    out = extraction.merged(found, model, jobs, 2026, 5)
+    assert out._jdf.queryExecution().optimizedPlan().toString().count("Join ") == 2
+    row = out.first()
+    assert (row.name, row.email, row.years, row.years_method, row.sources["name"]) == ("Asha Sharma", "asha.sharma@example.com", 2.0, "work_history_sum", "email+filename+heuristic")
+
+
+def test_words_are_found_among_those_of_their_length(spark):
+    words = ["my", "our", "the", "a", "university"]
+    frame = spark.createDataFrame([(w,) for w in [*words, "", "y", "my|our", "universities", "theo", None]], "w string")
+    assert [r.x for r in frame.select(person.among(F.col("w"), words).alias("x")).collect()] == [True] * 5 + [False] * 5 + [None]
+    lines = ["Based in Pune", "a CV", "cvs", "B.Tech", "BTech Ann", "handson", "hands-on", "Full  Stack", "reactor", "www.x", "result driven", "Ann Hale", "MASTER plan", "livesin", "lives in"]
+    got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", person.no_name(F.col("x")).alias("fast"), F.col("x").rlike(person.NO_NAME).alias("plain")).collect()
+    assert all(r.fast == r.plain for r in got) and {r.fast for r in got} == {True, False}
