@@ -37,8 +37,9 @@ _DOUBT = f"'{names.DOUBTFUL[0]}{NO_PERSON}{names.DOUBTFUL[1]}heuristic{names.DOU
 
 
 def _people(spark, sf_dir):
-    # Few bytes and much work: as many tasks as there are partitions, whatever their size.
-    return spark.sql(PEOPLE, resumes=resumes(spark, sf_dir)).repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "resume_id")
+    # Few bytes and much work: dealt out to more tasks than Spark would make of their size. The number of the join before would be no shuffle.
+    n = 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))
+    return spark.sql(PEOPLE, resumes=resumes(spark, sf_dir)).repartition(n, "resume_id")
 
 
 def _found(spark, sf_dir):

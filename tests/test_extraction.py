@@ -160,3 +160,12 @@ def test_words_are_found_among_those_of_their_length(spark):
     lines = ["Based in Pune", "a CV", "cvs", "B.Tech", "BTech Ann", "handson", "hands-on", "Full  Stack", "reactor", "www.x", "result driven", "Ann Hale", "MASTER plan", "livesin", "lives in"]
     got = spark.createDataFrame([(x,) for x in lines], "x string").select("x", person.no_name(F.col("x")).alias("fast"), F.col("x").rlike(person.NO_NAME).alias("plain")).collect()
     assert all(r.fast == r.plain for r in got) and {r.fast for r in got} == {True, False}
+
+
+def test_names_to_review_need_no_shuffle(spark):
+    """What is tried for a name stays in its row, from the lines to the winner."""
+    frame = spark.createDataFrame([(1, "a.pdf", "a@example.com", None, ["Asha Sharma", "Asha Sharma", "Skills"])], "id long, filename string, email string, said string, lines array<string>")
+    out = names.resolved(names.with_guess(frame), "id")
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any(x in plan for x in ("Join", "Aggregate", "Generate", "Repartition", "Window"))
+    assert tuple(out.first())[:3] == (1, "Asha Sharma", "heuristic")
